@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import components, cut, table
+from sieveline.llm.common import TOKEN, components, cut, table
 from sieveline.llm.vec import Tokens, U, buffers, mix, shingles, slices
 
 K, PERCENT = 5, 75
@@ -84,29 +84,29 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         seen: set[int] = set()
-        names = ["kind", "doc_id", "key", "n"]
+        names = ["kind", "doc_id", "th", "key", "n"]
 
         def frequent() -> pa.RecordBatch:
             key, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             key, n = key[n >= HOT_IN_TASK], n[n >= HOT_IN_TASK]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int8)), pa.nulls(len(key), pa.int64()), pa.array(key.view(np.int64)), pa.array(n)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int8)), *[pa.nulls(len(key), pa.int64())] * 2, pa.array(key.view(np.int64)), pa.array(n)], names=names)
 
         for b in batches:
-            data, offsets = buffers(b.column(1))
+            data, offsets = buffers(b.column(2))
             for lo, hi in slices(offsets):
                 name, n, s, bounds = _sets(data, offsets[lo : hi + 1], k)
                 fresh = [i for i, x in enumerate(name.tolist()) if n[i] and not (x in seen or seen.add(x))]
                 held.extend(s[bounds[i] : bounds[i + 1]] for i in fresh)
                 if len(seen) > 1_000_000:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int8)), b.column(0).slice(lo, hi - lo), pa.array(name.view(np.int64)), pa.array(n)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int8)), b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(name.view(np.int64)), pa.array(n)], names=names)
                 if sum(map(len, held)) > 8_000_000:
                     yield frequent()
         if held:
             yield frequent()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind tinyint, doc_id bigint, key bigint, n bigint")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "kind tinyint, doc_id bigint, th bigint, key bigint, n bigint")
 
 
 def _prefixes(docs: DataFrame, order, k: int, percent: int) -> DataFrame:
@@ -191,10 +191,10 @@ def _verify(pairs: DataFrame, texts: DataFrame, order, k: int, percent: int, ord
 
 
 def join(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = ORDERS, hot_shingles: int = HOT_SHINGLES) -> DataFrame:
-    """(doc_id, n_shingles, component_id, node, rep) per row of docs (doc_id, text); node names the text's class."""
+    """(doc_id, th, n_shingles, component_id, component) per row of docs (doc_id, text); th: the text's hash; component: a name of the component, null without words."""
     spark = docs.sparkSession
     scan = cut(_scan(docs, k))
-    rows = scan.where("kind = 0").select("doc_id", F.col("key").alias("node"), "n")
+    rows = scan.where("kind = 0").select("doc_id", "th", F.col("key").alias("node"), "n")
     often = scan.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(hot_shingles).toArrow()
     hot = often.column("key").to_numpy().view(U)
     by = np.argsort(hot)
@@ -234,11 +234,24 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = ORDE
     named = cut(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")))
     least = cut(named.join(final, "node", "left").withColumn("component", F.coalesce("component", "node")))
     low = cut(least.groupBy("component").agg(F.min("rep").alias("component_id")))
-    classes = cut(least.join(low, "component").select("node", "rep", "component_id"))
-    some = rows.where("n > 0").join(classes, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "node", "rep")
-    none = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("node"), F.col("doc_id").alias("rep"))
+    classes = cut(least.join(low, "component").select("node", "component", "component_id"))
+    some = rows.where("n > 0").join(classes, "node").select("doc_id", "th", F.col("n").alias("n_shingles"), "component_id", "component")
+    none = rows.where("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("component"))
     return some.unionByName(none)
 
 
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of each component: of its least id and, among rows of that id, of the least text hash.
+
+    Rows without words are linked with nothing and all stay. Columns keep their names and values."""
+    found = join(docs.select("doc_id", "text"), **options).where("n_shingles > 0")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("m")
+    win = cut(found.groupBy("component").agg(best).select(F.col("m.doc_id").alias("wk"), F.col("m.th").alias("wt")).distinct())
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("k"), docs["text"].alias("text"))
+    worded = F.coalesce(F.col("text").rlike(TOKEN), F.lit(False))
+    kept = rows.where(worded).select("row", "k", F.xxhash64("text").alias("t")).join(win, F.col("k").eqNullSafe(F.col("wk")) & (F.col("t") == F.col("wt"))).groupBy("k", "t").agg(F.first("row").alias("row"))
+    return kept.select("row").unionByName(rows.where(~worded).select("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")

@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+from pyspark.sql import DataFrame, SparkSession
+
+from sieveline.llm.decontaminate import op10_decontaminate
 from sieveline.llm.html_extract import op1_html_extract
+from sieveline.llm.jaccard_join import op7_jaccard_join
+from sieveline.llm.langid import op9_language_id
 from sieveline.llm.line_dedup import op2_line_dedup
+from sieveline.llm.lm_score import op3_lm_score
 from sieveline.llm.media import op5_media_columns
 from sieveline.llm.mixing import op6_mixing
+from sieveline.llm.quality import op8_quality
+from sieveline.llm.toxicity import op4_toxicity
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_line_dedup, op5_media_columns, op6_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_html_extract, op2_line_dedup, op3_lm_score, op4_toxicity, op5_media_columns, op6_mixing, op7_jaccard_join, op8_quality, op9_language_id, op10_decontaminate, pipeline)
+}
+#: Hash-defined boundaries, trained models and stored bytes have no SQL form; those queries are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {}
