@@ -176,20 +176,30 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.slope * margin + self.offset, -40, 40))))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 500, reg: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss by accelerated gradient descent on all rows."""
-    w, b = np.zeros(x.shape[1]), 0.0
-    vw, vb = w.copy(), b
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 25, reg: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Linear SVM with squared hinge loss, by Newton steps over the rows inside the margin, each halved until the loss falls."""
+    a = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     weight = weight / weight.sum()
-    rate = 1.0 / (2.0 * ((x * x).sum(1) + 1).max() + reg)
-    for t in range(steps):
-        m = 1.0 - y * (x @ vw + vb)
-        g = -2.0 * weight * y * np.maximum(m, 0)
-        nw, nb = vw - rate * (x.T @ g + reg * vw), vb - rate * g.sum()
-        k = t / (t + 3.0)
-        vw, vb = nw + k * (nw - w), nb + k * (nb - b)
-        w, b = nw, nb
-    return w, b
+    ridge = np.full(a.shape[1], reg)
+    ridge[-1] = 1e-9
+    loss = lambda m, v: float(weight @ np.maximum(m, 0) ** 2 + 0.5 * ridge @ (v * v))
+    v = np.zeros(a.shape[1])
+    m = 1.0 - y * (a @ v)
+    now = loss(m, v)
+    for _ in range(steps):
+        on = m > 0
+        part, w = a[on], weight[on]
+        grad = ridge * v - 2.0 * part.T @ (w * y[on] * m[on])
+        hess = 2.0 * (part * w[:, None]).T @ part + np.diag(ridge)
+        move, scale = np.linalg.solve(hess, grad), 1.0
+        slope = y * (a @ move)
+        while scale > 1e-4 and loss(m + scale * slope, v - scale * move) > now:
+            scale /= 2
+        v, m = v - scale * move, m + scale * slope
+        before, now = now, loss(m, v)
+        if before - now < 1e-9 * before:
+            break
+    return v[:-1], float(v[-1])
 
 
 def train(texts: list[list[str]], labels: list[int], landmarks: int = LANDMARKS, rounds: int = 6) -> Model:
@@ -227,8 +237,8 @@ def train(texts: list[list[str]], labels: list[int], landmarks: int = LANDMARKS,
         for bag, label in zip(inst, y, strict=True):
             if len(bag):
                 tops[label, bag[np.argpartition(-score[bag], min(1, len(bag) - 1))[:2]]] += 1
-        # a toxic text's top word is an example only if the class really prefers it
-        pos = np.flatnonzero((tops[1] > 0) & (odds > 1.0))
+        # a toxic text's top word is an example only if the class really prefers it, and not one text of it alone
+        pos = np.flatnonzero((tops[1] > 0) & (odds > 1.0) & (d1 >= max(2, n1 / 100)))
         if not len(pos):
             pos = np.flatnonzero(tops[1] > 0)
         up, down = np.sqrt(tops[1][pos]), np.sqrt(d0[spoken])
