@@ -5,14 +5,18 @@ order of the shingles, two linked sets share a shingle among their first n - cei
 order at once, so a pair is a candidate only if its prefixes meet under all of them: the first order is
 joined in Spark, the others filter its pairs before the exact comparison of the whole sets.
 
+A pair must not only meet: linked sets share at least a number of shingles within their prefixes that follows from their
+sizes (`_shared`), and the join counts them.
+
 Orders put frequent shingles last: passages that many texts share stand at the end and leave the prefixes. The frequent
 shingles are a bounded table (`hot_shingles`) from counts within tasks, so the choice affects speed alone, never the
 result; ties go by a hash seeded per order.
 
-Groups of copies are never expanded into pairs. Equal shingle sequences are one class from the start. Each prefix shingle
-then links its members only to two representatives (least and greatest class); verified links give components; what is
-left is joined only across different components, and each such pair is verified, so that no link between components is
-lost. The class is named by a 64-bit hash of its word sequence.
+Groups of copies are never expanded into pairs. Equal word sequences are one class from the start. Then, in rounds, each
+prefix shingle compares its members only with two of them, drawn by a hash of the round; verified links give
+components, and shingles whose members all lie in one are done. When few pairs of different components are left, all of them
+are taken, counted and verified, so that no link between components is lost. The class is named by a 64-bit hash of its
+word sequence.
 
 Defined results: null and empty texts have no shingles, link with nothing and are their own component, also among
 themselves; ids may repeat: component_id is the least id among the rows reached; null ids are kept and never named as a
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import TOKEN, components, cut, table
@@ -33,7 +37,9 @@ from sieveline.llm.vec import Tokens, U, buffers, mix, shingles, slices
 K, PERCENT = 5, 75
 ORDERS = 3
 HOT_SHINGLES, HOT_IN_TASK = 1 << 20, 3
-MAP_BITS = 1 << 25  # of the broadcast map of candidate classes: 4 MB
+BROADCAST_NODES = 2_000_000  # of 8 bytes each
+#: Rounds against drawn members end when the pairs ahead are at most so many a row; the last step covers all pairs whatever their number.
+ROUNDS, PAIRS_PER_ROW = 6, 2
 
 
 def prefix_length(n: np.ndarray | int, percent: int = PERCENT):
@@ -52,12 +58,26 @@ def _sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np
     s, row = s[new], row[new]
     rows = len(t.count)
     bounds = np.searchsorted(row, np.arange(rows + 1))
-    # class: order-dependent sum of token hashes
+    return _names(t, h)[0], np.diff(bounds), s, bounds
+
+
+def _names(t: Tokens, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(class, number of words) per row; the class is a sum of token hashes mixed with their places."""
+    h = t.hashes() if h is None else h
     place = np.arange(len(h)) - t.first[t.doc]
     sums = np.zeros(len(h) + 1, U)
     np.cumsum(mix(h + place.astype(U) * U(0x9E3779B97F4A7C15)), out=sums[1:])
-    name = mix(sums[t.first[1:]] - sums[t.first[:-1]] + t.count.astype(U))
-    return name, np.diff(bounds), s, bounds
+    return mix(sums[t.first[1:]] - sums[t.first[:-1]] + t.count.astype(U)), t.count
+
+
+def _shared(n: Column, m: Column, percent: int) -> Column:
+    """Least number of shingles that the prefixes of two linked sets of n and m share under any one order.
+
+    They share at least `both` shingles in all, so of the p(n) first at most n - both are not shared, counted from
+    the side on which the prefix ends first."""
+    both = F.ceil((n + m) * percent / (100 + percent) - F.lit(1e-9))
+    least = lambda x: both - F.ceil(x * percent / 100 - F.lit(1e-9)) + 1
+    return F.least(least(n), least(m))
 
 
 class Order:
@@ -133,35 +153,25 @@ def _prefixes(docs: DataFrame, order, k: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "s bigint, hot boolean, node bigint, n bigint")
 
 
-def _candidate_map(nodes: DataFrame) -> np.ndarray:
-    """A bit map of fixed size over classes: whether a class may be among nodes."""
-    bits = np.zeros(MAP_BITS, bool)
-    for r in nodes.select(F.pmod("node", F.lit(MAP_BITS)).alias("x")).groupBy(F.floor(F.col("x") / 4096).cast("int").alias("w")).agg(F.collect_set(F.pmod("x", F.lit(4096)).cast("smallint")).alias("b")).toLocalIterator():
-        bits[np.array(r["b"], np.int64) + r["w"] * 4096] = True
-    return np.packbits(bits, bitorder="little")
-
-
-def _texts(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, text): one text of each class in nodes."""
-    held = docs.sparkSession.sparkContext.broadcast(_candidate_map(nodes))
+def _texts(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(node, text): one text of each class that pairs (a, b) name; classes are broadcast up to `BROADCAST_NODES`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = held.value, set()
+        seen: set[int] = set()
         for b in batches:
             data, offsets = buffers(b.column(0))
             for lo, hi in slices(offsets):
-                name, n, _, _ = _sets(data, offsets[lo : hi + 1], 1)
-                x = (name.view(np.int64) % MAP_BITS).astype(np.int64)
-                may = (bits[x >> 3] >> (x & 7).astype(np.uint8)) & 1 > 0
-                take = np.array([bool(may[i]) and n[i] > 0 and not (v in seen or seen.add(v)) for i, v in enumerate(name.tolist())], bool)
+                name, count = _names(Tokens(data, offsets[lo : hi + 1]))
+                take = [i for i, v in enumerate(name.tolist()) if count[i] and not (v in seen or seen.add(v))]
                 if len(seen) > 1_000_000:
                     seen.clear()
-                if take.any():
-                    at = np.flatnonzero(take)
-                    yield pa.RecordBatch.from_arrays([pa.array(name[at].view(np.int64)), b.column(0).slice(lo, hi - lo).take(pa.array(at))], names=["node", "text"])
+                if take:
+                    yield pa.RecordBatch.from_arrays([pa.array(name[take].view(np.int64)), b.column(0).slice(lo, hi - lo).take(pa.array(take))], names=["node", "text"])
 
+    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     found = docs.select("text").mapInArrow(run, "node bigint, text string")
-    return found.join(nodes.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    few = nodes.count() <= BROADCAST_NODES
+    return cut(found.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, order, k: int, percent: int, orders: int) -> DataFrame:
@@ -206,30 +216,43 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = ORDE
     bucket = Window.partitionBy("s", "salt")
     kept = _prefixes(docs, order, k, percent).withColumn("salt", salt).withColumn("x", F.min("node").over(bucket)).withColumn("y", F.max("node").over(bucket))
     kept = cut(kept.where("hot or x <> y").select("s", "node", "n"))
-    ends = cut(kept.groupBy("s").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y"))
-    tok = cut(kept.join(ends, "s").dropDuplicates(["s", "node"]))
-
+    ends = cut(kept.groupBy("s").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("s"))
+    m = cut(kept.join(ends, "s").dropDuplicates(["s", "node"]).select("s", "node", "n", F.col("node").alias("c")))
+    size = cut(m.groupBy("node").agg(F.first("n").alias("n")))
     near = lambda m, n: F.least(m, n) * 100 >= F.greatest(m, n) * percent
-    size = tok.groupBy("node").agg(F.first("n").alias("n"))
-    star = tok.select("node", "n", F.explode(F.array("x", "y")).alias("r")).where("node <> r").groupBy(F.least("node", "r").alias("a"), F.greatest("node", "r").alias("b")).agg(F.min(F.struct("node", "n")).alias("m")).select("a", "b", "m.node", "m.n")
-    size = cut(size)
-    other = size.select(F.col("node").alias("o"), F.col("n").alias("m"))
-    star = cut(star.withColumn("o", F.when(F.col("node") == F.col("a"), F.col("b")).otherwise(F.col("a"))).join(other, "o").where(near(F.col("n"), F.col("m"))).select("a", "b"))
-    texts = cut(_texts(docs, size.select("node"), k))
-    links = cut(_verify(star, texts, order, k, percent, orders))
-    comp = cut(components(size.select("node"), links, "node"))
-
-    # what is left: shingles whose members lie in several components, pairs across them
-    c = tok.select("s", "node", "n").join(comp.select(F.col("id").alias("node"), F.col("component").alias("c")), "node")
-    c = cut(c)
-    mixed = cut(c.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("s"))
-    m = cut(c.join(mixed, "s"))
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_NODES else df
+
+    # rounds: each shingle's members against two of them that the round draws, as long as members of other components abound
+    links, tried, comp = None, None, None
+    for r in range(ROUNDS):
+        lot = F.struct(F.xxhash64(F.lit(r), "node").alias("h"), "node", "n", "c")
+        ends = cut(m.groupBy("s").agg(F.min(lot).alias("x"), F.max(lot).alias("y"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("s", "x", "y"))
+        m = cut(m.join(ends, "s"))
+        star = m.select("node", "n", "c", F.explode(F.array("x", "y")).alias("r")).where((F.col("c") != F.col("r.c")) & near(F.col("n"), F.col("r.n")))
+        star = star.groupBy(F.least("node", "r.node").alias("a"), F.greatest("node", "r.node").alias("b")).agg(F.count("*").alias("k"), F.min(_shared(F.col("n"), F.col("r.n"), percent)).alias("least"))
+        # a shingle draws its own members, so that not all that a pair shares are counted here: half the bound is asked for
+        star = cut(star.where(2 * F.col("k") >= F.col("least")).select("a", "b"))
+        found = cut(_verify(star, _texts(docs, star, k), order, k, percent, orders))
+        tried = star if tried is None else tried.unionByName(star)
+        if found.isEmpty() and r:
+            break
+        links = found if links is None else links.unionByName(found)
+        comp = cut(components(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), links, "node").select(F.col("id").alias("node"), F.col("component").alias("to")))
+        m = cut(m.select("s", "node", "n").join(few(comp), "node", "left").select("s", "node", "n", F.coalesce("to", "node").alias("c")))
+        by = m.groupBy("s", "c").agg(F.count("*").alias("k")).groupBy("s").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own"))
+        ahead = by.agg(F.sum(F.col("k") * F.col("k") - F.col("own")).alias("pairs"), F.sum("k").alias("k")).first()
+        if (ahead["pairs"] or 0) <= PAIRS_PER_ROW * (ahead["k"] or 0):
+            break
+
+    # what is left: all pairs of members of one shingle that lie in different components
+    mixed = cut(m.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("s"))
+    m = cut(m.select("s", "node", "n", "c").join(mixed, "s"))
     left, right = m.select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), m.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    rest = left.join(right, "s").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    rest = cut(rest.join(star, ["a", "b"], "left_anti"))
-    more = cut(_verify(rest, texts, order, k, percent, orders))
-    final = components(size.select("node"), links.unionByName(more), "node") if not more.isEmpty() else comp
-    final = cut(final.select(F.col("id").alias("node"), "component"))
+    rest = left.join(right, "s").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near(F.col("na"), F.col("nb")))
+    rest = rest.groupBy("a", "b").agg(F.count("*").alias("k"), F.min(_shared(F.col("na"), F.col("nb"), percent)).alias("least")).where("k >= least")
+    rest = cut(rest.select("a", "b").join(tried.distinct(), ["a", "b"], "left_anti"))
+    more = cut(_verify(rest, _texts(docs, rest, k), order, k, percent, orders))
+    final = cut(components(size.select("node"), links.unionByName(more), "node").select(F.col("id").alias("node"), "component"))
 
     named = cut(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")))
     least = cut(named.join(final, "node", "left").withColumn("component", F.coalesce("component", "node")))
