@@ -3,16 +3,17 @@
 A spaced seed is a mask over consecutive words; the masked-in words are hashed and the others ignored, so a changed word
 spoils only the seeds that look at it. Seeds of the benchmark items and of the texts meet in an equi-join on their hash.
 Around each hit the item is laid over the text on the hit's diagonal, and the words that agree are counted over the whole
-overlap: an item is found if at least `min_words` and `min_share` of its words agree (words are compared as lower-case A-Z
+overlap: an item is found if at least `min_words` and `min_share` of its words agree (words are compared as lower-case
 text without marks at their edges), so substitutions are tolerated and chance hits fail. Items shorter than the longest
-mask are looked for whole, as runs of their own length.
+mask are looked for whole, as runs of their own length: their mask ignores nothing.
 
-Plan: the benchmark's seed table is broadcast where its row count, taken first, is at most `broadcast_rows`; then a text's
-seeds are made, probed and verified inside one scan stage and nothing but the hits is shuffled. A larger benchmark takes the
-same seeds through a shuffle join on the hash; hits then fetch their texts by row. DataFrame functions only.
+Plan: texts become word hashes and seeds inside one scan; a row that leaves it is (text, place, seed), never the text. The
+seeds of the benchmark are broadcast where their row count, taken first, is at most `broadcast_rows`, else they meet in
+a shuffle join. Places are summed up per text, and only texts with hits are read again, to cut out the windows under
+their items. DataFrame functions only.
 
 Defined results: null and empty texts have no seeds; items without words match nothing; equal items each report their hits;
-rows equal in id and text report once per row; a null id is kept; columns of the caller's tables beside the named ones are
+rows equal in id and text report once; a null id is kept; a null item id matches nothing; columns of the caller's tables beside the named ones are
 not read."""
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import SPACES, cut, lower_ascii, table
+from sieveline.llm.common import SPACES, cut, table
 
 #: Positions that each mask looks at.
 MASKS = ((0, 1, 2, 4, 5, 7), (0, 1, 3, 4, 6, 8), (0, 2, 3, 6, 7, 9))
@@ -31,72 +32,67 @@ BROADCAST_ROWS = 1_000_000
 
 def plain_words(text: Column) -> Column:
     """Lower-case words without marks at their edges; words of marks alone go."""
-    marks = r"""[.,;:!?"'()\[\]{}*%&$#|<>-]+"""
-    t = F.regexp_replace(lower_ascii(text), rf"{marks}(?=[\x20\x09-\x0D]|$)", "")
+    marks, blank = r"""[.,;:!?"'()\[\]{}*%&$#|<>-]+""", r"\x20\x09-\x0D"
+    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"(?<![^{blank}]){marks}|{marks}(?![^{blank}])", "")
     return F.filter(F.split(t, SPACES), lambda w: w != "")
 
 
-def _seeds(w: Column, i: Column) -> Column:
-    """array<struct<mask, seed>> at word i of the words w, for i up to size - SPAN."""
-    one = lambda k, mask: F.struct(F.lit(k).alias("mask"), F.xxhash64(F.lit(k), *[F.get(w, i + p) for p in mask]).alias("seed"))
-    return F.array(*[one(k, mask) for k, mask in enumerate(MASKS)])
+def _let(value: Column, then) -> Column:
+    """then(value) with value computed once a row: expressions in lambdas are evaluated where they stand."""
+    return F.transform(F.array(value), then)[0]
 
 
-def _hash_words(w: Column) -> Column:
-    return F.transform(w, lambda x: F.xxhash64(x))
+def _hash_words(text: Column) -> Column:
+    return F.transform(plain_words(text), lambda x: F.xxhash64(x))
 
 
-def _starts(w: Column, span: int | Column) -> Column:
-    """Positions at which a run of span words fits."""
-    last = F.size(w) - span
-    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+def _seeds(words: Column, masks: tuple[tuple[int, ...], ...], span: int) -> Column:
+    """array<bigint> of the seeds of all runs of span words: at i, those of run i // len(masks) in the masks' order."""
 
+    def all_of(w: Column) -> Column:
+        at = F.when(F.size(w) >= span, F.sequence(F.lit(0), F.size(w) - span)).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.transform(at, lambda i: F.array(*[F.xxhash64(F.lit(span), F.lit(k), *[F.get(w, i + p) for p in mask]) for k, mask in enumerate(masks)])))
 
-def item_seeds(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
-    """(seeds of the items of at least SPAN words, whole-item seeds of shorter ones, lengths of the shorter ones)."""
-    items = benchmark.select(F.col("item_id"), _hash_words(plain_words(F.col("text"))).alias("iw"))
-    items = cut(items.where(F.size("iw") > 0))
-    long_ = items.where(F.size("iw") >= SPAN).withColumn("ipos", F.explode(_starts(F.col("iw"), SPAN)))
-    long_ = long_.select("item_id", "iw", "ipos", F.explode(_seeds(F.col("iw"), F.col("ipos"))).alias("s")).select("item_id", "iw", "ipos", F.col("s.seed").alias("seed"))
-    short = items.where(F.size("iw") < SPAN).select("item_id", "iw", F.lit(0).alias("ipos"), F.xxhash64(F.lit(-1), F.concat_ws(" ", F.transform("iw", lambda x: x.cast("string")))).alias("seed"))
-    lengths = sorted(r[0] for r in short.select(F.size("iw")).distinct().collect())
-    return long_, short, lengths
+    return _let(words, all_of)
 
 
-def _agreeing(iw: Column, dw: Column, shift: Column) -> Column:
-    """Number of item words equal to the text's word at item position + shift."""
-    return F.aggregate(F.transform(iw, lambda x, j: (F.get(dw, F.when(j + shift >= 0, j + shift)) == x)), F.lit(0), lambda a, ok: a + F.when(ok, 1).otherwise(0))
+def _placed(texts: DataFrame, keys: list[str], text: str, masks: tuple[tuple[int, ...], ...], span: int) -> DataFrame:
+    """keys, pos, seed for each seed of each text."""
+    made = texts.select(*keys, F.posexplode(_seeds(_hash_words(F.col(text)), masks, span)).alias("i", "seed"))
+    return made.select(*keys, F.floor(F.col("i") / len(masks)).cast("int").alias("pos"), "seed")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, rid, item_id, matched, item_words, position): each item found in each text, at its best place.
 
     docs: (doc_id, text, rid), rid naming the row."""
-    long_, short, lengths = item_seeds(benchmark)
-    few = long_.count() <= broadcast_rows
-    d = docs.select("doc_id", "rid", _hash_words(plain_words(F.col("text"))).alias("dw"))
-    at = d.select("doc_id", "rid", "dw", F.explode(_starts(F.col("dw"), SPAN)).alias("pos"))
-    at = at.select("doc_id", "rid", "dw", "pos", F.explode(_seeds(F.col("dw"), F.col("pos"))).alias("s")).select("doc_id", "rid", "dw", "pos", F.col("s.seed").alias("seed"))
-    if few:
-        hits = at.join(F.broadcast(long_), "seed")
-        if lengths:
-            runs = d.select("doc_id", "rid", "dw", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n")).select("doc_id", "rid", "dw", "n", F.explode(_starts(F.col("dw"), F.col("n"))).alias("pos"))
-            runs = runs.select("doc_id", "rid", "dw", "pos", F.xxhash64(F.lit(-1), F.concat_ws(" ", F.transform(F.slice("dw", F.col("pos") + 1, F.col("n")), lambda x: x.cast("string")))).alias("seed"))
-            hits = hits.select("doc_id", "rid", "dw", "pos", "seed", "item_id", "iw", "ipos").unionByName(runs.join(F.broadcast(short), "seed").select("doc_id", "rid", "dw", "pos", "seed", "item_id", "iw", "ipos"))
-    else:
-        seeds = long_.select("seed", "item_id", "ipos")
-        met = at.drop("dw").join(seeds, "seed").select("rid", "item_id", "pos", "ipos")
-        if lengths:
-            runs = d.select("rid", "dw", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n")).select("rid", "dw", "n", F.explode(_starts(F.col("dw"), F.col("n"))).alias("pos"))
-            runs = runs.select("rid", "pos", F.xxhash64(F.lit(-1), F.concat_ws(" ", F.transform(F.slice("dw", F.col("pos") + 1, F.col("n")), lambda x: x.cast("string")))).alias("seed"))
-            met = met.unionByName(runs.join(short.select("seed", "item_id", "ipos"), "seed").select("rid", "item_id", "pos", "ipos"))
-        met = met.select("rid", "item_id", (F.col("pos") - F.col("ipos")).alias("shift")).distinct().select("rid", "item_id", F.col("shift").alias("pos"), F.lit(0).alias("ipos"))
-        items = long_.select("item_id", "iw").unionByName(short.select("item_id", "iw")).distinct()
-        hits = met.join(items, "item_id").join(d, "rid")
-    hits = hits.select("doc_id", "rid", "item_id", (F.col("pos") - F.col("ipos")).alias("position"), F.size("iw").alias("item_words"), _agreeing(F.col("iw"), F.col("dw"), F.col("pos") - F.col("ipos")).alias("matched"))
-    good = hits.where((F.col("matched") >= F.least(F.lit(min_words), F.col("item_words"))) & (F.col("matched") >= min_share * F.col("item_words")))
-    best = good.groupBy("rid", "item_id").agg(F.max(F.struct("matched", (-F.col("position")).alias("back"))).alias("m"), F.first("doc_id").alias("doc_id"), F.first("item_words").alias("item_words"))
-    return best.select("doc_id", "rid", "item_id", F.col("m.matched").alias("matched"), "item_words", (-F.col("m.back")).alias("position"))
+    small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
+    items = benchmark.select("item_id", "text", _hash_words(F.col("text")).alias("iw"))
+    items = cut(items.withColumn("item_words", F.size("iw")).where("item_words > 0"))
+    lengths = sorted(r[0] for r in items.where(F.col("item_words") < SPAN).select("item_words").distinct().collect())  # below SPAN
+    hits = None
+    for span, masks in [(SPAN, MASKS), *[(n, (tuple(range(n)),)) for n in lengths]]:
+        sized = items.where(F.col("item_words") >= SPAN if span == SPAN else F.col("item_words") == span)
+        seeds = cut(_placed(sized, ["item_id"], "text", masks, span).withColumnRenamed("pos", "ipos"))
+        met = _placed(docs, ["rid"], "text", masks, span).join(small(seeds), "seed").select("rid", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"))
+        hits = met if hits is None else hits.unionByName(met)
+    places = cut(hits.distinct())
+    per = cut(places.groupBy("rid").agg(F.collect_list(F.struct("item_id", "shift")).alias("found")).withColumnRenamed("rid", "r"))
+
+    held = docs.join(small(per), F.col("rid") == F.col("r"))
+    size = items.select(F.col("item_id").alias("iid"), "iw", "item_words").dropDuplicates(["iid", "iw"])
+    # windows of a text under each of its places; a place that sticks out is cut off at the text's ends
+    longest = items.agg(F.max("item_words")).first()[0] or 0
+    window = lambda w, x: F.struct(x["item_id"].alias("item_id"), x["shift"].alias("shift"), F.slice(w, F.greatest(x["shift"], F.lit(0)) + 1, F.lit(longest)).alias("piece"))
+    cuts = _let(F.struct(_hash_words(F.col("text")).alias("w"), F.col("found").alias("f")), lambda s: F.transform(s["f"], lambda x: window(s["w"], x)))
+    rows = held.select("doc_id", "rid", F.explode(cuts).alias("x")).select("doc_id", "rid", "x.item_id", "x.shift", "x.piece")
+    rows = rows.join(small(size), F.col("item_id") == F.col("iid"))
+    under = F.slice("iw", F.greatest(-F.col("shift"), F.lit(0)) + 1, F.size("iw"))
+    matched = F.size(F.filter(F.zip_with(under, "piece", lambda a, b: a == b), lambda x: x))
+    rows = rows.select("doc_id", "rid", "item_id", F.col("shift").alias("position"), "item_words", matched.alias("matched"))
+    good = rows.where((F.col("matched") >= F.least(F.lit(min_words), F.col("item_words"))) & (F.col("matched") >= min_share * F.col("item_words")))
+    best = good.groupBy("doc_id", "rid", "item_id").agg(F.max(F.struct("matched", (-F.col("position")).alias("back"), "item_words")).alias("m"))
+    return best.select("doc_id", "rid", "item_id", F.col("m.matched").alias("matched"), F.col("m.item_words").alias("item_words"), (-F.col("m.back")).alias("position"))
 
 
 def with_rid(docs: DataFrame) -> DataFrame:
