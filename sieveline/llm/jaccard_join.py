@@ -38,8 +38,8 @@ K, PERCENT = 5, 75
 ORDERS = 3
 HOT_SHINGLES, HOT_IN_TASK = 1 << 20, 3
 BROADCAST_NODES = 2_000_000  # of 8 bytes each
-#: Rounds against drawn members end when the pairs ahead are at most so many a row; the last step covers all pairs whatever their number.
-ROUNDS, PAIRS_PER_ROW = 6, 2
+#: Rounds against drawn members end when the pairs ahead are at most so many a row, or a round leaves over GAIN of them; the last step covers all pairs whatever their number.
+ROUNDS, PAIRS_PER_ROW, GAIN = 6, 2, 0.7
 
 
 def prefix_length(n: np.ndarray | int, percent: int = PERCENT):
@@ -223,7 +223,7 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = ORDE
     few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_NODES else df
 
     # rounds: each shingle's members against two of them that the round draws, as long as members of other components abound
-    links, tried, comp = None, None, None
+    links, tried, comp, before = None, None, None, float("inf")
     for r in range(ROUNDS):
         lot = F.struct(F.xxhash64(F.lit(r), "node").alias("h"), "node", "n", "c")
         ends = cut(m.groupBy("s").agg(F.min(lot).alias("x"), F.max(lot).alias("y"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("s", "x", "y"))
@@ -241,8 +241,10 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = ORDE
         m = cut(m.select("s", "node", "n").join(few(comp), "node", "left").select("s", "node", "n", F.coalesce("to", "node").alias("c")))
         by = m.groupBy("s", "c").agg(F.count("*").alias("k")).groupBy("s").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own"))
         ahead = by.agg(F.sum(F.col("k") * F.col("k") - F.col("own")).alias("pairs"), F.sum("k").alias("k")).first()
-        if (ahead["pairs"] or 0) <= PAIRS_PER_ROW * (ahead["k"] or 0):
+        pairs = ahead["pairs"] or 0
+        if pairs <= PAIRS_PER_ROW * (ahead["k"] or 0) or pairs > GAIN * before:
             break
+        before = pairs
 
     # what is left: all pairs of members of one shingle that lie in different components
     mixed = cut(m.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("s"))
