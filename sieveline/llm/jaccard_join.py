@@ -168,7 +168,7 @@ def _texts(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
                 if take:
                     yield pa.RecordBatch.from_arrays([pa.array(name[take].view(np.int64)), b.column(0).slice(lo, hi - lo).take(pa.array(take))], names=["node", "text"])
 
-    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    nodes = cut(pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct())
     found = docs.select("text").mapInArrow(run, "node bigint, text string")
     few = nodes.count() <= BROADCAST_NODES
     return cut(found.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
@@ -252,8 +252,15 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = ORDE
     left, right = m.select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), m.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
     rest = left.join(right, "s").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near(F.col("na"), F.col("nb")))
     rest = rest.groupBy("a", "b").agg(F.count("*").alias("k"), F.min(_shared(F.col("na"), F.col("nb"), percent)).alias("least")).where("k >= least")
-    rest = cut(rest.select("a", "b").join(tried.distinct(), ["a", "b"], "left_anti"))
-    more = cut(_verify(rest, _texts(docs, rest, k), order, k, percent, orders))
+    rest = cut(rest.select("a", "b", F.col("k").alias("shared")).join(tried.distinct(), ["a", "b"], "left_anti"))
+    texts = _texts(docs, rest, k)
+    # each class first meets the one it shares most with; then the pairs that still lie across components
+    lead = cut(rest.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("m")).select("a", "m.b").unionByName(rest.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select("m.a", "b")).distinct())
+    links = links.unionByName(cut(_verify(lead, texts, order, k, percent, orders)))
+    comp = few(cut(components(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), links, "node").select(F.col("id").alias("node"), F.col("component").alias("to"))))
+    rest = rest.join(comp.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b", "left")
+    rest = cut(rest.where(F.coalesce("ta", "a") != F.coalesce("tb", "b")).select("a", "b").join(lead, ["a", "b"], "left_anti"))
+    more = cut(_verify(rest, texts, order, k, percent, orders))
     final = cut(components(size.select("node"), links.unionByName(more), "node").select(F.col("id").alias("node"), "component"))
 
     named = cut(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")))
