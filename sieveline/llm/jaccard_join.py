@@ -153,25 +153,16 @@ def _prefixes(docs: DataFrame, order, k: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "s bigint, hot boolean, node bigint, n bigint")
 
 
-def _texts(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """(node, text): one text of each class that pairs (a, b) name; classes are broadcast up to `BROADCAST_NODES`."""
+def _texts(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, text): the text of the row that reps (node, doc_id, th) names for each class in pairs (a, b).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            data, offsets = buffers(b.column(0))
-            for lo, hi in slices(offsets):
-                name, count = _names(Tokens(data, offsets[lo : hi + 1]))
-                take = [i for i, v in enumerate(name.tolist()) if count[i] and not (v in seen or seen.add(v))]
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                if take:
-                    yield pa.RecordBatch.from_arrays([pa.array(name[take].view(np.int64)), b.column(0).slice(lo, hi - lo).take(pa.array(take))], names=["node", "text"])
-
-    nodes = cut(pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct())
-    found = docs.select("text").mapInArrow(run, "node bigint, text string")
-    few = nodes.count() <= BROADCAST_NODES
-    return cut(found.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    Rows are found by id and text hash, without tokenising again; classes are broadcast up to `BROADCAST_NODES`."""
+    nodes = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct()
+    want = cut(reps.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("wid"), F.col("th").alias("wth")))
+    few = want.count() <= BROADCAST_NODES
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), "text")
+    found = rows.join(F.broadcast(want) if few else want, (F.col("h") == F.col("wth")) & F.col("id").eqNullSafe(F.col("wid")))
+    return cut(found.groupBy("node").agg(F.first("text").alias("text")))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, order, k: int, percent: int, orders: int) -> DataFrame:
@@ -205,6 +196,8 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = ORDE
     spark = docs.sparkSession
     scan = cut(_scan(docs, k))
     rows = scan.where("kind = 0").select("doc_id", "th", F.col("key").alias("node"), "n")
+    least_id = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("m")
+    reps = cut(rows.where("n > 0").groupBy("node").agg(least_id).select("node", "m.doc_id", "m.th"))
     often = scan.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(hot_shingles).toArrow()
     hot = often.column("key").to_numpy().view(U)
     by = np.argsort(hot)
@@ -232,7 +225,7 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = ORDE
         star = star.groupBy(F.least("node", "r.node").alias("a"), F.greatest("node", "r.node").alias("b")).agg(F.count("*").alias("k"), F.min(_shared(F.col("n"), F.col("r.n"), percent)).alias("least"))
         # a shingle draws its own members, so that not all that a pair shares are counted here: half the bound is asked for
         star = cut(star.where(2 * F.col("k") >= F.col("least")).select("a", "b"))
-        found = cut(_verify(star, _texts(docs, star, k), order, k, percent, orders))
+        found = cut(_verify(star, _texts(docs, star, reps), order, k, percent, orders))
         tried = star if tried is None else tried.unionByName(star)
         if found.isEmpty() and r:
             break
@@ -253,7 +246,7 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = ORDE
     rest = left.join(right, "s").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near(F.col("na"), F.col("nb")))
     rest = rest.groupBy("a", "b").agg(F.count("*").alias("k"), F.min(_shared(F.col("na"), F.col("nb"), percent)).alias("least")).where("k >= least")
     rest = cut(rest.select("a", "b", F.col("k").alias("shared")).join(tried.distinct(), ["a", "b"], "left_anti"))
-    texts = _texts(docs, rest, k)
+    texts = _texts(docs, rest, reps)
     # each class first meets the one it shares most with; then the pairs that still lie across components
     lead = cut(rest.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("m")).select("a", "m.b").unionByName(rest.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select("m.a", "b")).distinct())
     links = links.unionByName(cut(_verify(lead, texts, order, k, percent, orders)))
@@ -263,7 +256,7 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = ORDE
     more = cut(_verify(rest, texts, order, k, percent, orders))
     final = cut(components(size.select("node"), links.unionByName(more), "node").select(F.col("id").alias("node"), "component"))
 
-    named = cut(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")))
+    named = reps.select("node", F.col("doc_id").alias("rep"))
     least = cut(named.join(final, "node", "left").withColumn("component", F.coalesce("component", "node")))
     low = cut(least.groupBy("component").agg(F.min("rep").alias("component_id")))
     classes = cut(least.join(low, "component").select("node", "component", "component_id"))
