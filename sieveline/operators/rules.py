@@ -28,6 +28,9 @@ PREDICATES = {
     "blob_present": _flag("blob"),
     "syntax_error": _flag("syntax_error"),
     "location_at_least": lambda v: F.coalesce(F.col("location_weight") >= float(v), F.lit(False)),
+    "autoexec": lambda v: F.coalesce(F.arrays_overlap("autoexec", F.array(*[F.lit(x) for x in ([v] if isinstance(v, str) else v)])), F.lit(False)),
+    "name": lambda v: F.coalesce(F.array_contains("names", v), F.lit(False)),
+    "maintainer_changed": _flag("maintainer_changed"),
     "reason": lambda v: F.col("reason").eqNullSafe(F.lit(v)),
 }
 

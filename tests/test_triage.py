@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from sieveline.operators import rules
+import sieveline.plans.files  # noqa: F401  adds its queries
 from sieveline.plans.triage import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
