@@ -2,11 +2,11 @@
 
 Training counts words and word pairs over all training texts. A count c is quantised to a level q (1, 2, 3, 4, 6, 8, 12,
 16, ...: half octaves) and the filter stores the entries (gram, 1) .. (gram, q); a lookup probes levels upwards until
-one is missing, so a false positive can only raise a count, and by a level at a time. The filter is a number of blocks
-that follows the input; a gram's hash names its block, each block is filled by one task, and the blocks are broadcast. Its size follows
-the input (`bits_per_token` bits a training token) up to `filter_mb`, a bound for the workers' memory. Beyond it, the
-least count that is stored rises just so far that the stored pairs (at most tokens / least count) fit: rarer
-pairs are then backed off to words like unseen ones; raise the bound with the executors' memory.
+one is missing, so a false positive can only raise a count, and by a level at a time. Every gram is stored. The filter is a
+number of blocks of bounded size that follows the input without a limit (`bits_per_token` bits a training token; a gram has
+at most as many entries as occurrences); a gram's hash names its block, and each block is filled by one task. The blocks
+are broadcast in groups of at most `filter_mb`: a scoring task tokenises a window of texts once, then holds one group after
+another and probes the window's grams that lie there, so neither the driver nor a worker holds more than a group at a time.
 
 Probability of word w after v, by absolute discounting: (max(c(vw) - D, 0) + D * T(v) * p(w)) / c(v), where
 p(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)), D = n1 / (n1 + 2 n2) over distinct pairs, T(v) the number of v's distinct
@@ -28,21 +28,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import cut, fold, table
 from sieveline.llm.vec import Tokens, U, buffers, mix, slices
 
-FILTER_MB, BITS_PER_TOKEN, PROBES = 64, 6, 2
-#: Training tokens whose grams one task counts and files in its block; blocks follow the input up to MAX_BLOCKS.
-TOKENS_PER_BLOCK, MAX_BLOCKS = 400_000, 4096
+#: MB of the filter that a worker holds at a time; bits of the filter for each training token.
+FILTER_MB, BITS_PER_TOKEN, PROBES = 32, 6, 2
+#: Most training tokens whose grams go to one block; from MAX_TASKS blocks on, a filling task has several.
+TOKENS_PER_BLOCK, MAX_TASKS = 400_000, 4096
 COMMON, CONTEXTS = 1 << 20, 1 << 17
 END, START = U(0x51AFD7ED558CCD25), U(0x2545F4914F6CDD1D)
 #: Least count of each level.
 LEVELS = np.array(sorted({1, *(2**k for k in range(1, 40)), *(3 * 2**k for k in range(40))}), np.int64)
+COUNTS = np.append(0, LEVELS)  # none, then the levels
 _SALT = mix(np.arange(1, len(LEVELS) + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 WINDOW = 2_000_000  # tokens whose counts are summed before they leave a task
+SCORED = 1_000_000  # tokens that are scored with one round over the filter's groups
+PROBED = 1 << 18  # keys probed at a time, so that work arrays stay small
 
 
 def sequence(t: Tokens, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,31 +104,50 @@ def _counts(docs: DataFrame, pairs: bool) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key bigint, n bigint")
 
 
+def _group(parts: list[Broadcast], g: int) -> np.ndarray:
+    """Bytes of group g; a worker keeps no other group."""
+    for i, part in enumerate(parts):
+        if i != g:
+            part.__dict__.pop("_value", None)
+    return parts[g].value
+
+
 class LanguageModel:
-    """What scoring broadcasts: the filter's blocks, the common words' counts and followers, and four numbers."""
+    """What scoring broadcasts: the common words' counts and followers, five numbers, and apart the filter's groups of blocks (`parts`)."""
 
-    def __init__(self, n: int, v: int, docs: int, d: float, cutoff: int, block_bits: int, blocks: list[np.ndarray], common: np.ndarray, common_n: np.ndarray, contexts: np.ndarray, followers: np.ndarray):
-        self.n, self.v, self.docs, self.d, self.cutoff, self.block_bits = n, v, docs, d, cutoff, block_bits
-        self.bits = np.concatenate(blocks) if blocks else np.zeros(0, np.uint8)
-        self.n_blocks = len(blocks)
+    def __init__(self, n: int, v: int, docs: int, d: float, block_bits: int, n_blocks: int, per_group: int, parts: list[Broadcast], common: np.ndarray, common_n: np.ndarray, contexts: np.ndarray, followers: np.ndarray):
+        self.n, self.v, self.docs, self.d = n, v, docs, d
+        self.block_bits, self.n_blocks, self.per_group, self.parts = block_bits, n_blocks, per_group, parts
         self.common, self.common_n, self.contexts, self.followers = common, common_n, contexts, followers
 
-    def probe(self, key: np.ndarray, first: int) -> np.ndarray:
-        """Least count of the highest level found for each key, 0 if level `first` is missing."""
-        out = np.zeros(len(key), np.int64)
-        if not self.n_blocks:
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"parts": None}
+
+    def probe(self, key: np.ndarray, parts: list[Broadcast]) -> np.ndarray:
+        """Place in COUNTS of the highest level found for each key."""
+        out = np.zeros(len(key), np.uint8)  # levels from 1
+        if not parts:
             return out
-        at = np.arange(len(key))
-        base = _block(key, self.n_blocks) * self.block_bits
-        for level in range(first, len(LEVELS)):
-            hit = np.ones(len(at), bool)
-            for pos in _bits(key[at], level, self.block_bits, PROBES):
-                pos = pos.astype(np.int64) + base[at]
-                hit &= (self.bits[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1 > 0
-            at = at[hit]
-            if not len(at):
-                break
-            out[at] = LEVELS[level]
+        block = np.empty(len(key), np.int32)
+        for lo in range(0, len(key), PROBED):
+            block[lo : lo + PROBED] = _block(key[lo : lo + PROBED], self.n_blocks)
+        group = (block // self.per_group).astype(np.min_scalar_type(len(parts)))
+        order = np.argsort(group, kind="stable")
+        ends = np.append(0, np.cumsum(np.bincount(group, minlength=len(parts))))
+        for g in range(len(parts)):
+            bits = _group(parts, g) if ends[g] < ends[g + 1] else None
+            for lo in range(ends[g], ends[g + 1], PROBED):
+                at = order[lo : min(lo + PROBED, ends[g + 1])]
+                base = (block[at] - g * self.per_group).astype(np.int64) * self.block_bits
+                for level in range(len(LEVELS)):
+                    hit = np.ones(len(at), bool)
+                    for pos in _bits(key[at], level, self.block_bits, PROBES):
+                        pos = pos.astype(np.int64) + base
+                        hit &= (bits[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1 > 0
+                    at, base = at[hit], base[hit]
+                    if not len(at):
+                        break
+                    out[at] = level + 1
         return out
 
     def exact(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,14 +184,9 @@ def fit(docs: DataFrame, filter_mb: int = FILTER_MB, bits_per_token: int = BITS_
     if n_docs:  # START stands before each text
         key, num = np.insert(key, at := int(np.searchsorted(key, START)), START), np.insert(num, at, n_docs)
     wide = np.unique((key[num >= (least_ctx if least_ctx is not None else 2**62)] >> U(32)))
-    blocks = min(MAX_BLOCKS, 1 << max(4, int(n // tokens_per_block).bit_length()))
-    room = filter_mb << 23
-    bits = int(min(room, max(1 << 16, bits_per_token * n)))
-    block_bits = -(-bits // blocks // 8) * 8
-    cutoff = max(1, -(-bits_per_token * n // (2 * room)))  # at least half of the bits wished for per entry
-    lowest = int(np.searchsorted(LEVELS, cutoff, "right")) - 1
-    cutoff = int(LEVELS[lowest] if LEVELS[lowest] >= cutoff else LEVELS[lowest := lowest + 1])
-    held = spark.sparkContext.broadcast((wide, cutoff, lowest, block_bits))
+    blocks = 1 << max(4, int(n // tokens_per_block).bit_length())
+    block_bits = -(-max(1 << 16, bits_per_token * n) // blocks // 8) * 8
+    held = spark.sparkContext.broadcast((wide, block_bits))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,11 +195,11 @@ def fit(docs: DataFrame, filter_mb: int = FILTER_MB, bits_per_token: int = BITS_
 
     rare = counts.where(F.col("n") < (least if least is not None else 2**62)).select("key", "n", F.lit(False).alias("pair"))
     grams = _counts(docs, True).select("key", "n", F.lit(True).alias("pair")).unionByName(rare)
-    grams = grams.mapInArrow(keyed, "block int, key bigint, n bigint, pair boolean").repartition(blocks, "block").groupBy("block", "key", "pair").agg(F.sum("n").alias("n"))
+    grams = grams.mapInArrow(keyed, "block int, key bigint, n bigint, pair boolean").repartition(min(blocks, MAX_TASKS), "block").groupBy("block", "key", "pair").agg(F.sum("n").alias("n"))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows: (block, its bits), (-1, null, context, followers), (-2, null, n1, n2)."""
-        wide, cutoff, lowest, block_bits = held.value
+        wide, block_bits = held.value
         parts: dict[int, np.ndarray] = {}
         ctx = np.zeros(len(wide), np.int64)
         singles = doubles = 0
@@ -195,16 +214,14 @@ def fit(docs: DataFrame, filter_mb: int = FILTER_MB, bits_per_token: int = BITS_
                 ctx += np.bincount(i[wide[i] == c], minlength=len(wide))
             for name in np.unique(block):
                 bits = parts.setdefault(int(name), np.zeros(block_bits, bool))
-                # words are stored from count 1, pairs from the cutoff
-                for kind, low, first in ((True, cutoff, lowest), (False, 1, 0)):
-                    at = (block == name) & (pair == kind) & (n >= low)
-                    k, m = key[at], n[at]
-                    level = first
-                    while len(k):
-                        bits[_bits(k, level, block_bits, PROBES).ravel()] = True
-                        level += 1
-                        more = m >= LEVELS[level]
-                        k, m = k[more], m[more]
+                at = block == name
+                k, m = key[at], n[at]
+                level = 0
+                while len(k):
+                    bits[_bits(k, level, block_bits, PROBES).ravel()] = True
+                    level += 1
+                    more = m >= LEVELS[level]
+                    k, m = k[more], m[more]
         names = ["block", "bits", "a", "b"]
         for name, bits in parts.items():
             yield pa.RecordBatch.from_arrays([pa.array([name], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), pa.array([0], pa.int64()), pa.array([0], pa.int64())], names=names)
@@ -215,67 +232,95 @@ def fit(docs: DataFrame, filter_mb: int = FILTER_MB, bits_per_token: int = BITS_
         yield pa.RecordBatch.from_arrays([pa.array(kind), pa.nulls(len(a), pa.binary()), pa.array(a), pa.array(c)], names=names)
 
     got = cut(grams.mapInArrow(fill, "block int, bits binary, a bigint, b bigint"))
-    stored = {r["block"]: np.frombuffer(r["bits"], np.uint8) for r in got.where("block >= 0").select("block", "bits").collect()}
-    empty = np.zeros(block_bits // 8, np.uint8)
+    per_group = max(1, (filter_mb << 23) // block_bits)
+    parts = []
+    for lo in range(0, blocks if n else 0, per_group):
+        group = np.zeros((min(per_group, blocks - lo), block_bits // 8), np.uint8)
+        for r in got.where(F.col("block").between(lo, lo + len(group) - 1)).select("block", "bits").toLocalIterator():
+            group[r["block"] - lo] = np.frombuffer(r["bits"], np.uint8)
+        parts.append(spark.sparkContext.broadcast(group.ravel()))
     ones = got.where("block = -2").agg(F.sum("a"), F.sum("b")).first()
     n1, n2 = ones[0] or 0, ones[1] or 0
     followers = got.where("block = -1").groupBy("a").agg(F.sum("b").alias("b")).toArrow()
     ctx, fol = followers.column("a").to_numpy().astype(U), followers.column("b").to_numpy()
     order = np.argsort(ctx)
-    model = LanguageModel(n, v, n_docs, n1 / (n1 + 2 * n2) if n1 else 0.5, cutoff, block_bits, [stored.get(i, empty) for i in range(blocks)] if n else [], key, num, ctx[order], fol[order])
+    model = LanguageModel(n, v, n_docs, n1 / (n1 + 2 * n2) if n1 else 0.5, block_bits, blocks, per_group, parts, key, num, ctx[order], fol[order])
     return model, counts
 
 
 def score(docs: DataFrame, model: LanguageModel, counts: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of each row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)
+    held, parts = spark.sparkContext.broadcast(model), model.parts
     src = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
     kind = src.schema["doc_id"].dataType.simpleString()
     names = ["rid", "doc_id", "n_tokens", "known", "base", "score", "rare", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: LanguageModel = held.value
-        lowest = int(np.searchsorted(LEVELS, m.cutoff))
+        window: list[tuple] = []  # (rid, doc_id, tokens of each row, hash of each token, row) of each slice
+
+        def scored() -> Iterator[pa.RecordBatch]:
+            rests = [np.unique(w[~m.exact(w)[1]]) for *_, w, _ in window]
+            keys = [x for (*_, w, row), rest in zip(window, rests, strict=True) for x in (rest, pair_key(previous(w, row), w))]
+            ends = np.cumsum([len(x) for x in keys])
+            key = np.concatenate(keys)
+            keys.clear()
+            counts = np.split(m.probe(key, parts), ends[:-1])
+            for i, piece in enumerate(window):
+                yield one(*piece, rests[i], COUNTS[counts[2 * i]], COUNTS[counts[2 * i + 1]])
+            window.clear()
+
+        def previous(w: np.ndarray, row: np.ndarray) -> np.ndarray:
+            v = np.full_like(w, START)
+            np.copyto(v[1:], w[:-1], where=row[1:] == row[:-1])
+            return v
+
+        def one(rid: pa.Array, doc_id: pa.Array, count: np.ndarray, w: np.ndarray, row: np.ndarray, uniq: np.ndarray, n_uniq: np.ndarray, n_pair: np.ndarray) -> pa.RecordBatch:
+            rows, v = len(rid), previous(w, row)
+            c, known = m.exact(w)
+            add = lambda x: np.bincount(row, weights=x, minlength=rows)
+            base, n_known = add(np.where(known, m.log10(c), 0.0)), add(known & (c > 0))
+            # what is not common: distinct per row, for the exact join
+            rest = np.flatnonzero(~known)
+            order = rest[np.lexsort((w[rest], row[rest]))]
+            new = np.ones(len(order), bool)
+            new[1:] = (w[order][1:] != w[order][:-1]) | (row[order][1:] != row[order][:-1])
+            at = np.flatnonzero(new)
+            times = np.diff(np.append(at, len(order)))
+            ends = np.searchsorted(row[order][at], np.arange(rows + 1))
+            # the model: words and contexts from exact counts or probes, pairs from probes
+            cw = c.copy()
+            cw[rest] = n_uniq[np.searchsorted(uniq, w[rest])]
+            cv = np.empty_like(cw)
+            cv[1:] = cw[:-1]
+            cv[v == START] = m.docs
+            pw = (cw + 0.1) / (m.n + 0.1 * (m.v + 1))
+            cvw = np.minimum(n_pair, np.minimum(cv, np.maximum(cw, 1)))
+            tv = cv.astype(float)
+            if len(m.contexts):
+                i = np.minimum(np.searchsorted(m.contexts, v >> U(32)), len(m.contexts) - 1)
+                wide = m.contexts[i] == v >> U(32)
+                tv = np.where(wide, np.minimum(m.followers[i], tv), tv)
+            p = np.where(cv > 0, (np.maximum(cvw - m.d, 0) + m.d * tv * pw) / np.maximum(cv, 1), pw)
+            total = add(np.log10(np.minimum(p, 1.0)))
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x))
+            return pa.RecordBatch.from_arrays(
+                [rid, doc_id, pa.array(count + 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(total), lists(w[order][at].view(np.int64)), lists(times.astype(np.int32))],
+                names=names,
+            )
+
         for b in batches:
             data, offsets = buffers(b.column(2))
             for lo, hi in slices(offsets):
                 t = Tokens(data, offsets[lo : hi + 1])
-                w, v, row = sequence(t, t.hashes())
-                rows = hi - lo
-                c, known = m.exact(w)
-                add = lambda x, row=row, rows=rows: np.bincount(row, weights=x, minlength=rows)
-                base, n_known = add(np.where(known, m.log10(c), 0.0)), add(known & (c > 0))
-                # what is not common: distinct per row, for the exact join
-                rest = np.flatnonzero(~known)
-                order = rest[np.lexsort((w[rest], row[rest]))]
-                new = np.ones(len(order), bool)
-                new[1:] = (w[order][1:] != w[order][:-1]) | (row[order][1:] != row[order][:-1])
-                at = np.flatnonzero(new)
-                times = np.diff(np.append(at, len(order)))
-                ends = np.searchsorted(row[order][at], np.arange(rows + 1))
-                # the model: words and contexts from exact counts or probes, pairs from probes
-                uniq, back = np.unique(w[rest], return_inverse=True)
-                cw = c.copy()
-                cw[rest] = m.probe(uniq, 0)[back]
-                cv = np.empty_like(cw)
-                cv[1:] = cw[:-1]
-                starts = np.flatnonzero(v == START)
-                cv[starts] = m.docs
-                pw = (cw + 0.1) / (m.n + 0.1 * (m.v + 1))
-                cvw = np.minimum(m.probe(pair_key(v, w), lowest), np.minimum(cv, np.maximum(cw, 1)))
-                tv = cv.astype(float)
-                if len(m.contexts):
-                    i = np.minimum(np.searchsorted(m.contexts, v >> U(32)), len(m.contexts) - 1)
-                    wide = m.contexts[i] == v >> U(32)
-                    tv = np.where(wide, np.minimum(m.followers[i], tv), tv)
-                p = np.where(cv > 0, (np.maximum(cvw - m.d, 0) + m.d * tv * pw) / np.maximum(cv, 1), pw)
-                total = add(np.log10(np.minimum(p, 1.0)))
-                lists = lambda x, ends=ends: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, rows), b.column(1).slice(lo, rows), pa.array(t.count + 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(total), lists(w[order][at].view(np.int64)), lists(times.astype(np.int32))],
-                    names=names,
-                )
+                w, _, row = sequence(t, t.hashes())
+                at = pa.array(np.arange(lo, hi))  # copies, so that the batch and its texts can go
+                window.append((b.column(0).take(at), b.column(1).take(at), t.count, w, row.astype(np.int32)))
+                if sum(len(x[3]) for x in window) > SCORED:
+                    yield from scored()
+        if window:
+            yield from scored()
 
     part = cut(src.mapInArrow(run, f"rid bigint, doc_id {kind}, n_tokens bigint, known bigint, base double, score double, rare array<bigint>, times array<int>"))
     rare = part.where(F.size("rare") > 0).select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
@@ -290,4 +335,4 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model, counts = fit(docs.where(fold(F.col("doc_id"), 10) != 0))
     out = score(docs, model, counts)
-    return out.select("doc_id", (fold(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score", F.lit(model.cutoff).alias("least_count"))
+    return out.select("doc_id", (fold(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score", F.lit(1).alias("least_count"))

@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.llm import decontaminate, html_extract, jaccard_join, langid, line_dedup, media, mixing, quality
+from sieveline.llm import decontaminate, html_extract, jaccard_join, langid, line_dedup, lm_score, media, mixing, quality
 from sieveline.llm.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -93,6 +93,30 @@ def test_lm_base_score(spark):
         assert r["score"] > r["base_score"] - 1e-6 or r["held_out"]
 
 
+def test_lm_score_keeps_every_pair_of_a_filter_larger_than_its_bound(spark):
+    import math
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    model, counts = lm_score.fit(docs, filter_mb=1, bits_per_token=400)
+    toks = {r["doc_id"]: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in r["text"] or "")) + [None] for r in docs.collect()}
+    pairs = Counter(x for w in toks.values() for x in zip(["", *w], w))  # noqa: B905
+    word = Counter(x for w in toks.values() for x in w) | Counter({"": len(toks)})
+    followers = Counter(v for v, _ in pairs)
+    n = sum(map(len, toks.values()))
+    ones, twos = (sum(c == k for c in pairs.values()) for k in (1, 2))
+    d = ones / (ones + 2 * twos)
+
+    def p(v, w):
+        level = max(x for x in lm_score.LEVELS.tolist() if x <= pairs[v, w])
+        return min(1, (level - d + d * followers[v] * (word[w] + 0.1) / (n + 0.1 * len(word))) / word[v])
+
+    assert n * 400 > 2 << 23  # the filter is more than twice its bound
+    for r in lm_score.score(docs, model, counts).collect():
+        w = toks[r["doc_id"]]
+        assert math.isclose(r["score"], sum(math.log10(p(*x)) for x in zip(["", *w], w)), rel_tol=1e-6)  # noqa: B905
+
+
 def test_mixing_meets_targets_and_agrees(spark, docs):
     got = QUERIES["op6_mixing"](spark, DATA).toPandas()
     assert (got["taken"] <= 3 * got["size"]).all() and abs(got["taken"].sum() - got["size"].sum()) < 0.15 * got["size"].sum()
