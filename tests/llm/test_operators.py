@@ -58,6 +58,26 @@ def test_line_dedup_keeps_the_first_passage(spark):
     assert got[3]["text"] is None and got[4]["text"] == ""
 
 
+def test_line_dedup_leaves_no_repeated_run_over_50_words(spark):
+    import random
+
+    rng = random.Random(5)
+    line = lambda k: " ".join(f"w{rng.randrange(9999)}" for _ in range(k))
+    passages = [[line(k) for _ in range(-(-51 // k))] for k in (4, 9, 13, 18, 26, 60) for _ in range(4)]
+    docs, owner = [], {}
+    for i in range(96):
+        p = passages[i % len(passages)]
+        docs.append((i, [line(7), *p, line(5)]))
+        owner.setdefault(i % len(passages), i)
+    docs.append((96, ["same same same"] * 60))
+    table = spark.createDataFrame([(i, "\n".join(x)) for i, x in docs], "doc_id bigint, text string")
+    for limit in (500_000, 0):
+        got = {r["doc_id"]: (r["text"].split("\n"), r["n_removed"]) for r in line_dedup.dedup(table, broadcast_rows=limit).collect()}
+        for i, x in docs[:96]:
+            assert got[i] == ((x, 0) if i in owner.values() else ([x[0], x[-1]], len(x) - 2))
+        assert 17 <= len(got[96][0]) < 60 and set(got[96][0]) == {"same same same"}
+
+
 def test_decontamination_tolerates_substitution(spark):
     item = TEXT
     docs = spark.createDataFrame([(1, "before it " + item.replace("kappa", "other") + " after"), (2, "nothing of the kind " * 9), (3, None), (4, ""), (5, "short thing here")], "doc_id bigint, text string")
