@@ -3,11 +3,12 @@
 Every text block of a page lies at a root-to-leaf tag path. Text length and punctuation are summed per
 path; the ratio of a path is its text per block (a long-text path is prose, a short-text path is chrome),
 its second ratio is punctuation per block. Both are smoothed over the block sequence, fused by a product
-and thresholded against the page's mean. Paths that pass vote, weighted by their fused mass, for the
-deepest container holding most of the mass; blocks below that container are the article, short
-paragraphs and headings included.
+and thresholded against the page's mean. The article is an article or main element that holds most of the passing paths' mass, else the
+common ancestor of all passing paths; the blocks below it are taken, short paragraphs and headings included.
 
-Elements that never hold article text (scripts, menus, forms ...) are cut first by name and class.
+Elements that never hold article text (scripts, menus, forms ...) are cut first by name, role or style. Class and id words
+are evidence only: an element named by a whole word of page furniture goes if it holds less than half of the page's
+text, or if an article or main element stands outside it; any other with such a word, also as a part, lowers its paths' ratios, and its blocks stay if their path passes.
 
 Defined results: null or empty html gives empty text; a page with no prose block gives what text is left
 outside boilerplate; malformed markup is read to its end; nothing is capped, and a page is one row, so the
@@ -46,35 +47,47 @@ _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer f
 _SCOPE = frozenset("article section div main td th li body html table".split())
 
 
-def _furniture(name: str, attrs: str, inside: bool) -> bool:
-    """Whether an element is page furniture; inside: it stands within article or main."""
+#: What class and id say of an element: nothing, a furniture word as a part, as a whole; CUT: furniture by name, role or style.
+PLAIN, PART, WHOLE, CUT = range(4)
+#: Least share of the page's text that keeps an element named as furniture; factor on the ratios of such blocks.
+MAJOR, HINTED = 0.5, 0.5
+HINT = "!"  # ends an element's name in a path if its class or id has a furniture word
+
+
+def _furniture(name: str, attrs: str, inside: bool) -> int:
+    """How far an element is page furniture; inside: it stands within article or main."""
     if name in DROPPED or name == "header" and not inside:
-        return True
+        return CUT
     if "=" not in attrs and "hidden" not in attrs:
-        return False
+        return PLAIN
     if re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs):
-        return True
+        return CUT
+    found = PLAIN
     for key, *value in _ATTR.findall(attrs):
         v = "".join(value).lower()
         key = key.lower()
         if key in ("class", "id") and name not in ("html", "body", "article", "main") and not FURNITURE.isdisjoint(re.split(r"[^a-z0-9]+", v)):
-            return True
+            found = max(found, PART if FURNITURE.isdisjoint(v.split()) else WHOLE)
         if key == "role" and v in ROLES or key == "style" and re.search(r"display\s*:\s*none", v) or key == "aria-hidden" and v == "true":
-            return True
-    return False
+            return CUT
+    return found
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
     """(tag path, text) of each non-empty block outside furniture, in page order."""
-    stack: list[tuple[str, bool]] = []  # (name, dropped from here on)
+    stack: list[tuple[str, bool, str, int]] = []  # (name, dropped from here on, name in paths, number if named as furniture else 0)
     out: list[tuple[tuple[str, ...], str]] = []
+    under: list[tuple[int, ...]] = []  # elements named as furniture around each block
+    named = 0
+    free: set[int] = set()  # those of them that stand outside article and main
     piece: list[str] = []
 
     def flush() -> None:
         if piece:
             text = " ".join(_html.unescape("".join(piece)).split())
             if text:
-                out.append((tuple(n for n, _ in stack), text))
+                out.append((tuple(x[2] for x in stack), text))
+                under.append(tuple(x[3] for x in stack if x[3]))
             piece.clear()
 
     pos, n = 0, len(page)
@@ -111,10 +124,10 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
         if end <= 0:
             break
         attrs, pos = page[m.end() : end - 1], end
-        if name in INLINE and not (not closing and "=" in attrs and _furniture(name, attrs, True)):
+        if name in INLINE and not (not closing and "=" in attrs and _furniture(name, attrs, True) >= WHOLE):
             continue
         if closing:
-            if any(x == name for x, _ in stack):
+            if any(x[0] == name for x in stack):
                 flush()
                 while stack.pop()[0] != name:
                     pass
@@ -138,16 +151,29 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
         if attrs.endswith("/") and name not in _CLOSES_P:
             continue
         gone = bool(stack) and stack[-1][1]
-        stack.append((name, gone or _furniture(name, attrs, any(x in CONTENT for x, _ in stack))))
+        inside = any(x[0] in CONTENT for x in stack)
+        kind = _furniture(name, attrs, inside)
+        if kind == WHOLE:
+            named += 1
+            if not inside:
+                free.add(named)
+        stack.append((name, gone or kind == CUT, name + HINT if kind in (PART, WHOLE) else name, named if kind == WHOLE else 0))
     flush()
-    return out
+    held: dict[int, int] = defaultdict(int)
+    for (_, text), around in zip(out, under, strict=True):
+        for k in around:
+            held[k] += len(text)
+    least = MAJOR * sum(len(text) for _, text in out)
+    content = [around for (path, _), around in zip(out, under, strict=True) if not CONTENT.isdisjoint(path)]
+    kept = {k for k in held if held[k] >= least and not (k in free and any(k not in around for around in content))}
+    return [x for x, around in zip(out, under, strict=True) if kept.issuperset(around)]
 
 
 def main_text(page: str | None, sigma: float = 1.0, strictness: float = 0.5, share: float = 0.6) -> tuple[str, int, int]:
     """(text, blocks seen, blocks kept).
 
     sigma: width of the Gaussian over the block sequence. strictness: a path passes if its fused ratio is at
-    least this part of the page's mean. share: part of the fused mass that the article's container holds."""
+    least this part of the page's mean. share: twice the least part of the fused mass that an article or main element holds."""
     found = blocks(page or "")
     if not found:
         return "", 0, 0
@@ -166,7 +192,8 @@ def main_text(page: str | None, sigma: float = 1.0, strictness: float = 0.5, sha
         total = sum(weights)
         return [sum(w * padded[i + j] for j, w in enumerate(weights)) / total for i in range(len(x))]
 
-    fused = [a * (1 + b) for a, b in zip(smooth(size), smooth(punct), strict=True)]
+    hinted = {p for p in length if any(x.endswith(HINT) for x in p)}
+    fused = [a * (1 + b) * (HINTED if p in hinted else 1) for a, b, (p, _) in zip(smooth(size), smooth(punct), found, strict=True)]
     mean = sum(fused) / len(fused)
     per_path: dict[tuple[str, ...], list[float]] = defaultdict(list)
     for (path, _), v in zip(found, fused, strict=True):
@@ -179,9 +206,14 @@ def main_text(page: str | None, sigma: float = 1.0, strictness: float = 0.5, sha
             mass[p[:k]] += m
     total = mass[()]
     semantic = [p for p in mass if p and p[-1] in CONTENT and mass[p] >= 0.5 * share * total]
-    root = max(semantic, key=lambda p: (mass[p], -len(p))) if semantic else max((p for p in mass if mass[p] >= share * total and (not p or p[-1] not in ("p", "h1", "h2", "h3", "li", "td"))), key=len)
+    if semantic:
+        root = max(semantic, key=lambda p: (mass[p], -len(p)))
+    else:
+        root = max((p for p in mass if mass[p] == total), key=len)
+        while root and root[-1].rstrip(HINT) in ("p", "h1", "h2", "h3", "li", "td"):
+            root = root[:-1]
     loose = not root or root[-1] in ("html", "body")
-    kept = [t for p, t in found if p[: len(root)] == root and (not loose or p in passed or p[-1:] and p[-1] in ("h1", "h2", "h3", "h4", "p", "blockquote", "pre"))]
+    kept = [t for p, t in found if p[: len(root)] == root and (p in passed or not any(x.endswith(HINT) for x in p[len(root) :]) and (not loose or p[-1:] and p[-1] in ("h1", "h2", "h3", "h4", "p", "blockquote", "pre")))]
     return " ".join(kept), len(found), len(kept)
 
 

@@ -165,6 +165,18 @@ def test_html_extraction():
     assert html_extract.main_text(None)[0] == html_extract.main_text("")[0] == ""
 
 
+def test_html_class_words_and_lists_keep_the_article():
+    p = "A long enough sentence of the article, with marks; it goes on and on until its end."
+    ad = '<div class="ad">Buy now</div>'
+    for name in ("content has-sidebar", "post no-comments", "ad-free", "site-banner-on"):
+        for tag in ("article", "div"):
+            page = f'<html><body><div class="{name}"><{tag}><p>{p}</p>{ad}<p>{p}</p></{tag}></div></body></html>'
+            assert html_extract.main_text(page)[0] == f"{p} {p}"
+    for inner in (f"<ul>{f'<li>{p}</li>' * 8}</ul>", f"<blockquote>{p * 8}</blockquote>", f"<pre>{p * 8}</pre>", f"<section>{f'<p>{p}</p>' * 8}</section>"):
+        got = html_extract.main_text(f"<html><body><div><p>First. {p}</p>{inner}<p>Last. {p}</p></div></body></html>")[0]
+        assert got.startswith("First. ") and got.count("A long enough") == 10 and f"Last. {p}" in got
+
+
 def test_empty_and_odd_tables(spark, docs):
     for table in (docs, docs.limit(0)):
         model = langid.fit(langid.train_rows(table))
