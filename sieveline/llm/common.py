@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import functools
-import operator
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +50,16 @@ def cut(df: DataFrame) -> DataFrame:
     executor costs a re-read and never a recomputation."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes tables made by cut() that nothing reads any more: what was made from them is written itself."""
+    for t in tables:
+        where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def components(nodes: DataFrame, links: DataFrame, id_col: str = "id") -> DataFrame:
@@ -61,15 +67,18 @@ def components(nodes: DataFrame, links: DataFrame, id_col: str = "id") -> DataFr
     root to the least neighbouring root and pointer jumping. All state stays in Spark tables; the
     driver sees one boolean count per round. Rounds grow with the logarithm of the diameter."""
     spark = nodes.sparkSession
-    edges = cut(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct())
+    last = edges = cut(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct())
     touched = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
     lab = cut(touched.select("id", F.col("id").alias("c")))
     while True:
         # edges between current roots
         la, lb = lab.select(F.col("id").alias("a"), F.col("c").alias("ca")), lab.select(F.col("id").alias("b"), F.col("c").alias("cb"))
         edges = edges.join(la, "a").join(lb, "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
-        edges = cut(edges)
+        old, edges = last, cut(edges)
+        last = edges
+        free(old)
         if edges.isEmpty():
+            free(edges)
             break
         hook = edges.groupBy(F.col("b").alias("r")).agg(F.min("a").alias("p"))  # always to a smaller root: no cycles
         hook = cut(hook)
@@ -84,10 +93,3 @@ def components(nodes: DataFrame, links: DataFrame, id_col: str = "id") -> DataFr
         edges = edges.select("a", "b")
     out = nodes.select(F.col(id_col).cast("long").alias("id")).join(lab, "id", "left")
     return out.select("id", F.coalesce("c", "id").alias("component"))
-
-
-def all_of(cols: list[Column]) -> Column:
-    return functools.reduce(operator.and_, cols)
-
-
-DISK = StorageLevel.DISK_ONLY

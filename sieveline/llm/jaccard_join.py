@@ -12,11 +12,12 @@ Orders put frequent shingles last: passages that many texts share stand at the e
 shingles are a bounded table (`hot_shingles`) from counts within tasks, so the choice affects speed alone, never the
 result; ties go by a hash seeded per order.
 
-Groups of copies are never expanded into pairs. Equal word sequences are one class from the start. Then, in rounds, each
-prefix shingle compares its members only with two of them, drawn by a hash of the round; verified links give
-components, and shingles whose members all lie in one are done. When few pairs of different components are left, all of them
-are taken, counted and verified, so that no link between components is lost. The class is named by a 64-bit hash of its
-word sequence.
+Groups of copies are never expanded into pairs. Equal word sequences are one class from the start, named by a 64-bit hash of
+the sequence. The classes of one prefix shingle are a group. Small groups list their pairs. A large group is split around a
+pivot, the member that lies in most large groups: each member is compared with it exactly, and members that link to it are
+one component without a look at their pairs. Of the others only those pairs can link that share enough of their differences
+from the pivot, which are selective keys: they meet in a join on prefixes of the differences, whose condition bounds what can
+still be shared (`_apart`). Pairs across components pass the other orders' filters, then their whole sets are compared.
 
 Defined results: null and empty texts have no shingles, link with nothing and are their own component, also among
 themselves; ids may repeat: component_id is the least id among the rows reached; null ids are kept and never named as a
@@ -24,6 +25,8 @@ component unless the whole component has no other; an empty table gives an empty
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,15 +34,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import TOKEN, components, cut, table
+from sieveline.llm.common import TOKEN, components, cut, free, table
 from sieveline.llm.vec import Tokens, U, buffers, mix, shingles, slices
 
 K, PERCENT = 5, 75
 ORDERS = 3
 HOT_SHINGLES, HOT_IN_TASK = 1 << 20, 3
-BROADCAST_NODES = 2_000_000  # of 8 bytes each
-#: Rounds against drawn members end when the pairs ahead are at most so many a row, or a round leaves over GAIN of them; the last step covers all pairs whatever their number.
-ROUNDS, PAIRS_PER_ROW, GAIN = 6, 2, 0.7
+BROADCAST_NODES = 2_000_000  # of 8 or 16 bytes each
+#: Groups of at most SMALL classes list their pairs; larger ones are split around pivots. Tasks that share a pivot with many members.
+SMALL, PIVOT_PARTS = 12, 16
 
 
 def prefix_length(n: np.ndarray | int, percent: int = PERCENT):
@@ -93,10 +96,6 @@ class Order:
             h |= np.where(self.hot[i] == s, self.rank[i], 0).astype(U) << U(58)
         return h
 
-    def prefix(self, s: np.ndarray, which: int, percent: int) -> np.ndarray:
-        p = prefix_length(len(s), percent)
-        return s if p >= len(s) else s[np.argpartition(self.key(s, which), p - 1)[:p]]
-
 
 def _scan(docs: DataFrame, k: int) -> DataFrame:
     """Rows (0, doc_id, class, n) per document and (1, null, shingle, count) of what is frequent within a task."""
@@ -130,7 +129,8 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, order, k: int, percent: int) -> DataFrame:
-    """(shingle, hot, node, n) of the first order's prefixes; copies within a task once."""
+    """(s, hot, node, ix) of the first order's prefixes; copies within a task once. ix: also in the shorter prefix that
+    suffices for the smaller set of a pair, which shares 2 percent / (100 + percent) of its items at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o: Order = order.value
@@ -147,48 +147,155 @@ def _prefixes(docs: DataFrame, order, k: int, percent: int) -> DataFrame:
                 key = o.key(s, 0)
                 by = np.lexsort((key, row))
                 first = np.searchsorted(row, np.arange(hi - lo))
-                keep = by[np.arange(len(s)) - first[row[by]] < prefix_length(n, percent)[row[by]]]
-                yield pa.RecordBatch.from_arrays([pa.array(s[keep].view(np.int64)), pa.array((key[keep] >> U(58)) > 0), pa.array(name[row[keep]].view(np.int64)), pa.array(n[row[keep]])], names=["s", "hot", "node", "n"])
-
-    return docs.select("text").mapInArrow(run, "s bigint, hot boolean, node bigint, n bigint")
+                place = np.arange(len(s)) - first[row[by]]
+                kept = place < prefix_length(n, percent)[row[by]]
+                keep, of = by[kept], row[by][kept]
+                ix = place[kept] <= n[of] - -(-2 * percent * n[of] // (100 + percent))
+                yield pa.RecordBatch.from_arrays([pa.array(s[keep].view(np.int64)), pa.array((key[keep] >> U(58)) > 0), pa.array(name[of].view(np.int64)), pa.array(ix)], names=["s", "hot", "node", "ix"])
 
+    return docs.select("text").mapInArrow(run, "s bigint, hot boolean, node bigint, ix boolean")
 
-def _texts(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(node, text): the text of the row that reps (node, doc_id, th) names for each class in pairs (a, b).
-
-    Rows are found by id and text hash, without tokenising again; classes are broadcast up to `BROADCAST_NODES`."""
-    nodes = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct()
-    want = cut(reps.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("wid"), F.col("th").alias("wth")))
-    few = want.count() <= BROADCAST_NODES
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), "text")
-    found = rows.join(F.broadcast(want) if few else want, (F.col("h") == F.col("wth")) & F.col("id").eqNullSafe(F.col("wid")))
-    return cut(found.groupBy("node").agg(F.first("text").alias("text")))
 
+def _whole(docs: DataFrame, wanted: DataFrame, order, k: int, percent: int, orders: int) -> DataFrame:
+    """(node, n, items, others): the whole set of each class in wanted (node, doc_id, th), and its prefixes under the other orders.
 
-def _verify(pairs: DataFrame, texts: DataFrame, order, k: int, percent: int, orders: int) -> DataFrame:
-    """(a, b) of the pairs that pass the other orders' prefix filters and whose whole sets link."""
+    Texts are found by id and hash, so that only those of wanted classes are tokenised; `others` holds 32-bit hashes, as a filter may."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o: Order = order.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
-                sides = []
-                for col in (2, 3):
-                    data, offsets = buffers(b.column(col))
-                    _, _, s, bounds = _sets(data, offsets, k)
-                    sides.append((s, bounds))
-                keep = []
-                for i in range(b.num_rows):
-                    x, y = (s[bounds[i] : bounds[i + 1]] for s, bounds in sides)
-                    ok = all(len(np.intersect1d(o.prefix(x, w, percent), o.prefix(y, w, percent), assume_unique=True)) for w in range(1, orders))
-                    both = len(np.intersect1d(x, y, assume_unique=True)) if ok else 0
-                    keep.append(ok and 100 * both >= percent * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], names=["a", "b"])
-
-    t = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    u = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(u, "b").join(t, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+        for b in batches:
+            data, offsets = buffers(b.column(1))
+            for lo, hi in slices(offsets):
+                _, n, s, bounds = _sets(data, offsets[lo : hi + 1], k)
+                row = np.repeat(np.arange(hi - lo), n)
+                p = np.where(n > 0, prefix_length(n, percent), 0)
+                short = pa.array(np.append(0, np.cumsum(p)).astype(np.int32))
+                others = []
+                for which in range(1, orders):
+                    by = np.lexsort((o.key(s, which), row))
+                    kept = s[by[np.arange(len(s)) - bounds[row] < p[row]]]
+                    others.append(pa.ListArray.from_arrays(short, pa.array((kept >> U(32)).astype(np.uint32).view(np.int32))))
+                every = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(s.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n), every, *others], names=["node", "n", "items", *[f"o{w}" for w in range(1, orders)]])
+
+    want = wanted.select("node", F.col("doc_id").alias("wid"), F.col("th").alias("wth"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), "text")
+    found = rows.join(_few(want), (F.col("h") == F.col("wth")) & F.col("id").eqNullSafe(F.col("wid")))
+    texts = found.groupBy("node").agg(F.first("text").alias("text"))  # equal rows once
+    return texts.mapInArrow(run, "node bigint, n bigint, items array<bigint>" + "".join(f", o{w} array<int>" for w in range(1, orders)))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """df (of a few numbers a row, written before), to be broadcast if it has at most BROADCAST_NODES rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_NODES else df
+
+
+def _beside(rows: DataFrame, pivots: DataFrame) -> DataFrame:
+    """rows (node, p, ...) joined with pivots (p, ...), whose rows are wide; a pivot with many members is dealt to several tasks, a copy in each."""
+    count = cut(rows.groupBy("p").agg(F.count("*").alias("members")))
+    parts = F.when(F.col("members") > PIVOT_PARTS * SMALL, PIVOT_PARTS).otherwise(1)
+    dealt = rows.join(_few(count), "p").withColumn("part", F.pmod("node", parts).cast("int")).drop("members")
+    copies = pivots.join(_few(count), "p").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("members")
+    return dealt.join(copies, ["p", "part"], "left").drop("part")
+
+
+def _differences(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, p, n, size, d, short, linked, lead) for the members of each pivot p, itself included.
+
+    The centre of a pivot's members is the set of the items that most of them have: p with each item changed in which more than
+    half of them differ from it. d: the first items of D = x ^ centre of member x, what the centre lacks before what it has; size: |D|.
+    With excess(x) = (100 + percent) |D| - (100 - percent) |x|, two members link for certain if their excesses sum up to 0 or less, as
+    |x ^ y| <= |Dx| + |Dy|; so all `linked` members do with `lead`, the one of least excess. Others, as |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|,
+    must share half of that sum over (100 + percent). One of the two isn't linked, which bounds its excess, so the linked one's
+    first `short` items hold a shared one, and so do those of both if neither is linked. As |Dx - Dy| <= |x ^ y|, d need not be
+    longer than size - (100 - percent) |x| / percent allows, whatever the partner."""
+    whole = sets.select("node", "n", F.col("items").alias("x"))
+    pivots = sets.select(F.col("node").alias("p"), F.col("items").alias("y")).join(star.select("p").distinct(), "p", "left_semi")
+    d = _beside(star.join(whole, "node"), pivots)
+    d = cut(d.select("node", "p", "n", F.array_except("x", "y").alias("more"), F.array_except("y", "x").alias("less")))
+    kinds = d.select("p", F.explode("more").alias("key"), F.lit(True).alias("out")).unionByName(d.select("p", F.explode("less").alias("key"), F.lit(False).alias("out")))
+    members = _few(cut(d.groupBy("p").agg(F.count("*").alias("k"))))
+    most = kinds.groupBy("p", "key", "out").agg(F.count("*").alias("h")).where("h > 1").join(members, "p").where("2 * h > k")
+    # at most twice the mean of |x ^ p| items a pivot
+    most = cut(most.groupBy("p").agg(F.collect_list(F.when(F.col("out"), F.col("key"))).alias("add"), F.collect_list(F.when(~F.col("out"), F.col("key"))).alias("take")))
+    none = F.array().cast("array<bigint>")
+    d = _beside(d, most).withColumn("add", F.coalesce("add", none)).withColumn("take", F.coalesce("take", none))
+    more = F.array_sort(F.concat(F.array_except("more", "add"), F.array_except("take", "less")))
+    less = F.array_sort(F.concat(F.array_except("less", "take"), F.array_except("add", "more")))
+    up, down = 100 + percent, 100 - percent
+    d = d.select("node", "p", "n", F.concat(more, less).alias("d")).withColumn("size", F.size("d")).withColumn("excess", up * F.col("size") - down * F.col("n"))
+    d = cut(d)
+    least = cut(d.groupBy("p").agg(F.min(F.struct("excess", "node")).alias("m")).select("p", F.col("m.excess").alias("least"), F.col("m.node").alias("lead")))
+    d = d.join(_few(least), "p").withColumn("linked", (F.col("excess") + F.col("least") <= 0) | (F.col("node") == F.col("lead")))
+    any_partner = F.greatest(F.lit(1), F.col("size") - F.floor(down * F.col("n") / percent + F.lit(1e-9)))
+    not_linked = F.greatest(any_partner, F.ceil((F.col("excess") + F.greatest(F.col("least"), 1 - F.col("least"))) / F.lit(2 * up) - F.lit(1e-9)))
+    first = lambda need: F.greatest(F.lit(0), F.col("size") - need + 1).cast("int")
+    return d.select("node", "p", "n", "size", F.slice("d", F.lit(1), first(F.when(F.col("linked"), not_linked).otherwise(any_partner))).alias("d"), first(not_linked).alias("short"), "linked", "lead")
+
+
+def _apart(found: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of members of one pivot in different components that may share enough of their differences from it.
+
+    One of them, a, isn't linked to the lead. Pairs meet in the first item they share, which bounds how many can follow."""
+    at = cut(_named(_named(found, comp), comp, "lead", "cp"))
+    mixed = cut(at.groupBy("p").agg(F.max(F.col("c") != F.col("cp")).alias("mixed")).where("mixed").select("p"))
+    keys = cut(at.join(_few(mixed), "p").select("p", "node", "n", "size", "linked", "short", "c", "cp", F.posexplode("d").alias("pos", "key")))
+    a = keys.where("c <> cp").select("p", "key", *[F.col(x).alias(f"{x}_a") for x in ("node", "n", "size", "short", "pos", "c")])
+    b = keys.where("pos < short").select("p", "key", *[F.col(x).alias(f"{x}_b") for x in ("node", "n", "size", "pos", "c", "linked")], (F.col("c") == F.col("cp")).alias("in_b"))
+    up, down = 100 + percent, 100 - percent
+    follow = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
+    enough = 2 * up * follow >= up * (F.col("size_a") + F.col("size_b")) - down * (F.col("n_a") + F.col("n_b"))
+    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    open_b = F.col("linked_b") | ((F.col("pos_a") < F.col("short_a")) & (F.col("in_b") | (F.col("node_a") < F.col("node_b"))))
+    met = a.join(b, ["p", "key"]).where((F.col("c_a") != F.col("c_b")) & open_b & near & enough)
+    return cut(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
+
+
+def _met(pairs: DataFrame, sets: DataFrame, percent: int, orders: int) -> DataFrame:
+    """(a, b) of the pairs that pass all the other orders' prefix filters and whose whole sets link."""
+    names = [f"o{w}" for w in range(1, orders)]
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), *[F.col(o).alias(f"{o}{k}") for o in names])
+    near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    meet = [F.size(F.array_intersect(f"{o}a", f"{o}b")) >= _shared(F.col("na"), F.col("nb"), percent) for o in names]
+    passed = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(functools.reduce(operator.and_, [near, *meet])).select("a", "b"))
+    a, b = (sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("items").alias(f"s{k}")) for k in "ab")
+    both = F.size(F.array_intersect("sa", "sb"))
+    linked = passed.join(a, "a").join(b, "b").where(both * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
+    return cut(linked.select("a", "b"))
+
+
+def _components(links: DataFrame) -> DataFrame:
+    """(node, c) of all ends of links."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return cut(components(ends, links, "node").select(F.col("id").alias("node"), F.col("component").alias("c")))
+
+
+def _named(m: DataFrame, comp: DataFrame | None, node: str = "node", name: str = "c") -> DataFrame:
+    """m with the component of its node so far."""
+    if comp is None:
+        return m.withColumn(name, F.col(node))
+    return m.join(_few(comp.select(F.col("node").alias(node), F.col("c").alias("found"))), node, "left").withColumn(name, F.coalesce("found", node)).drop("found")
+
+
+def _links(kept: DataFrame, sets: DataFrame, percent: int, orders: int, small: int = SMALL) -> DataFrame:
+    """(a, b): enough links between classes to make the components of all, from the members of each prefix shingle (s, node, ix)."""
+    sizes = cut(kept.groupBy("s").agg(F.count("*").alias("k")))
+    wide = cut(sizes.where(F.col("k") > small))
+    # a small group lists its pairs: at most small / 2 for each member
+    members = kept.join(_few(wide), "s", "left_anti").groupBy("s").agg(F.collect_list(F.struct("node", "ix")).alias("x"))
+    two = members.select(F.posexplode("x").alias("i", "p"), "x").select("p", F.explode(F.slice("x", F.lit(1), F.col("i"))).alias("q")).where("p.ix or q.ix")
+    pool = cut(two.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct())
+    large = cut(kept.join(_few(wide), "s").select("s", "k", "node"))
+    # the pivot of a group is the member that lies in most of the large ones
+    degree = _few(cut(large.groupBy("node").agg(F.sum("k").alias("d"))))
+    pivot = large.join(degree, "node").groupBy("s").agg(F.max(F.struct("d", "node")).alias("m")).select("s", F.col("m.node").alias("p"))
+    star = cut(large.join(_few(cut(pivot)), "s").select("node", "p").distinct())
+    found = cut(_differences(star, sets, percent))
+    links = cut(found.where("linked and node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
+    comp = _components(links)
+    pool = pool.unionByName(_apart(found, comp, percent)).distinct()
+    pool = cut(_named(_named(pool, comp, "a", "ca"), comp, "b", "cb").where("ca <> cb").select("a", "b"))
+    return links.unionByName(_met(pool, sets, percent, orders))
 
 
 def join(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = ORDERS, hot_shingles: int = HOT_SHINGLES) -> DataFrame:
@@ -207,59 +314,20 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = ORDE
     # prefix shingles that more than one class has, in one shuffle; a frequent one is dealt to several tasks, as it needs no test
     salt = F.when(F.col("hot"), F.pmod("node", F.lit(64))).otherwise(0).cast("int")
     bucket = Window.partitionBy("s", "salt")
-    kept = _prefixes(docs, order, k, percent).withColumn("salt", salt).withColumn("x", F.min("node").over(bucket)).withColumn("y", F.max("node").over(bucket))
-    kept = cut(kept.where("hot or x <> y").select("s", "node", "n"))
-    ends = cut(kept.groupBy("s").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("s"))
-    m = cut(kept.join(ends, "s").dropDuplicates(["s", "node"]).select("s", "node", "n", F.col("node").alias("c")))
-    size = cut(m.groupBy("node").agg(F.first("n").alias("n")))
-    near = lambda m, n: F.least(m, n) * 100 >= F.greatest(m, n) * percent
-    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_NODES else df
-
-    # rounds: each shingle's members against two of them that the round draws, as long as members of other components abound
-    links, tried, comp, before = None, None, None, float("inf")
-    for r in range(ROUNDS):
-        lot = F.struct(F.xxhash64(F.lit(r), "node").alias("h"), "node", "n", "c")
-        ends = cut(m.groupBy("s").agg(F.min(lot).alias("x"), F.max(lot).alias("y"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("s", "x", "y"))
-        m = cut(m.join(ends, "s"))
-        star = m.select("node", "n", "c", F.explode(F.array("x", "y")).alias("r")).where((F.col("c") != F.col("r.c")) & near(F.col("n"), F.col("r.n")))
-        star = star.groupBy(F.least("node", "r.node").alias("a"), F.greatest("node", "r.node").alias("b")).agg(F.count("*").alias("k"), F.min(_shared(F.col("n"), F.col("r.n"), percent)).alias("least"))
-        # a shingle draws its own members, so that not all that a pair shares are counted here: half the bound is asked for
-        star = cut(star.where(2 * F.col("k") >= F.col("least")).select("a", "b"))
-        found = cut(_verify(star, _texts(docs, star, reps), order, k, percent, orders))
-        tried = star if tried is None else tried.unionByName(star)
-        if found.isEmpty() and r:
-            break
-        links = found if links is None else links.unionByName(found)
-        comp = cut(components(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), links, "node").select(F.col("id").alias("node"), F.col("component").alias("to")))
-        m = cut(m.select("s", "node", "n").join(few(comp), "node", "left").select("s", "node", "n", F.coalesce("to", "node").alias("c")))
-        by = m.groupBy("s", "c").agg(F.count("*").alias("k")).groupBy("s").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own"))
-        ahead = by.agg(F.sum(F.col("k") * F.col("k") - F.col("own")).alias("pairs"), F.sum("k").alias("k")).first()
-        pairs = ahead["pairs"] or 0
-        if pairs <= PAIRS_PER_ROW * (ahead["k"] or 0) or pairs > GAIN * before:
-            break
-        before = pairs
-
-    # what is left: all pairs of members of one shingle that lie in different components
-    mixed = cut(m.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("s"))
-    m = cut(m.select("s", "node", "n", "c").join(mixed, "s"))
-    left, right = m.select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), m.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    rest = left.join(right, "s").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near(F.col("na"), F.col("nb")))
-    rest = rest.groupBy("a", "b").agg(F.count("*").alias("k"), F.min(_shared(F.col("na"), F.col("nb"), percent)).alias("least")).where("k >= least")
-    rest = cut(rest.select("a", "b", F.col("k").alias("shared")).join(tried.distinct(), ["a", "b"], "left_anti"))
-    texts = _texts(docs, rest, reps)
-    # each class first meets the one it shares most with; then the pairs that still lie across components
-    lead = cut(rest.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("m")).select("a", "m.b").unionByName(rest.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select("m.a", "b")).distinct())
-    links = links.unionByName(cut(_verify(lead, texts, order, k, percent, orders)))
-    comp = few(cut(components(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), links, "node").select(F.col("id").alias("node"), F.col("component").alias("to"))))
-    rest = rest.join(comp.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b", "left")
-    rest = cut(rest.where(F.coalesce("ta", "a") != F.coalesce("tb", "b")).select("a", "b").join(lead, ["a", "b"], "left_anti"))
-    more = cut(_verify(rest, texts, order, k, percent, orders))
-    final = cut(components(size.select("node"), links.unionByName(more), "node").select(F.col("id").alias("node"), "component"))
-
-    named = reps.select("node", F.col("doc_id").alias("rep"))
-    least = cut(named.join(final, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    low = cut(least.groupBy("component").agg(F.min("rep").alias("component_id")))
-    classes = cut(least.join(low, "component").select("node", "component", "component_id"))
+    dealt = _prefixes(docs, order, k, percent).withColumn("salt", salt).repartition("s", "salt").groupBy("s", "salt", "node").agg(F.max("hot").alias("hot"), F.max("ix").alias("ix"))
+    shared = dealt.withColumn("x", F.min("node").over(bucket)).withColumn("y", F.max("node").over(bucket)).withColumn("any", F.max("ix").over(bucket))
+    kept = cut(shared.where("hot or any and x <> y").select("s", "node", "ix"))
+    some = cut(kept.groupBy("s").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.max("ix").alias("any")).where("any and x <> y").select("s"))
+    every, kept = kept, cut(kept.join(_few(some), "s"))
+    free(every, some)
+    wanted = cut(reps.join(kept.select("node").distinct(), "node", "left_semi"))
+    sets = cut(_whole(docs, wanted, order, k, percent, orders))
+    links = _links(kept, sets, percent, orders)
+    final = _components(links)
+    free(kept, wanted, sets)
+
+    low = cut(_named(reps, final).groupBy("c").agg(F.min("doc_id").alias("component_id")))
+    classes = cut(_named(reps, final).join(low, "c").select("node", F.col("c").alias("component"), "component_id"))
     some = rows.where("n > 0").join(classes, "node").select("doc_id", "th", F.col("n").alias("n_shingles"), "component_id", "component")
     none = rows.where("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("component"))
     return some.unionByName(none)

@@ -25,5 +25,19 @@ QUERIES = {
     f.__name__: f
     for f in (op1_html_extract, op2_line_dedup, op3_lm_score, op4_toxicity, op5_media_columns, op6_mixing, op7_jaccard_join, op8_quality, op9_language_id, op10_decontaminate, pipeline)
 }
-#: Hash-defined boundaries, trained models and stored bytes have no SQL form; those queries are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+#: Words, sets and links of op7 are fixed by its contract. The other queries are trained models, hash-chosen boundaries, seeded draws
+#: or stored bytes, which have no SQL form; tests/llm has their brute force, round trips and held-out labels.
+ORACLES: dict[str, str] = {
+    "op7_jaccard_join": r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+      FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                     ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i : i + 4], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b USING (x) WHERE a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id, doc_id AS other FROM s UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other)
+SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id
+FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)""",
+}
