@@ -156,10 +156,29 @@ def _prefixes(docs: DataFrame, order, k: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "s bigint, hot boolean, node bigint, ix boolean")
 
 
-def _whole(docs: DataFrame, wanted: DataFrame, order, k: int, percent: int, orders: int) -> DataFrame:
-    """(node, n, items, others): the whole set of each class in wanted (node, doc_id, th), and its prefixes under the other orders.
+def _found(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text): the rows that wanted (node, doc_id, th) names, by id and text hash, so that only those are tokenised; equal rows may come more than once."""
+    want = wanted.select("node", F.col("doc_id").alias("wid"), F.col("th").alias("wth"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), "text")
+    return rows.join(_few(want), (F.col("h") == F.col("wth")) & F.col("id").eqNullSafe(F.col("wid"))).select("node", "text")
+
+
+def _whole(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(node, n, items): the set of each class in wanted (node, doc_id, th)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = buffers(b.column(1))
+            for lo, hi in slices(offsets):
+                _, n, s, bounds = _sets(data, offsets[lo : hi + 1], k)
+                items = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(s.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n), items], names=["node", "n", "items"])
+
+    return _found(docs, wanted).mapInArrow(run, "node bigint, n bigint, items array<bigint>").dropDuplicates(["node"])
+
 
-    Texts are found by id and hash, so that only those of wanted classes are tokenised; `others` holds 32-bit hashes, as a filter may."""
+def _orders(docs: DataFrame, wanted: DataFrame, order, k: int, percent: int, orders: int) -> DataFrame:
+    """(node, n, o1, ...): the prefixes of each class in wanted under all orders but the first, as 32-bit hashes, as a filter may."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o: Order = order.value
@@ -169,20 +188,15 @@ def _whole(docs: DataFrame, wanted: DataFrame, order, k: int, percent: int, orde
                 _, n, s, bounds = _sets(data, offsets[lo : hi + 1], k)
                 row = np.repeat(np.arange(hi - lo), n)
                 p = np.where(n > 0, prefix_length(n, percent), 0)
-                short = pa.array(np.append(0, np.cumsum(p)).astype(np.int32))
-                others = []
+                ends = pa.array(np.append(0, np.cumsum(p)).astype(np.int32))
+                out = []
                 for which in range(1, orders):
                     by = np.lexsort((o.key(s, which), row))
                     kept = s[by[np.arange(len(s)) - bounds[row] < p[row]]]
-                    others.append(pa.ListArray.from_arrays(short, pa.array((kept >> U(32)).astype(np.uint32).view(np.int32))))
-                every = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(s.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n), every, *others], names=["node", "n", "items", *[f"o{w}" for w in range(1, orders)]])
+                    out.append(pa.ListArray.from_arrays(ends, pa.array((kept >> U(32)).astype(np.uint32).view(np.int32))))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n), *out], names=["node", "n", *[f"o{w}" for w in range(1, orders)]])
 
-    want = wanted.select("node", F.col("doc_id").alias("wid"), F.col("th").alias("wth"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), "text")
-    found = rows.join(_few(want), (F.col("h") == F.col("wth")) & F.col("id").eqNullSafe(F.col("wid")))
-    texts = found.groupBy("node").agg(F.first("text").alias("text"))  # equal rows once
-    return texts.mapInArrow(run, "node bigint, n bigint, items array<bigint>" + "".join(f", o{w} array<int>" for w in range(1, orders)))
+    return _found(docs, wanted).mapInArrow(run, "node bigint, n bigint" + "".join(f", o{w} array<int>" for w in range(1, orders))).dropDuplicates(["node"])
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -251,17 +265,24 @@ def _apart(found: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     return cut(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
 
 
-def _met(pairs: DataFrame, sets: DataFrame, percent: int, orders: int) -> DataFrame:
-    """(a, b) of the pairs that pass all the other orders' prefix filters and whose whole sets link."""
+def _met(pairs: DataFrame, docs: DataFrame, reps: DataFrame, order, k: int, percent: int, orders: int) -> DataFrame:
+    """(a, b) of the pairs whose prefixes meet under all other orders, as often as linked sets' do, and whose whole sets link."""
     names = [f"o{w}" for w in range(1, orders)]
-    side = lambda k: sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), *[F.col(o).alias(f"{o}{k}") for o in names])
-    near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    heads = cut(_orders(docs, _ends(pairs, reps), order, k, percent, orders))
+    side = lambda x: heads.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), *[F.col(o).alias(f"{o}{x}") for o in names])
     meet = [F.size(F.array_intersect(f"{o}a", f"{o}b")) >= _shared(F.col("na"), F.col("nb"), percent) for o in names]
-    passed = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(functools.reduce(operator.and_, [near, *meet])).select("a", "b"))
-    a, b = (sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("items").alias(f"s{k}")) for k in "ab")
+    passed = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(functools.reduce(operator.and_, meet, F.lit(True))).select("a", "b"))
+    sets = cut(_whole(docs, _ends(passed, reps), k))
+    a, b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("items").alias(f"s{x}")) for x in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
-    linked = passed.join(a, "a").join(b, "b").where(both * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
-    return cut(linked.select("a", "b"))
+    linked = cut(passed.join(a, "a").join(b, "b").where(both * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b"))
+    free(heads, passed, sets)
+    return linked
+
+
+def _ends(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The rows of reps (node, ...) that are an end of a pair."""
+    return cut(reps.join(_few(cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())), "node", "left_semi"))
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -277,8 +298,8 @@ def _named(m: DataFrame, comp: DataFrame | None, node: str = "node", name: str =
     return m.join(_few(comp.select(F.col("node").alias(node), F.col("c").alias("found"))), node, "left").withColumn(name, F.coalesce("found", node)).drop("found")
 
 
-def _links(kept: DataFrame, sets: DataFrame, percent: int, orders: int, small: int = SMALL) -> DataFrame:
-    """(a, b): enough links between classes to make the components of all, from the members of each prefix shingle (s, node, ix)."""
+def _links(kept: DataFrame, docs: DataFrame, reps: DataFrame, order, k: int, percent: int, orders: int, small: int = SMALL) -> DataFrame:
+    """(a, b): enough links between classes to make the components of all, from the members (s, node, ix) of each prefix shingle."""
     sizes = cut(kept.groupBy("s").agg(F.count("*").alias("k")))
     wide = cut(sizes.where(F.col("k") > small))
     # a small group lists its pairs: at most small / 2 for each member
@@ -290,12 +311,17 @@ def _links(kept: DataFrame, sets: DataFrame, percent: int, orders: int, small: i
     degree = _few(cut(large.groupBy("node").agg(F.sum("k").alias("d"))))
     pivot = large.join(degree, "node").groupBy("s").agg(F.max(F.struct("d", "node")).alias("m")).select("s", F.col("m.node").alias("p"))
     star = cut(large.join(_few(cut(pivot)), "s").select("node", "p").distinct())
-    found = cut(_differences(star, sets, percent))
+    free(sizes, large)
+    near_pivot = cut(_whole(docs, _ends(star.select(F.col("node").alias("a"), F.col("p").alias("b")), reps), k))
+    found = cut(_differences(star, near_pivot, percent))
+    free(near_pivot)
     links = cut(found.where("linked and node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
     comp = _components(links)
     pool = pool.unionByName(_apart(found, comp, percent)).distinct()
-    pool = cut(_named(_named(pool, comp, "a", "ca"), comp, "b", "cb").where("ca <> cb").select("a", "b"))
-    return links.unionByName(_met(pool, sets, percent, orders))
+    pool = _named(_named(pool, comp, "a", "ca"), comp, "b", "cb").where("ca <> cb").select("a", "b")
+    sized = _few(reps.select("node", "n"))
+    pool = pool.join(sized.toDF("a", "na"), "a").join(sized.toDF("b", "nb"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    return links.unionByName(_met(cut(pool.select("a", "b")), docs, reps, order, k, percent, orders))
 
 
 def join(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = ORDERS, hot_shingles: int = HOT_SHINGLES) -> DataFrame:
@@ -304,7 +330,7 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = ORDE
     scan = cut(_scan(docs, k))
     rows = scan.where("kind = 0").select("doc_id", "th", F.col("key").alias("node"), "n")
     least_id = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("m")
-    reps = cut(rows.where("n > 0").groupBy("node").agg(least_id).select("node", "m.doc_id", "m.th"))
+    reps = cut(rows.where("n > 0").groupBy("node").agg(least_id, F.first("n").alias("n")).select("node", "m.doc_id", "m.th", "n"))
     often = scan.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(hot_shingles).toArrow()
     hot = often.column("key").to_numpy().view(U)
     by = np.argsort(hot)
@@ -320,11 +346,8 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = ORDE
     some = cut(kept.groupBy("s").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.max("ix").alias("any")).where("any and x <> y").select("s"))
     every, kept = kept, cut(kept.join(_few(some), "s"))
     free(every, some)
-    wanted = cut(reps.join(kept.select("node").distinct(), "node", "left_semi"))
-    sets = cut(_whole(docs, wanted, order, k, percent, orders))
-    links = _links(kept, sets, percent, orders)
-    final = _components(links)
-    free(kept, wanted, sets)
+    final = _components(_links(kept, docs, reps, order, k, percent, orders))
+    free(kept)
 
     low = cut(_named(reps, final).groupBy("c").agg(F.min("doc_id").alias("component_id")))
     classes = cut(_named(reps, final).join(low, "c").select("node", F.col("c").alias("component"), "component_id"))
