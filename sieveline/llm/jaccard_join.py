@@ -39,7 +39,7 @@ from sieveline.llm.vec import Tokens, U, buffers, mix, shingles, slices
 
 K, PERCENT = 5, 75
 ORDERS = 3
-HOT_SHINGLES, HOT_IN_TASK = 1 << 20, 3
+HOT_SHINGLES, HOT_IN_TASK = 1 << 20, 2
 BROADCAST_NODES = 2_000_000  # of 8 or 16 bytes each
 #: Groups of at most SMALL classes list their pairs; larger ones are split around pivots. Tasks that share a pivot with many members.
 SMALL, PIVOT_PARTS = 12, 16
