@@ -120,7 +120,7 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
                 if len(seen) > 1_000_000:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int8)), b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(name.view(np.int64)), pa.array(n)], names=names)
-                if sum(map(len, held)) > 8_000_000:
+                if sum(map(len, held)) > 3_000_000:
                     yield frequent()
         if held:
             yield frequent()

@@ -8,16 +8,16 @@ at most as many entries as occurrences); a gram's hash names its block, and each
 are broadcast in groups of at most `filter_mb`: a scoring task tokenises a window of texts once, then holds one group after
 another and probes the window's grams that lie there, so neither the driver nor a worker holds more than a group at a time.
 
-Probability of word w after v, by absolute discounting: (max(c(vw) - D, 0) + D * T(v) * p(w)) / c(v), where
-p(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)), D = n1 / (n1 + 2 n2) over distinct pairs, T(v) the number of v's distinct
-followers (exact for the `contexts` commonest words, else c(v), which a rare word's nearly is). Counts of pairs and
-of all words below the `common` commonest come from filter probes; those of the commonest words are exact, from a broadcast
-table of that many rows. Unseen v: p(w).
+Probability of word w after v: (c(vw) + m(v) * p(w)) / (c(v) + m(v)), where p(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)) and
+m(v) = c(v)**beta stands for the number of v's distinct followers; beta is such that the m(v) of all words sum up to the number of
+distinct pairs. Unseen v: p(w). Exact counts would make this a distribution for each v. All counts come from filter probes:
+those above the line are the least of their level, c(v) below it is the greatest of its level, so that quantising never
+makes a context's probabilities sum up to more than 1. The model has no tables beside the filter, whatever the input's size.
 
-The base score needs exact counts of all words: those of common words are looked up in the broadcast table, the others
-meet the count table in a join on the word's hash, whose keys are rare by construction.
+The base score needs exact counts of all words: those of the `common` commonest are looked up in a broadcast table, the others
+meet the count table in a join on the word's hash, whose keys are rare by construction. Both are exact.
 
-Hashes have 64 bits (words) and 2 x 32 bits (pairs).
+Hashes have 64 bits.
 
 Defined results: null text is empty and scores its one end token; without training texts N = V = 0 and every token has
 probability 1 / (V + 1) = 1; ids may repeat or be null (rows are told apart by a row number)."""
@@ -36,18 +36,19 @@ from sieveline.llm.common import cut, fold, table
 from sieveline.llm.vec import Tokens, U, buffers, mix, slices
 
 #: MB of the filter that a worker holds at a time; bits of the filter for each training token.
-FILTER_MB, BITS_PER_TOKEN, PROBES = 32, 6, 2
+FILTER_MB, BITS_PER_TOKEN, PROBES = 16, 6, 2
 #: Most training tokens whose grams go to one block; from MAX_TASKS blocks on, a filling task has several.
 TOKENS_PER_BLOCK, MAX_TASKS = 400_000, 4096
-COMMON, CONTEXTS = 1 << 20, 1 << 17
+COMMON = 1 << 19
 END, START = U(0x51AFD7ED558CCD25), U(0x2545F4914F6CDD1D)
 #: Least count of each level.
 LEVELS = np.array(sorted({1, *(2**k for k in range(1, 40)), *(3 * 2**k for k in range(40))}), np.int64)
-COUNTS = np.append(0, LEVELS)  # none, then the levels
+COUNTS = np.append(0, LEVELS)  # least count: none, then the levels
+CEILINGS = np.append(0, np.append(LEVELS[1:] - 1, 2 * LEVELS[-1]))  # greatest count
 _SALT = mix(np.arange(1, len(LEVELS) + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
-WINDOW = 2_000_000  # tokens whose counts are summed before they leave a task
-SCORED = 1_000_000  # tokens that are scored with one round over the filter's groups
-PROBED = 1 << 18  # keys probed at a time, so that work arrays stay small
+WINDOW = 1_500_000  # tokens whose counts are summed before they leave a task
+SCORED = 600_000  # tokens that are scored with one round over the filter's groups
+PROBED = 1 << 17  # keys probed at a time, so that work arrays stay small
 
 
 def sequence(t: Tokens, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,7 +67,7 @@ def sequence(t: Tokens, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return (before & U(0xFFFFFFFF00000000)) | (word >> U(32))
+    return mix(before * U(0x9E3779B97F4A7C15) + word)
 
 
 def _block(key: np.ndarray, blocks: int) -> np.ndarray:
@@ -113,16 +114,24 @@ def _group(parts: list[Broadcast], g: int) -> np.ndarray:
 
 
 class LanguageModel:
-    """What scoring broadcasts: the common words' counts and followers, five numbers, and apart the filter's groups of blocks (`parts`)."""
+    """What scoring broadcasts: a few numbers, the common words' exact counts for the base score, and apart the filter's groups of blocks (`parts`)."""
 
-    def __init__(self, n: int, v: int, docs: int, d: float, block_bits: int, n_blocks: int, per_group: int, parts: list[Broadcast], common: np.ndarray, common_n: np.ndarray, contexts: np.ndarray, followers: np.ndarray):
-        self.n, self.v, self.docs, self.d = n, v, docs, d
+    def __init__(self, n: int, v: int, docs: int, beta: float, block_bits: int, n_blocks: int, per_group: int, parts: list[Broadcast], common: np.ndarray, common_n: np.ndarray):
+        self.n, self.v, self.docs, self.beta = n, v, docs, beta
         self.block_bits, self.n_blocks, self.per_group, self.parts = block_bits, n_blocks, per_group, parts
-        self.common, self.common_n, self.contexts, self.followers = common, common_n, contexts, followers
+        self.common, self.common_n = common, common_n
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"parts": None}
 
+    def probability(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """p(w after v) from the places in COUNTS of w, v and their pair; v's place is -1 at the start of a text."""
+        pw = (COUNTS[word] + 0.1) / (self.n + 0.1 * (self.v + 1))
+        cv = np.where(before < 0, self.docs, CEILINGS[before])
+        both = np.minimum(COUNTS[pair], np.where(before < 0, self.docs, COUNTS[before]))  # false hits of the filter
+        m = cv.astype(float) ** self.beta
+        return np.where(cv > 0, (both + m * pw) / np.maximum(cv + m, 1e-300), pw)
+
     def probe(self, key: np.ndarray, parts: list[Broadcast]) -> np.ndarray:
         """Place in COUNTS of the highest level found for each key."""
         out = np.zeros(len(key), np.uint8)  # levels from 1
@@ -162,7 +171,17 @@ class LanguageModel:
         return np.log10((count + 0.1) / (self.n + 0.1 * (self.v + 1)))
 
 
-def fit(docs: DataFrame, filter_mb: int = FILTER_MB, bits_per_token: int = BITS_PER_TOKEN, tokens_per_block: int = TOKENS_PER_BLOCK, common: int = COMMON, contexts: int = CONTEXTS) -> tuple[LanguageModel, DataFrame]:
+def _exponent(steps: list, pairs: int) -> float:
+    """beta in [0, 1] such that c**beta, summed over all words (steps: number and mean count of words of about one count), is pairs."""
+    total = lambda beta: sum(r["k"] * r["mean"] ** beta for r in steps)
+    lo, hi = 0.0, 1.0
+    for _ in range(50):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if total(mid) < pairs else (lo, mid)
+    return (lo + hi) / 2
+
+
+def fit(docs: DataFrame, filter_mb: int = FILTER_MB, bits_per_token: int = BITS_PER_TOKEN, tokens_per_block: int = TOKENS_PER_BLOCK, common: int = COMMON) -> tuple[LanguageModel, DataFrame]:
     """(model, exact word counts (key, n)) of the texts of docs (text)."""
     spark = docs.sparkSession
     counts = cut(_counts(docs, False).groupBy("key").agg(F.sum("n").alias("n")))
@@ -171,47 +190,34 @@ def fit(docs: DataFrame, filter_mb: int = FILTER_MB, bits_per_token: int = BITS_
     ends = counts.where(F.col("key") == int(END.astype(np.int64))).select("n").first()
     n_docs = ends[0] if ends else 0
     # the common words: those from the least count that at most `common` words reach
-    steps = counts.groupBy(F.floor(F.log2("n") * 4).alias("s")).agg(F.count("*").alias("k"), F.min("n").alias("least")).orderBy(F.desc("s")).collect()
-    least, sofar, least_ctx = None, 0, None
+    steps = counts.groupBy(F.floor(F.log2("n") * 4).alias("s")).agg(F.count("*").alias("k"), F.min("n").alias("least"), F.avg("n").alias("mean")).orderBy(F.desc("s")).collect()
+    least, sofar = 2**62, 0
     for r in steps:
         sofar += r["k"]
         least = r["least"] if sofar <= common else least
-        least_ctx = r["least"] if sofar <= contexts else least_ctx
-    top = counts.where(F.col("n") >= (least if least is not None else 2**62)).toArrow()
+    top = counts.where(F.col("n") >= least).toArrow()
     key, num = top.column("key").to_numpy().view(U), top.column("n").to_numpy()
     order = np.argsort(key)
     key, num = key[order], num[order]
-    if n_docs:  # START stands before each text
-        key, num = np.insert(key, at := int(np.searchsorted(key, START)), START), np.insert(num, at, n_docs)
-    wide = np.unique((key[num >= (least_ctx if least_ctx is not None else 2**62)] >> U(32)))
     blocks = 1 << max(4, int(n // tokens_per_block).bit_length())
     block_bits = -(-max(1 << 16, bits_per_token * n) // blocks // 8) * 8
-    held = spark.sparkContext.broadcast((wide, block_bits))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k = b.column(0).to_numpy().view(U)
             yield pa.RecordBatch.from_arrays([pa.array(_block(k, blocks).astype(np.int32)), *b.columns], names=["block", "key", "n", "pair"])
 
-    rare = counts.where(F.col("n") < (least if least is not None else 2**62)).select("key", "n", F.lit(False).alias("pair"))
-    grams = _counts(docs, True).select("key", "n", F.lit(True).alias("pair")).unionByName(rare)
+    grams = _counts(docs, True).select("key", "n", F.lit(True).alias("pair")).unionByName(counts.select("key", "n", F.lit(False).alias("pair")))
     grams = grams.mapInArrow(keyed, "block int, key bigint, n bigint, pair boolean").repartition(min(blocks, MAX_TASKS), "block").groupBy("block", "key", "pair").agg(F.sum("n").alias("n"))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows: (block, its bits), (-1, null, context, followers), (-2, null, n1, n2)."""
-        wide, block_bits = held.value
+        """Rows: (block, its bits, null), and (-1, null, number of distinct pairs)."""
         parts: dict[int, np.ndarray] = {}
-        ctx = np.zeros(len(wide), np.int64)
-        singles = doubles = 0
+        pairs = 0
         for b in batches:
             block, key, pair, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             key = key.view(U)
-            singles += int((pair & (n == 1)).sum())
-            doubles += int((pair & (n == 2)).sum())
-            if len(wide):
-                c = key[pair] >> U(32)
-                i = np.minimum(np.searchsorted(wide, c), len(wide) - 1)
-                ctx += np.bincount(i[wide[i] == c], minlength=len(wide))
+            pairs += int(pair.sum())
             for name in np.unique(block):
                 bits = parts.setdefault(int(name), np.zeros(block_bits, bool))
                 at = block == name
@@ -222,16 +228,12 @@ def fit(docs: DataFrame, filter_mb: int = FILTER_MB, bits_per_token: int = BITS_
                     level += 1
                     more = m >= LEVELS[level]
                     k, m = k[more], m[more]
-        names = ["block", "bits", "a", "b"]
+        names = ["block", "bits", "pairs"]
         for name, bits in parts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), pa.array([0], pa.int64()), pa.array([0], pa.int64())], names=names)
-        at = np.flatnonzero(ctx)
-        a, c = np.concatenate([wide[at].astype(np.int64), [singles]]), np.concatenate([ctx[at], [doubles]])
-        kind = np.full(len(a), -1, np.int32)
-        kind[-1] = -2
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.nulls(len(a), pa.binary()), pa.array(a), pa.array(c)], names=names)
-
-    got = cut(grams.mapInArrow(fill, "block int, bits binary, a bigint, b bigint"))
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), pa.nulls(1, pa.int64())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.nulls(1, pa.binary()), pa.array([pairs], pa.int64())], names=names)
+
+    got = cut(grams.mapInArrow(fill, "block int, bits binary, pairs bigint"))
     per_group = max(1, (filter_mb << 23) // block_bits)
     parts = []
     for lo in range(0, blocks if n else 0, per_group):
@@ -239,13 +241,8 @@ def fit(docs: DataFrame, filter_mb: int = FILTER_MB, bits_per_token: int = BITS_
         for r in got.where(F.col("block").between(lo, lo + len(group) - 1)).select("block", "bits").toLocalIterator():
             group[r["block"] - lo] = np.frombuffer(r["bits"], np.uint8)
         parts.append(spark.sparkContext.broadcast(group.ravel()))
-    ones = got.where("block = -2").agg(F.sum("a"), F.sum("b")).first()
-    n1, n2 = ones[0] or 0, ones[1] or 0
-    followers = got.where("block = -1").groupBy("a").agg(F.sum("b").alias("b")).toArrow()
-    ctx, fol = followers.column("a").to_numpy().astype(U), followers.column("b").to_numpy()
-    order = np.argsort(ctx)
-    model = LanguageModel(n, v, n_docs, n1 / (n1 + 2 * n2) if n1 else 0.5, block_bits, blocks, per_group, parts, key, num, ctx[order], fol[order])
-    return model, counts
+    pairs = got.agg(F.sum("pairs")).first()[0] or 0
+    return LanguageModel(n, v, n_docs, _exponent(steps, pairs), block_bits, blocks, per_group, parts, key, num), counts
 
 
 def score(docs: DataFrame, model: LanguageModel, counts: DataFrame) -> DataFrame:
@@ -261,14 +258,14 @@ def score(docs: DataFrame, model: LanguageModel, counts: DataFrame) -> DataFrame
         window: list[tuple] = []  # (rid, doc_id, tokens of each row, hash of each token, row) of each slice
 
         def scored() -> Iterator[pa.RecordBatch]:
-            rests = [np.unique(w[~m.exact(w)[1]]) for *_, w, _ in window]
-            keys = [x for (*_, w, row), rest in zip(window, rests, strict=True) for x in (rest, pair_key(previous(w, row), w))]
+            words = [np.unique(w) for *_, w, _ in window]
+            keys = [x for (*_, w, row), word in zip(window, words, strict=True) for x in (word, pair_key(previous(w, row), w))]
             ends = np.cumsum([len(x) for x in keys])
             key = np.concatenate(keys)
             keys.clear()
             counts = np.split(m.probe(key, parts), ends[:-1])
             for i, piece in enumerate(window):
-                yield one(*piece, rests[i], COUNTS[counts[2 * i]], COUNTS[counts[2 * i + 1]])
+                yield one(*piece, words[i], counts[2 * i], counts[2 * i + 1])
             window.clear()
 
         def previous(w: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -276,8 +273,8 @@ def score(docs: DataFrame, model: LanguageModel, counts: DataFrame) -> DataFrame
             np.copyto(v[1:], w[:-1], where=row[1:] == row[:-1])
             return v
 
-        def one(rid: pa.Array, doc_id: pa.Array, count: np.ndarray, w: np.ndarray, row: np.ndarray, uniq: np.ndarray, n_uniq: np.ndarray, n_pair: np.ndarray) -> pa.RecordBatch:
-            rows, v = len(rid), previous(w, row)
+        def one(rid: pa.Array, doc_id: pa.Array, count: np.ndarray, w: np.ndarray, row: np.ndarray, uniq: np.ndarray, at_uniq: np.ndarray, at_pair: np.ndarray) -> pa.RecordBatch:
+            rows = len(rid)
             c, known = m.exact(w)
             add = lambda x: np.bincount(row, weights=x, minlength=rows)
             base, n_known = add(np.where(known, m.log10(c), 0.0)), add(known & (c > 0))
@@ -289,21 +286,11 @@ def score(docs: DataFrame, model: LanguageModel, counts: DataFrame) -> DataFrame
             at = np.flatnonzero(new)
             times = np.diff(np.append(at, len(order)))
             ends = np.searchsorted(row[order][at], np.arange(rows + 1))
-            # the model: words and contexts from exact counts or probes, pairs from probes
-            cw = c.copy()
-            cw[rest] = n_uniq[np.searchsorted(uniq, w[rest])]
-            cv = np.empty_like(cw)
-            cv[1:] = cw[:-1]
-            cv[v == START] = m.docs
-            pw = (cw + 0.1) / (m.n + 0.1 * (m.v + 1))
-            cvw = np.minimum(n_pair, np.minimum(cv, np.maximum(cw, 1)))
-            tv = cv.astype(float)
-            if len(m.contexts):
-                i = np.minimum(np.searchsorted(m.contexts, v >> U(32)), len(m.contexts) - 1)
-                wide = m.contexts[i] == v >> U(32)
-                tv = np.where(wide, np.minimum(m.followers[i], tv), tv)
-            p = np.where(cv > 0, (np.maximum(cvw - m.d, 0) + m.d * tv * pw) / np.maximum(cv, 1), pw)
-            total = add(np.log10(np.minimum(p, 1.0)))
+            # the model: places in COUNTS from probes
+            word = at_uniq[np.searchsorted(uniq, w)].astype(np.int16)
+            before = np.full_like(word, -1)
+            np.copyto(before[1:], word[:-1], where=row[1:] == row[:-1])
+            total = add(np.log10(m.probability(word, before, at_pair)))
             lists = lambda x: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x))
             return pa.RecordBatch.from_arrays(
                 [rid, doc_id, pa.array(count + 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(total), lists(w[order][at].view(np.int64)), lists(times.astype(np.int32))],
