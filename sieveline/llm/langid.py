@@ -1,6 +1,6 @@
 """Language identification with spans (operator 9).
 
-Words are runs of letters. The Unicode script ranges of a word's letters narrow its candidate languages to those
+Words are runs of letters and marks, by Unicode category. The Unicode script ranges of a word's letters narrow its candidate languages to those
 whose training text uses that script. Each candidate scores the word by smoothed log probabilities of its letter
 trigrams (bytes, lower case, word edges included, hashed to a fixed table). Per text, Viterbi over the words with a
 penalty for each switch labels spans; the text's language is the one whose spans hold most letters.
@@ -16,6 +16,7 @@ the language first in code-point order; null labels teach nothing; all columns a
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +34,29 @@ SAMPLE_ROWS = 3000
 SWITCH, FLOOR, ALPHA = 12.0, -8.0, 0.05
 UND = "und"
 
-# First code points of script ranges and their scripts (0: any).
-SCRIPTS = [(0, 0), (0x41, 1), (0x5B, 0), (0x61, 1), (0x7B, 0), (0xAA, 1), (0xAB, 0), (0xB5, 1), (0xB6, 0), (0xBA, 1), (0xBB, 0), (0xC0, 1), (0xD7, 0), (0xD8, 1), (0xF7, 0), (0xF8, 1), (0x2C2, 0), (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x700, 7), (0x780, 8), (0x900, 9), (0x980, 10), (0xA00, 11), (0xB80, 12), (0xC00, 13), (0xE00, 14), (0xE80, 15), (0xF00, 16), (0x1000, 17), (0x10A0, 18), (0x1100, 19), (0x1200, 20), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x3040, 21), (0x3100, 22), (0x3400, 23), (0xA000, 22), (0xAC00, 19), (0xD7B0, 0), (0xF900, 23), (0xFB00, 0), (0xFF21, 1), (0xFF3B, 0), (0xFF41, 1), (0xFF5B, 0), (0xFF66, 21), (0xFFA0, 0), (0x20000, 23), (0x40000, 0)]
-N_SCRIPTS = 24
-_STARTS = np.array([a for a, _ in SCRIPTS])
-_CODES = np.array([b for _, b in SCRIPTS])
+# First code points of blocks of one script, and a number for it (0: letters of no named script).
+BLOCKS = [(0, 1), (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x700, 7), (0x780, 8), (0x900, 9), (0x980, 10), (0xA00, 11), (0xB80, 12), (0xC00, 13), (0xE00, 14), (0xE80, 15), (0xF00, 16), (0x1000, 17), (0x10A0, 18), (0x1100, 19), (0x1200, 20), (0x1380, 0), (0x1E00, 1), (0x1F00, 2), (0x2000, 1), (0x2C80, 0), (0x3005, 23), (0x3040, 21), (0x3100, 22), (0x3130, 19), (0x3190, 0), (0x31F0, 21), (0x3200, 0), (0x3400, 23), (0xA000, 22), (0xA4D0, 0), (0xAC00, 19), (0xD7B0, 0), (0xF900, 23), (0xFB00, 1), (0xFB07, 4), (0xFB1D, 5), (0xFB50, 6), (0xFE00, 0), (0xFE70, 6), (0xFF00, 1), (0xFF66, 21), (0xFFA0, 19), (0x10000, 0), (0x1D400, 1), (0x1D6A8, 2), (0x1D7CC, 0), (0x20000, 23), (0x40000, 0)]
+N_SCRIPTS = 25
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """First code points of runs of one kind, and the kinds: 0 for what belongs to no word, else 1 + script, plus MARK for marks, which
+    stand in words but are no letters."""
+    starts, kinds = [], []
+    of = np.zeros(0x40000, np.uint8)
+    for (at, script), (end, _) in zip(BLOCKS, BLOCKS[1:], strict=False):
+        of[at:end] = script
+    for c in range(0x40000):
+        category = unicodedata.category(chr(c))
+        kind = int(of[c]) + 1 if category[0] == "L" else MARK + int(of[c]) + 1 if category[0] == "M" else 0
+        if not kinds or kinds[-1] != kind:
+            starts.append(c)
+            kinds.append(kind)
+    return np.array([*starts, 0x40000]), np.array([*kinds, 0], np.uint8)
+
+
+MARK = 32
+_STARTS, _CODES = _tables()
 
 
 class Words:
@@ -47,9 +66,7 @@ class Words:
         d = data[offsets[0] : offsets[-1]]
         off = offsets - offsets[0]
         n = len(d)
-        letter = (d >= 97) & (d <= 122) | (d >= 65) & (d <= 90)
-        script = np.zeros(n, np.uint8)
-        script[letter] = 1
+        script = ((d >= 97) & (d <= 122) | (d >= 65) & (d <= 90)).astype(np.uint8) * np.uint8(2)
         lead = np.flatnonzero(d >= 0xC0)
         if len(lead):
             b = np.concatenate([d, np.zeros(3, np.uint8)]).astype(np.int64)
@@ -61,7 +78,10 @@ class Words:
                 at = lead[size > k] + k
                 ok = at < n
                 script[at[ok]] = code[size > k][ok]
-            letter = script > 0
+        true = np.append(0, np.cumsum((script > 0) & (script < MARK)))
+        self.has_letter = true[off[1:]] > true[off[:-1]]
+        letter = script > 0
+        script &= np.uint8(MARK - 1)
         edge = np.zeros(n + 1, bool)
         edge[off] = True
         before, after = np.zeros(n, bool), np.zeros(n, bool)
@@ -203,7 +223,7 @@ def predict(docs: DataFrame, model: Model, penalty: float = SWITCH) -> DataFrame
                 size = w.end - w.start
                 for i in range(hi - lo):
                     x, y = w.bounds[i], w.bounds[i + 1]
-                    if x == y or not m.langs:
+                    if not w.has_letter[i] or not m.langs:
                         pred.append(UND), score.append(0.0), spans.append([])
                         continue
                     part = s[x:y]
