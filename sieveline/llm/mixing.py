@@ -5,8 +5,8 @@ words and the excess is reshared by weight until none is above. A source's words
 in passes: whole passes first, then part of one more pass.
 
 Documents fall into `blocks` hash blocks per source, permuted by a seeded hash. The part of the last pass that a
-source still owes is a number of whole blocks in permuted order and, in the one block where the target falls, the
-documents in hash order up to the nearest document boundary. All block copies that a source owes are its quota. The
+source still owes is a number of whole blocks in permuted order, in the one block where the target falls the documents
+in hash order as long as they fit, and then, `CLOSING` times, the one document of those left that comes nearest to what is still owed. All block copies that a source owes are its quota. The
 quotas are split among 2**levels output shards by a binary tree: each node draws how many blocks of each source go
 left from the multivariate hypergeometric distribution (a fold of seeded inverse-CDF hypergeometric draws over
 sources), so shards hold equal numbers of blocks and every source's quota is met exactly. A shard then takes its
@@ -17,8 +17,7 @@ block sums, a window inside single blocks, and joins of documents with block tab
 sources x blocks. No Python runs on the executors.
 
 Defined results: null text has size 0; null source is a source of its own, last in order; documents of size 0 are taken
-never; sources without words get target 0; rows equal in id and text are separate documents with equal order keys and get
-an equal decision unless the boundary falls between them; an empty table gives an empty mix. Reruns agree."""
+never; sources without words get target 0; rows equal in id, source and text are separate documents that get one decision; an empty table gives an empty mix. Reruns agree."""
 
 from __future__ import annotations
 
@@ -29,7 +28,7 @@ from sieveline.llm.common import SPACES, cut, table
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3.0
-BLOCKS, LEVELS, SEED = 256, 4, 17
+BLOCKS, LEVELS, SEED, CLOSING = 256, 4, 17, 3
 
 
 def n_words(text: Column) -> Column:
@@ -137,13 +136,25 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: floa
     # bounded: sources x blocks rows
     d = d.join(bb, F.col("source").eqNullSafe(F.col("bs")) & (F.col("blk") == F.col("bb"))).drop("bs", "bb")
     inside = Window.partitionBy("source", "blk").orderBy(F.xxhash64(F.lit(seed + 2), "rid"), "rid")
-    cum = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    cum = F.sum("size").over(inside)  # equal rows have one place and one sum
     whole = d.where((F.col("part") >= F.col("b")) | (F.col("part") <= 0)).withColumn("extra", F.when(F.col("part") > 0, 1).otherwise(0))
-    cutting = d.where((F.col("part") < F.col("b")) & (F.col("part") > 0)).withColumn("extra", F.when(cum - F.col("size") / 2 <= F.col("part"), 1).otherwise(0))
-    d = whole.unionByName(cutting).withColumn("copies", F.when(F.col("size") > 0, F.least(F.col("passes") + F.col("extra"), F.lit(int(max_repeat)))).otherwise(0).cast("long"))
+    cutting = d.where((F.col("part") < F.col("b")) & (F.col("part") > 0)).withColumn("extra", F.when(cum <= F.col("part"), 1).otherwise(0))
+    d = cut(whole.unionByName(cutting))
+    closed = None
+    for _ in range(CLOSING):  # one row a source
+        gap = d.groupBy("source").agg((F.first("target") - F.first("passes") * F.first("source_size") - F.sum(F.col("size") * F.col("extra"))).alias("gap")).withColumnRenamed("source", "gs")
+        alone = d.where("extra = 0 and size > 0").groupBy("source", "blk", "rid").agg(F.sum("size").alias("s"))
+        alone = alone.join(F.broadcast(gap), F.col("source").eqNullSafe(F.col("gs"))).withColumn("off", F.abs(F.col("gap") - F.col("s"))).where("off < gap")
+        take = cut(alone.groupBy("source").agg(F.min(F.struct("off", F.xxhash64(F.lit(seed + 5), "rid").alias("lot"), "rid", "blk")).alias("m")).select(F.col("source").alias("cs"), F.col("m.rid").alias("cr"), F.col("m.blk").alias("cb")))
+        closed = take if closed is None else closed.unionByName(take)
+        hit = F.col("source").eqNullSafe(F.col("cs")) & (F.col("rid") == F.col("cr"))
+        d = d.join(F.broadcast(take), hit, "left").withColumn("extra", F.when(F.col("cr").isNotNull(), 1).otherwise(F.col("extra"))).drop("cs", "cr", "cb")
+    d = d.withColumn("copies", F.when(F.col("size") > 0, F.least(F.col("passes") + F.col("extra"), F.lit(int(max_repeat)))).otherwise(0).cast("long"))
     d = d.select("doc_id", "source", "rid", "size", "source_size", "target", "copies", "blk")
     # blocks owed per source: every pass over every block, and the blocks of the broken pass
-    owed = b.select("source", "blk", "place", (F.col("passes") + F.when(F.col("part") > 0, 1).otherwise(0)).alias("n")).where("n > 0").select("source", "blk", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    near = closed.select("cs", "cb").distinct()
+    b = b.join(F.broadcast(near), F.col("source").eqNullSafe(F.col("cs")) & (F.col("blk") == F.col("cb")), "left")
+    owed = b.select("source", "blk", "place", (F.col("passes") + F.when((F.col("part") > 0) | F.col("cb").isNotNull(), 1).otherwise(0)).alias("n")).where("n > 0").select("source", "blk", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
     owed = cut(owed.withColumn("slot", F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 3), "source", "blk", "copy"), "blk", "copy"))))
     dealt = split(owed.groupBy("source").agg(F.count("*").alias("quota")), levels, seed)
     dealt = dealt.withColumn("upto", F.sum("quota").over(Window.partitionBy("source").orderBy("shard"))).select(F.col("source").alias("qs"), "shard", "upto", (F.col("upto") - F.col("quota")).alias("from"))
