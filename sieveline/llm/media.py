@@ -157,6 +157,12 @@ def metadata(index: DataFrame) -> DataFrame:
     return index.mapInArrow(run, schema)
 
 
+def spread(index: DataFrame, task_bytes: int = SHARD_BYTES // 4) -> DataFrame:
+    """index in partitions of about task_bytes of stored bytes: rows of one stretch of a shard together, for the reads that follow."""
+    total = index.agg(F.sum("length")).first()[0] or 0
+    return index.repartition(max(1, -(-total // task_bytes)), "shard", F.floor(F.col("offset") / task_bytes))
+
+
 def feature_of(payload: bytes) -> str:
     """Mean, deviation and entropy of the samples, and the mean difference of neighbours, as text."""
     x = np.frombuffer(payload, np.uint8)
@@ -197,4 +203,4 @@ def members(shard: bytes) -> list[str]:
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = cut(store(table(spark, sf_dir, "documents"), scratch(spark)))
-    return features(metadata(index))
+    return features(metadata(spread(index)))
