@@ -203,28 +203,29 @@ def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, penalty: float = SWITCH) -> DataFrame:
-    """row struct of all columns of docs, lang_pred, score and spans (lang, first word, last word) per row.
+    """row struct of all columns of docs, lang_pred, score, spans (lang, first word, last word) and explained per row.
 
-    score: the part of the text's letters in spans of lang_pred, times that language's posterior over the words."""
+    explained: the part of the text's letters in words of a script that some learned language uses. score: the part of the text's letters in spans of lang_pred, times that language's posterior over the words."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
     kind = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("last", pa.int32())]))
-    schema = StructType([rows.schema["row"], *StructType.fromDDL("lang_pred string, score double, spans array<struct<lang:string,first:int,last:int>>")])
+    schema = StructType([rows.schema["row"], *StructType.fromDDL("lang_pred string, score double, spans array<struct<lang:string,first:int,last:int>>, explained double")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
             data, offsets = buffers(_lower(b.column(1)))
-            pred, score, spans = [], [], []
+            pred, score, spans, explained = [], [], [], []
             for lo, hi in slices(offsets):
                 w = Words(data, offsets[lo : hi + 1])
                 s = m.scores(w)
                 size = w.end - w.start
+                used = np.append(0, np.cumsum(np.where(m.uses.any(0)[w.script], size, 0))) if m.langs else np.zeros(len(size) + 1)
                 for i in range(hi - lo):
                     x, y = w.bounds[i], w.bounds[i + 1]
                     if not w.has_letter[i] or not m.langs:
-                        pred.append(UND), score.append(0.0), spans.append([])
+                        pred.append(UND), score.append(0.0), spans.append([]), explained.append(0.0)
                         continue
                     part = s[x:y]
                     path = viterbi(part, penalty)
@@ -237,8 +238,9 @@ def predict(docs: DataFrame, model: Model, penalty: float = SWITCH) -> DataFrame
                     cut = np.flatnonzero(np.diff(path)) + 1
                     first, last = [0, *cut.tolist()], [*(cut - 1).tolist(), len(path) - 1]
                     pred.append(m.langs[top]), score.append(float(weight[top] / weight.sum() * odds))
+                    explained.append(float((used[y] - used[x]) / size[x:y].sum()))
                     spans.append([{"lang": m.langs[path[a]], "first": a, "last": z} for a, z in zip(first, last, strict=True)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, kind)], names=["row", "lang_pred", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, kind), pa.array(explained, pa.float64())], names=["row", "lang_pred", "score", "spans", "explained"])
 
     return rows.mapInArrow(run, schema)
 

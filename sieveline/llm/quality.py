@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     """(classifier, share of class 1) from docs (doc_id, text) and labels (doc_id, quality) outside the held-out fold.
 
     Statistics of the sampled rows are made on the executors; the driver gets STATS numbers for each, as many rows as the bound allows."""
-    known = labels.where((fold(F.col("doc_id"), 5) != 0) & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("y")).dropDuplicates(["doc_id"])
+    known = labels.where((fold(F.col("doc_id"), 5) != 0) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("y"))
     per = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not per:
         return train(np.zeros((0, STATS)), np.zeros(0)), 0.5

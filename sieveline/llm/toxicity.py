@@ -276,7 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     """Model from docs (doc_id, text) and labels (doc_id, toxic) outside the held-out fold.
 
     The sample's ids are few by their bound, so they are broadcast; the documents are scanned once, not shuffled."""
-    known = labels.where((fold(F.col("doc_id"), 5) != 0) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    known = labels.where((fold(F.col("doc_id"), 5) != 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     per = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not per:
         return train([], [])
