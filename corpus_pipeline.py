@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 from sieveline.llm import decontaminate, jaccard_join, langid, line_dedup, mixing
 from sieveline.llm.common import cut, table
 
-#: Language ID rejects a text in no learned language, or whose best language explains less than this part of it.
-MIN_LANG_SCORE = 0.5
+#: Language ID rejects a text without letters, or with less than this part of its letters in scripts of learned languages; a text
+#: that mixes learned languages is kept, however evenly.
+MIN_EXPLAINED = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is predicted with a score of MIN_LANG_SCORE or more."""
+    """Keeps documents of which MIN_EXPLAINED of the letters or more are in learned scripts."""
     out = langid.predict(docs, langid.fit(langid.train_rows(docs)))
-    good = out.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= MIN_LANG_SCORE))
+    good = out.where((F.col("lang_pred") != langid.UND) & (F.col("explained") >= MIN_EXPLAINED))
     return good.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
