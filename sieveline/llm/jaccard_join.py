@@ -16,7 +16,7 @@ Groups of copies are never expanded into pairs. Equal word sequences are one cla
 the sequence. The classes of one prefix shingle are a group. Small groups list their pairs. A large group is split around a
 pivot, the member that lies in most large groups: each member is compared with it exactly, and members that link to it are
 one component without a look at their pairs. Of the others only those pairs can link that share enough of their differences
-from the pivot, which are selective keys: they meet in a join on prefixes of the differences, whose condition bounds what can
+from the group's centre, which are selective keys: they meet in a join on prefixes of the differences, whose condition bounds what can
 still be shared (`_apart`). Pairs across components pass the other orders' filters, then their whole sets are compared.
 
 Defined results: null and empty texts have no shingles, link with nothing and are their own component, also among
@@ -214,10 +214,10 @@ def _beside(rows: DataFrame, pivots: DataFrame) -> DataFrame:
 
 
 def _differences(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, p, n, size, d, short, linked, lead) for the members of each pivot p, itself included.
+    """(node, p, n, size, out, d, short, linked, lead) for the members of each pivot p, itself included.
 
     The centre of a pivot's members is the set of the items that most of them have: p with each item changed in which more than
-    half of them differ from it. d: the first items of D = x ^ centre of member x, what the centre lacks before what it has; size: |D|.
+    half of them differ from it. d: the first items of D = x ^ centre of member x, the `out` ones that the centre lacks before those it has; size: |D|.
     With excess(x) = (100 + percent) |D| - (100 - percent) |x|, two members link for certain if their excesses sum up to 0 or less, as
     |x ^ y| <= |Dx| + |Dy|; so all `linked` members do with `lead`, the one of least excess. Others, as |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|,
     must share half of that sum over (100 + percent). One of the two isn't linked, which bounds its excess, so the linked one's
@@ -237,14 +237,14 @@ def _differences(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     more = F.array_sort(F.concat(F.array_except("more", "add"), F.array_except("take", "less")))
     less = F.array_sort(F.concat(F.array_except("less", "take"), F.array_except("add", "more")))
     up, down = 100 + percent, 100 - percent
-    d = d.select("node", "p", "n", F.concat(more, less).alias("d")).withColumn("size", F.size("d")).withColumn("excess", up * F.col("size") - down * F.col("n"))
+    d = d.select("node", "p", "n", more.alias("m"), less.alias("l")).select("node", "p", "n", F.concat("m", "l").alias("d"), F.size("m").alias("out")).withColumn("size", F.size("d")).withColumn("excess", up * F.col("size") - down * F.col("n"))
     d = cut(d)
     least = cut(d.groupBy("p").agg(F.min(F.struct("excess", "node")).alias("m")).select("p", F.col("m.excess").alias("least"), F.col("m.node").alias("lead")))
     d = d.join(_few(least), "p").withColumn("linked", (F.col("excess") + F.col("least") <= 0) | (F.col("node") == F.col("lead")))
     any_partner = F.greatest(F.lit(1), F.col("size") - F.floor(down * F.col("n") / percent + F.lit(1e-9)))
     not_linked = F.greatest(any_partner, F.ceil((F.col("excess") + F.greatest(F.col("least"), 1 - F.col("least"))) / F.lit(2 * up) - F.lit(1e-9)))
     first = lambda need: F.greatest(F.lit(0), F.col("size") - need + 1).cast("int")
-    return d.select("node", "p", "n", "size", F.slice("d", F.lit(1), first(F.when(F.col("linked"), not_linked).otherwise(any_partner))).alias("d"), first(not_linked).alias("short"), "linked", "lead")
+    return d.select("node", "p", "n", "size", "out", F.slice("d", F.lit(1), first(F.when(F.col("linked"), not_linked).otherwise(any_partner))).alias("d"), first(not_linked).alias("short"), "linked", "lead")
 
 
 def _apart(found: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
@@ -253,11 +253,12 @@ def _apart(found: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     One of them, a, isn't linked to the lead. Pairs meet in the first item they share, which bounds how many can follow."""
     at = cut(_named(_named(found, comp), comp, "lead", "cp"))
     mixed = cut(at.groupBy("p").agg(F.max(F.col("c") != F.col("cp")).alias("mixed")).where("mixed").select("p"))
-    keys = cut(at.join(_few(mixed), "p").select("p", "node", "n", "size", "linked", "short", "c", "cp", F.posexplode("d").alias("pos", "key")))
-    a = keys.where("c <> cp").select("p", "key", *[F.col(x).alias(f"{x}_a") for x in ("node", "n", "size", "short", "pos", "c")])
-    b = keys.where("pos < short").select("p", "key", *[F.col(x).alias(f"{x}_b") for x in ("node", "n", "size", "pos", "c", "linked")], (F.col("c") == F.col("cp")).alias("in_b"))
+    keys = cut(at.join(_few(mixed), "p").select("p", "node", "n", "size", "out", "linked", "short", "c", "cp", F.posexplode("d").alias("pos", "key")))
+    a = keys.where("c <> cp").select("p", "key", *[F.col(x).alias(f"{x}_a") for x in ("node", "n", "size", "out", "short", "pos", "c")])
+    b = keys.where("pos < short").select("p", "key", *[F.col(x).alias(f"{x}_b") for x in ("node", "n", "size", "out", "pos", "c", "linked")], (F.col("c") == F.col("cp")).alias("in_b"))
     up, down = 100 + percent, 100 - percent
-    follow = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
+    had = F.least(F.col("size_a") - F.greatest("out_a", "pos_a"), F.col("size_b") - F.greatest("out_b", "pos_b"))
+    follow = had + F.greatest(F.lit(0), F.least(F.col("out_a") - F.col("pos_a"), F.col("out_b") - F.col("pos_b")))
     enough = 2 * up * follow >= up * (F.col("size_a") + F.col("size_b")) - down * (F.col("n_a") + F.col("n_b"))
     near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
     open_b = F.col("linked_b") | ((F.col("pos_a") < F.col("short_a")) & (F.col("in_b") | (F.col("node_a") < F.col("node_b"))))
@@ -300,18 +301,25 @@ def _named(m: DataFrame, comp: DataFrame | None, node: str = "node", name: str =
 
 def _links(kept: DataFrame, docs: DataFrame, reps: DataFrame, order, k: int, percent: int, orders: int, small: int = SMALL) -> DataFrame:
     """(a, b): enough links between classes to make the components of all, from the members (s, node, ix) of each prefix shingle."""
-    sizes = cut(kept.groupBy("s").agg(F.count("*").alias("k")))
-    wide = cut(sizes.where(F.col("k") > small))
-    # a small group lists its pairs: at most small / 2 for each member
-    members = kept.join(_few(wide), "s", "left_anti").groupBy("s").agg(F.collect_list(F.struct("node", "ix")).alias("x"))
-    two = members.select(F.posexplode("x").alias("i", "p"), "x").select("p", F.explode(F.slice("x", F.lit(1), F.col("i"))).alias("q")).where("p.ix or q.ix")
-    pool = cut(two.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct())
-    large = cut(kept.join(_few(wide), "s").select("s", "k", "node"))
+    def grouped(m: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(pairs of the small groups: at most small / 2 for each member; members of the large ones with their group's size k)."""
+        wide = cut(m.groupBy("s").agg(F.count("*").alias("k")).where(F.col("k") > small))
+        members = m.join(_few(wide), "s", "left_anti").groupBy("s").agg(F.collect_list(F.struct("node", "ix")).alias("x"))
+        two = members.select(F.posexplode("x").alias("i", "p"), "x").select("p", F.explode(F.slice("x", F.lit(1), F.col("i"))).alias("q")).where("p.ix or q.ix")
+        pairs = cut(two.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct())
+        return pairs, cut(m.join(_few(wide), "s"))
+
+    sized = _few(reps.select("node", "n"))
+    pool, large = grouped(kept)
+    # sets that link lie in one band of sizes or in two next to each other; a large group is split into such neighbours
+    band = F.floor(F.log("n") / F.log(F.lit(100 / percent)) + F.lit(1e-9))
+    more, large = grouped(large.join(sized, "node").select(F.explode(F.array(band, band - 1)).alias("band"), "s", "node", "ix").select(F.xxhash64("s", "band").alias("s"), "node", "ix"))
+    pool = pool.unionByName(more)
     # the pivot of a group is the member that lies in most of the large ones
     degree = _few(cut(large.groupBy("node").agg(F.sum("k").alias("d"))))
     pivot = large.join(degree, "node").groupBy("s").agg(F.max(F.struct("d", "node")).alias("m")).select("s", F.col("m.node").alias("p"))
     star = cut(large.join(_few(cut(pivot)), "s").select("node", "p").distinct())
-    free(sizes, large)
+    free(large)
     near_pivot = cut(_whole(docs, _ends(star.select(F.col("node").alias("a"), F.col("p").alias("b")), reps), k))
     found = cut(_differences(star, near_pivot, percent))
     free(near_pivot)
@@ -319,7 +327,6 @@ def _links(kept: DataFrame, docs: DataFrame, reps: DataFrame, order, k: int, per
     comp = _components(links)
     pool = pool.unionByName(_apart(found, comp, percent)).distinct()
     pool = _named(_named(pool, comp, "a", "ca"), comp, "b", "cb").where("ca <> cb").select("a", "b")
-    sized = _few(reps.select("node", "n"))
     pool = pool.join(sized.toDF("a", "na"), "a").join(sized.toDF("b", "nb"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     return links.unionByName(_met(cut(pool.select("a", "b")), docs, reps, order, k, percent, orders))
 
