@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ def _flag(name: str):
 PREDICATES = {
     "category": lambda v: F.coalesce(F.arrays_overlap("categories", F.array(*[F.lit(x) for x in ([v] if isinstance(v, str) else v)])), F.lit(False)),
     "import_present": lambda v: F.coalesce(F.array_contains("modules", v), F.lit(False)),
-    "regex": lambda v: F.coalesce(F.exists("added", lambda x: x.rlike(v)), F.lit(False)),
+    "regex": lambda v: F.coalesce(F.exists("added", lambda x: x.rlike(java_pattern(v))), F.lit(False)),
     "blob_present": _flag("blob"),
     "syntax_error": _flag("syntax_error"),
     "location_at_least": lambda v: F.coalesce(F.col("location_weight") >= float(v), F.lit(False)),
@@ -35,8 +36,66 @@ PREDICATES = {
 }
 
 
+def _text(v: object) -> bool:
+    return isinstance(v, str) and bool(v)
+
+
+def _texts(v: object) -> bool:
+    return _text(v) or isinstance(v, list) and bool(v) and all(map(_text, v))
+
+
+def java_pattern(pattern: str) -> str | None:
+    """The pattern in the syntax of Spark's regular expressions, None if it can't be stated there.
+
+    Named groups and end anchors are respelled; brackets and && inside classes are escaped; conditionals and Python's own flags refused."""
+    try:
+        if len(pattern) > 1000 or re.compile(pattern) is None:
+            return None
+    except (re.error, OverflowError, RecursionError):
+        return None
+    if re.search(r"\(\?\(|\(\?[aLu]", pattern):
+        return None
+    name = lambda m: m[1].replace("_", "u95")
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        rest = pattern[i:]
+        if rest[0] == "\\":
+            out.append({"\\Z": r"\z"}.get(rest[:2], rest[:2]) if not inside else rest[:2])
+            i += 2
+        elif not inside and (m := re.match(r"\(\?P<(\w+)>", rest)):
+            out.append(f"(?<{name(m)}>")
+            i += len(m[0])
+        elif not inside and (m := re.match(r"\(\?P=(\w+)\)", rest)):
+            out.append(rf"\k<{name(m)}>")
+            i += len(m[0])
+        elif not inside and rest[0] == "[":
+            inside, start = True, re.match(r"\[\^?\]?", rest)[0]
+            out.append(start.replace("]", r"\]"))
+            i += len(start)
+        else:
+            inside = inside and rest[0] != "]"
+            out.append("\\" + rest[0] if inside and rest[0] in "[&" else rest[0])
+            i += 1
+    return "".join(out)
+
+
+#: What each predicate's argument must be.
+ARGUMENTS = {
+    "category": _texts, "autoexec": _texts, "name": _text, "import_present": _text, "reason": _text,
+    "regex": lambda v: isinstance(v, str) and java_pattern(v) is not None,
+    "location_at_least": lambda v: isinstance(v, int | float) and not isinstance(v, bool) and v == v,
+    "blob_present": lambda v: v is True, "syntax_error": lambda v: v is True, "maintainer_changed": lambda v: v is True,
+}
+#: Predicates of each scope: of files, findings in archives, dependencies, owners.
+SCOPES = {"code": set(PREDICATES) - {"reason", "maintainer_changed"}, "binary": {"reason"}, "dep": {"reason"}, "maintainer": {"maintainer_changed"}}
+
+
 def valid(raw: object) -> Rule | None:
-    """The rule that a raw mapping states, None if it is broken; never raises."""
+    """The rule that a raw mapping states, None if it is broken; never raises. A rule that names its scope (applies_to) may only use that scope's predicates."""
+    allowed = set(PREDICATES)
+    if isinstance(raw, dict) and raw.get("applies_to") is not None:
+        scope = raw["applies_to"]
+        allowed = SCOPES.get(scope, set()) if isinstance(scope, str) else set()
 
     def tree(node: object) -> bool:
         if not isinstance(node, dict) or len(node) != 1:
@@ -46,19 +105,18 @@ def valid(raw: object) -> Rule | None:
             return isinstance(value, list) and bool(value) and all(map(tree, value))
         if key == "not":
             return tree(value)
-        if key == "regex":
-            try:
-                return isinstance(value, str) and len(value) <= 1000 and re.compile(value) is not None
-            except re.error:
-                return False
-        return key in PREDICATES and value is not None
+        return isinstance(key, str) and key in allowed and ARGUMENTS[key](value)
 
     if not isinstance(raw, dict) or not isinstance(raw.get("id"), str) or not raw["id"] or not tree(raw.get("match")):
         return None
     weight = raw.get("weight")
-    if isinstance(weight, bool) or not isinstance(weight, int | float):
+    try:
+        number = None if isinstance(weight, bool) else float(weight)
+    except (TypeError, ValueError, OverflowError):
+        return None
+    if number is None or not math.isfinite(number):
         return None
-    return Rule(raw["id"], float(weight), raw["match"], bool(raw.get("location_scaled", False)))
+    return Rule(raw["id"], number, raw["match"], bool(raw.get("location_scaled", False)))
 
 
 def load(raws: list[object]) -> list[Rule]:

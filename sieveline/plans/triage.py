@@ -74,18 +74,11 @@ def file_status_join(spark, d):
     return R.tree_status(files, _prior(spark, d).where("prior IS NOT NULL"))
 
 
-@query(f"WITH p AS (SELECT * FROM ({PRIOR}) WHERE prior IS NOT NULL), s AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT l_suppkey)) AS owners FROM lineitem GROUP BY ALL) SELECT version, a.owners IS DISTINCT FROM b.owners AS changed FROM p JOIN s a ON a.k = version JOIN s b ON b.k = prior")
-def owner_set_change(spark, d):
-    owners = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("owners"))
-    new, old = owners.select(F.col("l_orderkey").alias("version"), F.col("owners").alias("a")), owners.select(F.col("l_orderkey").alias("prior"), F.col("owners").alias("b"))
-    return _prior(spark, d).join(new, "version").join(old, "prior").select("version", (F.col("a") != F.col("b")).alias("changed"))
-
-
-@query("WITH s AS (SELECT l_partkey, min(l_shipdate) AS first FROM lineitem GROUP BY ALL) SELECT p_partkey AS name, CASE WHEN first IS NULL THEN 'nonexistent' WHEN first > TIMESTAMP '1992-03-01' THEN 'brand-new' END AS reason FROM part LEFT JOIN s ON l_partkey = p_partkey WHERE p_size > 10")
+@query("WITH s AS (SELECT l_partkey, min(l_shipdate) AS first FROM lineitem GROUP BY ALL) SELECT p_partkey AS name, CASE WHEN first IS NULL THEN 'nonexistent' WHEN first > TIMESTAMP '1992-03-01' THEN 'brand-new' END AS reason FROM part LEFT JOIN s ON l_partkey = p_partkey")
 def dep_reputation(spark, d):
     seen = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("name")).agg(F.min("l_shipdate").alias("first"))
     new = F.when(F.col("first").isNull(), "nonexistent").when(F.col("first") > F.lit("1992-03-01").cast("timestamp_ntz"), "brand-new")
-    return table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("name")).join(seen, "name", "left").select("name", new.alias("reason"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("name")).join(seen, "name", "left").select("name", new.alias("reason"))
 
 
 @query("SELECT l_orderkey AS release, l_partkey AS dep, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) <= 3 AS screened FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)")
@@ -94,12 +87,6 @@ def dep_lookup_cap(spark, d):
     return R.rank_cap(deps, "release", [F.col("dep")], 3).select("release", "dep", "screened")
 
 
-@query("WITH c AS (SELECT DISTINCT p_name AS name FROM part WHERE p_partkey % 2 = 0), n AS (SELECT DISTINCT p_name AS name FROM part WHERE length(p_name) >= 5 AND p_name NOT IN (SELECT name FROM c)), x AS (SELECT n.name, c.name AS target, levenshtein(n.name, c.name) AS distance FROM n JOIN c ON abs(length(n.name) - length(c.name)) <= 2 WHERE levenshtein(n.name, c.name) BETWEEN 1 AND 2) SELECT name, target, CAST(distance AS INTEGER) AS distance FROM x QUALIFY row_number() OVER (PARTITION BY name ORDER BY distance, target) = 1")
-def typosquat_join(spark, d):
-    parts = table(spark, d, "part").select(F.col("p_name").alias("name"), "p_partkey")
-    return R.typosquats(parts.select("name"), parts.where("p_partkey % 2 = 0").select("name"))
-
-
 PATH = "CASE doc_id % 5 WHEN 0 THEN 'setup.py' WHEN 1 THEN 'pkg/__init__.py' WHEN 2 THEN 'tests/t.py' WHEN 3 THEN 'docs/x.py' ELSE 'pkg/m.py' END"
 WEIGHT = "CASE WHEN doc_id % 5 IN (0, 1) THEN 3.0 WHEN doc_id % 5 IN (2, 3) THEN 0.2 ELSE 1.0 END"
 
@@ -127,49 +114,16 @@ def name_normalize(spark, d):
     return table(spark, d, "customer").select("c_custkey", normalize_name(F.translate("c_name", "#", "-")).alias("name"))
 
 
-@query("SELECT user_id, event_type, min(event_id) AS alert FROM events GROUP BY ALL")
-def alert_dedupe(spark, d):
-    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("alert"))
-
-
-BATCHES = "SELECT doc_id, 0 AS batch, toxic AS verdict FROM labels UNION ALL SELECT doc_id, 1 AS batch, quality AS verdict FROM labels WHERE doc_id % 3 = 0"
+BATCHES = "SELECT doc_id, 0 AS batch, toxic AS verdict FROM labels UNION ALL SELECT doc_id, 1 AS batch, quality AS verdict FROM labels WHERE toxic = 1"
 
 
 @query(f"SELECT doc_id, batch, verdict FROM ({BATCHES}) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY batch DESC) = 1")
 def verdict_upsert(spark, d):
     x = table(spark, d, "labels")
-    first, second = x.select("doc_id", F.lit(0).alias("batch"), F.col("toxic").alias("verdict")), x.where("doc_id % 3 = 0").select("doc_id", F.lit(1).alias("batch"), F.col("quality").alias("verdict"))
+    first, second = x.select("doc_id", F.lit(0).alias("batch"), F.col("toxic").alias("verdict")), x.where("toxic = 1").select("doc_id", F.lit(1).alias("batch"), F.col("quality").alias("verdict"))
     return R.latest(first.unionByName(second), ["doc_id"], "batch")
 
 
-CLASS = "CASE WHEN toxic = 1 THEN 'malicious' WHEN quality = 0 THEN 'suspicious' ELSE 'benign' END"
-ROUTE = f"CASE {CLASS} WHEN 'malicious' THEN 'alerted' WHEN 'suspicious' THEN 'needs_adjudication' ELSE 'reviewed' END"
-
-
-@query(f"SELECT doc_id, {CLASS} AS classification, {ROUTE} AS stage FROM labels")
-def route_verdicts(spark, d):
-    return table(spark, d, "labels").select("doc_id", F.expr(CLASS).alias("classification"), F.expr(ROUTE).alias("stage"))
-
-
-@query(f"SELECT doc_id, source, lang FROM documents JOIN labels USING (doc_id) WHERE {ROUTE} = 'needs_adjudication'")
-def pending_queue(spark, d):
-    x = table(spark, d, "labels").where(F.expr(ROUTE) == "needs_adjudication").select("doc_id")
-    return table(spark, d, "documents").select("doc_id", "source", "lang").join(x, "doc_id")
-
-
-@query(f"SELECT doc_id, source, {CLASS} AS classification, CASE {CLASS} WHEN 'malicious' THEN 0 WHEN 'suspicious' THEN 1 ELSE 2 END AS rank FROM documents JOIN labels USING (doc_id)")
-def verdict_report(spark, d):
-    x = table(spark, d, "labels").select("doc_id", F.expr(CLASS).alias("classification"))
-    rank = F.when(F.col("classification") == "malicious", 0).when(F.col("classification") == "suspicious", 1).otherwise(2)
-    return table(spark, d, "documents").select("doc_id", "source").join(x, "doc_id").withColumn("rank", rank)
-
-
-@query("SELECT doc_id FROM documents d WHERE n_chars > 100 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 0 AND quality = 1)")
-def evidence_backlog(spark, d):
-    benign = table(spark, d, "labels").where("toxic = 0 AND quality = 1").select("doc_id")
-    return table(spark, d, "documents").where("n_chars > 100").select("doc_id").join(benign, "doc_id", "left_anti")
-
-
 @query("SELECT page_id, replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS url FROM pages")
 def html_escapes(spark, d):
     return table(spark, d, "pages").select("page_id", html_escape(F.col("url")).alias("url"))
