@@ -1,17 +1,21 @@
 """Main-text extraction by tag-path ratios (operator 1).
 
-Every text block of a page lies at a root-to-leaf tag path. Text length and punctuation are summed per
-path; the ratio of a path is its text per block (a long-text path is prose, a short-text path is chrome),
-its second ratio is punctuation per block. Both are smoothed over the block sequence, fused by a product
-and thresholded against the page's mean. The article is an article or main element that holds most of the passing paths' mass, else the
-common ancestor of all passing paths; the blocks below it are taken, short paragraphs and headings included.
+Every text block of a page lies at a root-to-leaf tag path. Text length (without the text of links) and punctuation are summed per
+path; the ratio of a path is its text per block (a long-text path is prose, a short-text path is chrome), its second ratio is
+punctuation per block. Both are smoothed over the block sequence, fused by a product and thresholded against the page's mean.
+The passing paths choose the content:
+- an article or main element that holds most of their mass is the article; its blocks are taken, but those of paths that fail and
+  are links for the most part, or lie in an element with a class word of page furniture;
+- else the elements that directly hold a good share of the mass are: blocks of passing paths are taken, and what stands between
+  them in those elements (short paragraphs, headings, lists), with the same exceptions. A heading just before them is taken too.
 
 Elements that never hold article text (scripts, menus, forms ...) are cut first by name, role or style. Class and id words
 are evidence only: an element named by a whole word of page furniture goes if it holds less than half of the page's
-text, or if an article or main element stands outside it; any other with such a word, also as a part, lowers its paths' ratios, and its blocks stay if their path passes.
+text, or if an article or main element stands outside it; any other with such a word, also as a part, lowers its paths' ratios, and its
+blocks stay if their path passes.
 
 Defined results: null or empty html gives empty text; a page with no prose block gives what text is left
-outside boilerplate; malformed markup is read to its end; nothing is capped, and a page is one row, so the
+outside boilerplate; malformed markup is read to its end in linear time, however deep; repeated rows give equal rows; nothing is capped, and a page is one row, so the
 whole job is one narrow scan with no shuffle."""
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,12 +43,15 @@ FURNITURE = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 CONTENT = frozenset("article main".split())
+GROUPS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr tbody".split())
 
 _TAG_END = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 _PUNCT = re.compile(r"[.,;:!?…。，；：！？、]")
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+_HEADING = re.compile(r"h[1-6]$")
 _SCOPE = frozenset("article section div main td th li body html table".split())
 
 
@@ -60,7 +68,7 @@ def _furniture(name: str, attrs: str, inside: bool) -> int:
         return CUT
     if "=" not in attrs and "hidden" not in attrs:
         return PLAIN
-    if re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs):
+    if re.search(r"(?:^|\s)hidden(?:\s|=|$)", _QUOTED.sub("''", attrs)):
         return CUT
     found = PLAIN
     for key, *value in _ATTR.findall(attrs):
@@ -73,22 +81,70 @@ def _furniture(name: str, attrs: str, inside: bool) -> int:
     return found
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
-    """(tag path, text) of each non-empty block outside furniture, in page order."""
-    stack: list[tuple[str, bool, str, int]] = []  # (name, dropped from here on, name in paths, number if named as furniture else 0)
-    out: list[tuple[tuple[str, ...], str]] = []
+class Tree:
+    """Nodes with a parent of a lower number; 0 is the root."""
+
+    def __init__(self):
+        self.parent, self.name = [0], [""]
+
+    def add(self, parent: int, name: str) -> int:
+        self.parent.append(parent)
+        self.name.append(name)
+        return len(self.parent) - 1
+
+    def sums(self, at: dict[int, float]) -> list[float]:
+        """What lies at each node or below it."""
+        out = [0.0] * len(self.parent)
+        for k, v in at.items():
+            out[k] += v
+        for k in range(len(out) - 1, 0, -1):
+            out[self.parent[k]] += out[k]
+        return out
+
+    def under(self, tops: set[int], passes=lambda name: False) -> list[bool]:
+        """Whether each node is one of tops or below one, with no node between that `passes` names."""
+        out = [k in tops for k in range(len(self.parent))]
+        for k in range(1, len(out)):
+            out[k] = out[k] or out[self.parent[k]] and not passes(self.name[k])
+        return out
+
+
+class Block(NamedTuple):
+    path: int  # in the tree of paths
+    element: int  # in the tree of elements
+    text: str
+    linked: int  # characters in links
+
+
+def blocks(page: str) -> tuple[list[Block], Tree, Tree]:
+    """(non-empty blocks outside furniture in page order, tree of tag paths, tree of elements)."""
+    paths, elements = Tree(), Tree()
+    known: dict[tuple[int, str], int] = {}  # path of a parent path and a name
+    stack: list[tuple[str, bool, int, int, int]] = []  # (name, dropped from here on, path, element, number if named as furniture else 0)
+    opened: dict[str, int] = defaultdict(int)
+    around: list[int] = []  # numbers of the open elements named as furniture
+    out: list[Block] = []
     under: list[tuple[int, ...]] = []  # elements named as furniture around each block
-    named = 0
+    named = links = linked = 0
     free: set[int] = set()  # those of them that stand outside article and main
     piece: list[str] = []
 
     def flush() -> None:
+        nonlocal linked
         if piece:
             text = " ".join(_html.unescape("".join(piece)).split())
             if text:
-                out.append((tuple(x[2] for x in stack), text))
-                under.append(tuple(x[3] for x in stack if x[3]))
+                out.append(Block(stack[-1][2] if stack else 0, stack[-1][3] if stack else 0, text, min(linked, len(text))))
+                under.append(tuple(around))
             piece.clear()
+        linked = 0
+
+    def close() -> str:
+        name, _, _, _, number = stack.pop()
+        opened[name] -= 1
+        if number:
+            around.pop()
+        return name
 
     pos, n = 0, len(page)
     low = page.lower() if "<" in page else page
@@ -100,6 +156,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
             at = n
         if at > pos and not (stack and stack[-1][1]):
             piece.append(page[pos:at])
+            linked += links and len(page[pos:at].strip())
         if at == n:
             break
         nxt = page[at + 1 : at + 2]
@@ -124,12 +181,14 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
         if end <= 0:
             break
         attrs, pos = page[m.end() : end - 1], end
+        if name == "a":
+            links = int(not closing)
         if name in INLINE and not (not closing and "=" in attrs and _furniture(name, attrs, True) >= WHOLE):
             continue
         if closing:
-            if any(x[0] == name for x in stack):
+            if opened[name]:
                 flush()
-                while stack.pop()[0] != name:
+                while close() != name:
                     pass
             continue
         flush()
@@ -144,77 +203,97 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
             want = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(name, ("p",))
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in want:
-                    del stack[k:]
+                    while len(stack) > k:
+                        close()
                     break
                 if stack[k][0] in _SCOPE or stack[k][0] in ("ul", "ol", "dl", "table"):
                     break
         if attrs.endswith("/") and name not in _CLOSES_P:
             continue
         gone = bool(stack) and stack[-1][1]
-        inside = any(x[0] in CONTENT for x in stack)
+        inside = any(opened[x] for x in CONTENT)
         kind = _furniture(name, attrs, inside)
         if kind == WHOLE:
             named += 1
+            around.append(named)
             if not inside:
                 free.add(named)
-        stack.append((name, gone or kind == CUT, name + HINT if kind in (PART, WHOLE) else name, named if kind == WHOLE else 0))
+        shown = name + HINT if kind in (PART, WHOLE) else name
+        above = stack[-1] if stack else ("", False, 0, 0, 0)
+        if (above[2], shown) not in known:
+            known[above[2], shown] = paths.add(above[2], shown)
+        stack.append((name, gone or kind == CUT, known[above[2], shown], elements.add(above[3], shown), named if kind == WHOLE else 0))
+        opened[name] += 1
     flush()
     held: dict[int, int] = defaultdict(int)
-    for (_, text), around in zip(out, under, strict=True):
-        for k in around:
-            held[k] += len(text)
-    least = MAJOR * sum(len(text) for _, text in out)
-    content = [around for (path, _), around in zip(out, under, strict=True) if not CONTENT.isdisjoint(path)]
-    kept = {k for k in held if held[k] >= least and not (k in free and any(k not in around for around in content))}
-    return [x for x, around in zip(out, under, strict=True) if kept.issuperset(around)]
+    for x, numbers in zip(out, under, strict=True):
+        for k in numbers:
+            held[k] += len(x.text)
+    least = MAJOR * sum(len(x.text) for x in out)
+    article = paths.under({k for k, name in enumerate(paths.name) if name in CONTENT})
+    outside = [set(numbers) for x, numbers in zip(out, under, strict=True) if article[x.path]] if free else []
+    kept = {k for k in held if held[k] >= least and not (k in free and any(k not in numbers for numbers in outside))}
+    return [x for x, numbers in zip(out, under, strict=True) if kept.issuperset(numbers)], paths, elements
 
 
-def main_text(page: str | None, sigma: float = 1.0, strictness: float = 0.5, share: float = 0.6) -> tuple[str, int, int]:
+def main_text(page: str | None, sigma: float = 1.0, strictness: float = 0.5, share: float = 0.3, linked: float = 0.5) -> tuple[str, int, int]:
     """(text, blocks seen, blocks kept).
 
-    sigma: width of the Gaussian over the block sequence. strictness: a path passes if its fused ratio is at
-    least this part of the page's mean. share: twice the least part of the fused mass that an article or main element holds."""
-    found = blocks(page or "")
+    sigma: width of the Gaussian over the block sequence. strictness: a path passes if its fused ratio is at least this part of the page's
+    mean. share: least part of the passing mass in an article or main element, and a third of it in an element that holds content.
+    linked: part of links from which a failing path's blocks go."""
+    found, paths, elements = blocks(page or "")
     if not found:
         return "", 0, 0
-    length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, text in found:
-        length[path] += len(text)
-        marks[path] += len(_PUNCT.findall(text))
-        count[path] += 1
-    size = [length[p] / count[p] for p, _ in found]
-    punct = [marks[p] / count[p] for p, _ in found]
+    length, chars, marks, count, links = (defaultdict(int) for _ in range(5))
+    for x in found:
+        length[x.path] += len(x.text) - x.linked
+        chars[x.path] += len(x.text)
+        links[x.path] += x.linked
+        marks[x.path] += len(_PUNCT.findall(x.text))
+        count[x.path] += 1
     reach = max(1, math.ceil(2 * sigma))
     weights = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-reach, reach + 1)]
 
-    def smooth(x: list[float]) -> list[float]:
-        padded = [x[0]] * reach + x + [x[-1]] * reach
+    def smooth(values: list[float]) -> list[float]:
+        padded = [values[0]] * reach + values + [values[-1]] * reach
         total = sum(weights)
-        return [sum(w * padded[i + j] for j, w in enumerate(weights)) / total for i in range(len(x))]
+        return [sum(w * padded[i + j] for j, w in enumerate(weights)) / total for i in range(len(values))]
 
-    hinted = {p for p in length if any(x.endswith(HINT) for x in p)}
-    fused = [a * (1 + b) * (HINTED if p in hinted else 1) for a, b, (p, _) in zip(smooth(size), smooth(punct), found, strict=True)]
+    named = [False] * len(paths.name)
+    for k in range(1, len(named)):
+        named[k] = named[paths.parent[k]] or paths.name[k].endswith(HINT)
+    size, punct = smooth([length[x.path] / count[x.path] for x in found]), smooth([marks[x.path] / count[x.path] for x in found])
+    fused = [a * (1 + b) * (HINTED if named[x.path] else 1) for a, b, x in zip(size, punct, found, strict=True)]
     mean = sum(fused) / len(fused)
-    per_path: dict[tuple[str, ...], list[float]] = defaultdict(list)
-    for (path, _), v in zip(found, fused, strict=True):
-        per_path[path].append(v)
-    passed = {p for p, v in per_path.items() if sum(v) / len(v) >= strictness * mean} or set(per_path)
-    mass: dict[tuple[str, ...], float] = defaultdict(float)
-    for p in passed:
-        m = length[p] + 10 * marks[p]
-        for k in range(len(p) + 1):
-            mass[p[:k]] += m
-    total = mass[()]
-    semantic = [p for p in mass if p and p[-1] in CONTENT and mass[p] >= 0.5 * share * total]
+    per_path: dict[int, list[float]] = defaultdict(list)
+    for x, v in zip(found, fused, strict=True):
+        per_path[x.path].append(v)
+    own = {k: length[k] / count[k] * (1 + marks[k] / count[k]) for k in per_path}  # neighbours alone don't carry a path
+    passed = {k for k, v in per_path.items() if sum(v) / len(v) >= strictness * mean and own[k] >= strictness * mean} or set(per_path)
+    ratio = {k: length[k] + 10 * marks[k] for k in passed}
+    mass = paths.sums(ratio)
+    hinted = lambda name: name.endswith(HINT)
+    semantic = [k for k, name in enumerate(paths.name) if name in CONTENT and mass[k] >= share * mass[0] and mass[k] > 0]
+    chrome = {k for k in count if k not in passed and links[k] >= linked * chars[k] > 0}
     if semantic:
-        root = max(semantic, key=lambda p: (mass[p], -len(p)))
+        root = max(semantic, key=lambda k: (mass[k], -k))
+        below, plain = paths.under({root}), paths.under({root}, hinted)
+        kept = [below[x.path] and (x.path in passed or plain[x.path] and x.path not in chrome) for x in found]
     else:
-        root = max((p for p in mass if mass[p] == total), key=len)
-        while root and root[-1].rstrip(HINT) in ("p", "h1", "h2", "h3", "li", "td"):
-            root = root[:-1]
-    loose = not root or root[-1] in ("html", "body")
-    kept = [t for p, t in found if p[: len(root)] == root and (p in passed or not any(x.endswith(HINT) for x in p[len(root) :]) and (not loose or p[-1:] and p[-1] in ("h1", "h2", "h3", "h4", "p", "blockquote", "pre")))]
-    return " ".join(kept), len(found), len(kept)
+        held: dict[int, float] = defaultdict(float)
+        for x in found:
+            if x.path in passed:
+                # an element that only groups words (p, li ...) belongs to the one around it
+                at = elements.parent[x.element] if elements.name[x.element].rstrip(HINT) in GROUPS else x.element
+                held[at] += len(x.text) - x.linked
+        least = share / 3 * sum(held.values())
+        plain = elements.under({k for k, v in held.items() if v >= least and k}, hinted)
+        kept = [x.path in passed or plain[x.element] and x.path not in chrome for x in found]
+        for i in range(len(found) - 2, -1, -1):
+            if kept[i + 1] and not named[found[i].path] and _HEADING.match(elements.name[found[i].element]):
+                kept[i] = True
+    return " ".join(x.text for x, k in zip(found, kept, strict=True) if k), len(found), sum(kept)
 
 
 def extract(pages: DataFrame, html_col: str = "html", keys: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -44,6 +44,44 @@ def test_jaccard_join_equals_brute_force(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(s), least[i]) for i, s in sets.items()}
 
 
+def near_copies(seed, groups):
+    """Groups of texts that differ from a base in a few words: (base words, texts, most changes)."""
+    import random
+
+    rng = random.Random(seed)
+    out = []
+    for g, (n, size, most) in enumerate(groups):
+        base = [f"b{g}x{i}" for i in range(n)]
+        for _ in range(size):
+            x = list(base)
+            for _ in range(rng.randint(0, most)):
+                x[rng.randrange(n)] = f"e{rng.randrange(40)}" if rng.random() < 0.5 else f"u{rng.randrange(10**9)}"
+            out.append(" ".join(x[rng.randint(0, 3) :]))
+    rng.shuffle(out)
+    return list(enumerate(out, 1))
+
+
+@pytest.mark.parametrize("groups", [[(90, 160, 9), (60, 60, 8)], [(40, 30, 4)] * 6 + [(200, 40, 25)]])
+def test_jaccard_join_of_groups_about_the_threshold(spark, groups):
+    rows = near_copies(len(groups), groups)
+    sets = {i: shingles(t) for i, t in rows}
+    least = {i: i for i in sets}
+
+    def top(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                least[b] = a
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = {i: top(i) for i in sets}
+    assert 1 < len(set(want.values())) < len(want) and got == want
+
+
 def test_keep_one_of_odd_rows(docs):
     got = jaccard_join.keep_one(docs)
     assert got.columns == docs.columns
@@ -190,6 +228,85 @@ def test_html_class_words_and_lists_keep_the_article():
         assert got.startswith("First. ") and got.count("A long enough") == 10 and f"Last. {p}" in got
 
 
+def test_html_paths_decide_without_an_article():
+    p = "A long enough sentence of the article, with marks; it goes on and on until its end."
+    topics = "".join(f"<li>Topic {i}</li>" for i in range(30))
+    page = f"<html><body><div><div><ul>{topics}</ul></div><div><p>{p}</p><p>{p}</p><p>Short.</p><ul><li>one</li></ul><p>{p}</p></div><div><span>Share this</span></div><table><tr><td>12</td></tr></table></div></body></html>"
+    assert html_extract.main_text(page)[0] == f"{p} {p} Short. one {p}"
+    assert "Topic 7" in html_extract.main_text(page, strictness=0.0)[0]
+    assert html_extract.main_text(f'<div title="The hidden cost"><p>{p}</p></div>')[0] == p
+
+
+def test_html_of_deep_and_long_pages():
+    import time
+
+    began = time.time()
+    assert html_extract.main_text("<div>" * 20000 + TEXT)[0] == TEXT
+    assert html_extract.main_text(f"<article>{f'<p>{TEXT}.</p>' * 20000}</article>")[0].count("alpha") == 20000
+    assert time.time() - began < 6
+
+
+def test_html_of_odd_rows(spark):
+    pages = spark.createDataFrame([(1, "u", None), (1, "u", None), (2, None, ""), (None, "u", "<p>a")], "page_id bigint, url string, html string")
+    assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html_extract.extract(pages).collect()) == [(0, "a", 1), (1, "", 0), (1, "", 0), (2, "", 0)]
+    assert html_extract.extract(pages.limit(0)).count() == 0
+
+
+def test_letters_decide_on_und(spark, docs):
+    model = langid.fit(langid.train_rows(spark.read.parquet(f"{DATA}/documents.parquet")))
+    texts = {"१२३": 0, "٣٤": 0, "،": 0, "・": 0, "123 !": 0, "\u0301": 0, "": 0, "𝐀𝐁": 1, "ﷲ": 1, "ⲁⲃ": 1, "𐐀𐐁": 1, "ﬁﬂ": 1, "々": 1, "abc": 1, "हिन्दी": 1}
+    got = langid.predict(spark.createDataFrame([(x,) for x in texts], "text string"), model).collect()
+    assert {r["row"]["text"]: int(r["lang_pred"] != "und") for r in got} == texts
+    assert all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_viterbi_equals_brute_force():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        s = np.round(-rng.random((6, 3)) * rng.choice([1, 8]), 3).astype(np.float32)
+        worth = lambda path, s=s: sum(float(s[i, k]) for i, k in enumerate(path)) - 1.5 * sum(a != b for a, b in itertools.pairwise(path))
+        best = max(worth(p) for p in itertools.product(range(3), repeat=6))
+        assert abs(worth(langid.viterbi(s, 1.5)) - best) < 1e-5
+
+
+def test_decontamination_by_parts_and_short_items(spark):
+    x = [f"w{i}" for i in range(59)]
+    bench = spark.createDataFrame([(1, " ".join(x)), (2, "one two three four five six seven eight"), (3, "red green"), (None, None)], "item_id bigint, text string")
+    rows = [(1, "foo bar " + " ".join(x[:35]) + " baz"), (2, " ".join(x[:28] + ["ins"] + x[28:])), (3, "z one two THREE other five six seven eight q"), (4, "the red, green x"), (5, " ".join(x[:12] + ["q"] * 10)), (6, None), (7, "a " * 300000)]
+    docs = spark.createDataFrame([(*r, "q") for r in rows], "doc_id bigint, text string, item_id string")
+    got = {(r["doc_id"], r["item_id"], r["matched"]) for r in decontaminate.find(decontaminate.with_rid(docs), bench).collect()}
+    assert got == {(1, 1, 35), (2, 1, 31), (3, 2, 7), (4, 3, 2)}
+    assert sorted(r["doc_id"] for r in decontaminate.remove(docs, bench).collect()) == [5, 6, 7]
+    assert decontaminate.remove(docs, bench.limit(0)).count() == 7 and decontaminate.remove(docs.limit(0), bench).count() == 0
+
+
+def test_mixing_is_near_its_targets(spark):
+    got = QUERIES["op6_mixing"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source"), "doc_id").toPandas()
+    per = got.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+    assert ((per["taken"] / per["target"] - 1).abs() < 0.02).all() and (got["shards"].map(len) * got["size"] == got["taken"]).all()
+
+
+def test_mix_takes_what_the_plan_says(docs):
+    chosen, _ = mixing.plan(docs)
+    assert mixing.mix(docs).count() == sum(r["copies"] for r in chosen.collect())
+
+
+def test_media_of_equal_and_odd_texts(spark, docs):
+    import tempfile
+
+    index = media.store(docs, tempfile.mkdtemp(prefix="spark-")).cache()
+    got = media.features(media.metadata(media.spread(index))).collect()
+    assert len(got) == len(ROWS) and len({r[1:8] for r in got if r["doc_id"] in (5, 6)}) == 1
+    for r in got:
+        assert r["payload_bytes"] == r["width"] * r["height"] and r["width"] == 576 and r["media_bytes"] > media.HEADER
+    empty = next(r for r in got if r["doc_id"] == 4)
+    assert (empty["n_bytes"], empty["payload_sha256"]) == (0, hashlib.sha256(b"\xff" * 576).hexdigest())
+
+
 def test_empty_and_odd_tables(spark, docs):
     for table in (docs, docs.limit(0)):
         model = langid.fit(langid.train_rows(table))
