@@ -74,3 +74,8 @@ def url_quote(text: Column) -> Column:
     for a, b in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
+
+
+def web_scheme(url: Column) -> Column:
+    """Whether an address is http or https; false for null, empty and bare ones."""
+    return F.coalesce(url.rlike(r"(?i)\Ahttps?:"), F.lit(False))

@@ -12,6 +12,7 @@ from sieveline.functions.text import blob, location_weight
 CLASSES = ("malicious", "suspicious", "benign")
 ACTIONS = ("report-to-pypi", "monitor", "dismiss")
 ATTACKS = ("install-hook-rce", "credential-exfil", "typosquat", "obfuscated-loader", "dropper", "build-backend-rce", "vcs-dep", "none")
+HEURISTIC = "suspicious-heuristic"
 VERDICT = "classification string, confidence string, attack_type string, reasoning string, cited_hunk string, recommended_action string, urgent string"
 
 
@@ -45,23 +46,12 @@ def budgeted(files: DataFrame, key: list[str], length: Column, budget: int, extr
     return files.withColumn("used", total).where(F.col("used") <= budget)
 
 
-def render(path: Column, hunks_: Column) -> Column:
-    """A file's header and its removed and added lines."""
+def render(path: Column, hunks_: Column, kind: Column) -> Column:
+    """A file's header with its kind of change, and its removed and added lines."""
     side = lambda lines, mark: F.transform(lines, lambda x: F.concat(F.lit(mark), x))
     body = F.flatten(F.transform(hunks_, lambda h: F.concat(side(h.removed, "- "), side(h.added, "+ "))))
-    return F.concat_ws("\n", F.concat(F.lit("=== "), path), F.array_join(body, "\n"))
-
-
-def evidence(changed: DataFrame, weights: DataFrame, key: list[str], cap: int = 200_000) -> DataFrame:
-    """(key, evidence): rendered files that a rule weighs (key, path, weight), heaviest first, within cap code points.
-
-    If even the first is too long, its start is taken."""
-    drawn = changed.join(weights, [*key, "path"]).select(*key, "path", "weight", render(F.col("path"), F.col("hunks")).alias("body"))
-    placed = ranked(drawn, key, "weight", ["path"])
-    first = placed.where("place = 1").select(*key, F.substring("body", 1, cap).alias("start"))
-    fit = budgeted(placed, key, F.length("body"), cap, 1)
-    text = fit.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "body"))), lambda x: x.body), "\n").alias("text"))
-    return first.join(text, key, "left").select(*key, F.coalesce("text", "start").alias("evidence"))
+    head = F.concat(F.lit("--- file: "), path, F.lit(" ("), kind, F.lit(") ---"))
+    return F.array_join(F.concat(F.array(head), body), "\n")
 
 
 def verdicts(replies: DataFrame, key: list[str], reply: str = "reply") -> DataFrame:
@@ -81,9 +71,13 @@ def verdicts(replies: DataFrame, key: list[str], reply: str = "reply") -> DataFr
     return v.withColumn("available", ok).select(*key, "available", *[of(c).alias(n) for n, c in cols.items()])
 
 
-def routed(rows: DataFrame) -> DataFrame:
-    """rows (available, classification) plus stage and alert: benign is reviewed, suspicious waits for a person, malicious
-    alerts and is reviewed; without a verdict the heuristic alerts and the review counts as failed."""
+def routed(rows: DataFrame, reviewer: bool = True) -> DataFrame:
+    """rows (available, classification) plus stage, alert and alert_class: benign is reviewed, suspicious waits for a person, malicious
+    alerts and is reviewed; without a verdict the heuristic alerts and the review counts as failed, to be tried again. With the reviewer off
+    every row alerts by the heuristic and is done."""
+    if not reviewer:
+        return rows.withColumn("stage", F.lit("alerted")).withColumn("alert", F.lit(True)).withColumn("alert_class", F.lit(HEURISTIC))
     c, up = F.col("classification"), F.coalesce("available", F.lit(False))
     stage = F.when(~up, "review_failed").when(c == "suspicious", "needs_adjudication").otherwise("reviewed")
-    return rows.withColumn("stage", stage).withColumn("alert", ~up | F.coalesce(c == "malicious", F.lit(False)))
+    alert = ~up | F.coalesce(c == "malicious", F.lit(False))
+    return rows.withColumn("stage", stage).withColumn("alert", alert).withColumn("alert_class", F.when(~up, HEURISTIC).when(alert, c))

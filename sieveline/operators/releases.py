@@ -14,16 +14,24 @@ def changelog(log: DataFrame, action: str = "new release") -> DataFrame:
 
 
 def tick(releases: DataFrame, limit: int = 2000) -> DataFrame:
-    return releases.orderBy("serial").limit(limit)
-
-
-def cursor_prefix(rows: DataFrame, key: str = "stream") -> DataFrame:
-    """(key, cursor): the last serial before which all of a key's rows are terminal; rows (key, serial, terminal).
-
-    The first open serial per key is one aggregate and meets the rows again; no window sorts a hot key in one task."""
-    stop = rows.where(~F.col("terminal")).groupBy(F.col(key).alias("k")).agg(F.min("serial").alias("stop"))
-    kept = rows.join(stop, F.col(key) == F.col("k"), "left").where(F.col("stop").isNull() | (F.col("serial") < F.col("stop")))
-    return kept.groupBy(key).agg(F.max("serial").alias("cursor"))
+    """The first releases by serial; rows of one serial come by name and version."""
+    ties = [c for c in ("name", "version") if c in releases.columns]
+    return releases.orderBy("serial", *ties).limit(limit)
+
+
+def cursor_prefix(rows: DataFrame, key: str = "stream", previous: DataFrame | None = None) -> DataFrame:
+    """(key, cursor): the last serial up to which all of a key's rows are terminal; rows (key, serial, terminal).
+
+    Fails closed: a null state is open, null keys are a key of their own, and an open row without a serial holds its whole key back. Where a
+    key's first row is open, its cursor is that of `previous` (key, cursor), or the key has no row. The first open serial per key is one
+    aggregate and meets the rows again; no window sorts a hot key in one task."""
+    open_ = ~F.coalesce(F.col("terminal"), F.lit(False))
+    stop = rows.where(open_).groupBy(F.col(key).alias("k")).agg(F.min(F.coalesce("serial", F.lit(-(1 << 62)))).alias("stop"))
+    kept = rows.join(stop, F.col(key).eqNullSafe(F.col("k")), "left").where(F.col("stop").isNull() | (F.col("serial") < F.col("stop")))
+    out = kept.groupBy(key).agg(F.max("serial").alias("cursor")).where("cursor IS NOT NULL")
+    if previous is not None:
+        out = out.unionByName(previous.select(key, "cursor")).groupBy(key).agg(F.max("cursor").alias("cursor"))
+    return out
 
 
 def predecessors(releases: DataFrame) -> DataFrame:

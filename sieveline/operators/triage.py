@@ -9,19 +9,35 @@ from sieveline.functions.text import normalize_name
 from sieveline.operators.releases import typosquats
 
 THRESHOLD, LOOKUPS, BRAND_NEW_DAYS, TOP_FILES, TOP_RULES = 40.0, 10, 30, 40, 5
-#: Stages in which a release stays as it is, by the outcome of its fetch.
-OUTCOMES = {"refused_to_fetch": True, "refused_to_extract": True, "fetch_failed": False, "no_sdist": True}
+# Outcomes of a fetch that gave no files, and the stages in which a release is done.
+OUTCOMES = ("refused_to_fetch", "refused_to_extract", "fetch_failed", "no_sdist")
+TERMINAL = ("triaged", "alerted", "reviewed", "new_package_skipped", "needs_adjudication", "refused_to_extract", "no_sdist", "refused_to_fetch")
 SEVERITY = ("malicious", "suspicious")
+FIRED = "array<struct<place:int,item:string,rule:string,file:string,weight:double,lo:int,hi:int>>"
+
+
+def keyed_left(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """left joined with at most one row of right per key, null keys alike; the columns of left, then those of right without the key."""
+    named = right.select(*[F.col(k).alias(f"{k}__r") for k in key], *[c for c in right.columns if c not in key])
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}__r"))
+    return left.join(named, same, "left").drop(*[f"{k}__r" for k in key])
+
+
+def open_releases(releases: DataFrame, state: DataFrame, key: list[str]) -> DataFrame:
+    """The releases that state (key, stage) doesn't hold as done; null keys are open."""
+    done = state.where(F.col("stage").isin(*TERMINAL)).select(*key).distinct()
+    return releases.join(done, key, "left_anti")
 
 
 def release_scores(releases: DataFrame, fired: DataFrame, key: list[str], threshold: float = THRESHOLD) -> DataFrame:
-    """(key, score, n_rules, fired, escalate) for every release; fired: its (rule, file, weight), by rule, file and weight.
+    """(key, score, n_rules, fired, escalate) for every release; fired: its rules (FIRED) in the order of the ruleset, then of its files.
 
-    A release without a fired rule has score 0 and an empty list. Null weights count as 0. `fired` has (key, rule, file, weight)."""
-    one = F.struct("rule", "file", F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    per = fired.groupBy(*key).agg(F.array_sort(F.collect_list(one)).alias("fired"), F.sum("weight").alias("score"))
-    none = F.array().cast("array<struct<rule:string,file:string,weight:double>>")
-    out = releases.select(*key).distinct().join(per, key, "left").select(*key, F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("fired", none).alias("fired"))
+    A release without a fired rule has score 0 and an empty list. Null weights count as 0, null keys are keys. `fired` is as fired_rules gives it."""
+    one = F.struct("place", "item", "rule", "file", F.coalesce("weight", F.lit(0.0)).cast("double").alias("weight"), "lo", "hi")
+    per = fired.groupBy(*key).agg(F.array_sort(F.collect_list(one)).cast(FIRED).alias("fired"), F.sum("weight").cast("double").alias("score"))
+    out = keyed_left(releases.select(*key).distinct(), per, key).select(*key, F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("fired", F.array().cast(FIRED)).alias("fired"))
     return out.select(*key, "score", F.size("fired").cast("long").alias("n_rules"), "fired", (F.col("score") >= threshold).alias("escalate"))
 
 
@@ -43,14 +59,16 @@ def screen(added: DataFrame, corpus: DataFrame, index: DataFrame, now: Column, c
 
     In this order: names of the corpus are fine, names near one are typosquats; of the rest the first `cap` of a release, by name, are
     looked up in index (name, earliest) and the others reported as not screened; unknown names are nonexistent, names first seen less
-    than `days` whole days before `now` are brand-new. A known name without a date is fine. Null names have no row."""
-    known = corpus.select("name").distinct()
-    rest = added.where(F.col("name").isNotNull()).select("release", "name").distinct().join(known, "name", "left_anti")
+    than `days` whole days before `now` are brand-new. A known name without a date is fine. Names are compared as normalize_name gives
+    them; null and empty ones have no row."""
+    known = corpus.select(normalize_name(F.col("name")).alias("name")).where("name <> ''").distinct()
+    named = added.select("release", normalize_name(F.col("name")).alias("name")).where("name <> ''").distinct()
+    rest = named.join(known, "name", "left_anti")
     near = typosquats(rest.select("name"), known).select("name", "target")
     rest = rest.join(near, "name", "left")
     open_ = rest.where("target IS NULL")
     place = F.row_number().over(Window.partitionBy("release").orderBy("name"))
-    first = index.groupBy("name").agg(F.min("earliest").alias("earliest"), F.lit(True).alias("exists"))
+    first = index.groupBy(normalize_name(F.col("name")).alias("name")).agg(F.min("earliest").alias("earliest"), F.lit(True).alias("exists"))
     looked = open_.withColumn("place", place).join(first, "name", "left")
     age = F.floor((F.unix_timestamp(now) - F.unix_timestamp("earliest")) / 86400)
     reason = F.when(F.col("place") > cap, "not-screened-cap").when(F.col("exists").isNull(), "nonexistent").when(age < days, "brand-new")
@@ -59,9 +77,9 @@ def screen(added: DataFrame, corpus: DataFrame, index: DataFrame, now: Column, c
 
 
 def owners_changed(current: Column, prior: Column) -> Column:
-    """Whether two arrays of owners differ as sets without regard to case; false if either is null or empty."""
-    fold = lambda a: F.array_sort(F.array_distinct(F.transform(a, lambda x: F.lower(x))))
-    return F.coalesce((F.size(current) > 0) & (F.size(prior) > 0) & (fold(current) != fold(prior)), F.lit(False))
+    """Whether two arrays of owners differ as sets without regard to case; null and empty names don't count; false if either has no name."""
+    fold = lambda a: F.array_sort(F.array_distinct(F.transform(F.filter(a, lambda x: x != ""), lambda x: F.lower(x))))
+    return F.coalesce((F.size(fold(current)) > 0) & (F.size(fold(prior)) > 0) & (fold(current) != fold(prior)), F.lit(False))
 
 
 def denied(names: DataFrame, denylist: DataFrame) -> DataFrame:
@@ -122,9 +140,58 @@ def backlog(releases: DataFrame, verdicts: DataFrame, alerts: DataFrame, wide: b
 
 
 def adjudicated(verdicts: DataFrame, decisions: DataFrame) -> DataFrame:
-    """verdicts (release, ...) with human_label and human_note of the last decision (release, label, note, at), and `alert`: the label is malicious.
+    """verdicts (release, ...) with human_label and human_note of the last decision (release, label, note, at), `alert` (any label but benign)
+    and `urgent` (malicious).
 
     Verdicts without a decision have nulls and no alert; decisions on unknown releases have no row."""
     last = decisions.groupBy("release").agg(F.max(F.struct("at", "label", "note")).alias("m"))
     out = verdicts.drop("human_label", "human_note").join(last, "release", "left")
-    return out.withColumn("human_label", F.col("m.label")).withColumn("human_note", F.col("m.note")).withColumn("alert", F.coalesce(F.col("m.label") == "malicious", F.lit(False))).drop("m")
+    label = F.col("m.label")
+    out = out.withColumn("human_label", label).withColumn("human_note", F.col("m.note")).withColumn("alert", F.coalesce(label != "benign", F.lit(False)))
+    return out.withColumn("urgent", F.coalesce(label == "malicious", F.lit(False))).drop("m")
+
+
+def alert_text(package: Column, version: Column, classification: Column, score: Column, fired: Column, review: dict[str, Column] | None = None, n: int = TOP_RULES) -> Column:
+    """An alert's text: what, the score as a whole number (half to even), the n heaviest rules; with a reviewer's reasoning its attack, confidence, model, hunk and reason."""
+    heavy = F.slice(F.array_sort(F.transform(fired, lambda x, i: F.struct((-x.weight).alias("w"), i.alias("i"), F.format_string("%s@%s:%d-%d", x.rule, x.file, x.lo, x.hi).alias("t")))), 1, n)
+    head = F.concat(F.lit("["), F.upper(classification), F.lit("] score="), F.bround(score).cast("bigint").cast("string"), F.lit(" "), package, F.lit(" "), version, F.lit(" :: "), F.array_join(F.transform(heavy, lambda x: x.t), "; "))
+    if review is None:
+        return head
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
+    confidence = F.coalesce(F.format_string("%.2f", review["confidence"].cast("double")), F.lit("?")) if "confidence" in review else F.lit("?")
+    confidence = F.when(review["confidence"].isNull(), "?").otherwise(confidence) if "confidence" in review else confidence
+    block = F.concat(F.lit("\n  attack="), text(review["attack_type"]), F.lit(" confidence="), confidence, F.lit(" model="), text(review["model"]), F.lit("\n  cited_hunk="), text(review["cited_hunk"]), F.lit("\n  reason: "), review["reasoning"])
+    return F.concat(head, F.when(review["reasoning"].isNotNull(), block).otherwise(""))
+
+
+def counters(releases: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """One row: releases_total, verdicts_total and flagged_total, the verdicts of SEVERITY in any case."""
+    flagged = F.coalesce(F.lower("classification").isin(*SEVERITY), F.lit(False)).cast("long")
+    each = releases.select(F.lit(1).alias("r"), F.lit(0).alias("v"), F.lit(0).cast("long").alias("f")).unionByName(verdicts.select(F.lit(0).alias("r"), F.lit(1).alias("v"), flagged.alias("f")))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return each.agg(total("r").alias("releases_total"), total("v").alias("verdicts_total"), total("f").alias("flagged_total"))
+
+
+def poll_age(updated_at: Column, now: Column, limit: int = 900) -> tuple[Column, Column]:
+    """(seconds since an ISO time, whether they exceed the limit); null and false for what is no time."""
+    at = F.try_to_timestamp(updated_at)
+    age = F.unix_timestamp(now) - F.unix_timestamp(at)
+    return age, F.coalesce(age > limit, F.lit(False))
+
+
+def encoded(fired: Column) -> Column:
+    """A list of fired rules as the JSON text that state keeps: rule, weight, file and lines."""
+    return F.to_json(F.transform(fired, lambda x: F.struct(x.rule.alias("rule"), x.weight.alias("weight"), x.file.alias("file"), F.array(x.lo, x.hi).alias("lines"))))
+
+
+def decoded(text: Column) -> Column:
+    """encoded() read back (FIRED); an empty list for null, empty or unreadable text."""
+    rows = F.from_json(text, "array<struct<rule:string,weight:double,file:string,lines:array<int>>>")
+    out = F.transform(rows, lambda x, i: F.struct(i.alias("place"), F.lit("").alias("item"), x.rule.alias("rule"), x.file.alias("file"), x.weight.alias("weight"), F.get(x.lines, 0).alias("lo"), F.get(x.lines, 1).alias("hi")))
+    return F.coalesce(out.cast(FIRED), F.array().cast(FIRED))
+
+
+def corpus_names(lines: DataFrame, line: str = "value") -> DataFrame:
+    """(name): the normalised names of a popularity list, one a line; blank lines and comments (#) are skipped."""
+    text = F.trim(F.col(line))
+    return lines.where((text != "") & ~text.startswith("#")).select(normalize_name(text).alias("name")).where("name <> ''").distinct()

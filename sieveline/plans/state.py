@@ -10,16 +10,20 @@ from sieveline.operators import triage as T
 from sieveline.operators.changes import routed
 from sieveline.plans.triage import PRIOR, _prior, query, table
 
-FIRED = "SELECT l_orderkey AS release, l_returnflag AS rule, CAST(l_partkey AS VARCHAR) AS file, l_quantity AS weight, l_linenumber AS lo FROM lineitem WHERE l_quantity > 45"
+#: Rules stand in the order N, R, A; files by their number as text.
+FIRED = """SELECT l_orderkey AS release, l_returnflag AS rule, CAST(l_partkey AS VARCHAR) AS file, l_quantity AS weight, l_linenumber AS lo,
+CASE l_returnflag WHEN 'N' THEN 0 WHEN 'R' THEN 1 ELSE 2 END AS place FROM lineitem WHERE l_quantity > 45"""
 
 
 def _fired(spark, d) -> DataFrame:
     rows = table(spark, d, "lineitem").where("l_quantity > 45")
-    return rows.select(F.col("l_orderkey").alias("release"), F.col("l_returnflag").alias("rule"), F.col("l_partkey").cast("string").alias("file"), F.col("l_quantity").alias("weight"), F.col("l_linenumber").alias("lo"), F.col("l_linenumber").alias("hi"))
+    place = F.when(F.col("l_returnflag") == "N", 0).when(F.col("l_returnflag") == "R", 1).otherwise(2)
+    file, line = F.col("l_partkey").cast("string"), F.col("l_linenumber")
+    return rows.select(F.col("l_orderkey").alias("release"), place.alias("place"), file.alias("item"), F.col("l_returnflag").alias("rule"), file.alias("file"), F.col("l_quantity").alias("weight"), line.alias("lo"), line.alias("hi"))
 
 
 @query(f"""WITH f AS ({FIRED}) SELECT o_orderkey AS release, CAST(coalesce(sum(weight), 0) AS DOUBLE) AS score, count(rule) AS n_rules,
-coalesce(string_agg(rule || '@' || file, '; ' ORDER BY rule, file, weight), '') AS fired, coalesce(sum(weight), 0) >= 90 AS escalate
+coalesce(string_agg(rule || '@' || file, '; ' ORDER BY place, file, weight), '') AS fired, coalesce(sum(weight), 0) >= 90 AS escalate
 FROM orders LEFT JOIN f ON f.release = o_orderkey GROUP BY o_orderkey""")
 def triage_scores(spark, d):
     releases = table(spark, d, "orders").select(F.col("o_orderkey").alias("release"))
@@ -27,8 +31,8 @@ def triage_scores(spark, d):
     return out.select("release", "score", "n_rules", F.array_join(F.transform("fired", lambda x: F.concat_ws("@", x.rule, x.file)), "; ").alias("fired"), "escalate")
 
 
-@query(f"""WITH f AS ({FIRED}), r AS (SELECT *, row_number() OVER (PARTITION BY release ORDER BY weight DESC, rule, file) AS place FROM f)
-SELECT release, string_agg(rule || '@' || file, '; ' ORDER BY place) AS top FROM r WHERE place <= 2 GROUP BY release""")
+@query(f"""WITH f AS ({FIRED}), r AS (SELECT *, row_number() OVER (PARTITION BY release ORDER BY weight DESC, place, file) AS place_ FROM f)
+SELECT release, string_agg(rule || '@' || file, '; ' ORDER BY place_) AS top FROM r WHERE place_ <= 2 GROUP BY release""")
 def top_fired_rules(spark, d):
     fired = _fired(spark, d)
     return T.top_rules(T.release_scores(fired, fired, ["release"]), 2).select("release", "top")
@@ -70,10 +74,14 @@ def screen_dependencies(spark, d):
     return T.screen(added, part.select(F.col("p_name").alias("name")), index, F.expr("timestamp_ntz'1992-02-20 12:00:00'"), cap=2)
 
 
-@query(f"""WITH p AS (SELECT * FROM ({PRIOR}) WHERE prior IS NOT NULL), s AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT l_suppkey)) AS owners FROM lineitem GROUP BY ALL)
-SELECT version, a.owners IS DISTINCT FROM b.owners AS changed FROM p JOIN s a ON a.k = version JOIN s b ON b.k = prior""")
+@query(f"""WITH p AS (SELECT * FROM ({PRIOR}) WHERE prior IS NOT NULL),
+s AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT l_suppkey % 7) FILTER (l_returnflag <> 'A')) AS owners FROM lineitem GROUP BY ALL)
+SELECT version, coalesce(a.owners <> b.owners, false) AS changed FROM p JOIN s a ON a.k = version JOIN s b ON b.k = prior""")
 def owner_set_change(spark, d):
-    owners = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_suppkey").cast("string")).alias("owners"))
+    """Names in two cases, and empty ones."""
+    name = F.concat(F.lit("Owner"), (F.col("l_suppkey") % 7).cast("string"))
+    name = F.when(F.col("l_returnflag") == "A", "").when(F.col("l_linenumber") % 2 == 0, F.upper(name)).otherwise(name)
+    owners = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(name).alias("owners"))
     new, old = owners.select(F.col("l_orderkey").alias("version"), F.col("owners").alias("a")), owners.select(F.col("l_orderkey").alias("prior"), F.col("owners").alias("b"))
     return _prior(spark, d).join(new, "version").join(old, "prior").select("version", T.owners_changed(F.col("a"), F.col("b")).alias("changed"))
 
@@ -155,8 +163,11 @@ def evidence_backlog(spark, d):
     return T.backlog(releases, _verdicts(spark, d), alerts).select("release")
 
 
-@query("""WITH c AS (SELECT conv_id, max_by(CASE role WHEN 'user' THEN 'malicious' ELSE 'benign' END, turn) AS label FROM conversations GROUP BY conv_id)
-SELECT doc_id AS release, label AS human_label, coalesce(label = 'malicious', false) AS alert FROM labels LEFT JOIN c ON conv_id = doc_id""")
+@query("""WITH c AS (SELECT conv_id, max_by(CASE turn % 3 WHEN 0 THEN 'malicious' WHEN 1 THEN 'suspicious' ELSE 'benign' END, turn) AS label
+FROM conversations GROUP BY conv_id)
+SELECT doc_id AS release, label AS human_label, label IS NOT NULL AND label <> 'benign' AS alert, label IS NOT NULL AND label = 'malicious' AS urgent
+FROM labels LEFT JOIN c ON conv_id = doc_id""")
 def adjudication(spark, d):
-    made = table(spark, d, "conversations").select(F.col("conv_id").alias("release"), F.when(F.col("role") == "user", "malicious").otherwise("benign").alias("label"), F.col("text").alias("note"), F.col("turn").alias("at"))
-    return T.adjudicated(_verdicts(spark, d), made).select("release", "human_label", "alert")
+    label = F.when(F.col("turn") % 3 == 0, "malicious").when(F.col("turn") % 3 == 1, "suspicious").otherwise("benign")
+    made = table(spark, d, "conversations").select(F.col("conv_id").alias("release"), label.alias("label"), F.col("text").alias("note"), F.col("turn").alias("at"))
+    return T.adjudicated(_verdicts(spark, d), made).select("release", "human_label", "alert", "urgent")

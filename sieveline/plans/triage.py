@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sieveline.functions.text import html_escape, location_weight, normalize_name
 from sieveline.operators import releases as R
 from sieveline.operators import rules as rule
+from sieveline.operators import triage as T
 
 QUERIES, ORACLES = {}, {}
 
@@ -37,8 +38,8 @@ def tick_limit(spark, d):
 
 @query("SELECT o_orderkey AS release FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'O')")
 def terminal_antijoin(spark, d):
-    open_ = table(spark, d, "lineitem").where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("release"))
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("release")).join(open_, "release", "left_anti")
+    state = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("release"), F.when(F.col("l_linestatus") == "O", "reviewed").otherwise("fetch_failed").alias("stage"))
+    return T.open_releases(table(spark, d, "orders").select(F.col("o_orderkey").alias("release")), state, ["release"])
 
 
 @query("SELECT stream, max(serial) AS cursor FROM (SELECT user_id AS stream, event_id AS serial, bool_and(event_type <> 'error') OVER (PARTITION BY user_id ORDER BY event_id) AS ok FROM events) WHERE ok GROUP BY stream")
@@ -97,9 +98,9 @@ def location_weights(spark, d):
 
 
 PACK = rule.load([
-    {"id": "shout", "weight": 20, "location_scaled": False, "match": {"regex": "[A-Z]{5}!!"}},
-    {"id": "early", "weight": 45, "match": {"all": [{"location_at_least": 3}, {"any": [{"regex": "[0-9]{4}"}, {"blob_present": True}]}]}},
-    {"id": "marks", "weight": 5, "match": {"all": [{"regex": "[$&*]{3}"}, {"not": {"regex": "@"}}]}},
+    {"id": "shout", "applies_to": "code", "weight": 20, "location_scaled": False, "match": {"regex": {"pattern": "[A-Z]{5}!!"}}},
+    {"id": "early", "applies_to": "code", "weight": 45, "match": {"all": [{"location_at_least": 3}, {"any": [{"regex": {"pattern": "[0-9]{4}"}}, {"blob_present": True}]}]}},
+    {"id": "marks", "applies_to": "code", "weight": 5, "match": {"all": [{"regex": {"pattern": "[$&*]{3}"}}, {"not": {"regex": {"pattern": "@"}}}]}},
 ])
 
 

@@ -4,12 +4,9 @@ import gzip
 import io
 import tarfile
 
-from pyspark.sql import functions as F
-
 from sieveline.functions.code import file_facts, line_hunks
 from sieveline.operators import changes as C
 from sieveline.sources.archives import Limits, extract, members
-from sieveline.streaming import tick
 
 
 def archive(**files):
@@ -59,10 +56,6 @@ def test_changed_files_and_evidence(spark):
     assert got == {"setup.py": ("modified", ["b"], [2]), "n.py": ("added", ["import os", "os.system('x')"], [1, 2]), "gone.py": ("removed", [], [])}
     facts = {r.path: r for r in C.file_facts(changed, ["v"]).collect()}
     assert facts["n.py"].categories == ["process"] and facts["setup.py"].location_weight == 3.0 and "gone.py" not in facts
-    weights = spark.createDataFrame([("1", "n.py", 5.0), ("1", "setup.py", 9.0)], "v string, path string, weight double")
-    assert C.evidence(changed, weights, ["v"]).first().evidence == "=== setup.py\n+ b\n=== n.py\n+ import os\n+ os.system('x')"
-    assert C.evidence(changed, weights, ["v"], 18).first().evidence == "=== setup.py\n+ b"
-    assert C.evidence(changed, weights, ["v"], 5).first().evidence == "=== s"
     assert line_hunks(None, None) == []
 
 
@@ -72,15 +65,3 @@ def test_verdicts(spark):
     got = {r.k: r for r in C.routed(C.verdicts(spark.createDataFrame(rows, "k string, reply string"), ["k"])).collect()}
     assert [(got[k].confidence, got[k].attack_type, got[k].recommended_action, got[k].stage, got[k].alert) for k in "msb"] == [(1.0, "none", "report-to-pypi", "reviewed", True), (0.0, "none", "monitor", "needs_adjudication", False), (0.5, "none", "monitor", "reviewed", False)]
     assert all(not got[k].available and got[k].stage == "review_failed" and got[k].alert and got[k].confidence is None for k in "ujln")
-
-
-def test_tick_merges_again_to_the_same(spark, tmp_path):
-    rows = [("a", "1", "new release", 5), ("a", "1", "new release", 7), ("b", "1", "remove", 8), ("c", None, "new release", 9)]
-    kind = "name string, version string, action string, serial long"
-    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/log/0")
-    for again in ("x", "y"):
-        log = spark.readStream.schema(kind).parquet(f"{tmp_path}/log/*")
-        tick.run(log, f"{tmp_path}/state", f"{tmp_path}/{again}").awaitTermination()
-        assert [tuple(r) for r in tick.snapshot(spark, f"{tmp_path}/state").select("name", "version", "serial").collect()] == [("a", "1", 7)]
-    known = spark.createDataFrame([("p", "1", "malicious")], "package string, version string, classification string")
-    assert tick.notify_new(known.unionByName(known.withColumn("version", F.lit("2"))), known).count() == 1
