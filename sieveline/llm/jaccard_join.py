@@ -178,7 +178,7 @@ def _whole(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def _orders(docs: DataFrame, wanted: DataFrame, order, k: int, percent: int, orders: int) -> DataFrame:
-    """(node, n, o1, ...): the prefixes of each class in wanted under all orders but the first, as 32-bit hashes, as a filter may."""
+    """(node, n, o1, ...): the prefixes of each class in wanted under all orders but the first. Whole hashes: the filter counts what two prefixes share, so two shingles must not look like one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o: Order = order.value
@@ -193,10 +193,10 @@ def _orders(docs: DataFrame, wanted: DataFrame, order, k: int, percent: int, ord
                 for which in range(1, orders):
                     by = np.lexsort((o.key(s, which), row))
                     kept = s[by[np.arange(len(s)) - bounds[row] < p[row]]]
-                    out.append(pa.ListArray.from_arrays(ends, pa.array((kept >> U(32)).astype(np.uint32).view(np.int32))))
+                    out.append(pa.ListArray.from_arrays(ends, pa.array(kept.view(np.int64))))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n), *out], names=["node", "n", *[f"o{w}" for w in range(1, orders)]])
 
-    return _found(docs, wanted).mapInArrow(run, "node bigint, n bigint" + "".join(f", o{w} array<int>" for w in range(1, orders))).dropDuplicates(["node"])
+    return _found(docs, wanted).mapInArrow(run, "node bigint, n bigint" + "".join(f", o{w} array<bigint>" for w in range(1, orders))).dropDuplicates(["node"])
 
 
 def _few(df: DataFrame) -> DataFrame:
