@@ -113,13 +113,13 @@ def _reviewed(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
 NOTE = "chr(10) || '[TRUNCATED: lowest-risk hunks omitted to fit the input cap.]'"
 
 
-@query(f"""{REVIEWED}, lo AS (SELECT fi.k, fi.path || ':' || fi.lo || '-' || fi.lo AS at, min({{'w': -fi.w, 'place': fi.place, 'item': fi.path}}) AS m FROM fi SEMI JOIN ra ON ra.k = fi.k AND ra.path = fi.path GROUP BY ALL),
-la AS (SELECT k, string_agg(at, ', ' ORDER BY m, at) AS locations FROM lo GROUP BY k),
+@query(f"""{REVIEWED}, lo AS (SELECT fi.k, fi.path || ':' || fi.lo || '-' || fi.lo AS loc, min({{'w': -fi.w, 'place': fi.place, 'item': fi.path}}) AS m FROM fi SEMI JOIN ra ON ra.k = fi.k AND ra.path = fi.path GROUP BY ALL),
+la AS (SELECT k, string_agg(loc, ', ' ORDER BY m, loc) AS locations FROM lo GROUP BY k),
 he AS (SELECT k, 'package: ' || package || chr(10) || 'version: ' || version || chr(10) || 'is_first_release: ' || CASE WHEN first THEN 'True (FIRST RELEASE - whole-package scan, no prior baseline)' ELSE 'False' END
 || chr(10) || 'triage_score: ' || CAST(round_even(score, 0) AS BIGINT) || chr(10) || 'flagged_locations: ' || coalesce(locations, '') || chr(10) || 'untrusted_content_marker: ' AS head FROM re LEFT JOIN la USING (k)),
-us AS (SELECT ra.*, length(head) + 3 * 49 + 3 + 61 + sum(length(text) + 1) OVER (PARTITION BY ra.k ORDER BY place) AS used FROM ra JOIN he USING (k)),
+us AS (SELECT ra.*, length(head) + 3 * 48 + 3 + 61 + sum(length(text) + 1) OVER (PARTITION BY ra.k ORDER BY place) AS used FROM ra JOIN he USING (k)),
 bo AS (SELECT k, string_agg(text, chr(10) ORDER BY place) FILTER (used <= 520) AS body, count(*) FILTER (used <= 520) AS sent, count(*) AS ranks, max(changes) AS changes FROM us GROUP BY k),
-ma AS (SELECT k, '===UNTRUSTED-' || substr(sha256('fixed' || chr(0) || '0' || chr(0) || k), 1, 32) || '===' AS m FROM re)
+ma AS (SELECT k, '===UNTRUSTED-' || substr(sha256('fixed|0|' || k), 1, 32) || '===' AS m FROM re)
 SELECT k, head || m || chr(10) || chr(10) || m || chr(10) || coalesce(body, '') || chr(10) || m || CASE WHEN sent < ranks OR ranks <> changes THEN {NOTE} ELSE '' END AS input
 FROM he JOIN ma USING (k) LEFT JOIN bo USING (k)""")
 def review_inputs(spark, d):
@@ -162,8 +162,8 @@ def alert_texts(spark, d):
 
 
 @query("""WITH f AS (SELECT l_orderkey AS k, l_returnflag AS rule, l_quantity AS w, CAST(l_partkey AS VARCHAR) AS file, l_linenumber AS lo FROM lineitem)
-SELECT k, '[' || string_agg('{"rule":"' || rule || '","weight":' || w || ',"file":"' || file || '","lines":[' || lo || ',' || lo || ']}', ',' ORDER BY lo, file, w) || ']' AS json,
-string_agg(rule || ':' || lo, ' ' ORDER BY lo, file, w) AS again FROM f GROUP BY k""")
+SELECT k, '[' || string_agg('{"rule":"' || rule || '","weight":' || w || ',"file":"' || file || '","lines":[' || lo || ',' || lo || ']}', ',' ORDER BY lo, file, rule, w) || ']' AS json,
+string_agg(rule || ':' || lo, ' ' ORDER BY lo, file, rule, w) AS again FROM f GROUP BY k""")
 def rules_as_json(spark, d):
     line = F.col("l_linenumber")
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), line.alias("place"), F.col("l_partkey").cast("string").alias("item"), F.col("l_returnflag").alias("rule"), F.col("l_partkey").cast("string").alias("file"), F.col("l_quantity").alias("weight"), line.alias("lo"), line.alias("hi"))

@@ -61,9 +61,9 @@ def index_requirements(spark, d):
     return M.requirements(M.parsed(_index(spark, d)))
 
 
-@query(f"SELECT c_custkey AS name, min(o_orderdate)::DATE AS earliest FROM customer JOIN orders ON o_custkey = c_custkey WHERE {GOOD} GROUP BY ALL")
+@query(f"SELECT c_custkey AS name, CAST(min(o_orderdate)::DATE AS VARCHAR) AS earliest FROM customer JOIN orders ON o_custkey = c_custkey WHERE {GOOD} GROUP BY ALL")
 def index_earliest(spark, d):
-    return M.earliest(M.files(M.parsed(_index(spark, d)))).select("name", F.to_date("earliest").alias("earliest"))
+    return M.earliest(M.files(M.parsed(_index(spark, d)))).select("name", F.date_format("earliest", "yyyy-MM-dd").alias("earliest"))
 
 
 @query("""SELECT DISTINCT lower(regexp_replace(trim(p_name), '[-_.]+', '-', 'g')) AS name FROM part WHERE p_size % 5 <> 0 AND trim(p_name) <> ''""")

@@ -58,12 +58,17 @@ class TableFeed:
         """The newest serial; None without rows."""
         newest, column = None, self.columns["serial"]
         for part in self._table().get_fragments():
-            for group in part.row_groups:
-                found = (group.statistics or {}).get(column)
-                if found is None and group.num_rows:  # no statistics: read the column of this group
-                    top = pc.max(part.subset(row_group_ids=[group.id]).to_table(columns=[column]).column(0)).as_py()
+            about = part.metadata
+            place = about.schema.names.index(column)
+            for i in range(about.num_row_groups):
+                group = about.row_group(i)
+                found = group.column(place).statistics
+                if found is not None and found.has_min_max:
+                    top = found.max
+                elif group.num_rows:  # no statistics: read the column of this group
+                    top = pc.max(part.subset(row_group_ids=[i]).to_table(columns=[column]).column(0)).as_py()
                 else:
-                    top = found and found["max"]
+                    top = None
                 newest = max((x for x in (newest, top) if x is not None), default=None)
         return newest
 
@@ -119,7 +124,7 @@ def ranges(source: TableFeed | RpcFeed, after: int, upto: int, rows: int) -> lis
 
 class ChangelogReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.source, self.since, self.size = feed(options), int(options.get("since", 0)), int(options.get("rowsperpartition", options.get("rowsPerPartition", 1_000_000)))
+        self.source, self.since, self.size = feed(options), int(options.get("since", 0)), int(options.get("rowsPerPartition", 1_000_000))
 
     def partitions(self) -> list[Range]:
         return ranges(self.source, self.since, self.source.last() or 0, self.size) or [Range(0, 0)]

@@ -13,7 +13,7 @@ def parsed(docs: DataFrame, text: str = "json") -> DataFrame:
     """docs (package, json) with `doc` and `outcome`: unreadable-metadata for null texts, for what is no JSON and for what is no object."""
     doc = F.try_parse_json(F.col(text))
     good = F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False))
-    return docs.drop(text).withColumn("doc", F.when(good, doc)).withColumn("outcome", F.when(~good, F.lit("unreadable-metadata")))
+    return docs.withColumn("doc", F.when(good, doc)).withColumn("outcome", F.when(~good, F.lit("unreadable-metadata"))).drop(text)
 
 
 def _get(doc: str, path: str, kind: str = "string") -> Column:

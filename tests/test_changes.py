@@ -1,12 +1,13 @@
 """Archives, hunks, facts, evidence, verdicts and the streaming tick on small fixtures."""
 
 import gzip
+import hashlib
 import io
 import tarfile
 
 from sieveline.functions.code import file_facts, line_hunks
 from sieveline.operators import changes as C
-from sieveline.sources.archives import Limits, extract, members
+from sieveline.sources.archives import Limits, extract
 
 
 def archive(**files):
@@ -29,12 +30,34 @@ def test_archives(spark):
     assert {r.pkg: r.kind for r in got if r.pkg != "good"} == {"junk": "refused", "none": "refused", "cut": "refused"}
 
 
-def test_archive_limits():
-    assert members(GOOD, Limits(members=2))[0]["reason"] == "member-count"
-    assert members(GOOD, Limits(total=5))[0]["reason"] == "size"
-    assert members(archive(a=bytes(100_000)), Limits(decompressed=50_000))[0]["reason"] == "decompressed-size"
-    assert [r["reason"] for r in members(archive(**{"p/a.py": bytes(20)}), Limits(source=10))] == ["source-too-large"]
-    assert members(gzip.compress(b""), Limits()) in ([], [{"kind": "refused", "reason": "bad-archive"}])
+def kinds(spark, blob, **limits):
+    rows = extract(spark.createDataFrame([("a", blob)], "pkg string, content binary"), ["pkg"], limits=Limits(**limits)).collect()
+    return sorted((r.path or "", r.kind, r.reason) for r in rows)
+
+
+def test_archive_limits(spark):
+    """The first breach in the order of the members names the reason."""
+    refused = lambda why: [("", "refused", why)]
+    assert kinds(spark, GOOD, members=2) == refused("member-count") and kinds(spark, GOOD, total=5) == refused("size") and kinds(spark, GOOD, member=5) == refused("size")
+    assert kinds(spark, GOOD, name=5) == refused("name-length") and kinds(spark, GOOD, name=5, members=0) == refused("member-count")
+    assert kinds(spark, archive(a=bytes(100_000)), decompressed=50_000) == refused("decompressed-size")
+    assert kinds(spark, archive(**{"p/a.py": bytes(20)}), source=10) == [("a.py", "binary", "source-too-large")]
+    assert kinds(spark, gzip.compress(b"")) in ([], refused("bad-archive"))
+
+
+def test_archive_members(spark):
+    """Repeated paths, foreign files over the limit, names without a folder, contents and hashes."""
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as t:
+        for name, content in [("p/a.py", b"old"), ("p/a.py", b"new"), ("top.py", b"t"), ("p/", None), ("p/x.so", b"\x7f"), ("p/setup.py.PHP", b"<"), *[(f"p/{i}.rb", b"r") for i in range(5)], ("p/c.c", b"c")]:
+            info = tarfile.TarInfo(name)
+            info.type, info.size = (tarfile.DIRTYPE, 0) if content is None else (tarfile.REGTYPE, len(content))
+            t.addfile(info, io.BytesIO(content or b""))
+    blobs = spark.createDataFrame([("a", out.getvalue(), 1), (None, out.getvalue(), 2), ("a", out.getvalue(), 3)], "pkg string, content binary, item int")
+    got = [r for r in extract(blobs, ["pkg"], limits=Limits(foreign=3)).collect() if r.pkg is None]
+    assert sorted((r.path, r.reason) for r in got if r.reason) == [("0.rb", "foreign-language-source"), ("1.rb", "foreign-language-source"), ("setup.py.PHP", "foreign-language-source"), ("x.so", "new-binary")]
+    assert sorted(r.path for r in got if r.reason is None) == ["a.py", "top.py"]
+    assert {(r.path, r.content, r.sha256) for r in got} >= {("a.py", b"new", None), ("x.so", None, hashlib.sha256(b"\x7f").hexdigest())}
 
 
 def test_facts():

@@ -87,7 +87,7 @@ def test_long_lines_and_deep_trees_run(spark):
 
 
 def test_native_patterns_need_no_python():
-    assert all(java_pattern(p) for p in (r"curl .*\| ?sh", r"\bexec\(", "[A-Za-z0-9+/=]{128}", r"(?i)password\s*=")) and java_pattern("(?:a|b)*c") is None
+    assert all(java_pattern(p) for p in (r"curl .*\| ?sh", r"\bexec\(", "[A-Za-z0-9+/=]{128}", r"(?i)password\s*=")) and java_pattern("(?:ab|c)*d") is None
 
 
 def test_cursor_fails_closed(spark):
