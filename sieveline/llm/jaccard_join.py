@@ -178,7 +178,8 @@ def _whole(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def _orders(docs: DataFrame, wanted: DataFrame, order, k: int, percent: int, orders: int) -> DataFrame:
-    """(node, n, o1, ...): the prefixes of each class in wanted under all orders but the first. Whole hashes: the filter counts what two prefixes share, so two shingles must not look like one."""
+    """(node, n, o1, l1, ...): the prefixes of each class in wanted under all orders but the first, as 32-bit hashes; l: how many shingles of the prefix
+    share their hash with another of it. Shared shingles show at most that many hashes too few, which the filter adds, so it loses no pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o: Order = order.value
@@ -189,14 +190,17 @@ def _orders(docs: DataFrame, wanted: DataFrame, order, k: int, percent: int, ord
                 row = np.repeat(np.arange(hi - lo), n)
                 p = np.where(n > 0, prefix_length(n, percent), 0)
                 ends = pa.array(np.append(0, np.cumsum(p)).astype(np.int32))
+                of = np.repeat(np.arange(hi - lo), p).astype(U)
                 out = []
                 for which in range(1, orders):
                     by = np.lexsort((o.key(s, which), row))
-                    kept = s[by[np.arange(len(s)) - bounds[row] < p[row]]]
-                    out.append(pa.ListArray.from_arrays(ends, pa.array(kept.view(np.int64))))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n), *out], names=["node", "n", *[f"o{w}" for w in range(1, orders)]])
+                    kept = s[by[np.arange(len(s)) - bounds[row] < p[row]]] >> U(32)
+                    some = np.unique(of << U(32) | kept) >> U(32)
+                    lost = p - np.bincount(some.astype(np.int64), minlength=hi - lo)
+                    out += [pa.ListArray.from_arrays(ends, pa.array(kept.astype(np.uint32).view(np.int32))), pa.array(lost.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n), *out], names=["node", "n", *[f"{x}{w}" for w in range(1, orders) for x in "ol"]])
 
-    return _found(docs, wanted).mapInArrow(run, "node bigint, n bigint" + "".join(f", o{w} array<bigint>" for w in range(1, orders))).dropDuplicates(["node"])
+    return _found(docs, wanted).mapInArrow(run, "node bigint, n bigint" + "".join(f", o{w} array<int>, l{w} int" for w in range(1, orders))).dropDuplicates(["node"])
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -268,10 +272,10 @@ def _apart(found: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
 
 def _met(pairs: DataFrame, docs: DataFrame, reps: DataFrame, order, k: int, percent: int, orders: int) -> DataFrame:
     """(a, b) of the pairs whose prefixes meet under all other orders, as often as linked sets' do, and whose whole sets link."""
-    names = [f"o{w}" for w in range(1, orders)]
+    names = [f"{x}{w}" for w in range(1, orders) for x in "ol"]
     heads = cut(_orders(docs, _ends(pairs, reps), order, k, percent, orders))
     side = lambda x: heads.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), *[F.col(o).alias(f"{o}{x}") for o in names])
-    meet = [F.size(F.array_intersect(f"{o}a", f"{o}b")) >= _shared(F.col("na"), F.col("nb"), percent) for o in names]
+    meet = [F.size(F.array_intersect(f"o{w}a", f"o{w}b")) + F.least(f"l{w}a", f"l{w}b") >= _shared(F.col("na"), F.col("nb"), percent) for w in range(1, orders)]
     passed = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(functools.reduce(operator.and_, meet, F.lit(True))).select("a", "b"))
     sets = cut(_whole(docs, _ends(passed, reps), k))
     a, b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("items").alias(f"s{x}")) for x in "ab")

@@ -225,3 +225,26 @@ def test_vector_codes_of_odd_tables(spark):
     for table, n in ((spark.createDataFrame(rows, schema), 5), (spark.createDataFrame([], schema), 0), (spark.createDataFrame([(1, None, 1)], schema), 0), (spark.createDataFrame([(1, [], 1)], schema), 1)):
         got, _ = codes.compress(table)
         assert codes.with_label_error(got).count() == n
+
+
+def test_filters_of_short_hashes_say_what_they_lose(spark):
+    """Each prefix tells how many of its shingles share their short hash with another, and the filters pass what links."""
+    from sieveline.llm import jaccard_join
+    from sieveline.llm.common import cut
+
+    rng = random.Random(4)
+    rows = []
+    for g in range(6):
+        base = [f"b{g}x{i}" for i in range(120)]
+        for _ in range(5):
+            x = list(base)
+            x[rng.randrange(120)] = f"u{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(x)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    order = spark.sparkContext.broadcast(jaccard_join.Order(np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    reps = cut(jaccard_join._scan(docs, 5).where("kind = 0").select(F.col("key").alias("node"), "doc_id", "th", "n"))
+    a, b = (reps.select(F.col("node").alias(x), F.col("doc_id").alias(f"i{x}")) for x in "ab")
+    pairs = cut(a.join(b, F.floor(F.col("ia") / 5) == F.floor(F.col("ib") / 5)).where("ia < ib").select("a", "b"))
+    want = {tuple(r) for r in jaccard_join._met(pairs, docs, reps, order, 5, 75, 3).collect()}
+    heads = jaccard_join._orders(docs, reps, order, 5, 75, 3).collect()
+    assert want and all(len(h["o1"]) - len(set(h["o1"])) == h["l1"] and len(h["o2"]) - len(set(h["o2"])) == h["l2"] for h in heads)
