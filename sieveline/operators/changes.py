@@ -7,23 +7,28 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.code import facts, hunks
 from sieveline.functions.text import blob, location_weight
+from sieveline.operators.triage import HEURISTIC
 
 # The reviewer's contract.
 CLASSES = ("malicious", "suspicious", "benign")
 ACTIONS = ("report-to-pypi", "monitor", "dismiss")
 ATTACKS = ("install-hook-rce", "credential-exfil", "typosquat", "obfuscated-loader", "dropper", "build-backend-rce", "vcs-dep", "none")
-HEURISTIC = "suspicious-heuristic"
 VERDICT = "classification string, confidence string, attack_type string, reasoning string, cited_hunk string, recommended_action string, urgent string"
 
 
 def changed_files(new: DataFrame, old: DataFrame, key: list[str]) -> DataFrame:
-    """(key, path, kind, content, hunks, added, lines) of files (key, path, content) that differ between two trees.
-
-    Files whose lines are all equal have no row; added: the new lines, lines: their 1-based numbers."""
+    """(key, path, kind, content, hunks, added, lines) of files (key, path, content) that differ between two trees, as changed_lines gives them."""
     a, b = new.select(*key, "path", F.col("content").alias("new")), old.select(*key, "path", F.col("content").alias("old"))
     both = a.join(b, [*key, "path"], "full_outer").where(~F.col("new").eqNullSafe(F.col("old")))
     kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("modified")
-    out = both.select(*key, "path", kind.alias("kind"), F.col("new").alias("content"), hunks("old", "new").alias("hunks")).where(F.size("hunks") > 0)
+    return changed_lines(both.withColumn("kind", kind), key)
+
+
+def changed_lines(trees: DataFrame, key: list[str]) -> DataFrame:
+    """(key, path, kind, content, hunks, added, lines) of differing files (key, path, kind, new, old).
+
+    Files whose lines are all equal have no row; added: the new lines, lines: their 1-based numbers."""
+    out = trees.select(*key, "path", "kind", F.col("new").alias("content"), hunks("old", "new").alias("hunks")).where(F.size("hunks") > 0)
     lines = F.flatten(F.transform("hunks", lambda h: F.when(h.new_to > h.new_from, F.sequence(h.new_from + 1, F.greatest(h.new_to, h.new_from + 1))).otherwise(F.array().cast("array<int>"))))
     return out.withColumn("added", F.flatten(F.transform("hunks", lambda h: h.added))).withColumn("lines", lines)
 

@@ -10,9 +10,10 @@ from sieveline.operators.releases import typosquats
 
 THRESHOLD, LOOKUPS, BRAND_NEW_DAYS, TOP_FILES, TOP_RULES = 40.0, 10, 30, 40, 5
 # Outcomes of a fetch that gave no files, and the stages in which a release is done.
-OUTCOMES = ("refused_to_fetch", "refused_to_extract", "fetch_failed", "no_sdist")
+OUTCOMES = ("refused_to_fetch", "refused_to_extract", "fetch_failed", "no_sdist", "new_package_skipped")
 TERMINAL = ("triaged", "alerted", "reviewed", "new_package_skipped", "needs_adjudication", "refused_to_extract", "no_sdist", "refused_to_fetch")
 SEVERITY = ("malicious", "suspicious")
+HEURISTIC = "suspicious-heuristic"
 FIRED = "array<struct<place:int,item:string,rule:string,file:string,weight:double,lo:int,hi:int>>"
 
 
@@ -59,7 +60,7 @@ def screen(added: DataFrame, corpus: DataFrame, index: DataFrame, now: Column, c
 
     In this order: names of the corpus are fine, names near one are typosquats; of the rest the first `cap` of a release, by name, are
     looked up in index (name, earliest) and the others reported as not screened; unknown names are nonexistent, names first seen less
-    than `days` whole days before `now` are brand-new. A known name without a date is fine. Names are compared as normalize_name gives
+    than `days` whole days before `now` are brand-new. A known name without a date is fine, and so is one whose lookup failed, which stands in the index without a date. Names are compared as normalize_name gives
     them; null and empty ones have no row."""
     known = corpus.select(normalize_name(F.col("name")).alias("name")).where("name <> ''").distinct()
     named = added.select("release", normalize_name(F.col("name")).alias("name")).where("name <> ''").distinct()
@@ -191,6 +192,33 @@ def decoded(text: Column) -> Column:
     return F.coalesce(out.cast(FIRED), F.array().cast(FIRED))
 
 
+def last_smaller_version(stored: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (package, version) plus prior: of the package's stored versions (package, version, serial) that are smaller as texts, the one of the greatest serial."""
+    held = stored.select(F.col("package").alias("p"), F.col("version").alias("v"), "serial")
+    pairs = wanted.select("package", "version").distinct().join(held, (F.col("package") == F.col("p")) & (F.col("v") < F.col("version")))
+    return keyed_left(wanted, pairs.groupBy("package", "version").agg(F.max_by("v", F.struct("serial", "v")).alias("prior")), ["package", "version"])
+
+
+def delivered(alerts: DataFrame, key: list[str], send) -> DataFrame:
+    """(key, delivery_status) of alerts (key, text): `sent`, or `failed` where send(text) raises; an alert that fails is on record all the same.
+
+    Give it the alerts that new_alerts has found, after they are stored: an alert is sent at least once, and a task that is repeated may send it again."""
+
+    def run(batches):
+        for rows in batches:
+            status = []
+            for text in rows["text"]:
+                try:
+                    send(text)
+                    status.append("sent")
+                except Exception:  # whatever the receiver's client raises
+                    status.append("failed")
+            yield rows[key].assign(delivery_status=status)
+
+    kinds = ", ".join(f"`{k}` {alerts.schema[k].dataType.simpleString()}" for k in key)
+    return alerts.select(*key, "text").mapInPandas(run, f"{kinds}, delivery_status string")
+
+
 def corpus_names(lines: DataFrame, line: str = "value") -> DataFrame:
     """(name): the normalised names of a popularity list, one a line; blank lines and comments (#) are skipped."""
     text = F.trim(F.col(line))

@@ -132,10 +132,26 @@ def _verdicts(spark, d) -> DataFrame:
     return table(spark, d, "labels").select(F.col("doc_id").alias("release"), of.alias("classification"), F.lit(True).alias("available"))
 
 
-@query("""SELECT doc_id AS release, CASE WHEN toxic = 1 THEN 'malicious' WHEN quality = 0 THEN 'suspicious' ELSE 'benign' END AS classification,
-CASE WHEN toxic <> 1 AND quality = 0 THEN 'needs_adjudication' ELSE 'reviewed' END AS stage, toxic = 1 AS alert FROM labels""")
+@query("""WITH v AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'malicious' WHEN quality = 0 THEN 'suspicious' ELSE 'benign' END AS c, doc_id IN (SELECT conv_id FROM conversations) AS up FROM labels)
+SELECT doc_id AS release, CASE WHEN up THEN c END AS classification, CASE WHEN NOT up THEN 'review_failed' WHEN c = 'suspicious' THEN 'needs_adjudication' ELSE 'reviewed' END AS stage,
+NOT up OR c = 'malicious' AS alert, CASE WHEN NOT up THEN 'suspicious-heuristic' WHEN c = 'malicious' THEN c END AS alert_class FROM v""")
 def route_verdicts(spark, d):
-    return routed(_verdicts(spark, d)).select("release", "classification", "stage", "alert")
+    """Labels without a conversation have no verdict."""
+    talked = table(spark, d, "conversations").select(F.col("conv_id").alias("release"), F.lit(True).alias("up")).distinct()
+    rows = _verdicts(spark, d).join(talked, "release", "left").withColumn("available", F.coalesce("up", F.lit(False))).withColumn("classification", F.when(F.col("available"), F.col("classification")))
+    return routed(rows).select("release", "classification", "stage", "alert", "alert_class")
+
+
+@query("SELECT doc_id AS release, 'alerted' AS stage, true AS alert, 'suspicious-heuristic' AS alert_class FROM labels")
+def route_without_reviewer(spark, d):
+    return routed(_verdicts(spark, d), reviewer=False).select("release", "stage", "alert", "alert_class")
+
+
+@query("""SELECT a.o_custkey AS package, CAST(a.o_orderkey AS VARCHAR) AS version, (SELECT CAST(b.o_orderkey AS VARCHAR) FROM orders b WHERE b.o_custkey = a.o_custkey
+AND CAST(b.o_orderkey AS VARCHAR) < CAST(a.o_orderkey AS VARCHAR) ORDER BY b.o_orderkey DESC LIMIT 1) AS prior FROM orders a""")
+def smaller_versions(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("package"), F.col("o_orderkey").cast("string").alias("version"), F.col("o_orderkey").alias("serial"))
+    return T.last_smaller_version(o, o.select("package", "version"))
 
 
 @query("""SELECT doc_id AS release, source, 'needs_adjudication' AS stage, 'suspicious' AS classification FROM documents JOIN labels USING (doc_id)
