@@ -68,8 +68,8 @@ def _origins(tree: ast.AST) -> dict[str, str]:
     for n in ast.walk(tree):
         if isinstance(n, ast.Import):
             out |= {(x.asname or x.name.split(".")[0]): x.name for x in n.names}
-        elif isinstance(n, ast.ImportFrom) and n.module:
-            out |= {(x.asname or x.name): n.module for x in n.names}
+        elif isinstance(n, ast.ImportFrom):  # a name from the package itself hides one from elsewhere
+            out |= {(x.asname or x.name): n.module or "" for x in n.names}
     return out
 
 
@@ -120,7 +120,7 @@ def file_facts(path: str | None, content: bytes | None, added: set[int]) -> dict
     touched = lambda c: any(i in added for i in range(c.lineno, (c.end_lineno or c.lineno) + 1))
     found = lambda calls: [r for c in calls if touched(c) and (r := _resolve(c, origins))]
     calls = found(n for n in ast.walk(tree) if isinstance(n, ast.Call))
-    return {"syntax_error": False, "modules": sorted(set(origins.values())), "categories": sorted({c for _, c in calls}), "names": sorted({n for n, _ in calls}), "autoexec": sorted({c for _, c in found(_at_import(tree))})}
+    return {"syntax_error": False, "modules": sorted(set(origins.values()) - {""}), "categories": sorted({c for _, c in calls}), "names": sorted({n for n, _ in calls}), "autoexec": sorted({c for _, c in found(_at_import(tree))})}
 
 
 def facts(path: str, content: str, lines: str) -> Column:

@@ -1,35 +1,12 @@
-"""As-of lookups: the last fact of a key before a point of its order, and what is built on them."""
+"""What was known of a release's owners when it came."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.operators.triage import keyed_left, owners_changed
-
-#: Width of the stretches in which a key's order is searched, for serials; a hot key is dealt to as many tasks as it has stretches.
-SERIALS = 100_000
-#: An order before and after all others.
-FIRST, LAST = -(1 << 62), 1 << 62
-
-
-def last_before(rows: DataFrame, key: list[str], order: str, value: Column, fact: Column, name: str, width: int = SERIALS) -> DataFrame:
-    """rows plus `name`: the value of the key's last row with `fact` and a smaller order; null if there is none.
-
-    Of facts of equal order the least value stands. order is a whole number; rows without one see nothing and are seen by none. Null keys are keys. The order is cut into
-    stretches of `width`: within a stretch a window looks back, and each stretch's last fact is carried to those after it, so that
-    no task sorts all rows of one key. Both read one shuffle."""
-    has = F.coalesce(fact, F.lit(False)) & F.col(order).isNotNull()
-    cut = [*key, "stretch__"]
-    # the least of (-order, value) is the last fact, of equal orders the least value
-    dealt = rows.withColumn("stretch__", F.floor(F.col(order) / width)).withColumn("fact__", F.when(has, F.struct((-F.col(order)).alias("o"), value.alias("v"))))
-    past = Window.partitionBy(*key).orderBy("stretch__").rowsBetween(Window.unboundedPreceding, -1)
-    carried = dealt.groupBy(*cut).agg(F.min("fact__").alias("end__")).select(*cut, F.min("end__").over(past).alias("carried__"))
-    near = Window.partitionBy(*cut).orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
-    out = keyed_left(dealt.withColumn("local__", F.min("fact__").over(near)), carried, cut)
-    found = F.when(F.col(order).isNotNull(), F.least("local__", "carried__"))
-    return out.withColumn(name, found["v"]).drop("stretch__", "fact__", "local__", "carried__")
-
+from sieveline.operators.lookup import FIRST, SERIALS, keyed_left, last_before
+from sieveline.operators.triage import owners_changed
 
 def prior_owners(batch: DataFrame, state: DataFrame, width: int = SERIALS) -> DataFrame:
     """batch (package, version, serial, prior, owners, ...) plus prior_owners, what is known of the owners of (package, prior), and maintainer_changed.

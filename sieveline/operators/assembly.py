@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.operators.triage import denied, keyed_left
+from sieveline.operators.lookup import LAST, keyed_left
+from sieveline.operators.releases import DAY
+from sieveline.operators.triage import denied
 from sieveline.sources.archives import is_surface
 
 POLICIES = ("surface", "full", "skip")
-DAY = 86_400_000_000
 
 
 def assembled(releases: DataFrame, index: DataFrame, denylist: DataFrame, policy: str = "surface", width: int = 3650 * DAY) -> DataFrame:
@@ -34,7 +35,7 @@ def assembled(releases: DataFrame, index: DataFrame, denylist: DataFrame, policy
         F.max(F.when(F.col("has_sdist"), F.struct(F.lit(1).alias("x"), "url", "at", F.coalesce("yanked", F.lit(False)).alias("yanked")))).alias("sdist"),
     )
     # releases without a time come after all others
-    one = one.withColumn("order__", F.coalesce(F.col("sdist.at"), F.lit(1 << 62)))
+    one = one.withColumn("order__", F.coalesce(F.col("sdist.at"), F.lit(LAST)))
     fact = F.col("sdist").isNotNull() & ~F.col("sdist.yanked") & F.col("sdist.at").isNotNull() & F.col("version").isNotNull()
     held = F.struct(F.col("version").alias("version"), F.col("sdist.url").alias("url"))
     dealt = one.withColumn("stretch__", F.floor(F.col("order__") / width)).withColumn("fact__", F.when(fact, F.struct((-F.col("order__")).alias("o"), held.alias("v"))))

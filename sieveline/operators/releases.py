@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import deletions
+from sieveline.operators.lookup import LAST, last_before
+
+#: In microseconds.
+DAY = 86_400_000_000
 
 
 def changelog(log: DataFrame, action: str = "new release") -> DataFrame:
@@ -34,18 +38,14 @@ def cursor_prefix(rows: DataFrame, key: str = "stream", previous: DataFrame | No
     return out
 
 
-def predecessors(releases: DataFrame) -> DataFrame:
+def predecessors(releases: DataFrame, width: int = 3650 * DAY) -> DataFrame:
     """releases (package, version, ts, eligible) plus prior: the package's latest eligible other version with a smaller ts.
 
     Of equal ts the least version stands. A release without any has a null prior. A release without a ts has no bound: its prior is
-    the package's latest eligible version; it is no prior itself."""
-    order = Window.partitionBy("package").orderBy("ts")
-    # peers of the same ts don't count: the best of each distinct ts is taken from the row group before it
-    per = releases.where("ts IS NOT NULL").groupBy("package", "ts").agg(F.min(F.when(F.col("eligible"), F.col("version"))).alias("v"))
-    prior = per.select(F.col("package").alias("pp"), F.col("ts").alias("pt"), F.last("v", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("bounded"))
-    newest = per.where("v IS NOT NULL").groupBy(F.col("package").alias("np")).agg(F.max(F.struct("ts", "v")).alias("m"))
-    out = releases.join(prior, F.col("package").eqNullSafe(F.col("pp")) & (F.col("ts") == F.col("pt")), "left").join(newest, F.col("package").eqNullSafe(F.col("np")), "left")
-    return out.select(*releases.columns, F.when(F.col("ts").isNull(), F.col("m.v")).otherwise(F.col("bounded")).alias("prior"))
+    the package's latest eligible version; it is no prior itself. A package's releases are searched in stretches of `width` microseconds."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = releases.withColumn("order__", F.coalesce(at, F.lit(LAST)))
+    return last_before(rows, ["package"], "order__", F.col("version"), F.col("eligible") & F.col("ts").isNotNull(), "prior", width).drop("order__")
 
 
 def added_members(members: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from sieveline.operators import assembly
 from sieveline.operators.asof import prior_owners
 from sieveline.operators.changes import changed_lines, file_facts
+from sieveline.operators.lookup import keyed_left
 from sieveline.operators.review import evidence_texts
 from sieveline.operators.rules import Rule, fired_rules
 from sieveline.operators.shipped import RULES
-from sieveline.operators.triage import HEURISTIC, THRESHOLD, encoded, keyed_left, release_scores, screen, stages
+from sieveline.operators.triage import HEURISTIC, THRESHOLD, encoded, release_scores, screen, stages
 from sieveline.sources.tables import kept
 
 KEY = ["package", "version"]

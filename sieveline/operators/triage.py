@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import normalize_name
+from sieveline.operators.lookup import keyed_left
 from sieveline.operators.releases import typosquats
 
 THRESHOLD, LOOKUPS, BRAND_NEW_DAYS, TOP_FILES, TOP_RULES = 40.0, 10, 30, 40, 5
@@ -17,15 +18,6 @@ HEURISTIC = "suspicious-heuristic"
 FIRED = "array<struct<place:int,item:string,rule:string,file:string,weight:double,lo:int,hi:int>>"
 
 
-def keyed_left(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
-    """left joined with at most one row of right per key, null keys alike; the columns of left, then those of right without the key."""
-    named = right.select(*[F.col(k).alias(f"{k}__r") for k in key], *[c for c in right.columns if c not in key])
-    same = F.lit(True)
-    for k in key:
-        same = same & F.col(k).eqNullSafe(F.col(f"{k}__r"))
-    return left.join(named, same, "left").drop(*[f"{k}__r" for k in key])
-
-
 def open_releases(releases: DataFrame, state: DataFrame, key: list[str]) -> DataFrame:
     """The releases that state (key, stage) doesn't hold as done; null keys are open."""
     done = state.where(F.col("stage").isin(*TERMINAL)).select(*key).distinct()

@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline.operators.lookup import keyed_left
 from sieveline.operators.releases import changelog
-from sieveline.operators.triage import TERMINAL, keyed_left, open_releases
+from sieveline.operators.triage import TERMINAL, open_releases
 from sieveline.streaming import state
 
 KEY = ["name", "version"]

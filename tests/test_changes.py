@@ -67,6 +67,7 @@ def test_facts():
     assert file_facts("a.py", text, {5})["categories"] == ["process"]
     assert file_facts("a.py", b"def (", every)["syntax_error"]
     assert file_facts("a.cfg", text, every)["categories"] == [] == file_facts("a.py", None, every)["modules"]
+    assert file_facts("a.py", b"from os import system\nfrom . import system\nsystem('x')", every)["categories"] == []
     assert file_facts("a.py", b"import urllib\nurllib.request.urlopen('u')", every)["categories"] == ["network"]
 
 

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline.operators import assembly, review
-from sieveline.operators.asof import last_before, prior_owners
+from sieveline.operators.asof import prior_owners
+from sieveline.operators.lookup import last_before
 from sieveline.sources import metadata
 from sieveline.sources.blobs import blobs
 

@@ -89,3 +89,13 @@ def test_an_index_over_xml_rpc(spark):
     for bad in ({"endpoint": "file:///etc/passwd"}, {}):
         with pytest.raises(ValueError):
             changelog.feed(bad)
+
+
+def test_the_changelog_drives_the_tick(spark, tmp_path):
+    from sieveline.streaming import state, tick
+
+    path, root, checkpoint = (str(tmp_path / x) for x in ("log", "state", "check"))
+    for lo, hi in ((1, 20), (21, 25)):
+        feed(spark, path, lo, hi)
+        tick.run(stream(spark, path, start="earliest", rowsPerPartition=8), root, checkpoint).awaitTermination()
+        assert tick.cursor(spark, root) == hi and state.read(spark, root, "releases").count() == hi
