@@ -55,13 +55,15 @@ def assembled(releases: DataFrame, index: DataFrame, denylist: DataFrame, policy
     out = listed.withColumn("outcome", outcome)
     looked = F.col("outcome").isNull() | (F.col("outcome") == "new_package_skipped")
     value = lambda c: F.when(looked, c)
-    return out.select("package", "version", "serial", "outcome", value(F.col("sdist.url")).alias("url"), value(F.col("prior__.version")).alias("prior"), value(F.col("prior__.url")).alias("prior_url"), value(F.col("prior__").isNull()).alias("is_new"))
+    return out.select("package", "version", "serial", "outcome", value(F.col("sdist.url")).alias("url"),
+        value(F.col("prior__.version")).alias("prior"), value(F.col("prior__.url")).alias("prior_url"), value(F.col("prior__").isNull()).alias("is_new"))
 
 
 def _roles(targets: DataFrame) -> DataFrame:
     """(package, of, version, new, is_new): the versions whose rows a release needs: its own, and its prior's."""
     role = lambda of, new: F.struct(of.alias("of"), F.lit(new).alias("new"))
-    each = targets.where("outcome IS NULL").select("package", "version", "is_new", F.explode(F.array(role(F.col("version"), True), role(F.col("prior"), False))).alias("r"))
+    each = targets.where("outcome IS NULL").select("package", "version", "is_new",
+        F.explode(F.array(role(F.col("version"), True), role(F.col("prior"), False))).alias("r"))
     return each.select("package", "version", "is_new", "r.of", "r.new").where("of IS NOT NULL")
 
 

@@ -29,7 +29,8 @@ def changed_lines(trees: DataFrame, key: list[str]) -> DataFrame:
 
     Files whose lines are all equal have no row; added: the new lines, lines: their 1-based numbers."""
     out = trees.select(*key, "path", "kind", F.col("new").alias("content"), hunks("old", "new").alias("hunks")).where(F.size("hunks") > 0)
-    lines = F.flatten(F.transform("hunks", lambda h: F.when(h.new_to > h.new_from, F.sequence(h.new_from + 1, F.greatest(h.new_to, h.new_from + 1))).otherwise(F.array().cast("array<int>"))))
+    lines = F.flatten(F.transform("hunks",
+        lambda h: F.when(h.new_to > h.new_from, F.sequence(h.new_from + 1, F.greatest(h.new_to, h.new_from + 1))).otherwise(F.array().cast("array<int>"))))
     return out.withColumn("added", F.flatten(F.transform("hunks", lambda h: h.added))).withColumn("lines", lines)
 
 
@@ -37,7 +38,8 @@ def file_facts(changed: DataFrame, key: list[str]) -> DataFrame:
     """Facts that rules read, of changed files with an added line. blob counts in Python files that parse."""
     some = changed.where(F.size("lines") > 0).withColumn("f", facts("path", "content", "lines"))
     python = F.col("path").rlike(r"\.(py|pyx|pyi)$") & ~F.col("f.syntax_error")
-    return some.select(*key, "path", location_weight(F.col("path")).alias("location_weight"), "added", "f.*", (python & blob(F.col("added"))).alias("blob"), F.element_at("lines", 1).alias("first_line"), F.element_at("lines", -1).alias("last_line"))
+    return some.select(*key, "path", location_weight(F.col("path")).alias("location_weight"), "added", "f.*",
+        (python & blob(F.col("added"))).alias("blob"), F.element_at("lines", 1).alias("first_line"), F.element_at("lines", -1).alias("last_line"))
 
 
 def ranked(files: DataFrame, key: list[str], weight: str, tie: list[str]) -> DataFrame:
@@ -66,13 +68,16 @@ def verdicts(replies: DataFrame, key: list[str], reply: str = "reply") -> DataFr
     types become none, unknown actions follow the classification, and confidence is clamped to 0..1 (0 if unreadable)."""
     v = replies.select(*key, F.from_json(reply, VERDICT).alias("v"), F.json_object_keys(reply).alias("names"))
     needed = [x.split()[0] for x in VERDICT.split(", ")]
-    ok = F.coalesce(F.size(F.array_intersect("names", F.array(*map(F.lit, needed)))) == len(needed), F.lit(False)) & F.coalesce(F.col("v.classification").isin(*CLASSES), F.lit(False))
+    ok = F.coalesce(F.size(F.array_intersect("names", F.array(*map(F.lit, needed)))) == len(needed),
+        F.lit(False)) & F.coalesce(F.col("v.classification").isin(*CLASSES), F.lit(False))
     of = lambda c: F.when(F.col("available"), c)
     number = F.expr("try_cast(v.confidence AS double)")
     confidence = F.when(number.isNull() | F.isnan(number), 0.0).otherwise(F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0)))
-    action = F.when(F.col("v.recommended_action").isin(*ACTIONS), F.col("v.recommended_action")).when(F.col("v.classification") == "malicious", ACTIONS[0]).otherwise(ACTIONS[1])
+    action = F.when(F.col("v.recommended_action").isin(*ACTIONS), F.col("v.recommended_action")).when(F.col("v.classification") == "malicious",
+        ACTIONS[0]).otherwise(ACTIONS[1])
     attack = F.when(F.col("v.attack_type").isin(*ATTACKS), F.col("v.attack_type")).otherwise("none")
-    cols = {"classification": F.col("v.classification"), "confidence": confidence, "attack_type": attack, "reasoning": F.col("v.reasoning"), "cited_hunk": F.col("v.cited_hunk"), "recommended_action": action, "urgent": F.coalesce(F.expr("try_cast(v.urgent AS boolean)"), F.lit(False))}
+    cols = {"classification": F.col("v.classification"), "confidence": confidence, "attack_type": attack, "reasoning": F.col("v.reasoning"),
+        "cited_hunk": F.col("v.cited_hunk"), "recommended_action": action, "urgent": F.coalesce(F.expr("try_cast(v.urgent AS boolean)"), F.lit(False))}
     return v.withColumn("available", ok).select(*key, "available", *[of(c).alias(n) for n, c in cols.items()])
 
 

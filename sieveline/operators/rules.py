@@ -74,8 +74,10 @@ _reason = lambda v: F.col("reason").eqNullSafe(F.lit(v))
 #: Predicate: its scope, whether an argument is good, the column it states.
 PREDICATES: dict[str, tuple[str, Callable[[object], bool], Callable[[object], Column]]] = {
     "bound_call": ("code", _bound_call_ok, _bound_call),
-    "autoexec_call": ("code", lambda v: isinstance(v, dict) and set(v) == {"category"} and _categories(v["category"]) is not None, lambda v: _overlap("autoexec", _categories(v["category"]))),
-    "import_present": ("code", lambda v: isinstance(v, dict) and isinstance(v.get("module"), str), lambda v: F.coalesce(F.array_contains("modules", v["module"]), F.lit(False))),
+    "autoexec_call": ("code", lambda v: isinstance(v, dict) and set(v) == {"category"} and _categories(v["category"]) is not None,
+        lambda v: _overlap("autoexec", _categories(v["category"]))),
+    "import_present": ("code", lambda v: isinstance(v, dict) and isinstance(v.get("module"), str),
+        lambda v: F.coalesce(F.array_contains("modules", v["module"]), F.lit(False))),
     "regex": ("code", lambda v: isinstance(v, dict) and compiles(v.get("pattern")), lambda v: any_line("added", v["pattern"])),
     "blob_present": ("code", _true, _flag("blob")),
     "syntax_error": ("code", _true, _flag("syntax_error")),
@@ -112,7 +114,8 @@ def valid(raw: object) -> Rule | None:
     if not isinstance(raw, dict):
         return None
     id_, scope, weight = raw.get("id"), raw.get("applies_to"), raw.get("weight")
-    if not isinstance(id_, str | int) or isinstance(id_, bool) or str(id_) == "" or not isinstance(scope, str) or scope not in SCOPES or not _sound(raw.get("match"), scope):
+    if not isinstance(id_, str | int) or isinstance(id_, bool) or str(id_) == "" or not isinstance(scope,
+        str) or scope not in SCOPES or not _sound(raw.get("match"), scope):
         return None
     try:
         number = None if isinstance(weight, bool) else float(weight)
@@ -152,7 +155,9 @@ def compiled(node: dict) -> Column:
 
 def _met(rows: DataFrame, rules: list[Rule], keep: list[Column], scaled: bool) -> DataFrame:
     """keep and f (place, rule, weight) of each rule that a row meets; all rules in one scan."""
-    one = lambda i, r: F.when(compiled(r.match), F.struct(F.lit(i).alias("place"), F.lit(r.id).alias("rule"), (F.lit(r.weight) * (F.col("location_weight") if scaled and r.scaled else F.lit(1.0))).alias("weight")))
+    one = lambda i, r: F.when(compiled(r.match),
+        F.struct(F.lit(i).alias("place"), F.lit(r.id).alias("rule"),
+        (F.lit(r.weight) * (F.col("location_weight") if scaled and r.scaled else F.lit(1.0))).alias("weight")))
     return rows.select(*keep, F.explode(F.filter(F.array(*[one(i, r) for i, r in rules]), lambda x: x.isNotNull())).alias("f"))
 
 
@@ -161,14 +166,16 @@ def fired(facts: DataFrame, rules: list[Rule], key: list[str]) -> DataFrame:
     return _met(facts, list(enumerate(rules)), [F.col(k) for k in key], True).select(*key, "f.rule", "f.weight")
 
 
-def fired_rules(rules: list[Rule], key: list[str], code: DataFrame | None = None, binary: DataFrame | None = None, dep: DataFrame | None = None, maintainer: DataFrame | None = None) -> DataFrame:
+def fired_rules(rules: list[Rule], key: list[str], code: DataFrame | None = None, binary: DataFrame | None = None, dep: DataFrame | None = None,
+    maintainer: DataFrame | None = None) -> DataFrame:
     """(key, place, item, rule, weight, file, lo, hi) of every rule of a ruleset on the rows of its scope.
 
     place: the rule's number in the ruleset; item: the row's order within its release. code has (key, path, first_line, last_line, facts...), binary (key, path,
     reason[, item]), dep (key, name, reason), maintainer (key, maintainer_changed). Only code rules have lines and follow the location; others have lines 0 to 0."""
     kinds = {
         "code": (code, F.col("path"), lambda d: (F.col("path"), F.col("first_line"), F.col("last_line"))),
-        "binary": (binary, F.coalesce("path", F.lit("?")), lambda d: (F.lpad(F.col("item").cast("string"), 12, "0") if "item" in d.columns else F.col("path"), F.lit(0), F.lit(0))),
+        "binary": (binary, F.coalesce("path", F.lit("?")),
+            lambda d: (F.lpad(F.col("item").cast("string"), 12, "0") if "item" in d.columns else F.col("path"), F.lit(0), F.lit(0))),
         "dep": (dep, F.coalesce("name", F.lit("?")), lambda d: (F.col("name"), F.lit(0), F.lit(0))),
         "maintainer": (maintainer, F.lit(OWNERSHIP), lambda d: (F.lit(""), F.lit(0), F.lit(0))),
     }

@@ -31,7 +31,8 @@ RAW: list[dict] = [
     _rule("maintainer-set-change", "maintainer", 20, "account-takeover", {"maintainer_changed": True}),
     _rule("syntax-error-suspicious", "code", 20, "obfuscation", {"syntax_error": True}, scaled=True),
     _rule("primitives", "code", 5, "primitive-use", {"any": [_call(*EVERY), {"blob_present": True}]}, scaled=True),
-    _rule("autoexec-location", "code", 45, "install-hook", {"all": [{"location_at_least": 3.0}, {"any": [{"autoexec_call": {"category": c}} for c in ("process", "exec", "network")]}]}),
+    _rule("autoexec-location", "code", 45, "install-hook",
+        {"all": [{"location_at_least": 3.0}, {"any": [{"autoexec_call": {"category": c}} for c in ("process", "exec", "network")]}]}),
 ]
 RULES: list[Rule] = load(RAW)
 STANDARD: dict[str, list[Rule]] = {scope: [r for r in RULES if r.scope == scope] for scope in ("code", "binary", "dep", "maintainer")}

@@ -30,7 +30,8 @@ def release_scores(releases: DataFrame, fired: DataFrame, key: list[str], thresh
     A release without a fired rule has score 0 and an empty list. Null weights count as 0, null keys are keys. `fired` is as fired_rules gives it."""
     one = F.struct("place", "item", "rule", "file", F.coalesce("weight", F.lit(0.0)).cast("double").alias("weight"), "lo", "hi")
     per = fired.groupBy(*key).agg(F.array_sort(F.collect_list(one)).cast(FIRED).alias("fired"), F.sum("weight").cast("double").alias("score"))
-    out = keyed_left(releases.select(*key).distinct(), per, key).select(*key, F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("fired", F.array().cast(FIRED)).alias("fired"))
+    out = keyed_left(releases.select(*key).distinct(), per, key).select(*key, F.coalesce("score", F.lit(0.0)).alias("score"),
+        F.coalesce("fired", F.array().cast(FIRED)).alias("fired"))
     return out.select(*key, "score", F.size("fired").cast("long").alias("n_rules"), "fired", (F.col("score") >= threshold).alias("escalate"))
 
 
@@ -144,23 +145,28 @@ def adjudicated(verdicts: DataFrame, decisions: DataFrame) -> DataFrame:
     return out.withColumn("urgent", F.coalesce(label == "malicious", F.lit(False))).drop("m")
 
 
-def alert_text(package: Column, version: Column, classification: Column, score: Column, fired: Column, review: dict[str, Column] | None = None, n: int = TOP_RULES) -> Column:
+def alert_text(package: Column, version: Column, classification: Column, score: Column, fired: Column, review: dict[str, Column] | None = None,
+    n: int = TOP_RULES) -> Column:
     """An alert's text: what, the score as a whole number (half to even), the n heaviest rules; with a reviewer's reasoning its attack, confidence, model, hunk and reason."""
-    heavy = F.slice(F.array_sort(F.transform(fired, lambda x, i: F.struct((-x.weight).alias("w"), i.alias("i"), F.format_string("%s@%s:%d-%d", x.rule, x.file, x.lo, x.hi).alias("t")))), 1, n)
-    head = F.concat(F.lit("["), F.upper(classification), F.lit("] score="), F.bround(score).cast("bigint").cast("string"), F.lit(" "), package, F.lit(" "), version, F.lit(" :: "), F.array_join(F.transform(heavy, lambda x: x.t), "; "))
+    heavy = F.slice(F.array_sort(F.transform(fired, lambda x,
+        i: F.struct((-x.weight).alias("w"), i.alias("i"), F.format_string("%s@%s:%d-%d", x.rule, x.file, x.lo, x.hi).alias("t")))), 1, n)
+    head = F.concat(F.lit("["), F.upper(classification), F.lit("] score="), F.bround(score).cast("bigint").cast("string"), F.lit(" "), package,
+        F.lit(" "), version, F.lit(" :: "), F.array_join(F.transform(heavy, lambda x: x.t), "; "))
     if review is None:
         return head
     text = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
     confidence = F.coalesce(F.format_string("%.2f", review["confidence"].cast("double")), F.lit("?")) if "confidence" in review else F.lit("?")
     confidence = F.when(review["confidence"].isNull(), "?").otherwise(confidence) if "confidence" in review else confidence
-    block = F.concat(F.lit("\n  attack="), text(review["attack_type"]), F.lit(" confidence="), confidence, F.lit(" model="), text(review["model"]), F.lit("\n  cited_hunk="), text(review["cited_hunk"]), F.lit("\n  reason: "), review["reasoning"])
+    block = F.concat(F.lit("\n  attack="), text(review["attack_type"]), F.lit(" confidence="), confidence, F.lit(" model="), text(review["model"]),
+        F.lit("\n  cited_hunk="), text(review["cited_hunk"]), F.lit("\n  reason: "), review["reasoning"])
     return F.concat(head, F.when(review["reasoning"].isNotNull(), block).otherwise(""))
 
 
 def counters(releases: DataFrame, verdicts: DataFrame) -> DataFrame:
     """One row: releases_total, verdicts_total and flagged_total, the verdicts of SEVERITY in any case."""
     flagged = F.coalesce(F.lower("classification").isin(*SEVERITY), F.lit(False)).cast("long")
-    each = releases.select(F.lit(1).alias("r"), F.lit(0).alias("v"), F.lit(0).cast("long").alias("f")).unionByName(verdicts.select(F.lit(0).alias("r"), F.lit(1).alias("v"), flagged.alias("f")))
+    each = releases.select(F.lit(1).alias("r"), F.lit(0).alias("v"),
+        F.lit(0).cast("long").alias("f")).unionByName(verdicts.select(F.lit(0).alias("r"), F.lit(1).alias("v"), flagged.alias("f")))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     return each.agg(total("r").alias("releases_total"), total("v").alias("verdicts_total"), total("f").alias("flagged_total"))
 
@@ -180,7 +186,8 @@ def encoded(fired: Column) -> Column:
 def decoded(text: Column) -> Column:
     """encoded() read back (FIRED); an empty list for null, empty or unreadable text."""
     rows = F.from_json(text, "array<struct<rule:string,weight:double,file:string,lines:array<int>>>")
-    out = F.transform(rows, lambda x, i: F.struct(i.alias("place"), F.lit("").alias("item"), x.rule.alias("rule"), x.file.alias("file"), x.weight.alias("weight"), F.get(x.lines, 0).alias("lo"), F.get(x.lines, 1).alias("hi")))
+    out = F.transform(rows, lambda x, i: F.struct(i.alias("place"), F.lit("").alias("item"), x.rule.alias("rule"), x.file.alias("file"),
+        x.weight.alias("weight"), F.get(x.lines, 0).alias("lo"), F.get(x.lines, 1).alias("hi")))
     return F.coalesce(out.cast(FIRED), F.array().cast(FIRED))
 
 

@@ -18,11 +18,14 @@ INDEX = """SELECT 'c-' || o_custkey AS package, CAST(o_orderkey AS VARCHAR) AS v
 def _index(spark, d) -> DataFrame:
     o = table(spark, d, "orders").join(table(spark, d, "customer").where("c_nationkey > 3").select(F.col("c_custkey").alias("o_custkey")), "o_custkey")
     low = F.col("o_orderpriority") == "5-LOW"
-    return o.select(F.concat(F.lit("c-"), "o_custkey").alias("package"), F.col("o_orderkey").cast("string").alias("version"), F.when(~low, F.col("o_orderdate")).alias("ts"), F.concat(F.lit("u"), "o_orderkey").alias("url"), (F.col("o_orderstatus") == "P").alias("yanked"), (F.col("o_orderpriority") != "3-MEDIUM").alias("has_sdist"))
+    return o.select(F.concat(F.lit("c-"), "o_custkey").alias("package"), F.col("o_orderkey").cast("string").alias("version"),
+        F.when(~low, F.col("o_orderdate")).alias("ts"), F.concat(F.lit("u"), "o_orderkey").alias("url"),
+        (F.col("o_orderstatus") == "P").alias("yanked"), (F.col("o_orderpriority") != "3-MEDIUM").alias("has_sdist"))
 
 
 def _assembled(spark, d, policy: str) -> DataFrame:
-    releases = table(spark, d, "orders").select(F.concat(F.lit("c-"), "o_custkey").alias("package"), F.col("o_orderkey").cast("string").alias("version"), F.col("o_orderkey").alias("serial"))
+    releases = table(spark, d, "orders").select(F.concat(F.lit("c-"), "o_custkey").alias("package"),
+        F.col("o_orderkey").cast("string").alias("version"), F.col("o_orderkey").alias("serial"))
     listed = table(spark, d, "customer").where("c_acctbal < -500").select(F.concat(F.lit(" C__"), "c_custkey").alias("name"))
     return A.assembled(releases, _index(spark, d), listed, policy)
 
@@ -51,7 +54,8 @@ def _targets(spark, d) -> DataFrame:
 def _files(spark, d) -> DataFrame:
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("package"), F.col("o_orderkey").alias("l_orderkey"))
     path = F.concat(F.lit("pkg"), "l_partkey", F.when(F.col("l_partkey") % 3 == 0, "/__init__.py").otherwise("/m.py"))
-    return table(spark, d, "lineitem").join(o, "l_orderkey").groupBy("package", F.col("l_orderkey").alias("version"), path.alias("path")).agg(F.max("l_quantity").alias("content"))
+    return table(spark, d, "lineitem").join(o, "l_orderkey").groupBy("package", F.col("l_orderkey").alias("version"),
+        path.alias("path")).agg(F.max("l_quantity").alias("content"))
 
 
 @query(f"""WITH p AS ({PRIOR}), f AS (SELECT l_orderkey AS v, {FILE} AS path, max(l_quantity) AS content FROM lineitem GROUP BY ALL),
@@ -79,8 +83,10 @@ f AS (SELECT b.version, b.owners, coalesce(s.owners, e.owners) AS prior_owners,
 SELECT version, prior_owners, coalesce(prior_owners <> owners, false) AS maintainer_changed FROM f""")
 def prior_owner_lookup(spark, d):
     """Orders before 1995 are state, later ones a batch in the order of their keys: both supply priors, and a later key doesn't."""
-    owners = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.concat(F.lit("S"), (F.col("l_suppkey") % 5).cast("string")))).alias("owners"))
-    o = table(spark, d, "orders").join(owners, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_custkey").alias("package"), F.col("o_orderkey").alias("version"), F.col("o_orderkey").alias("serial"), "owners", "o_orderdate")
+    owners = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.concat(F.lit("S"),
+        (F.col("l_suppkey") % 5).cast("string")))).alias("owners"))
+    o = table(spark, d, "orders").join(owners, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_custkey").alias("package"),
+        F.col("o_orderkey").alias("version"), F.col("o_orderkey").alias("serial"), "owners", "o_orderdate")
     new = F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp_ntz")
     out = prior_owners(o.where(new).join(_prior(spark, d), "version"), o.where(~new), width=5000)
     return out.select("version", F.array_join("prior_owners", ",").alias("prior_owners"), "maintainer_changed")
@@ -102,11 +108,15 @@ def _reviewed(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     path = F.concat(F.lit("f"), F.lpad(F.col("l_partkey").cast("string"), 6, "0"))
     removed = F.array_sort(F.collect_set(F.concat("l_returnflag", "l_linestatus")))
     added = F.transform(F.array_sort(F.collect_list("l_linenumber")), lambda n: F.concat(F.lit("line "), n.cast("string")))
-    changed = rows.groupBy(F.col("l_orderkey").alias("k"), path.alias("path")).agg(F.when(F.count("*") > 1, "modified").otherwise("added").alias("kind"), F.array(F.struct(removed.alias("removed"), added.alias("added"))).alias("hunks"))
+    changed = rows.groupBy(F.col("l_orderkey").alias("k"),
+        path.alias("path")).agg(F.when(F.count("*") > 1, "modified").otherwise("added").alias("kind"),
+        F.array(F.struct(removed.alias("removed"), added.alias("added"))).alias("hunks"))
     line = F.when(F.col("l_linestatus") == "O", 0).otherwise(F.col("l_linenumber"))
-    fired = rows.where("l_quantity > 35").select(F.col("l_orderkey").alias("k"), F.when(F.col("l_returnflag") == "R", 0).otherwise(1).alias("place"), path.alias("item"), F.lit("rule").alias("rule"), F.col("l_quantity").alias("weight"), path.alias("file"), line.alias("lo"), line.alias("hi"))
+    fired = rows.where("l_quantity > 35").select(F.col("l_orderkey").alias("k"), F.when(F.col("l_returnflag") == "R", 0).otherwise(1).alias("place"),
+        path.alias("item"), F.lit("rule").alias("rule"), F.col("l_quantity").alias("weight"), path.alias("file"), line.alias("lo"), line.alias("hi"))
     score = fired.groupBy("k").agg(F.sum("weight").alias("score"))
-    releases = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("p"), "o_custkey").alias("package"), F.col("o_orderkey").cast("string").alias("version"), (F.col("o_orderstatus") == "O").alias("is_first"))
+    releases = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("p"), "o_custkey").alias("package"),
+        F.col("o_orderkey").cast("string").alias("version"), (F.col("o_orderstatus") == "O").alias("is_first"))
     return releases.join(score, "k", "left").withColumn("score", F.coalesce("score", F.lit(0.0))), changed, fired
 
 
@@ -155,10 +165,14 @@ SELECT k, '[SUSPICIOUS] score=' || CAST(round_even(sum(w) / 4, 0) AS BIGINT) ||
 || CASE WHEN k % 2 = 0 THEN chr(10) || '  attack=none confidence=' || CASE WHEN k % 4 = 0 THEN '0.50' ELSE '?' END || ' model=m' || chr(10) || '  cited_hunk=a:1' || chr(10) || '  reason: why' ELSE '' END AS text
 FROM f GROUP BY k""")
 def alert_texts(spark, d):
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("place"), F.col("l_partkey").cast("string").alias("item"), F.col("l_returnflag").alias("rule"), F.col("l_partkey").cast("string").alias("file"), F.col("l_quantity").alias("weight"), F.col("l_linenumber").alias("lo"), (F.col("l_linenumber") + 1).alias("hi"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("place"),
+        F.col("l_partkey").cast("string").alias("item"), F.col("l_returnflag").alias("rule"), F.col("l_partkey").cast("string").alias("file"),
+        F.col("l_quantity").alias("weight"), F.col("l_linenumber").alias("lo"), (F.col("l_linenumber") + 1).alias("hi"))
     k = F.col("k").cast("string")
-    review = {"reasoning": F.when(F.col("k") % 2 == 0, "why"), "confidence": F.when(F.col("k") % 4 == 0, 0.5), "attack_type": F.lit("none"), "model": F.lit("m"), "cited_hunk": F.lit("a:1")}
-    return T.release_scores(rows, rows, ["k"]).select("k", T.alert_text(F.concat(F.lit("p"), k), F.concat(F.lit("1."), k), F.lit("suspicious"), F.col("score") / 4, F.col("fired"), review, 3).alias("text"))
+    review = {"reasoning": F.when(F.col("k") % 2 == 0, "why"), "confidence": F.when(F.col("k") % 4 == 0, 0.5), "attack_type": F.lit("none"),
+        "model": F.lit("m"), "cited_hunk": F.lit("a:1")}
+    return T.release_scores(rows, rows, ["k"]).select("k",
+        T.alert_text(F.concat(F.lit("p"), k), F.concat(F.lit("1."), k), F.lit("suspicious"), F.col("score") / 4, F.col("fired"), review, 3).alias("text"))
 
 
 @query("""WITH f AS (SELECT l_orderkey AS k, l_returnflag AS rule, l_quantity AS w, CAST(l_partkey AS VARCHAR) AS file, l_linenumber AS lo FROM lineitem)
@@ -166,7 +180,9 @@ SELECT k, '[' || string_agg('{"rule":"' || rule || '","weight":' || w || ',"file
 string_agg(rule || ':' || lo, ' ' ORDER BY lo, file, rule, w) AS again FROM f GROUP BY k""")
 def rules_as_json(spark, d):
     line = F.col("l_linenumber")
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), line.alias("place"), F.col("l_partkey").cast("string").alias("item"), F.col("l_returnflag").alias("rule"), F.col("l_partkey").cast("string").alias("file"), F.col("l_quantity").alias("weight"), line.alias("lo"), line.alias("hi"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), line.alias("place"), F.col("l_partkey").cast("string").alias("item"),
+        F.col("l_returnflag").alias("rule"), F.col("l_partkey").cast("string").alias("file"), F.col("l_quantity").alias("weight"), line.alias("lo"),
+        line.alias("hi"))
     out = T.release_scores(rows, rows, ["k"]).select("k", T.encoded(F.col("fired")).alias("json"))
     return out.withColumn("again", F.array_join(F.transform(T.decoded(F.col("json")), lambda x: F.concat_ws(":", x.rule, x.lo.cast("string"))), " "))
 
@@ -176,7 +192,8 @@ CASE WHEN n_chars <= 2000 AND lang <> 'en' THEN 'gone' END AS fetch_error FROM d
 def pending_evidence(spark, d):
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
     releases = docs.select(F.col("doc_id").alias("release"), F.lit("needs_adjudication").alias("stage"), F.when(F.col("n_chars") > 2000, "stored").alias("evidence"))
-    open_ = labels.where("toxic <> 1 AND quality = 0").select(F.col("doc_id").alias("release"), F.lit("suspicious").alias("classification"), F.lit(None).cast("string").alias("human_label"))
+    open_ = labels.where("toxic <> 1 AND quality = 0").select(F.col("doc_id").alias("release"), F.lit("suspicious").alias("classification"),
+        F.lit(None).cast("string").alias("human_label"))
     rebuilt = docs.select(F.col("doc_id").alias("release"), F.when(F.col("lang") == "en", "rebuilt").alias("text"), F.when(F.col("lang") != "en", "gone").alias("error"))
     return V.pending_listing(T.pending(releases, open_), rebuilt, ["release"]).select("release", "shown", "evidence_stored", "fetch_error")
 
@@ -191,7 +208,8 @@ why IS NULL AND (prior IS NOT NULL OR was) AS captured FROM e""")
 def backfill_status(spark, d):
     """Large orders again: those that were first are scanned without a prior; evidence stands for all but new ones that weren't first."""
     key = ["package", "version"]
-    todo = table(spark, d, "orders").where("o_totalprice > 200000").select(F.concat(F.lit("c-"), "o_custkey").alias("package"), F.col("o_orderkey").cast("string").alias("version"), (F.col("o_orderstatus") == "O").alias("was_first"))
+    todo = table(spark, d, "orders").where("o_totalprice > 200000").select(F.concat(F.lit("c-"), "o_custkey").alias("package"),
+        F.col("o_orderkey").cast("string").alias("version"), (F.col("o_orderstatus") == "O").alias("was_first"))
     again = V.baselines(todo, _assembled(spark, d, "surface"), key)
     evidence = again.select(*key, F.when(F.col("is_new") & ~F.col("was_first"), "").otherwise("text").alias("evidence"))
     out = T.keyed_left(again, V.backfilled(again, evidence, key), key)

@@ -16,22 +16,28 @@ from sieveline.sources import metadata as M
 WHERE event_type = 'signup' AND props IS NOT NULL GROUP BY ALL""")
 def changelog_source(spark, d):
     changelog.register(spark)
-    log = spark.read.format("changelog").options(path=f"{d}/events.parquet", name="user_id", version="props", action="event_type", serial="event_id", rowsPerPartition="100000").load()
+    log = spark.read.format("changelog").options(path=f"{d}/events.parquet", name="user_id", version="props", action="event_type", serial="event_id",
+        rowsPerPartition="100000").load()
     return R.changelog(log, "signup")
 
 
 def _index(spark, d):
     """Package documents of customers: each of their orders is a version with a wheel and, unless it is pending, a source archive. Customers of some segments have documents that drift."""
     o = table(spark, d, "orders")
-    wheel = F.struct(F.lit("bdist_wheel").alias("packagetype"), F.concat(F.lit("w/"), "o_orderkey").alias("url"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("upload_time_iso_8601"), (F.col("o_orderstatus") == "F").alias("yanked"))
-    source = F.struct(F.lit("sdist").alias("packagetype"), F.concat(F.lit("s/"), "o_orderkey").alias("url"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("upload_time_iso_8601"), (F.col("o_orderstatus") == "F").alias("yanked"))
+    wheel = F.struct(F.lit("bdist_wheel").alias("packagetype"), F.concat(F.lit("w/"), "o_orderkey").alias("url"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("upload_time_iso_8601"), (F.col("o_orderstatus") == "F").alias("yanked"))
+    source = F.struct(F.lit("sdist").alias("packagetype"), F.concat(F.lit("s/"), "o_orderkey").alias("url"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("upload_time_iso_8601"), (F.col("o_orderstatus") == "F").alias("yanked"))
     files = F.when(F.col("o_orderstatus") == "P", F.array(wheel)).otherwise(F.array(wheel, source))
     versions = o.groupBy(F.col("o_custkey").alias("k")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("o_orderkey").cast("string"), files))).alias("releases"))
     c = table(spark, d, "customer").join(versions, F.col("c_custkey") == F.col("k"), "left")
     role = F.struct(F.lit("Owner").alias("role"), F.lower("c_mktsegment").alias("user"), F.lit("x@example.org").alias("email"))
-    info = F.struct(F.col("c_name").alias("author"), F.array(F.concat(F.lit("Dep_"), "c_nationkey", F.lit(" >= 1.0; extra == 'x'")), F.lit("zlib.ng")).alias("requires_dist"))
+    info = F.struct(F.col("c_name").alias("author"),
+        F.array(F.concat(F.lit("Dep_"), "c_nationkey", F.lit(" >= 1.0; extra == 'x'")), F.lit("zlib.ng")).alias("requires_dist"))
     whole = F.to_json(F.struct(info.alias("info"), "releases", F.struct(F.array(role).alias("roles")).alias("ownership")))
-    odd = F.when(F.col("c_mktsegment") == "MACHINERY", F.concat(F.lit('{"releases": '), F.col("c_custkey"), F.lit(', "info": [], "ownership": null}'))).when(F.col("c_mktsegment") == "BUILDING", F.col("c_name"))
+    odd = F.when(F.col("c_mktsegment") == "MACHINERY",
+        F.concat(F.lit('{"releases": '), F.col("c_custkey"), F.lit(', "info": [], "ownership": null}'))).when(F.col("c_mktsegment") == "BUILDING",
+        F.col("c_name"))
     return c.select(F.col("c_custkey").alias("package"), F.when(F.col("c_nationkey") == 7, None).otherwise(F.coalesce(odd, whole)).alias("json"))
 
 
@@ -68,7 +74,8 @@ def index_earliest(spark, d):
 
 @query("""SELECT DISTINCT lower(regexp_replace(trim(p_name), '[-_.]+', '-', 'g')) AS name FROM part WHERE p_size % 5 <> 0 AND trim(p_name) <> ''""")
 def corpus_scan(spark, d):
-    lines = table(spark, d, "part").select(F.when(F.col("p_size") % 5 == 0, F.concat(F.lit(" # "), "p_name")).when(F.col("p_size") % 7 == 0, F.concat(F.lit("  "), "p_name", F.lit(" "))).otherwise(F.col("p_name")).alias("value"))
+    lines = table(spark, d, "part").select(F.when(F.col("p_size") % 5 == 0, F.concat(F.lit(" # "), "p_name")).when(F.col("p_size") % 7 == 0,
+        F.concat(F.lit("  "), "p_name", F.lit(" "))).otherwise(F.col("p_name")).alias("value"))
     return T.corpus_names(lines.unionByName(lines.select(F.lit("  ").alias("value")).limit(1)))
 
 

@@ -19,7 +19,8 @@ def _fired(spark, d) -> DataFrame:
     rows = table(spark, d, "lineitem").where("l_quantity > 45")
     place = F.when(F.col("l_returnflag") == "N", 0).when(F.col("l_returnflag") == "R", 1).otherwise(2)
     file, line = F.col("l_partkey").cast("string"), F.col("l_linenumber")
-    return rows.select(F.col("l_orderkey").alias("release"), place.alias("place"), file.alias("item"), F.col("l_returnflag").alias("rule"), file.alias("file"), F.col("l_quantity").alias("weight"), line.alias("lo"), line.alias("hi"))
+    return rows.select(F.col("l_orderkey").alias("release"), place.alias("place"), file.alias("item"), F.col("l_returnflag").alias("rule"),
+        file.alias("file"), F.col("l_quantity").alias("weight"), line.alias("lo"), line.alias("hi"))
 
 
 @query(f"""WITH f AS ({FIRED}) SELECT o_orderkey AS release, CAST(coalesce(sum(weight), 0) AS DOUBLE) AS score, count(rule) AS n_rules,
@@ -42,7 +43,8 @@ def top_fired_rules(spark, d):
 FROM lineitem GROUP BY ALL) SELECT release, file, weight, locations, row_number() OVER (PARTITION BY release ORDER BY weight DESC, file) AS place
 FROM f QUALIFY place <= 40""")
 def file_weights_top(spark, d):
-    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("release"), F.col("l_returnflag").alias("rule"), F.col("l_partkey").alias("file"), F.col("l_quantity").alias("weight"), F.col("l_linenumber").alias("lo"), F.col("l_linenumber").alias("hi"))
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("release"), F.col("l_returnflag").alias("rule"),
+        F.col("l_partkey").alias("file"), F.col("l_quantity").alias("weight"), F.col("l_linenumber").alias("lo"), F.col("l_linenumber").alias("hi"))
     return T.file_weights(rows, ["release"]).withColumn("place", F.col("place").cast("long"))
 
 
@@ -68,9 +70,11 @@ SELECT release, name, reason, CAST(NULL AS VARCHAR) AS target FROM r WHERE reaso
 UNION ALL SELECT release, name, 'typosquat', target FROM o JOIN t USING (name)""")
 def screen_dependencies(spark, d):
     part = table(spark, d, "part")
-    name = F.when(F.col("l_quantity") > 30, F.col("p_name")).when(F.col("l_quantity") > 20, F.expr("substr(p_name, 2)")).otherwise(F.concat(F.lit("dep"), F.col("l_partkey")))
+    name = F.when(F.col("l_quantity") > 30, F.col("p_name")).when(F.col("l_quantity") > 20,
+        F.expr("substr(p_name, 2)")).otherwise(F.concat(F.lit("dep"), F.col("l_partkey")))
     added = table(spark, d, "lineitem").join(part, F.col("p_partkey") == F.col("l_partkey")).select(F.col("l_orderkey").alias("release"), name.alias("name"))
-    index = part.where("p_size <= 40").select(F.concat(F.lit("dep"), F.col("p_partkey")).alias("name"), F.expr("timestamp_ntz'1992-01-01' + make_dt_interval(p_size)").alias("earliest"))
+    index = part.where("p_size <= 40").select(F.concat(F.lit("dep"), F.col("p_partkey")).alias("name"),
+        F.expr("timestamp_ntz'1992-01-01' + make_dt_interval(p_size)").alias("earliest"))
     return T.screen(added, part.select(F.col("p_name").alias("name")), index, F.expr("timestamp_ntz'1992-02-20 12:00:00'"), cap=2)
 
 
@@ -82,7 +86,8 @@ def owner_set_change(spark, d):
     name = F.concat(F.lit("Owner"), (F.col("l_suppkey") % 7).cast("string"))
     name = F.when(F.col("l_returnflag") == "A", "").when(F.col("l_linenumber") % 2 == 0, F.upper(name)).otherwise(name)
     owners = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(name).alias("owners"))
-    new, old = owners.select(F.col("l_orderkey").alias("version"), F.col("owners").alias("a")), owners.select(F.col("l_orderkey").alias("prior"), F.col("owners").alias("b"))
+    new, old = owners.select(F.col("l_orderkey").alias("version"), F.col("owners").alias("a")), owners.select(F.col("l_orderkey").alias("prior"),
+        F.col("owners").alias("b"))
     return _prior(spark, d).join(new, "version").join(old, "prior").select("version", T.owners_changed(F.col("a"), F.col("b")).alias("changed"))
 
 
@@ -91,7 +96,8 @@ AND b.o_orderpriority <> '5-LOW' AND (a.o_orderpriority = '5-LOW' OR b.o_orderda
 FROM orders a""")
 def predecessor_without_time(spark, d):
     """Orders of the lowest priority have no time."""
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("package"), F.col("o_orderkey").alias("version"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderdate")).alias("ts"), (F.col("o_orderstatus") != "F").alias("eligible"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("package"), F.col("o_orderkey").alias("version"),
+        F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderdate")).alias("ts"), (F.col("o_orderstatus") != "F").alias("eligible"))
     return R.predecessors(o).select("version", "prior")
 
 
@@ -106,7 +112,8 @@ WHEN o_orderpriority = '3-MEDIUM' THEN 'no_sdist' WHEN o_orderstatus = 'O' THEN
 o_orderpriority <> '2-HIGH' AS terminal, o_orderpriority = '1-URGENT' AS heuristic FROM orders""")
 def outcome_stages(spark, d):
     names = F.create_map(*[F.lit(x) for x in ("1-URGENT", "refused_to_extract", "2-HIGH", "timeout", "3-MEDIUM", "no_sdist")])
-    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("release"), names[F.col("o_orderpriority")].alias("outcome"), (F.col("o_orderstatus") == "O").alias("is_new"), F.col("o_totalprice").alias("score"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("release"), names[F.col("o_orderpriority")].alias("outcome"),
+        (F.col("o_orderstatus") == "O").alias("is_new"), F.col("o_totalprice").alias("score"))
     return T.stages(rows, "skip", 100_000.0).select("release", "stage", "terminal", "heuristic")
 
 
@@ -121,8 +128,10 @@ def alert_dedupe(spark, d):
 CASE WHEN quality = 0 THEN 'checked' END AS human, CASE WHEN quality = 0 THEN 2 WHEN toxic = 1 THEN 1 ELSE 0 END AS at FROM labels""")
 def partial_merge(spark, d):
     x = table(spark, d, "labels")
-    state = x.select("doc_id", F.lit("triaged").alias("stage"), F.col("quality").cast("double").alias("score"), F.lit(None).cast("string").alias("human"), F.lit(0).alias("at"))
-    staged, seen = x.where("toxic = 1").select("doc_id", F.lit("reviewed").alias("stage"), F.lit(1).alias("at")), x.where("quality = 0").select("doc_id", F.lit("checked").alias("human"), F.lit(2).alias("at"))
+    state = x.select("doc_id", F.lit("triaged").alias("stage"), F.col("quality").cast("double").alias("score"),
+        F.lit(None).cast("string").alias("human"), F.lit(0).alias("at"))
+    staged, seen = x.where("toxic = 1").select("doc_id", F.lit("reviewed").alias("stage"),
+        F.lit(1).alias("at")), x.where("quality = 0").select("doc_id", F.lit("checked").alias("human"), F.lit(2).alias("at"))
     return T.merged(state, staged.unionByName(seen, allowMissingColumns=True), ["doc_id"], "at")
 
 
@@ -138,7 +147,8 @@ NOT up OR c = 'malicious' AS alert, CASE WHEN NOT up THEN 'suspicious-heuristic'
 def route_verdicts(spark, d):
     """Labels without a conversation have no verdict."""
     talked = table(spark, d, "conversations").select(F.col("conv_id").alias("release"), F.lit(True).alias("up")).distinct()
-    rows = _verdicts(spark, d).join(talked, "release", "left").withColumn("available", F.coalesce("up", F.lit(False))).withColumn("classification", F.when(F.col("available"), F.col("classification")))
+    rows = _verdicts(spark, d).join(talked, "release", "left").withColumn("available", F.coalesce("up", F.lit(False))).withColumn("classification",
+        F.when(F.col("available"), F.col("classification")))
     return routed(rows).select("release", "classification", "stage", "alert", "alert_class")
 
 
@@ -174,7 +184,8 @@ def verdict_report(spark, d):
 AND (toxic = 1 OR quality = 0 OR source = 'src2')""")
 def evidence_backlog(spark, d):
     docs = table(spark, d, "documents")
-    releases = docs.select(F.col("doc_id").alias("release"), F.when(F.col("n_chars") > 2000, F.col("text")).alias("evidence"), F.when(F.col("lang") != "en", 1).otherwise(0).alias("n_rules"))
+    releases = docs.select(F.col("doc_id").alias("release"), F.when(F.col("n_chars") > 2000, F.col("text")).alias("evidence"),
+        F.when(F.col("lang") != "en", 1).otherwise(0).alias("n_rules"))
     alerts = docs.where("source = 'src2'").select(F.col("doc_id").alias("release"), F.lit("suspicious-heuristic").alias("classification"))
     return T.backlog(releases, _verdicts(spark, d), alerts).select("release")
 

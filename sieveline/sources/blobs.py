@@ -15,5 +15,6 @@ def blobs(spark: SparkSession, path: str, cap: int = CAP, names: str = "*.tar.gz
     files = lambda: spark.read.format("binaryFile").option("pathGlobFilter", names).option("recursiveFileLookup", "true").load(path)
     none = F.lit(None).cast("string")
     read = files().where(F.col("length") <= cap).select("path", "length", "content", none.alias("outcome"), none.alias("reason"))
-    refused = files().where(F.col("length") > cap).select("path", "length", F.lit(None).cast("binary").alias("content"), F.lit("refused_to_fetch").alias("outcome"), F.lit("download-size").alias("reason"))
+    refused = files().where(F.col("length") > cap).select("path", "length", F.lit(None).cast("binary").alias("content"),
+        F.lit("refused_to_fetch").alias("outcome"), F.lit("download-size").alias("reason"))
     return read.unionByName(refused)

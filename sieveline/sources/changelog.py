@@ -101,7 +101,8 @@ class RpcFeed:
         for at in range(0, len(rows), 10_000):
             name, version, ts, action, serial = zip(*rows[at : at + 10_000], strict=True)
             times = pa.array(ts, pa.int64()).cast(pa.timestamp("s", "UTC")).cast(_FIELDS["ts"])
-            yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(version, pa.string()), times, pa.array(action, pa.string()), pa.array(serial, pa.int64())], names=list(_FIELDS))
+            yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(version, pa.string()), times, pa.array(action, pa.string()),
+                pa.array(serial, pa.int64())], names=list(_FIELDS))
 
 
 def feed(options: dict[str, str]) -> TableFeed | RpcFeed:

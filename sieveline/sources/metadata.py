@@ -35,7 +35,8 @@ def files(docs: DataFrame) -> DataFrame:
     held = docs.where(F.col("doc").isNotNull()).select("package", _get("doc", "$.releases", "variant").alias("releases"))
     versions = _entries(held, F.col("releases"), ["v_pos", "version", "files"]).select("package", "version", "files").where("version IS NOT NULL")
     spread = _entries(versions, F.col("files"), ["pos", "f_key", "file"])
-    return spread.select("package", "version", "pos", _get("file", "$.packagetype").alias("packagetype"), _get("file", "$.url").alias("url"), _get("file", "$.upload_time_iso_8601").alias("uploaded"), F.coalesce(_get("file", "$.yanked", "boolean"), F.lit(False)).alias("yanked"))
+    return spread.select("package", "version", "pos", _get("file", "$.packagetype").alias("packagetype"), _get("file", "$.url").alias("url"),
+        _get("file", "$.upload_time_iso_8601").alias("uploaded"), F.coalesce(_get("file", "$.yanked", "boolean"), F.lit(False)).alias("yanked"))
 
 
 def sdists(found: DataFrame) -> DataFrame:
@@ -59,4 +60,5 @@ def owners(docs: DataFrame) -> DataFrame:
     """(package, author, maintainer, owners): names and account names only; addresses are not read. A package without roles has an empty list."""
     roles = _get("doc", "$.ownership.roles", "array<variant>")
     users = F.transform(F.coalesce(roles, F.array().cast("array<variant>")), lambda r: F.try_variant_get(r, "$.user", "string"))
-    return docs.where(F.col("doc").isNotNull()).select("package", _get("doc", "$.info.author").alias("author"), _get("doc", "$.info.maintainer").alias("maintainer"), F.filter(users, lambda u: u.isNotNull()).alias("owners"))
+    return docs.where(F.col("doc").isNotNull()).select("package", _get("doc", "$.info.author").alias("author"),
+        _get("doc", "$.info.maintainer").alias("maintainer"), F.filter(users, lambda u: u.isNotNull()).alias("owners"))

@@ -49,7 +49,8 @@ def advance(spark: SparkSession, root: str, releases: DataFrame, process: Proces
         listed = open_releases(listed, near, KEY)
     todo = _kept(listed, root, "todo")
     found = process(todo)
-    told = _kept(keyed_left(todo, found.select(*[c for c in found.columns if c not in ("serial", "attempts")]), KEY).withColumn("stage", F.coalesce("stage", F.lit("fetch_failed"))), root, "told")
+    told = _kept(keyed_left(todo, found.select(*[c for c in found.columns if c not in ("serial", "attempts")]), KEY).withColumn("stage",
+        F.coalesce("stage", F.lit("fetch_failed"))), root, "told")
     ended = F.col("stage").isin(*TERMINAL)
     # rows that are done leave the open table as rows without attempts, since a bucket is always rewritten whole
     still = told.where(~ended).select(*KEY, "serial", (F.col("attempts") + 1).alias("attempts"))

@@ -26,7 +26,8 @@ GOOD = archive(**{"p-1/setup.py": b"x = 1\n", "p-1/a.so": b"\x7fELF", "p-1/web/i
 def test_archives(spark):
     rows = spark.createDataFrame([("good", GOOD), ("junk", b"junk"), ("none", None), ("cut", GOOD[:-40])], "pkg string, content binary")
     got = extract(rows, ["pkg"]).collect()
-    assert sorted((r.path, r.kind, r.reason) for r in got if r.pkg == "good") == [("a.so", "binary", "new-binary"), ("setup.py", "source", None), ("web/i.PHP", "binary", "foreign-language-source")]
+    assert sorted((r.path, r.kind, r.reason) for r in got if r.pkg == "good") == [("a.so", "binary", "new-binary"), ("setup.py", "source", None),
+        ("web/i.PHP", "binary", "foreign-language-source")]
     assert {r.pkg: r.kind for r in got if r.pkg != "good"} == {"junk": "refused", "none": "refused", "cut": "refused"}
 
 
@@ -49,13 +50,15 @@ def test_archive_members(spark):
     """Repeated paths, foreign files over the limit, names without a folder, contents and hashes."""
     out = io.BytesIO()
     with tarfile.open(fileobj=out, mode="w:gz") as t:
-        for name, content in [("p/a.py", b"old"), ("p/a.py", b"new"), ("top.py", b"t"), ("p/", None), ("p/x.so", b"\x7f"), ("p/setup.py.PHP", b"<"), *[(f"p/{i}.rb", b"r") for i in range(5)], ("p/c.c", b"c")]:
+        for name, content in [("p/a.py", b"old"), ("p/a.py", b"new"), ("top.py", b"t"), ("p/", None), ("p/x.so", b"\x7f"), ("p/setup.py.PHP", b"<"),
+            *[(f"p/{i}.rb", b"r") for i in range(5)], ("p/c.c", b"c")]:
             info = tarfile.TarInfo(name)
             info.type, info.size = (tarfile.DIRTYPE, 0) if content is None else (tarfile.REGTYPE, len(content))
             t.addfile(info, io.BytesIO(content or b""))
     blobs = spark.createDataFrame([("a", out.getvalue(), 1), (None, out.getvalue(), 2), ("a", out.getvalue(), 3)], "pkg string, content binary, item int")
     got = [r for r in extract(blobs, ["pkg"], limits=Limits(foreign=3)).collect() if r.pkg is None]
-    assert sorted((r.path, r.reason) for r in got if r.reason) == [("0.rb", "foreign-language-source"), ("1.rb", "foreign-language-source"), ("setup.py.PHP", "foreign-language-source"), ("x.so", "new-binary")]
+    assert sorted((r.path, r.reason) for r in got if r.reason) == [("0.rb", "foreign-language-source"), ("1.rb", "foreign-language-source"),
+        ("setup.py.PHP", "foreign-language-source"), ("x.so", "new-binary")]
     assert sorted(r.path for r in got if r.reason is None) == ["a.py", "top.py"]
     assert {(r.path, r.content, r.sha256) for r in got} >= {("a.py", b"new", None), ("x.so", None, hashlib.sha256(b"\x7f").hexdigest())}
 
@@ -63,7 +66,9 @@ def test_archive_members(spark):
 def test_facts():
     text = b"import os, base64 as b\nfrom subprocess import run\ndef f():\n    exec(b.b64decode('x'))\nrun('ls')\nf()\nlambda: os.getenv('K')\n"
     every = set(range(1, 9))
-    assert file_facts("a.py", text, every) == {"syntax_error": False, "modules": ["base64", "os", "subprocess"], "categories": ["credential", "decode", "exec", "process"], "names": ["b64decode", "exec", "getenv", "run"], "autoexec": ["decode", "exec", "process"]}
+    assert file_facts("a.py", text, every) == {"syntax_error": False, "modules": ["base64", "os", "subprocess"],
+        "categories": ["credential", "decode", "exec", "process"], "names": ["b64decode", "exec", "getenv", "run"],
+        "autoexec": ["decode", "exec", "process"]}
     assert file_facts("a.py", text, {5})["categories"] == ["process"]
     assert file_facts("a.py", b"def (", every)["syntax_error"]
     assert file_facts("a.cfg", text, every)["categories"] == [] == file_facts("a.py", None, every)["modules"]
@@ -85,7 +90,9 @@ def test_changed_files_and_evidence(spark):
 
 def test_verdicts(spark):
     full = '{"classification": "%s", "confidence": %s, "attack_type": "odd", "reasoning": "r", "cited_hunk": "h", "recommended_action": "odd", "urgent": true}'
-    rows = [("m", full % ("malicious", "7")), ("s", full % ("suspicious", '"x"')), ("b", full % ("benign", "0.5")), ("u", full % ("unsure", "1")), ("j", "no json"), ("l", "{}"), ("n", None)]
+    rows = [("m", full % ("malicious", "7")), ("s", full % ("suspicious", '"x"')), ("b", full % ("benign", "0.5")), ("u", full % ("unsure", "1")),
+        ("j", "no json"), ("l", "{}"), ("n", None)]
     got = {r.k: r for r in C.routed(C.verdicts(spark.createDataFrame(rows, "k string, reply string"), ["k"])).collect()}
-    assert [(got[k].confidence, got[k].attack_type, got[k].recommended_action, got[k].stage, got[k].alert) for k in "msb"] == [(1.0, "none", "report-to-pypi", "reviewed", True), (0.0, "none", "monitor", "needs_adjudication", False), (0.5, "none", "monitor", "reviewed", False)]
+    assert [(got[k].confidence, got[k].attack_type, got[k].recommended_action, got[k].stage, got[k].alert) for k in "msb"] == [(1.0, "none",
+        "report-to-pypi", "reviewed", True), (0.0, "none", "monitor", "needs_adjudication", False), (0.5, "none", "monitor", "reviewed", False)]
     assert all(not got[k].available and got[k].stage == "review_failed" and got[k].alert and got[k].confidence is None for k in "ujln")

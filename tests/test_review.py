@@ -35,7 +35,8 @@ def read(spark, *given_, cap=10_000, what="input", **options):
 
 
 def test_a_review_input_points_at_places_not_at_rules(spark):
-    g = given(spark, PAYLOAD, [("combo", 45.0, "setup.py", 1, 3), ("combo2", 45.0, "setup.py", 1, 3), ("low", 5.0, "setup.py", 2, 2), ("dep-typosquat", 40.0, "reqursts", 0, 0)])
+    g = given(spark, PAYLOAD, [("combo", 45.0, "setup.py", 1, 3), ("combo2", 45.0, "setup.py", 1, 3), ("low", 5.0, "setup.py", 2, 2),
+        ("dep-typosquat", 40.0, "reqursts", 0, 0)])
     text = read(spark, *g)
     assert text.startswith("package: evilpkg\nversion: 1.3.0\nis_first_release: False\ntriage_score: 60\nflagged_locations: setup.py:1-3, setup.py:2-2\n")
     assert "combo" not in text and "just docs" not in text and review.NOTE in text  # a changed file is left out
@@ -87,7 +88,8 @@ def asker(folder):
         if text == "t3":
             raise TimeoutError
         sure = model == "second" or text == "t1"
-        return json.dumps({"classification": "malicious" if sure else "suspicious", "confidence": 0.9 if sure else 0.3, "attack_type": "none", "reasoning": "r", "cited_hunk": "h", "recommended_action": "monitor", "urgent": False})
+        return json.dumps({"classification": "malicious" if sure else "suspicious", "confidence": 0.9 if sure else 0.3, "attack_type": "none",
+            "reasoning": "r", "cited_hunk": "h", "recommended_action": "monitor", "urgent": False})
 
     return ask
 
@@ -97,8 +99,10 @@ def test_a_second_opinion_is_asked_for_once(spark, tmp_path):
     calls.mkdir()
     inputs = spark.createDataFrame([(i, f"t{i}") for i in range(6)], "k int, input string").coalesce(1)
     for _ in range(2):
-        got = {r["k"]: (r["model"], r["classification"], r["available"]) for r in review.reviewed(inputs, ["k"], asker(str(calls)), str(kept), "first", "second").collect()}
-        assert got == {0: ("second", "malicious", True), 1: ("first", "malicious", True), 2: ("second", "malicious", True), 3: ("first", None, False), 4: ("second", "malicious", True), 5: ("second", "malicious", True)}
+        got = {r["k"]: (r["model"], r["classification"], r["available"]) for r in review.reviewed(inputs, ["k"], asker(str(calls)), str(kept),
+            "first", "second").collect()}
+        assert got == {0: ("second", "malicious", True), 1: ("first", "malicious", True), 2: ("second", "malicious", True), 3: ("first", None, False),
+            4: ("second", "malicious", True), 5: ("second", "malicious", True)}
     made = sorted(p.name.rsplit("-", 1)[0] for p in calls.iterdir())
     assert {x: made.count(x) for x in set(made) if x != "first-t3"} == {f"first-t{i}": 1 for i in (0, 1, 2, 4, 5)} | {f"second-t{i}": 1 for i in (0, 2, 4, 5)}
     assert review.reviewed(inputs, ["k"], asker(str(calls)), str(kept), "first").where("model = 'second'").count() == 0
@@ -125,22 +129,31 @@ def test_replies_before_a_crash_are_paid_once(spark, tmp_path):
 
 def test_backfill_takes_the_baseline_of_its_time(spark):
     backlog = spark.createDataFrame([("a", True), ("b", False), ("c", False), ("d", None)], "k string, was_first boolean")
-    now = spark.createDataFrame([("a", None, "1.0", False), ("b", None, "1.0", False), ("c", "no_sdist", None, None), ("d", "fetch_failed", None, None)], "k string, outcome string, prior string, is_new boolean")
+    now = spark.createDataFrame([("a", None, "1.0", False), ("b", None, "1.0", False), ("c", "no_sdist", None, None),
+        ("d", "fetch_failed", None, None)], "k string, outcome string, prior string, is_new boolean")
     rows = review.baselines(backlog, now, ["k"])
     assert {r["k"]: (r["prior"], r["is_new"]) for r in rows.where("outcome IS NULL").collect()} == {"a": (None, True), "b": ("1.0", False)}
     filled = review.backfilled(rows, spark.createDataFrame([("a", "code"), ("b", "")], "k string, evidence string"), ["k"])
-    assert {r["k"]: (r["captured"], r["error"]) for r in filled.collect()} == {"a": (True, None), "b": (False, "no code payload to render"), "c": (False, "no sdist"), "d": (False, "fetch_failed")}
+    assert {r["k"]: (r["captured"], r["error"]) for r in filled.collect()} == {"a": (True, None), "b": (False, "no code payload to render"),
+        "c": (False, "no sdist"), "d": (False, "fetch_failed")}
     state = spark.createDataFrame([("a", None, 1), ("b", "old", 2), (None, None, 3)], "k string, evidence string, serial int")
     assert {r["k"]: r["evidence"] for r in review.with_evidence(state, filled, ["k"]).collect()} == {"a": "code", "b": "old", None: None}
 
 
 def test_assembly_of_odd_releases(spark):
-    index = spark.createDataFrame([("p", "1.0", "2026-01-01", "u1", False, True), ("p", "1.1", "2026-02-01", "u2", True, True), ("p", "1.2", "2026-03-01", "u3", False, False), ("p", "1.3", "2026-04-01", "u4", False, True), ("p", "1.4", None, "u5", False, True), ("e", None, None, None, None, False)], "package string, version string, ts string, url string, yanked boolean, has_sdist boolean").withColumn("ts", F.to_timestamp("ts"))
-    releases = spark.createDataFrame([("p", v, i) for i, v in enumerate(["1.0", "1.1", "1.2", "1.3", "1.4", "9"])] + [("e", "1", 9), ("gone", "1", 8), ("Bad_One", "1", 7), (None, "1", 6)], "package string, version string, serial bigint")
+    index = spark.createDataFrame([("p", "1.0", "2026-01-01", "u1", False, True), ("p", "1.1", "2026-02-01", "u2", True, True),
+        ("p", "1.2", "2026-03-01", "u3", False, False), ("p", "1.3", "2026-04-01", "u4", False, True), ("p", "1.4", None, "u5", False, True),
+        ("e", None, None, None, None, False)], "package string, version string, ts string, url string, yanked boolean, has_sdist boolean").withColumn("ts",
+        F.to_timestamp("ts"))
+    releases = spark.createDataFrame([("p", v, i) for i, v in enumerate(["1.0", "1.1", "1.2", "1.3", "1.4", "9"])] + [("e", "1", 9), ("gone", "1", 8),
+        ("Bad_One", "1", 7), (None, "1", 6)], "package string, version string, serial bigint")
     deny = spark.createDataFrame([("bad-one",)], "name string")
     for width in (assembly.DAY, 3650 * assembly.DAY):
         got = {(r["package"], r["version"]): (r["outcome"], r["prior"], r["is_new"]) for r in assembly.assembled(releases, index, deny, "full", width).collect()}
-        assert got == {("p", "1.0"): (None, None, True), ("p", "1.1"): (None, "1.0", False), ("p", "1.2"): ("no_sdist", None, None), ("p", "1.3"): (None, "1.0", False), ("p", "1.4"): (None, "1.3", False), ("p", "9"): ("no_sdist", None, None), ("e", "1"): ("no_sdist", None, None), ("gone", "1"): ("fetch_failed", None, None), ("Bad_One", "1"): ("refused_to_fetch", None, None), (None, "1"): ("fetch_failed", None, None)}
+        assert got == {("p", "1.0"): (None, None, True), ("p", "1.1"): (None, "1.0", False), ("p", "1.2"): ("no_sdist", None, None),
+            ("p", "1.3"): (None, "1.0", False), ("p", "1.4"): (None, "1.3", False), ("p", "9"): ("no_sdist", None, None),
+            ("e", "1"): ("no_sdist", None, None), ("gone", "1"): ("fetch_failed", None, None), ("Bad_One", "1"): ("refused_to_fetch", None, None),
+            (None, "1"): ("fetch_failed", None, None)}
     with pytest.raises(ValueError):
         assembly.assembled(releases, index, deny, "odd")
 
@@ -162,7 +175,8 @@ def test_last_before_equals_brute_force(spark):
 
 
 def test_owners_of_this_tick_and_of_state(spark):
-    batch = spark.createDataFrame([("p", "2", 20, "1", ["al"]), ("p", "3", 21, "2", ["Al", "mallory"]), ("p", "4", 19, "2", ["bo"]), ("q", "1", 22, None, ["x"]), ("p", "5", 23, "none", ["x"])], "package string, version string, serial bigint, prior string, owners array<string>")
+    batch = spark.createDataFrame([("p", "2", 20, "1", ["al"]), ("p", "3", 21, "2", ["Al", "mallory"]), ("p", "4", 19, "2", ["bo"]),
+        ("q", "1", 22, None, ["x"]), ("p", "5", 23, "none", ["x"])], "package string, version string, serial bigint, prior string, owners array<string>")
     state = spark.createDataFrame([("p", "1", ["al"])], "package string, version string, owners array<string>")
     got = {(r["package"], r["version"]): (r["prior_owners"], r["maintainer_changed"]) for r in prior_owners(batch, state, 2).collect()}
     assert got == {("p", "2"): (["al"], False), ("p", "3"): (["al"], True), ("p", "4"): (None, False), ("q", "1"): (None, False), ("p", "5"): (None, False)}
@@ -181,11 +195,13 @@ def test_blobs_over_the_cap_are_never_read(spark, tmp_path):
 
 
 def test_documents_that_drift(spark):
-    texts = [("a", '{"releases": {"1": [{"packagetype": "sdist", "url": "u", "yanked": "no"}, 3, null], "2": null, "3": {}, "4": "x"}, "info": {"requires_dist": ["Zope.X >= 1", "", 5]}, "ownership": {"roles": [{"user": "al", "email": "e"}, {}, 7]}}'), ("b", "[1]"), ("c", "{"), ("d", None), ("e", "{}"), ("f", '{"releases": [], "info": null, "ownership": 3}')]
+    texts = [("a", '{"releases": {"1": [{"packagetype": "sdist", "url": "u", "yanked": "no"}, 3, null], "2": null, "3": {}, "4": "x"}, "info": {"requires_dist": ["Zope.X >= 1", "", 5]}, "ownership": {"roles": [{"user": "al", "email": "e"}, {}, 7]}}'),
+        ("b", "[1]"), ("c", "{"), ("d", None), ("e", "{}"), ("f", '{"releases": [], "info": null, "ownership": 3}')]
     docs = metadata.parsed(spark.createDataFrame(texts, "package string, json string"))
     assert {r["package"]: r["outcome"] for r in docs.collect() if r["outcome"]} == dict.fromkeys("bcd", "unreadable-metadata")
     found = metadata.sdists(metadata.files(docs))
-    assert {(r["package"], r["version"]): (r["url"], r["has_sdist"]) for r in found.collect()} == {("a", "1"): ("u", True), ("a", "2"): (None, False), ("a", "3"): (None, False), ("a", "4"): (None, False)}
+    assert {(r["package"], r["version"]): (r["url"], r["has_sdist"]) for r in found.collect()} == {("a", "1"): ("u", True), ("a", "2"): (None, False),
+        ("a", "3"): (None, False), ("a", "4"): (None, False)}
     assert {r["package"]: r["owners"] for r in metadata.owners(docs).collect()} == {"a": ["al"], "e": [], "f": []}
     assert [(r["package"], r["name"]) for r in metadata.requirements(docs).collect()] in ([("a", "zope-x")], [("a", "zope-x"), ("a", "5")])
     assert metadata.earliest(metadata.files(docs)).first()["earliest"] is None

@@ -23,21 +23,28 @@ def sdist(**files):
 
 
 SAFE = sdist(**{"setup.py": b"from setuptools import setup\nsetup()\n", "m.py": b"V = 1\n"})
-BAD = sdist(**{"setup.py": b"from setuptools import setup\nimport os, base64\nexec(base64.b64decode('aWQ='))\nos.system('id')\nsetup()\n", "m.py": b"V = 2\n", "x.so": b"\x7f"})
+BAD = sdist(**{"setup.py": b"from setuptools import setup\nimport os, base64\nexec(base64.b64decode('aWQ='))\nos.system('id')\nsetup()\n",
+    "m.py": b"V = 2\n", "x.so": b"\x7f"})
 VERSIONS = [
-    ("victim", "1.0", "2026-01-01", SAFE), ("victim", "1.1", "2026-02-01", BAD), ("safe", "1.0", "2026-01-01", SAFE), ("bomb", "1.0", "2026-01-01", b"junk"), ("bomb", "1.1", "2026-01-02", SAFE), ("bad-name", "1", "2026-01-01", BAD),
-    ("first", "1", "2026-01-01", sdist(**{"m.py": b"import os\nos.system('x')\nexec('x')\n", "pkg/__init__.py": b"import os\nos.system('x')\n"})), ("moved", "1", "2026-01-01", SAFE), ("moved", "2", "2026-01-09", sdist(**{"m.py": b"V = 3\n"})),
+    ("victim", "1.0", "2026-01-01", SAFE), ("victim", "1.1", "2026-02-01", BAD), ("safe", "1.0", "2026-01-01", SAFE),
+        ("bomb", "1.0", "2026-01-01", b"junk"), ("bomb", "1.1", "2026-01-02", SAFE), ("bad-name", "1", "2026-01-01", BAD),
+    ("first", "1", "2026-01-01", sdist(**{"m.py": b"import os\nos.system('x')\nexec('x')\n", "pkg/__init__.py": b"import os\nos.system('x')\n"})),
+        ("moved", "1", "2026-01-01", SAFE), ("moved", "2", "2026-01-09", sdist(**{"m.py": b"V = 3\n"})),
 ]
 RELEASES = [(p, v, i + 10) for i, (p, v, _, _) in enumerate(VERSIONS)] + [("wheel", "1", 50), ("gone", "1", 51)]
 
 
 def tables(spark):
-    index = spark.createDataFrame([(p, v, t, f"u/{p}/{v}", False, True) for p, v, t, _ in VERSIONS] + [("wheel", "1", None, None, None, False)], "package string, version string, ts string, url string, yanked boolean, has_sdist boolean").withColumn("ts", F.to_timestamp("ts"))
+    index = spark.createDataFrame([(p, v, t, f"u/{p}/{v}", False, True) for p, v, t, _ in VERSIONS] + [("wheel", "1", None, None, None, False)],
+        "package string, version string, ts string, url string, yanked boolean, has_sdist boolean").withColumn("ts", F.to_timestamp("ts"))
     blobs = spark.createDataFrame([(p, v, b) for p, v, _, b in VERSIONS], "package string, version string, content binary")
-    requires = spark.createDataFrame([("victim", "1.0", "requests"), ("victim", "1.1", "requests"), ("victim", "1.1", "reqursts"), ("victim", "1.1", "numpy"), ("first", "1", "reqursts")], "package string, version string, name string")
-    owners = spark.createDataFrame([("moved", "1", ["al"]), ("moved", "2", ["Al", "mallory"]), ("victim", "1.0", ["v"]), ("victim", "1.1", ["V"])], "package string, version string, owners array<string>")
+    requires = spark.createDataFrame([("victim", "1.0", "requests"), ("victim", "1.1", "requests"), ("victim", "1.1", "reqursts"),
+        ("victim", "1.1", "numpy"), ("first", "1", "reqursts")], "package string, version string, name string")
+    owners = spark.createDataFrame([("moved", "1", ["al"]), ("moved", "2", ["Al", "mallory"]), ("victim", "1.0", ["v"]), ("victim", "1.1", ["V"])],
+        "package string, version string, owners array<string>")
     names = lambda *x: spark.createDataFrame([(n,) for n in x], "name string")
-    return Tables(index, kept(extract(blobs, KEY)), requires, owners, owners.limit(0), names("Bad_Name"), names("requests", "numpy"), spark.createDataFrame([], "name string, earliest timestamp"))
+    return Tables(index, kept(extract(blobs, KEY)), requires, owners, owners.limit(0), names("Bad_Name"), names("requests", "numpy"),
+        spark.createDataFrame([], "name string, earliest timestamp"))
 
 
 def test_a_run_scores_every_release(spark):
@@ -46,7 +53,8 @@ def test_a_run_scores_every_release(spark):
     got = {(r["package"], r["version"]): r for r in out.releases.collect()}
     assert len(got) == len(RELEASES)
     assert {k: r["stage"] for k, r in got.items()} == {
-        ("victim", "1.0"): "triaged", ("victim", "1.1"): "escalated", ("safe", "1.0"): "triaged", ("bomb", "1.0"): "refused_to_extract", ("bomb", "1.1"): "refused_to_extract", ("bad-name", "1"): "refused_to_fetch",
+        ("victim", "1.0"): "triaged", ("victim", "1.1"): "escalated", ("safe", "1.0"): "triaged", ("bomb", "1.0"): "refused_to_extract",
+            ("bomb", "1.1"): "refused_to_extract", ("bad-name", "1"): "refused_to_fetch",
         ("first", "1"): "escalated", ("moved", "1"): "triaged", ("moved", "2"): "triaged", ("wheel", "1"): "no_sdist", ("gone", "1"): "fetch_failed",
     }
     victim, first, moved = got["victim", "1.1"], got["first", "1"], got["moved", "2"]
@@ -67,7 +75,8 @@ def test_ticks_alert_once(spark, tmp_path):
 
     def process(todo):
         releases = todo.select(F.col("name").alias("package"), "version", "serial")
-        return scan(releases, t, F.lit("2026-06-01").cast("timestamp")).releases.select(F.col("package").alias("name"), "version", F.when(F.col("stage") == "escalated", "alerted").otherwise(F.col("stage")).alias("stage"), "score")
+        return scan(releases, t, F.lit("2026-06-01").cast("timestamp")).releases.select(F.col("package").alias("name"), "version",
+            F.when(F.col("stage") == "escalated", "alerted").otherwise(F.col("stage")).alias("stage"), "score")
 
     releases = spark.createDataFrame([r for r in RELEASES if r[0] in ("victim", "safe", "gone")], "name string, version string, serial bigint")
     for batch in ("0", "1"):
@@ -89,4 +98,5 @@ def test_alerts_that_cannot_be_sent(spark, tmp_path):
 def test_smaller_versions_by_serial(spark):
     held = spark.createDataFrame([("p", "1.0", 5), ("p", "1.1", 3), ("p", "2.0", 9), ("q", "1.0", 1)], "package string, version string, serial bigint")
     wanted = spark.createDataFrame([("p", "1.5"), ("p", "1.0"), ("r", "1")], "package string, version string")
-    assert {(r["package"], r["version"]): r["prior"] for r in triage.last_smaller_version(held, wanted).collect()} == {("p", "1.5"): "1.0", ("p", "1.0"): None, ("r", "1"): None}
+    assert {(r["package"], r["version"]): r["prior"] for r in triage.last_smaller_version(held, wanted).collect()} == {("p", "1.5"): "1.0",
+        ("p", "1.0"): None, ("r", "1"): None}
