@@ -2,17 +2,19 @@
 
 Training counts words and word pairs over all training texts. A count c is quantised to a level q (1, 2, 3, 4, 6, 8, 12,
 16, ...: half octaves) and the filter stores the entries (gram, 1) .. (gram, q); a lookup probes levels upwards until
-one is missing, so a false positive can only raise a count, and by a level at a time. Every gram is stored. The filter is a
-number of blocks of bounded size that follows the input without a limit (`bits_per_token` bits a training token; a gram has
-at most as many entries as occurrences); a gram's hash names its block, and each block is filled by one task. The blocks
-are broadcast in groups of at most `filter_mb`: a scoring task tokenises a window of texts once, then holds one group after
-another and probes the window's grams that lie there, so neither the driver nor a worker holds more than a group at a time.
-
-Probability of word w after v: (c(vw) + m(v) * p(w)) / (c(v) + m(v)), where p(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)) and
-m(v) = c(v)**beta stands for the number of v's distinct followers; beta is such that the m(v) of all words sum up to the number of
-distinct pairs. Unseen v: p(w). Exact counts would make this a distribution for each v. All counts come from filter probes:
-those above the line are the least of their level, c(v) below it is the greatest of its level, so that quantising never
-makes a context's probabilities sum up to more than 1. The model has no tables beside the filter, whatever the input's size.
+one is missing, so a false positive can only raise a count, and by a level at a time. Every gram is stored. An entry sets MARKS bits in one
+word of 64 bits; the first entry of a gram, which tells seen from unseen, does so in STRONG words.
+
+Probability of word w after v: (c(vw) + d(v) * p(w)) / (C(v) + d(v)), where p(w) = (c(w) + 0.1) / (Q + 0.1 * (V + 1)); c are quantised
+counts, Q is their sum over all words, C(v) the sum of the quantised counts of v's pairs, d(v) the number of v's distinct followers. Unseen v:
+p(w). So each context's probabilities sum up to 1 but for false hits and the error of C(v), which is stored with STEPS
+steps in each level (under 1 % off). C and d lie in a second filter of the same kind. The model has no tables beside the filters.
+
+The filters are tables of blocks of bounded size; their number follows the input. A block is built by one task, from sorted rows, one
+after another. What is broadcast is a filter of the commonest items of each part of the blocks, at most `filter_mb` in all; if that is all
+of them, every lookup ends there. If not, what a window of texts still lacks, each gram once, is sent to its block by a shuffle, probed there beside
+the block's bits, and the levels are sent back to the window. So time and traffic are linear in the input, and the driver never holds more than `filter_mb`
+of the filter. A very common gram is found in the broadcast filter; one that is not comes once a window.
 
 The base score needs exact counts of all words: those of the `common` commonest are looked up in a broadcast table, the others
 meet the count table in a join on the word's hash, whose keys are rare by construction. Both are exact.
@@ -28,26 +30,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import cut, fold, table
 from sieveline.llm.vec import Tokens, U, buffers, mix, slices
 
-#: MB of the filter that a worker holds at a time; bits of the filter for each training token.
-FILTER_MB, BITS_PER_TOKEN, PROBES = 16, 6, 2
+#: MB of the broadcast filters.
+FILTER_MB = 16
 #: Most training tokens whose grams go to one block; from MAX_TASKS blocks on, a filling task has several.
 TOKENS_PER_BLOCK, MAX_TASKS = 400_000, 4096
 COMMON = 1 << 19
 END, START = U(0x51AFD7ED558CCD25), U(0x2545F4914F6CDD1D)
-#: Least count of each level.
+#: Salts of the keys of a context's sum and of its number of followers.
+CONTEXT, FOLLOWERS = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)
+#: Least count of each level, and how many counts it has; parts of a level in which a fine number is kept.
 LEVELS = np.array(sorted({1, *(2**k for k in range(1, 40)), *(3 * 2**k for k in range(40))}), np.int64)
-COUNTS = np.append(0, LEVELS)  # least count: none, then the levels
-CEILINGS = np.append(0, np.append(LEVELS[1:] - 1, 2 * LEVELS[-1]))  # greatest count
+WIDTHS = np.append(np.diff(LEVELS), LEVELS[-1])
+STEPS = 32
 _SALT = mix(np.arange(1, len(LEVELS) + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
+_FINE, _PLACE = U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3)
+#: Bits that an entry sets in a word of 64, words that a strong entry sets, and bits set per bit of the filter.
+MARKS, STRONG, LOAD = 5, 4, 0.4
 WINDOW = 1_500_000  # tokens whose counts are summed before they leave a task
-SCORED = 600_000  # tokens that are scored with one round over the filter's groups
+SCORED = 400_000  # tokens of which each gram is looked up once
 PROBED = 1 << 17  # keys probed at a time, so that work arrays stay small
 
 
@@ -71,25 +78,118 @@ def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def _block(key: np.ndarray, blocks: int) -> np.ndarray:
-    return (mix(key ^ U(0xD6E8FEB86659FD93)) % U(blocks)).astype(np.int64)
-
-
-def _bits(key: np.ndarray, level: int, size: int, probes: int) -> np.ndarray:
-    h = mix(key ^ _SALT[level])
-    step = (h >> U(32)) | U(1)
-    return np.stack([(h + U(i) * step) % U(size) for i in range(probes)])
+    return (mix(key ^ U(0xD6E8FEB86659FD93)) % U(blocks)).astype(np.int32)
+
+
+def _level(n: np.ndarray) -> np.ndarray:
+    return np.searchsorted(LEVELS, n, "right") - 1
+
+
+def _step(n: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Place of n within its level, in STEPS parts (exact while the level has no more counts than that)."""
+    over, width = n - LEVELS[level], WIDTHS[level]
+    return np.where(width <= STEPS, over, over * STEPS // width)
+
+
+def value(code: np.ndarray, fine: bool) -> np.ndarray:
+    """The number that a code (level + 1) * STEPS + step stands for: the least of its level, or the middle of its step; 0 for code 0."""
+    code = code.astype(np.int64)
+    level, step = code // STEPS - 1, code % STEPS
+    least, width = LEVELS[level].astype(float), WIDTHS[level]
+    if fine:
+        least = least + np.where(width <= STEPS, step, (step + 0.5) * width / STEPS)
+    return np.where(code > 0, least, 0.0)
+
+
+def _entries(key: np.ndarray, n: np.ndarray, fine: np.ndarray) -> Iterator[tuple[np.ndarray, bool]]:
+    """(entry keys, whether strong) of all entries of items: a chain up to the level, and for fine ones a chain of steps."""
+    last = _level(n)
+    at = np.arange(len(key))
+    for level in range(int(last.max(initial=-1)) + 1):
+        at = at[last[at] >= level]
+        strong = fine[at] | (level == 0)
+        yield mix(key[at[strong]] ^ _SALT[level]), True
+        yield mix(key[at[~strong]] ^ _SALT[level]), False
+    at = np.flatnonzero(fine)
+    step, base = _step(n[at], last[at]), mix(key[at] ^ _SALT[last[at]] ^ _FINE)
+    for i in range(1, int(step.max(initial=0)) + 1):
+        base, step = base[step >= i], step[step >= i]
+        yield mix(base ^ _SALT[i]), True
+
+
+def _marks(entry: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray]:
+    """(32 bits that choose a word, mask of MARKS bits in it) of entries."""
+    g = mix(entry + U(place) * _PLACE) if place else entry
+    mask = U(1) << (g & U(63))
+    for i in range(1, MARKS):
+        mask |= U(1) << ((g >> U(6 * i)) & U(63))
+    return g >> U(32), mask
+
+
+def _bits(key: np.ndarray, n: np.ndarray, fine: np.ndarray) -> np.ndarray:
+    """A filter (words of 64 bits) of items; its size follows what they store."""
+    entries = list(_entries(key, n, fine))
+    marks = sum(len(e) * (STRONG if strong else 1) for e, strong in entries) * MARKS
+    words = np.zeros(int(marks / (64 * LOAD)) + 1, U)
+    for e, strong in entries:
+        for place in range(STRONG if strong else 1):
+            at, mask = _marks(e, place)
+            np.bitwise_or.at(words, (at % U(len(words))).astype(np.int64), mask)
+    return words
+
+
+def _cost(n: np.ndarray, fine: np.ndarray) -> np.ndarray:
+    """Bits of a filter that each item takes."""
+    level = _level(n)
+    return (np.where(fine, level + 1 + _step(n, level), 1) * STRONG + np.where(fine, 0, level)) * MARKS / LOAD
+
+
+def _probe(key: np.ndarray, fine: bool, words: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Code of each key, by membership probes upwards from the first level; the filter of key i is words[start[i]:][:size[i]]."""
+    out = np.zeros(len(key), np.uint16)
+
+    def found(entry: np.ndarray, at: np.ndarray, strong: bool) -> np.ndarray:
+        left = np.arange(len(at))
+        for place in range(STRONG if strong else 1):
+            where, mask = _marks(entry[left], place)
+            i = at[left]
+            left = left[(words[start[i] + (where % size[i]).astype(np.int64)] & mask) == mask]
+        return left
+
+    for lo in range(0, len(key), PROBED):
+        at = np.arange(lo, min(lo + PROBED, len(key)))
+        for level in range(len(LEVELS)):
+            at = at[found(mix(key[at] ^ _SALT[level]), at, fine or level == 0)]
+            if not len(at):
+                break
+            out[at] = (level + 1) * STEPS
+        if fine:
+            at = lo + np.flatnonzero(out[lo : lo + PROBED])
+            base = mix(key[at] ^ _SALT[out[at] // STEPS - 1] ^ _FINE)
+            for i in range(1, STEPS):
+                left = np.flatnonzero(WIDTHS[out[at] // STEPS - 1] > i)
+                at, base = at[left], base[left]
+                left = found(mix(base ^ _SALT[i]), at, True)
+                at, base = at[left], base[left]
+                if not len(at):
+                    break
+                out[at] += np.uint16(1)
+    return out
 
 
 def _counts(docs: DataFrame, pairs: bool) -> DataFrame:
-    """(key, n) summed per task window over docs (text): words, or pairs."""
+    """(key, v, n) summed per task window over docs (text): words (v is 0), or pairs with the word v before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        prior: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
-            key, n = np.unique(np.concatenate(held), return_counts=True)
+            key, first, n = np.unique(np.concatenate(held), return_index=True, return_counts=True)
+            v = np.concatenate(prior)[first].view(np.int64) if pairs else np.zeros(len(key), np.int64)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
+            prior.clear()
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(v), pa.array(n)], names=["key", "v", "n"])
 
         for b in batches:
             data, offsets = buffers(b.column(0))
@@ -97,67 +197,137 @@ def _counts(docs: DataFrame, pairs: bool) -> DataFrame:
                 t = Tokens(data, offsets[lo : hi + 1])
                 seq, before, _ = sequence(t, t.hashes())
                 held.append(pair_key(before, seq) if pairs else seq)
+                if pairs:
+                    prior.append(before)
                 if sum(map(len, held)) > WINDOW:
                     yield out()
         if held:
             yield out()
 
-    return docs.select("text").mapInArrow(run, "key bigint, n bigint")
+    return docs.select("text").mapInArrow(run, "key bigint, v bigint, n bigint")
+
+
+class Filter:
+    """A log-frequency filter: a table (block, bits) of all items in blocks, and in memory one of the commonest items (`words`), which has
+    all of them if `whole`. Parts are the classes of blocks modulo `parts`."""
+
+    def __init__(self, table: DataFrame, blocks: int, parts: int):
+        self.blocks, self.parts = blocks, parts
+        self.table = table.where("block >= 0").select("block", "bits")
+        hot = table.where("block = -1").select("part", "bits", "whole").toArrow()
+        self.whole = all(hot.column("whole").to_pylist())
+        bits: list[np.ndarray] = [np.zeros(1, U)] * parts
+        for part, b in zip(hot.column("part").to_pylist(), hot.column("bits").to_pylist(), strict=True):
+            bits[part] = np.frombuffer(b, U)
+        self.size = np.array([len(x) for x in bits], U)
+        self.start = np.append(0, np.cumsum([len(x) for x in bits]))[:-1]
+        self.words = np.concatenate(bits)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None}
+
+    def probe(self, key: np.ndarray, fine: bool) -> np.ndarray:
+        part = _block(key, self.blocks) % self.parts
+        return _probe(key, fine, self.words, self.start[part], self.size[part])
+
 
+def _fill(items: DataFrame, blocks: int, quota_bits: int) -> tuple[DataFrame, int]:
+    """(table, parts) of the filter of items (block, key, v, n, fine, pair). The table's rows are (part, block, bits), (part, -1, bits of
+    the part's commonest items within its share of quota_bits, whole: whether these are all), and (null, -2, v, c, d): quantised counts and number of v's followers."""
+    parts = min(blocks, MAX_TASKS)
+    quota = quota_bits / parts
+    names = ["part", "block", "bits", "whole", "v", "c", "d"]
 
-def _group(parts: list[Broadcast], g: int) -> np.ndarray:
-    """Bytes of group g; a worker keeps no other group."""
-    for i, part in enumerate(parts):
-        if i != g:
-            part.__dict__.pop("_value", None)
-    return parts[g].value
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        hot: list[np.ndarray] = []
+        now, part, whole = -1, -1, True
+
+        def row(p: int, block: int, bits: np.ndarray, all_of_it: bool | None) -> pa.RecordBatch:
+            none = pa.nulls(1, pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([block], pa.int32()), pa.array([bits.tobytes()], pa.binary()), pa.array([all_of_it], pa.bool_()), none, none, none], names=names)
+
+        def trim() -> None:
+            nonlocal hot, whole
+            order = np.argsort(-hot[1], kind="stable")
+            keep = order[np.cumsum(_cost(hot[1][order], hot[2][order])) <= quota]
+            whole &= len(keep) == len(order)
+            hot = [x[keep] for x in hot]
+
+        def block_done() -> Iterator[pa.RecordBatch]:
+            nonlocal hot
+            key, n, fine, pair, v = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            key = key.view(U)
+            yield row(part, now, _bits(key, n, fine), None)
+            hot = [np.concatenate(x) for x in zip(hot, [key, n, fine], strict=True)] if hot else [key, n, fine]
+            if _cost(hot[1], hot[2]).sum() > 2 * quota:
+                trim()
+            if pair.any():
+                u, i = np.unique(v[pair], return_inverse=True)
+                c, d = np.bincount(i, LEVELS[_level(n[pair])]).astype(np.int64), np.bincount(i)
+                k = len(u)
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.array(np.full(k, -2, np.int32)), pa.nulls(k, pa.binary()), pa.nulls(k, pa.bool_()), pa.array(u), pa.array(c), pa.array(d)], names=names)
+
+        def part_done() -> Iterator[pa.RecordBatch]:
+            nonlocal hot, whole
+            trim()
+            yield row(part, -1, _bits(*hot), whole)
+            hot, whole = [], True
+
+        for b in batches:
+            block, *cols = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                if now >= 0 and block[lo] != now:
+                    yield from block_done()
+                    if block[lo] % parts != part:
+                        yield from part_done()
+                now = int(block[lo])
+                part = now % parts
+                held.append([x[lo:hi] for x in cols])
+        if now >= 0:
+            yield from block_done()
+            yield from part_done()
+
+    rows = items.withColumn("part", F.col("block") % parts).repartition(parts, "part").groupBy("part", "block", "key", "fine", "pair").agg(F.sum("n").alias("n"), F.min("v").alias("v"))
+    rows = rows.sortWithinPartitions("part", "block").select("block", "key", "n", "fine", "pair", "v")
+    return cut(rows.mapInArrow(fill, "part int, block int, bits binary, whole boolean, v bigint, c bigint, d bigint")), parts
+
+
+def _keyed(rows: DataFrame, blocks: int, contexts: bool) -> DataFrame:
+    """rows (key, v, n, fine, pair) with their block; the keys of contexts are salted by what they keep."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = b.column(0).to_numpy().view(U)
+            if contexts:
+                k = mix(k ^ np.where(b.column(3).to_numpy(zero_copy_only=False), CONTEXT, FOLLOWERS))
+            yield pa.RecordBatch.from_arrays([pa.array(_block(k, blocks)), pa.array(k.view(np.int64)), *b.columns[1:]], names=["block", "key", "v", "n", "fine", "pair"])
+
+    return rows.select("key", "v", "n", "fine", "pair").mapInArrow(run, "block int, key bigint, v bigint, n bigint, fine boolean, pair boolean")
 
 
 class LanguageModel:
-    """What scoring broadcasts: a few numbers, the common words' exact counts for the base score, and apart the filter's groups of blocks (`parts`)."""
+    """What scoring broadcasts: a few numbers, the common words' exact counts for the base score and the filters' commonest items."""
 
-    def __init__(self, n: int, v: int, docs: int, beta: float, block_bits: int, n_blocks: int, per_group: int, parts: list[Broadcast], common: np.ndarray, common_n: np.ndarray):
-        self.n, self.v, self.docs, self.beta = n, v, docs, beta
-        self.block_bits, self.n_blocks, self.per_group, self.parts = block_bits, n_blocks, per_group, parts
+    def __init__(self, n: int, v: int, quantised: int, grams: Filter, contexts: Filter, common: np.ndarray, common_n: np.ndarray):
+        self.n, self.v, self.quantised, self.grams, self.contexts = n, v, quantised, grams, contexts
         self.common, self.common_n = common, common_n
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"parts": None}
-
-    def probability(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """p(w after v) from the places in COUNTS of w, v and their pair; v's place is -1 at the start of a text."""
-        pw = (COUNTS[word] + 0.1) / (self.n + 0.1 * (self.v + 1))
-        cv = np.where(before < 0, self.docs, CEILINGS[before])
-        both = np.minimum(COUNTS[pair], np.where(before < 0, self.docs, COUNTS[before]))  # false hits of the filter
-        m = cv.astype(float) ** self.beta
-        return np.where(cv > 0, (both + m * pw) / np.maximum(cv + m, 1e-300), pw)
-
-    def probe(self, key: np.ndarray, parts: list[Broadcast]) -> np.ndarray:
-        """Place in COUNTS of the highest level found for each key."""
-        out = np.zeros(len(key), np.uint8)  # levels from 1
-        if not parts:
-            return out
-        block = np.empty(len(key), np.int32)
-        for lo in range(0, len(key), PROBED):
-            block[lo : lo + PROBED] = _block(key[lo : lo + PROBED], self.n_blocks)
-        group = (block // self.per_group).astype(np.min_scalar_type(len(parts)))
-        order = np.argsort(group, kind="stable")
-        ends = np.append(0, np.cumsum(np.bincount(group, minlength=len(parts))))
-        for g in range(len(parts)):
-            bits = _group(parts, g) if ends[g] < ends[g + 1] else None
-            for lo in range(ends[g], ends[g + 1], PROBED):
-                at = order[lo : min(lo + PROBED, ends[g + 1])]
-                base = (block[at] - g * self.per_group).astype(np.int64) * self.block_bits
-                for level in range(len(LEVELS)):
-                    hit = np.ones(len(at), bool)
-                    for pos in _bits(key[at], level, self.block_bits, PROBES):
-                        pos = pos.astype(np.int64) + base
-                        hit &= (bits[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1 > 0
-                    at, base = at[hit], base[hit]
-                    if not len(at):
-                        break
-                    out[at] = level + 1
-        return out
+    @property
+    def whole(self) -> bool:
+        return self.grams.whole and self.contexts.whole
+
+    def probability(self, word: np.ndarray, pair: np.ndarray, context: np.ndarray, followers: np.ndarray) -> np.ndarray:
+        """p(w after v) from the codes of w, their pair, v's sum and v's number of followers."""
+        c = value(word, False)
+        pw = (c + 0.1) / (self.quantised + 0.1 * (self.v + 1))
+        total, d = value(context, True), value(followers, False)
+        both = np.minimum(value(pair, False), np.minimum(c, total))  # false hits of the filter
+        return np.where(total > 0, (both + d * pw) / np.maximum(total + d, 1), pw)
 
     def exact(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count, whether known) among the common words."""
@@ -171,26 +341,15 @@ class LanguageModel:
         return np.log10((count + 0.1) / (self.n + 0.1 * (self.v + 1)))
 
 
-def _exponent(steps: list, pairs: int) -> float:
-    """beta in [0, 1] such that c**beta, summed over all words (steps: number and mean count of words of about one count), is pairs."""
-    total = lambda beta: sum(r["k"] * r["mean"] ** beta for r in steps)
-    lo, hi = 0.0, 1.0
-    for _ in range(50):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if total(mid) < pairs else (lo, mid)
-    return (lo + hi) / 2
-
-
-def fit(docs: DataFrame, filter_mb: int = FILTER_MB, bits_per_token: int = BITS_PER_TOKEN, tokens_per_block: int = TOKENS_PER_BLOCK, common: int = COMMON) -> tuple[LanguageModel, DataFrame]:
+def fit(docs: DataFrame, filter_mb: float = FILTER_MB, tokens_per_block: int = TOKENS_PER_BLOCK, common: int = COMMON) -> tuple[LanguageModel, DataFrame]:
     """(model, exact word counts (key, n)) of the texts of docs (text)."""
-    spark = docs.sparkSession
     counts = cut(_counts(docs, False).groupBy("key").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.sum("n"), F.count("*")).first()
-    n, v = total[0] or 0, total[1]
-    ends = counts.where(F.col("key") == int(END.astype(np.int64))).select("n").first()
-    n_docs = ends[0] if ends else 0
+    octave = F.expr("shiftleft(1L, length(bin(n)) - 1)")
+    half = octave + F.shiftright(octave, 1)
+    total = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("n") >= half, half).otherwise(octave))).first()
+    n, v, quantised = total[0] or 0, total[1], total[2] or 0
     # the common words: those from the least count that at most `common` words reach
-    steps = counts.groupBy(F.floor(F.log2("n") * 4).alias("s")).agg(F.count("*").alias("k"), F.min("n").alias("least"), F.avg("n").alias("mean")).orderBy(F.desc("s")).collect()
+    steps = counts.groupBy(F.floor(F.log2("n") * 4).alias("s")).agg(F.count("*").alias("k"), F.min("n").alias("least")).orderBy(F.desc("s")).collect()
     least, sofar = 2**62, 0
     for r in steps:
         sofar += r["k"]
@@ -199,81 +358,164 @@ def fit(docs: DataFrame, filter_mb: int = FILTER_MB, bits_per_token: int = BITS_
     key, num = top.column("key").to_numpy().view(U), top.column("n").to_numpy()
     order = np.argsort(key)
     key, num = key[order], num[order]
+
+    no, yes = F.lit(False), F.lit(True)
     blocks = 1 << max(4, int(n // tokens_per_block).bit_length())
-    block_bits = -(-max(1 << 16, bits_per_token * n) // blocks // 8) * 8
+    words = counts.select("key", F.lit(0).cast("long").alias("v"), "n", no.alias("fine"), no.alias("pair"))
+    items = _counts(docs, True).select("key", "v", "n", no.alias("fine"), yes.alias("pair")).unionByName(words)
+    made, parts = _fill(_keyed(items, blocks, False), blocks, int(filter_mb * (3 << 21)))
+    grams = Filter(made, blocks, parts)
+    # an item of a context has many entries
+    blocks = 1 << max(4, int(8 * v // tokens_per_block).bit_length())
+    sums = made.where("block = -2").groupBy(F.col("v").alias("key")).agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
+    both = F.explode(F.array(F.struct(F.col("c").alias("n"), yes.alias("fine")), F.struct(F.col("d").alias("n"), no.alias("fine"))))
+    items = sums.select("key", both.alias("x")).select("key", F.lit(0).cast("long").alias("v"), "x.n", "x.fine", no.alias("pair"))
+    made, parts = _fill(_keyed(items, blocks, True), blocks, int(filter_mb * (1 << 21)))
+    return LanguageModel(n, v, quantised, grams, Filter(made, blocks, parts), key, num), counts
+
+
+def _answers(keys: DataFrame, model: LanguageModel) -> DataFrame:
+    """(wid, seq, data: codes) of keys (wid, seq, data: keys of one block, of one kind). seq is the block, those of contexts after
+    those of grams, times two, plus one for fine numbers. A block's bits come before its keys in the same task, one block at a time."""
+    shift = model.grams.blocks
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, words = -1, np.zeros(1, U)
         for b in batches:
-            k = b.column(0).to_numpy().view(U)
-            yield pa.RecordBatch.from_arrays([pa.array(_block(k, blocks).astype(np.int32)), *b.columns], names=["block", "key", "n", "pair"])
-
-    grams = _counts(docs, True).select("key", "n", F.lit(True).alias("pair")).unionByName(counts.select("key", "n", F.lit(False).alias("pair")))
-    grams = grams.mapInArrow(keyed, "block int, key bigint, n bigint, pair boolean").repartition(min(blocks, MAX_TASKS), "block").groupBy("block", "key", "pair").agg(F.sum("n").alias("n"))
+            block, wid, seq = (b.column(i).to_numpy() for i in range(3))
+            i = 0
+            while i < len(block):
+                if block[i] != now:
+                    now, words = int(block[i]), np.zeros(1, U)  # a block without items has no bits
+                if wid[i] < 0:
+                    words = np.frombuffer(b.column(3)[i].as_py(), U)
+                    i += 1
+                    continue
+                end = i + 1
+                while end < len(block) and seq[end] == seq[i] and wid[end] >= 0:
+                    end += 1
+                held = [np.frombuffer(x.as_py(), U) for x in b.column(3)[i:end]]
+                key, back = np.unique(np.concatenate(held), return_inverse=True)
+                code = _probe(key, bool(seq[i] % 2), words, np.zeros(len(key), np.int64), np.full(len(key), len(words), U))[back]
+                codes = np.split(code, np.cumsum([len(x) for x in held])[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(wid[i:end]), pa.array(seq[i:end]), pa.array([x.tobytes() for x in codes], pa.binary())], names=["wid", "seq", "data"])
+                i = end
+
+    first = [F.lit(-1).cast("long").alias("wid"), F.lit(-1).alias("seq"), F.col("bits").alias("data")]
+    blocks = model.grams.table.select("block", *first).unionByName(model.contexts.table.select((F.col("block") + shift).alias("block"), *first))
+    rows = blocks.unionByName(keys.select(F.shiftright("seq", 1).alias("block"), "wid", "seq", "data"))
+    rows = rows.repartition(min(MAX_TASKS, shift + model.contexts.blocks), "block").sortWithinPartitions("block", "seq")
+    return rows.mapInArrow(run, "wid bigint, seq int, data binary")
+
+
+def _open_scores(answers: DataFrame, windows: DataFrame, model: LanguageModel) -> DataFrame:
+    """(rid, b): what the tokens left open in each window add to their rows' scores."""
+    held = windows.sparkSession.sparkContext.broadcast(model)
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows: (block, its bits, null), and (-1, null, number of distinct pairs)."""
-        parts: dict[int, np.ndarray] = {}
-        pairs = 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: list[np.ndarray] = []
         for b in batches:
-            block, key, pair, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            key = key.view(U)
-            pairs += int(pair.sum())
-            for name in np.unique(block):
-                bits = parts.setdefault(int(name), np.zeros(block_bits, bool))
-                at = block == name
-                k, m = key[at], n[at]
-                level = 0
-                while len(k):
-                    bits[_bits(k, level, block_bits, PROBES).ravel()] = True
-                    level += 1
-                    more = m >= LEVELS[level]
-                    k, m = k[more], m[more]
-        names = ["block", "bits", "pairs"]
-        for name, bits in parts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), pa.nulls(1, pa.int64())], names=names)
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.nulls(1, pa.binary()), pa.array([pairs], pa.int64())], names=names)
-
-    got = cut(grams.mapInArrow(fill, "block int, bits binary, pairs bigint"))
-    per_group = max(1, (filter_mb << 23) // block_bits)
-    parts = []
-    for lo in range(0, blocks if n else 0, per_group):
-        group = np.zeros((min(per_group, blocks - lo), block_bits // 8), np.uint8)
-        for r in got.where(F.col("block").between(lo, lo + len(group) - 1)).select("block", "bits").toLocalIterator():
-            group[r["block"] - lo] = np.frombuffer(r["bits"], np.uint8)
-        parts.append(spark.sparkContext.broadcast(group.ravel()))
-    pairs = got.agg(F.sum("pairs")).first()[0] or 0
-    return LanguageModel(n, v, n_docs, _exponent(steps, pairs), block_bits, blocks, per_group, parts, key, num), counts
+            for i, seq in enumerate(b.column(1).to_pylist()):
+                if seq < LAST:
+                    codes.append(np.frombuffer(b.column(2)[i].as_py(), np.uint16))
+                    continue
+                rids, refs, toks = (np.frombuffer(b.column(k)[i].as_py(), t) for k, t in ((2, np.int64), (3, np.int32), (4, np.int32)))
+                got = np.concatenate(codes)
+                codes.clear()
+                refs, (row, pair) = refs.reshape(4, -1), toks.reshape(2, -1)
+                p = held.value.probability(*[np.where(r >= 0, got[np.maximum(r, 0)], -r - 1) for r in refs])
+                total = np.bincount(row, np.log10(p)[pair], len(rids))
+                yield pa.RecordBatch.from_arrays([pa.array(rids), pa.array(total)], names=["rid", "b"])
+
+    none = F.lit(None).cast("binary")
+    rows = answers.select("wid", "seq", "data", none.alias("refs"), none.alias("toks")).unionByName(windows.select("wid", "seq", "data", "refs", "toks"))
+    return rows.repartition("wid").sortWithinPartitions("wid", "seq").mapInArrow(run, "rid bigint, b double")
+
+
+LAST = 2**31 - 1  # seq of a window's own row
 
 
 def score(docs: DataFrame, model: LanguageModel, counts: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of each row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    held, parts = spark.sparkContext.broadcast(model), model.parts
+    held = spark.sparkContext.broadcast(model)
     src = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
     kind = src.schema["doc_id"].dataType.simpleString()
-    names = ["rid", "doc_id", "n_tokens", "known", "base", "score", "rare", "times"]
+    fields = {
+        "rid": "bigint", "doc_id": kind, "n_tokens": "bigint", "known": "bigint", "base": "double", "score": "double", "rare": "array<bigint>", "times": "array<int>",
+        "wid": "bigint", "seq": "int", "data": "binary", "refs": "binary", "toks": "binary",
+    }
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: LanguageModel = held.value
         window: list[tuple] = []  # (rid, doc_id, tokens of each row, hash of each token, row) of each slice
+        wid = TaskContext.get().partitionId() << 33
+        id_type = pa.null()
 
-        def scored() -> Iterator[pa.RecordBatch]:
-            words = [np.unique(w) for *_, w, _ in window]
-            keys = [x for (*_, w, row), word in zip(window, words, strict=True) for x in (word, pair_key(previous(w, row), w))]
-            ends = np.cumsum([len(x) for x in keys])
-            key = np.concatenate(keys)
-            keys.clear()
-            counts = np.split(m.probe(key, parts), ends[:-1])
-            for i, piece in enumerate(window):
-                yield one(*piece, words[i], counts[2 * i], counts[2 * i + 1])
-            window.clear()
+        def batch(n: int, **cols: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([cols.get(k, pa.nulls(n, id_type if k == "doc_id" else arrow[t])) for k, t in fields.items()], names=list(fields))
 
-        def previous(w: np.ndarray, row: np.ndarray) -> np.ndarray:
+        def scored() -> Iterator[pa.RecordBatch]:
+            nonlocal wid
+            w = np.concatenate([x[3] for x in window])
+            sizes = [len(x[0]) for x in window]
+            first = np.append(0, np.cumsum(sizes))
+            row = np.concatenate([x[4] + at for x, at in zip(window, first[:-1], strict=True)])
             v = np.full_like(w, START)
             np.copyto(v[1:], w[:-1], where=row[1:] == row[:-1])
-            return v
-
-        def one(rid: pa.Array, doc_id: pa.Array, count: np.ndarray, w: np.ndarray, row: np.ndarray, uniq: np.ndarray, at_uniq: np.ndarray, at_pair: np.ndarray) -> pa.RecordBatch:
+            pairs, at, ip = np.unique(pair_key(v, w), return_index=True, return_inverse=True)
+            words, iw = np.unique(w[at], return_inverse=True)
+            befores, iv = np.unique(v[at], return_inverse=True)
+            del v
+            keys = [words, pairs, mix(befores ^ CONTEXT), mix(befores ^ FOLLOWERS)]
+            codes = [m.grams.probe(keys[0], False), m.grams.probe(keys[1], False), m.contexts.probe(keys[2], True), m.contexts.probe(keys[3], False)]
+            places = [iw, np.arange(len(pairs)), iv, iv]
+            open_pair = np.zeros(len(pairs), bool)
+            for code, place, f in zip(codes, places, [m.grams, m.grams, m.contexts, m.contexts], strict=True):
+                if not f.whole:
+                    open_pair |= code[place] == 0
+            logp, closed = np.zeros(len(pairs)), ~open_pair
+            logp[closed] = np.log10(m.probability(*[c[i[closed]] for c, i in zip(codes, places, strict=True)]))
+            total = np.bincount(row, logp[ip], first[-1])
+            for i, piece in enumerate(window):
+                yield one(*piece, total[first[i] : first[i + 1]])
+            if open_pair.any():
+                yield from left_open(row, ip, open_pair, keys, codes, places)
+            window.clear()
+            wid += 1
+
+        def left_open(row: np.ndarray, ip: np.ndarray, open_pair: np.ndarray, keys: list, codes: list, places: list) -> Iterator[pa.RecordBatch]:
+            """The keys that the broadcast filters lack, by block, and the window's row: for each open pair a code (as -code-1) or the place of its answer."""
+            refs, ask, seqs, n = [], [], [], 0
+            for k, (key, code, place, f) in enumerate(zip(keys, codes, places, [m.grams, m.grams, m.contexts, m.contexts], strict=True)):
+                wanted = np.zeros(len(key), bool)
+                wanted[place[open_pair]] = True
+                wanted &= (code == 0) & (not f.whole)
+                ref = -code.astype(np.int32) - 1
+                ref[wanted] = np.arange(n, n + wanted.sum())
+                n += int(wanted.sum())
+                refs.append(ref[place[open_pair]])
+                ask.append(key[wanted])
+                seqs.append((_block(ask[-1], f.blocks) + (m.grams.blocks if k > 1 else 0)) * 2 + (k == 2))
+            key, seq = np.concatenate(ask), np.concatenate(seqs)
+            order = np.argsort(seq, kind="stable")
+            back = np.empty(n, np.int32)
+            back[order] = np.arange(n)
+            key, seq = key[order], seq[order]
+            cuts = np.flatnonzero(np.diff(seq)) + 1
+            refs = np.concatenate([np.where(r >= 0, back[np.maximum(r, 0)], r) for r in refs]).astype(np.int32)
+            number = np.cumsum(open_pair) - 1
+            tokens = np.flatnonzero(open_pair[ip])
+            toks = np.concatenate([row[tokens], number[ip[tokens]]]).astype(np.int32)
+            data = pa.array([x.tobytes() for x in np.split(key, cuts)], pa.binary())
+            heads = seq[np.append(0, cuts)].astype(np.int32)
+            yield batch(len(heads), wid=pa.array(np.full(len(heads), wid)), seq=pa.array(heads), data=data)
+            rids = np.concatenate([x[0].to_numpy() for x in window])
+            one_of = lambda x: pa.array([x.tobytes()], pa.binary())
+            yield batch(1, wid=pa.array([wid]), seq=pa.array([LAST], pa.int32()), data=one_of(rids), refs=one_of(refs), toks=one_of(toks))
+
+        def one(rid: pa.Array, doc_id: pa.Array, count: np.ndarray, w: np.ndarray, row: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
             rows = len(rid)
             c, known = m.exact(w)
             add = lambda x: np.bincount(row, weights=x, minlength=rows)
@@ -286,18 +528,14 @@ def score(docs: DataFrame, model: LanguageModel, counts: DataFrame) -> DataFrame
             at = np.flatnonzero(new)
             times = np.diff(np.append(at, len(order)))
             ends = np.searchsorted(row[order][at], np.arange(rows + 1))
-            # the model: places in COUNTS from probes
-            word = at_uniq[np.searchsorted(uniq, w)].astype(np.int16)
-            before = np.full_like(word, -1)
-            np.copyto(before[1:], word[:-1], where=row[1:] == row[:-1])
-            total = add(np.log10(m.probability(word, before, at_pair)))
             lists = lambda x: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x))
-            return pa.RecordBatch.from_arrays(
-                [rid, doc_id, pa.array(count + 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(total), lists(w[order][at].view(np.int64)), lists(times.astype(np.int32))],
-                names=names,
-            )
+            return batch(
+                rows, rid=rid, doc_id=doc_id, n_tokens=pa.array(count + 1), known=pa.array(n_known.astype(np.int64)), base=pa.array(base), score=pa.array(total),
+                rare=lists(w[order][at].view(np.int64)), times=lists(times.astype(np.int32)),
+            )
 
         for b in batches:
+            id_type = b.column(1).type
             data, offsets = buffers(b.column(2))
             for lo, hi in slices(offsets):
                 t = Tokens(data, offsets[lo : hi + 1])
@@ -309,17 +547,27 @@ def score(docs: DataFrame, model: LanguageModel, counts: DataFrame) -> DataFrame
         if window:
             yield from scored()
 
-    part = cut(src.mapInArrow(run, f"rid bigint, doc_id {kind}, n_tokens bigint, known bigint, base double, score double, rare array<bigint>, times array<int>"))
+    made = cut(src.mapInArrow(run, ", ".join(f"{k} {t}" for k, t in fields.items())))
+    part = made.where("rid is not null").select("rid", "doc_id", "n_tokens", "known", "base", "score", "rare", "times")
     rare = part.where(F.size("rare") > 0).select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     hit = rare.join(counts, "key", "left").select("rid", "times", F.coalesce("n", F.lit(0)).alias("c"))
     norm = float(model.n + 0.1 * (model.v + 1))
-    sums = hit.groupBy("rid").agg(F.sum(F.col("times") * F.log10((F.col("c") + 0.1) / norm)).alias("b"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("k"))
-    out = part.drop("rare", "times").join(sums, "rid", "left")
-    return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).cast("long").alias("n_known"), (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), "score")
+    more = hit.groupBy("rid").agg(
+        F.sum(F.col("times") * F.log10((F.col("c") + 0.1) / norm)).alias("b"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("k")
+    )
+    more = more.select("rid", "b", "k", F.lit(0.0).alias("s"))
+    if not model.whole:
+        answers = _answers(made.where(F.col("seq") < LAST).select("wid", "seq", "data"), model)
+        rest = _open_scores(answers, made.where(F.col("seq") == LAST), model)
+        more = more.unionByName(rest.select("rid", F.lit(0.0).alias("b"), F.lit(0).cast("long").alias("k"), F.col("b").alias("s")))
+        more = more.groupBy("rid").agg(F.sum("b").alias("b"), F.sum("k").alias("k"), F.sum("s").alias("s"))
+    out = part.drop("rare", "times").join(more, "rid", "left")
+    plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
+    return out.select("doc_id", "n_tokens", plus("known", "k").cast("long").alias("n_known"), plus("base", "b").alias("base_score"), plus("score", "s").alias("score"))
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model, counts = fit(docs.where(fold(F.col("doc_id"), 10) != 0))
     out = score(docs, model, counts)
-    return out.select("doc_id", (fold(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score", F.lit(1).alias("least_count"))
+    return out.select("doc_id", (fold(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")

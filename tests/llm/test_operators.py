@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,34 +152,68 @@ def test_lm_base_score(spark):
         assert r["score"] > r["base_score"] - 1e-6 or r["held_out"]
 
 
-def test_lm_score_of_a_filter_larger_than_its_bound(spark):
-    """The score by exact counts, quantised; each context's probabilities sum up to 1 at most, and nearly so."""
-    import math
-    from collections import Counter
+@pytest.fixture(scope="module")
+def language(spark):
+    """Texts of sf0.001, their tokens, and what the model is made of, counted in Python."""
+    from collections import Counter, defaultdict
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
-    model, counts = lm_score.fit(docs, filter_mb=1, bits_per_token=400)
     toks = {r["doc_id"]: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in r["text"] or "")) + [None] for r in docs.collect()}
     pairs = Counter(x for w in toks.values() for x in zip(["", *w], w))  # noqa: B905
     word = Counter(x for w in toks.values() for x in w)
-    n = sum(map(len, toks.values()))
     levels = lm_score.LEVELS.tolist()
-    low = {c: max((x for x in levels if x <= c), default=0) for c in [0, *pairs.values(), *word.values()]}
-    high = {c: min(x for x in levels if x > c) - 1 if c else 0 for c in low}
-    assert abs(sum(c**model.beta for c in word.values()) / len(pairs) - 1) < 0.02
+    below = {c: max((x for x in levels if x <= c), default=0) for c in range(max(word.values()) + 1)}
+    low = below.get
+    quantised = sum(map(low, word.values()))
+    after = defaultdict(lambda: [0, 0])
+    for (v, _), c in pairs.items():
+        after[v][0] += low(c)
+        after[v][1] += 1
 
     def p(v, w):
-        pw = (low[word[w]] + 0.1) / (n + 0.1 * (len(word) + 1))
-        cv = len(toks) if v == "" else high[word[v]]
-        m = cv**model.beta
-        return (low[pairs[v, w]] + m * pw) / (cv + m) if cv else pw
-
-    assert n * 400 > 2 << 23  # the filter is more than twice its bound
-    got = [(r["score"], sum(math.log10(p(*x)) for x in zip(["", *toks[r["doc_id"]]], toks[r["doc_id"]]))) for r in lm_score.score(docs, model, counts).collect()]  # noqa: B905
-    # a false hit of the filter (some 1 in 10 000 probes here) raises a count by one level
-    assert all(abs(a - b) <= 1 for a, b in got) and sum(math.isclose(a, b, rel_tol=1e-6) for a, b in got) >= 0.95 * len(got)
-    for v in ["", *[w for w, _ in word.most_common(40) if w][::8]]:
-        assert 0.6 < sum(p(v, w) for w in word) <= 1
+        pw = (low(word[w]) + 0.1) / (quantised + 0.1 * (len(word) + 1))
+        total, d = after[v]
+        return (low(pairs[v, w]) + low(d) * pw) / (total + low(d)) if total else pw
+
+    return docs, toks, pairs, word, p
+
+
+def test_lm_score_with_and_without_the_shuffle(spark, language):
+    """The score by exact counts, quantised, whether the broadcast filter has all items, some or hardly any."""
+    import math
+
+    docs, toks, pairs, _, p = language
+    cost = {x: math.log10(p(*x)) for x in pairs}
+    want = {i: sum(cost[x] for x in zip(["", *w], w)) for i, w in toks.items()}  # noqa: B905
+    for mb, whole in ((16, True), (0.05, False), (0.0001, False)):
+        model, counts = lm_score.fit(docs, filter_mb=mb, tokens_per_block=2000)
+        assert model.whole == whole
+        got = {r["doc_id"]: r["score"] for r in lm_score.score(docs, model, counts).collect()}
+        assert got.keys() == want.keys()
+        d = sorted((got[i] - want[i]) / len(toks[i]) for i in want)
+        # the sum of a context is kept in steps of 1 / 32 of a level; a false hit raises a count by one level
+        assert all(abs(got[i] - want[i]) <= 0.02 * len(toks[i]) for i in want) and abs(d[len(d) // 2]) < 0.001
+
+
+def test_lm_contexts_sum_up_to_one(language):
+    """By the filter's own answers, false hits included: the probabilities of every fortieth context over all words and one unseen word."""
+    import numpy as np
+
+    docs, toks, pairs, word, _ = language
+    model, _ = lm_score.fit(docs)
+    data, offsets = lm_score.buffers(pa.array([" ".join(w for w in word if w)]))
+    t = lm_score.Tokens(data, offsets)
+    words = np.append(t.hashes(), lm_score.END)
+    assert len(np.unique(words)) == len(word)
+    coarse = model.grams.probe(np.append(words, np.uint64(1)), False)
+    sums = []
+    for v in [lm_score.START, *words[:-1:40]]:
+        key = lm_score.pair_key(np.full(len(words) + 1, v), np.append(words, np.uint64(1)))
+        one = np.array([v])
+        context, followers = model.contexts.probe(lm_score.mix(one ^ lm_score.CONTEXT), True), model.contexts.probe(lm_score.mix(one ^ lm_score.FOLLOWERS), False)
+        sums.append(model.probability(coarse, model.grams.probe(key, False), np.full(len(key), context[0]), np.full(len(key), followers[0])).sum())
+    sums = np.array(sums)
+    assert (abs(sums - 1) < 0.02).mean() > 0.98 and abs(np.median(sums) - 1) < 0.005 and abs(sums - 1).max() < 0.6
 
 
 def test_lm_score_of_odd_tables(spark, docs):
