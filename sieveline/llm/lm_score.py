@@ -78,7 +78,8 @@ def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def _block(key: np.ndarray, blocks: int) -> np.ndarray:
-    return (mix(key ^ U(0xD6E8FEB86659FD93)) % U(blocks)).astype(np.int32)
+    """The leading bits of the key (blocks is a power of two), so that rows sorted by key are sorted by block."""
+    return (key >> U(65 - int(blocks).bit_length())).astype(np.int32)
 
 
 def _level(n: np.ndarray) -> np.ndarray:
@@ -231,8 +232,8 @@ class Filter:
         return _probe(key, fine, self.words, self.start[part], self.size[part])
 
 
-def _fill(items: DataFrame, blocks: int, quota_bits: int) -> tuple[DataFrame, int]:
-    """(table, parts) of the filter of items (block, key, v, n, fine, pair). The table's rows are (part, block, bits), (part, -1, bits of
+def _fill(items: DataFrame, blocks: int, quota_bits: int, contexts: bool) -> tuple[DataFrame, int]:
+    """(table, parts) of the filter of items (key, v, n): v is the word before for pairs and 0 for words; of contexts' numbers, 1 for fine ones. The table's rows are (part, block, bits), (part, -1, bits of
     the part's commonest items within its share of quota_bits, whole: whether these are all), and (null, -2, v, c, d): quantised counts and number of v's followers."""
     parts = min(blocks, MAX_TASKS)
     quota = quota_bits / parts
@@ -276,7 +277,9 @@ def _fill(items: DataFrame, blocks: int, quota_bits: int) -> tuple[DataFrame, in
             hot, whole = [], True
 
         for b in batches:
-            block, *cols = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            key, n, v = (b.column(i).to_numpy() for i in range(3))
+            block, some = _block(key.view(U), blocks), v != 0
+            cols = [key, n, some & contexts, some & (not contexts), v]
             cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if lo == hi:
@@ -292,22 +295,17 @@ def _fill(items: DataFrame, blocks: int, quota_bits: int) -> tuple[DataFrame, in
             yield from block_done()
             yield from part_done()
 
-    rows = items.withColumn("part", F.col("block") % parts).repartition(parts, "part").groupBy("part", "block", "key", "fine", "pair").agg(F.sum("n").alias("n"), F.min("v").alias("v"))
-    rows = rows.sortWithinPartitions("part", "block").select("block", "key", "n", "fine", "pair", "v")
+    part = F.shiftrightunsigned("key", 65 - blocks.bit_length()) % parts
+    rows = items.withColumn("part", part.cast("int")).repartition(parts, "part").groupBy("part", "key", "v").agg(F.sum("n").alias("n"))
+    rows = rows.sortWithinPartitions("part", "key").select("key", "n", "v")
     return cut(rows.mapInArrow(fill, "part int, block int, bits binary, whole boolean, v bigint, c bigint, d bigint")), parts
 
 
-def _keyed(rows: DataFrame, blocks: int, contexts: bool) -> DataFrame:
-    """rows (key, v, n, fine, pair) with their block; the keys of contexts are salted by what they keep."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k = b.column(0).to_numpy().view(U)
-            if contexts:
-                k = mix(k ^ np.where(b.column(3).to_numpy(zero_copy_only=False), CONTEXT, FOLLOWERS))
-            yield pa.RecordBatch.from_arrays([pa.array(_block(k, blocks)), pa.array(k.view(np.int64)), *b.columns[1:]], names=["block", "key", "v", "n", "fine", "pair"])
-
-    return rows.select("key", "v", "n", "fine", "pair").mapInArrow(run, "block int, key bigint, v bigint, n bigint, fine boolean, pair boolean")
+def _salted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers of contexts (key, v, n) with keys that tell fine ones (v is 1) from others."""
+    for b in batches:
+        k = mix(b.column(0).to_numpy().view(U) ^ np.where(b.column(1).to_numpy() == 1, CONTEXT, FOLLOWERS))
+        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), *b.columns[1:]], names=["key", "v", "n"])
 
 
 class LanguageModel:
@@ -359,18 +357,17 @@ def fit(docs: DataFrame, filter_mb: float = FILTER_MB, tokens_per_block: int = T
     order = np.argsort(key)
     key, num = key[order], num[order]
 
-    no, yes = F.lit(False), F.lit(True)
     blocks = 1 << max(4, int(n // tokens_per_block).bit_length())
-    words = counts.select("key", F.lit(0).cast("long").alias("v"), "n", no.alias("fine"), no.alias("pair"))
-    items = _counts(docs, True).select("key", "v", "n", no.alias("fine"), yes.alias("pair")).unionByName(words)
-    made, parts = _fill(_keyed(items, blocks, False), blocks, int(filter_mb * (3 << 21)))
+    zero, one = F.lit(0).cast("long").alias("v"), F.lit(1).cast("long").alias("v")
+    items = _counts(docs, True).unionByName(counts.select("key", zero, "n"))
+    made, parts = _fill(items, blocks, int(filter_mb * (3 << 21)), False)
     grams = Filter(made, blocks, parts)
     # an item of a context has many entries
     blocks = 1 << max(4, int(8 * v // tokens_per_block).bit_length())
     sums = made.where("block = -2").groupBy(F.col("v").alias("key")).agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
-    both = F.explode(F.array(F.struct(F.col("c").alias("n"), yes.alias("fine")), F.struct(F.col("d").alias("n"), no.alias("fine"))))
-    items = sums.select("key", both.alias("x")).select("key", F.lit(0).cast("long").alias("v"), "x.n", "x.fine", no.alias("pair"))
-    made, parts = _fill(_keyed(items, blocks, True), blocks, int(filter_mb * (1 << 21)))
+    both = F.explode(F.array(F.struct(F.col("c").alias("n"), one), F.struct(F.col("d").alias("n"), zero)))
+    items = sums.select("key", both.alias("x")).select("key", "x.v", "x.n").mapInArrow(_salted, "key bigint, v bigint, n bigint")
+    made, parts = _fill(items, blocks, int(filter_mb * (1 << 21)), True)
     return LanguageModel(n, v, quantised, grams, Filter(made, blocks, parts), key, num), counts
 
 
