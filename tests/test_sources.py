@@ -99,3 +99,22 @@ def test_the_changelog_drives_the_tick(spark, tmp_path):
         feed(spark, path, lo, hi)
         tick.run(stream(spark, path, start="earliest", rowsPerPartition=8), root, checkpoint).awaitTermination()
         assert tick.cursor(spark, root) == hi and state.read(spark, root, "releases").count() == hi
+
+
+def test_a_batch_without_since_has_every_row(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for serials in ([0, 5, -3], [None, 9, 0]):  # an index may count from 0; tables may hold anything
+        spark.createDataFrame([(f"p{s}", "1", None, "new release", s) for s in serials], KIND).coalesce(1).write.mode("append").parquet(path)
+    changelog.register(spark)
+    read = lambda **o: sorted((r["serial"] for r in spark.read.format("changelog").options(path=path, **o).load().collect()), key=repr)
+    assert read(rowsPerPartition=4) == [-3, 0, 0, 5, 9, None] and read() == [-3, 0, 0, 5, 9, None]
+    assert read(since=0) == [5, 9] and read(since=-1) == [0, 0, 5, 9]
+    assert run(spark, stream(spark, path, start="earliest"), str(tmp_path / "out"), str(tmp_path / "check")) == [-3, 0, 0, 5, 9]
+
+
+def test_the_changelog_query_keeps_serial_zero(spark, tmp_path):
+    from sieveline.plans.sources import changelog_source
+
+    spark.sql("SELECT * FROM VALUES (0L, timestamp_ntz'2024-01-01', 7L, 'signup', 1D, '{}'), (1L, timestamp_ntz'2024-01-01', 8L, 'signup', 1D, '{}'), (-2L, NULL, 9L, 'signup', 1D, '{}'), (NULL, NULL, 5L, 'signup', 1D, 'x'), (3L, NULL, 7L, 'view', 1D, '{}') AS t(event_id, ts, user_id, event_type, value, props)").write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r["name"], r["version"], r["serial"]) for r in changelog_source(spark, str(tmp_path)).collect()}
+    assert got == {("7", "{}", 0), ("8", "{}", 1), ("9", "{}", -2), ("5", "x", None)}
