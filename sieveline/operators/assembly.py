@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.operators.lookup import LAST, keyed_left
+from sieveline.operators.lookup import LAST, dealt, keyed_left
 from sieveline.operators.releases import DAY
 from sieveline.operators.triage import denied
 from sieveline.sources.archives import is_surface
@@ -67,13 +67,19 @@ def _roles(targets: DataFrame) -> DataFrame:
     return each.select("package", "version", "is_new", "r.of", "r.new").where("of IS NOT NULL")
 
 
-def trees(targets: DataFrame, files: DataFrame, policy: str = "surface") -> DataFrame:
+def _with_roles(rows: DataFrame, roles: DataFrame, tasks: int | None) -> DataFrame:
+    """rows (package, of, ...) of the versions that roles name, once for each role."""
+    key = ["package", "of"]
+    return dealt(rows, tasks, *key).join(dealt(roles, tasks, *key), key)
+
+
+def trees(targets: DataFrame, files: DataFrame, policy: str = "surface", tasks: int | None = None) -> DataFrame:
     """(package, version, path, kind, new, old) of the paths that differ between a release and its prior, in one scan of files (package, version, path, content).
 
-    kind: added, removed or modified. Under the policy `surface` a release without a prior has only the files that run by themselves."""
-    rows = files.select("package", F.col("version").alias("of"), "path", "content").join(_roles(targets), ["package", "of"])
+    kind: added, removed or modified. Under the policy `surface` a release without a prior has only the files that run by themselves. tasks: as for lookup.dealt."""
+    rows = _with_roles(files.select("package", F.col("version").alias("of"), "path", "content"), _roles(targets), tasks)
     side = lambda new: F.max(F.when(F.col("new") == new, F.struct(F.col("content").alias("c"))))
-    both = rows.groupBy("package", "version", "is_new", "path").agg(side(True).alias("a"), side(False).alias("b"))
+    both = dealt(rows, tasks, "package", "version", "path").groupBy("package", "version", "is_new", "path").agg(side(True).alias("a"), side(False).alias("b"))
     kind = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").otherwise("modified")
     out = both.where(~F.col("a.c").eqNullSafe(F.col("b.c")) | F.col("a").isNull() | F.col("b").isNull())
     if policy == "surface":
@@ -81,8 +87,8 @@ def trees(targets: DataFrame, files: DataFrame, policy: str = "surface") -> Data
     return out.select("package", "version", "path", kind.alias("kind"), F.col("a.c").alias("new"), F.col("b.c").alias("old"))
 
 
-def added_requirements(targets: DataFrame, requires: DataFrame) -> DataFrame:
-    """(package, version, name): what an update requires and its prior doesn't, in one scan of requires (package, version, name); releases without a prior have no row."""
-    rows = requires.select("package", F.col("version").alias("of"), "name").join(_roles(targets).where(~F.col("is_new")), ["package", "of"])
-    both = rows.groupBy("package", "version", "name").agg(F.max("new").alias("now"), F.max(~F.col("new")).alias("before"))
+def added_requirements(targets: DataFrame, requires: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(package, version, name): what an update requires and its prior doesn't, in one scan of requires (package, version, name); releases without a prior have no row. tasks: as for lookup.dealt."""
+    rows = _with_roles(requires.select("package", F.col("version").alias("of"), "name"), _roles(targets).where(~F.col("is_new")), tasks)
+    both = dealt(rows, tasks, "package", "version", "name").groupBy("package", "version", "name").agg(F.max("new").alias("now"), F.max(~F.col("new")).alias("before"))
     return both.where(F.col("now") & ~F.col("before")).select("package", "version", "name")

@@ -9,6 +9,18 @@ from pyspark.sql import functions as F
 SERIALS = 100_000
 #: An order before and after all others.
 FIRST, LAST = -(1 << 62), 1 << 62
+#: Rows of the largest table that one task of a join takes, about.
+ROWS = 250_000
+
+
+def tasks_for(rows: DataFrame, each: int = ROWS) -> int:
+    """The number of tasks that gives each its share of rows, whatever the table's size; counting a table of Parquet files reads their footers alone."""
+    return max(1, -(-rows.count() // each))
+
+
+def dealt(rows: DataFrame, tasks: int | None, *key: str | Column) -> DataFrame:
+    """rows dealt to `tasks` tasks by key, so that what a task holds doesn't grow with the table; with None Spark chooses their number."""
+    return rows if tasks is None else rows.repartition(tasks, *key)
 
 
 def keyed_left(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from sieveline.operators import assembly as A
 from sieveline.operators import review as V
 from sieveline.operators import triage as T
 from sieveline.operators.asof import prior_owners
+from sieveline.operators.lookup import dealt, tasks_for
 from sieveline.plans.triage import PRIOR, _prior, query, table
 
 INDEX = """SELECT 'c-' || o_custkey AS package, CAST(o_orderkey AS VARCHAR) AS version, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderdate END AS ts,
@@ -48,13 +49,19 @@ FILE = "CASE WHEN l_partkey % 3 = 0 THEN 'pkg' || l_partkey || '/__init__.py' EL
 def _targets(spark, d) -> DataFrame:
     """Orders as releases of their customers, with their priors."""
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("package"), F.col("o_orderkey").alias("version"))
-    return o.join(_prior(spark, d), "version").select("package", "version", "prior", F.col("prior").isNull().alias("is_new"), F.lit(None).cast("string").alias("outcome"))
+    n = tasks_for(o)
+    return dealt(o, n, "version").join(dealt(_prior(spark, d), n, "version"), "version").select("package", "version", "prior", F.col("prior").isNull().alias("is_new"), F.lit(None).cast("string").alias("outcome"))
 
 
-def _files(spark, d) -> DataFrame:
+def _lines(spark, d, n: int) -> DataFrame:
+    """Line items with their orders' packages, dealt by order to n tasks."""
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("package"), F.col("o_orderkey").alias("l_orderkey"))
+    return dealt(table(spark, d, "lineitem"), n, "l_orderkey").join(dealt(o, n, "l_orderkey"), "l_orderkey")
+
+
+def _files(spark, d, n: int) -> DataFrame:
     path = F.concat(F.lit("pkg"), "l_partkey", F.when(F.col("l_partkey") % 3 == 0, "/__init__.py").otherwise("/m.py"))
-    return table(spark, d, "lineitem").join(o, "l_orderkey").groupBy("package", F.col("l_orderkey").alias("version"),
+    return _lines(spark, d, n).groupBy("package", F.col("l_orderkey").alias("version"),
         path.alias("path")).agg(F.max("l_quantity").alias("content"))
 
 
@@ -65,15 +72,16 @@ CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' ELSE 'm
 FROM n FULL JOIN o ON n.version = o.version AND n.path = o.path WHERE n.content IS DISTINCT FROM o.content
 AND (o.path IS NOT NULL OR n.prior IS NOT NULL OR n.path LIKE '%\\_\\_init\\_\\_.py' ESCAPE '\\')""")
 def changed_trees(spark, d):
-    return A.trees(_targets(spark, d), _files(spark, d)).select("version", "path", "kind", "new", "old")
+    n = tasks_for(table(spark, d, "lineitem"))
+    return A.trees(_targets(spark, d), _files(spark, d, n), tasks=n).select("version", "path", "kind", "new", "old")
 
 
 @query(f"""WITH p AS (SELECT * FROM ({PRIOR}) WHERE prior IS NOT NULL) SELECT DISTINCT version, l_suppkey AS name FROM p JOIN lineitem ON l_orderkey = version
 WHERE NOT EXISTS (SELECT 1 FROM lineitem x WHERE x.l_orderkey = prior AND x.l_suppkey = lineitem.l_suppkey)""")
 def added_requirements(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("package"), F.col("o_orderkey").alias("l_orderkey"))
-    requires = table(spark, d, "lineitem").join(o, "l_orderkey").select("package", F.col("l_orderkey").alias("version"), F.col("l_suppkey").alias("name"))
-    return A.added_requirements(_targets(spark, d), requires).select("version", "name")
+    n = tasks_for(table(spark, d, "lineitem"))
+    requires = _lines(spark, d, n).select("package", F.col("l_orderkey").alias("version"), F.col("l_suppkey").alias("name"))
+    return A.added_requirements(_targets(spark, d), requires, n).select("version", "name")
 
 
 @query(f"""WITH w AS (SELECT l_orderkey AS k, string_agg(DISTINCT 'S' || l_suppkey % 5, ',' ORDER BY 'S' || l_suppkey % 5) AS owners FROM lineitem GROUP BY ALL),

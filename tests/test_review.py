@@ -205,3 +205,14 @@ def test_documents_that_drift(spark):
     assert {r["package"]: r["owners"] for r in metadata.owners(docs).collect()} == {"a": ["al"], "e": [], "f": []}
     assert [(r["package"], r["name"]) for r in metadata.requirements(docs).collect()] in ([("a", "zope-x")], [("a", "zope-x"), ("a", "5")])
     assert metadata.earliest(metadata.files(docs)).first()["earliest"] is None
+
+
+def test_tasks_grow_with_the_rows(spark, monkeypatch, tmp_path):
+    """No task of the joins and aggregates takes more rows as the tables grow."""
+    from sieveline.operators import lookup
+    from sieveline.plans.triage import QUERIES
+
+    monkeypatch.setattr(lookup.tasks_for, "__defaults__", (500,))
+    for name in ("added_requirements",):
+        # 6 000 line items by 500: no fewer tasks than that, whatever the session's number is
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 12, name
