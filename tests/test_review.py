@@ -213,6 +213,6 @@ def test_tasks_grow_with_the_rows(spark, monkeypatch, tmp_path):
     from sieveline.plans.triage import QUERIES
 
     monkeypatch.setattr(lookup.tasks_for, "__defaults__", (500,))
-    for name in ("added_requirements", "changed_trees"):
+    for name in ("added_requirements", "changed_trees", "added_deps", "file_status_join"):
         # 6 000 line items by 500: no fewer tasks than that, whatever the session's number is
         assert QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 12, name
