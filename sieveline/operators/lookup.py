@@ -23,9 +23,13 @@ def dealt(rows: DataFrame, tasks: int | None, *key: str | Column) -> DataFrame:
     return rows if tasks is None else rows.repartition(tasks, *key)
 
 
-def keyed_left(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
-    """left joined with at most one row of right per key, null keys alike; the columns of left, then those of right without the key."""
+def keyed_left(left: DataFrame, right: DataFrame, key: list[str], tasks: int | None = None) -> DataFrame:
+    """left joined with at most one row of right per key, null keys alike; the columns of left, then those of right without the key. tasks: as for dealt."""
     named = right.select(*[F.col(k).alias(f"{k}__r") for k in key], *[c for c in right.columns if c not in key])
+    if tasks is not None:
+        # structs are equal if their fields are, nulls alike, so that rows are dealt and joined by the same value
+        mine, theirs = F.struct(*[F.col(k).alias(k) for k in key]), F.struct(*[F.col(f"{k}__r").alias(k) for k in key])
+        return dealt(left, tasks, mine).join(dealt(named, tasks, theirs), mine == theirs, "left").drop(*[f"{k}__r" for k in key])
     same = F.lit(True)
     for k in key:
         same = same & F.col(k).eqNullSafe(F.col(f"{k}__r"))

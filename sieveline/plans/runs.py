@@ -141,7 +141,7 @@ ma AS (SELECT k, '===UNTRUSTED-' || substr(sha256('fixed|0|' || k), 1, 32) || '=
 SELECT k, head || m || chr(10) || chr(10) || m || chr(10) || coalesce(body, '') || chr(10) || m || CASE WHEN sent < ranks OR ranks <> changes THEN {NOTE} ELSE '' END AS input
 FROM he JOIN ma USING (k) LEFT JOIN bo USING (k)""")
 def review_inputs(spark, d):
-    return V.review_inputs(*_reviewed(spark, d), ["k"], cap=520, secret="fixed")
+    return V.review_inputs(*_reviewed(spark, d), ["k"], cap=520, secret="fixed", tasks=tasks_for(table(spark, d, "lineitem")))
 
 
 @query(f"""{REVIEWED}, co AS (SELECT al.*, row_number() OVER (PARTITION BY al.k ORDER BY w DESC, path) AS place FROM al WHERE EXISTS (SELECT 1 FROM fi WHERE fi.k = al.k AND fi.path = al.path AND fi.lo <> 0)),
@@ -150,7 +150,7 @@ us AS (SELECT co.*, head, length(head) + 61 + sum(length(text) + 2) OVER (PARTIT
 bo AS (SELECT k, head, string_agg(text, chr(10) || chr(10) ORDER BY place) FILTER (used <= 150) AS body, count(*) FILTER (used <= 150) AS sent, count(*) AS ranks, max(substr(text, 1, greatest(0, 150 - length(head) - 61))) FILTER (place = 1) AS start FROM us GROUP BY k, head)
 SELECT re.k, CASE WHEN bo.k IS NULL THEN '' ELSE head || CASE WHEN sent > 0 THEN body ELSE start END || CASE WHEN sent < ranks THEN {NOTE} ELSE '' END END AS evidence FROM re LEFT JOIN bo USING (k)""")
 def evidence_texts(spark, d):
-    return V.evidence_texts(*_reviewed(spark, d), ["k"], cap=150)
+    return V.evidence_texts(*_reviewed(spark, d), ["k"], cap=150, tasks=tasks_for(table(spark, d, "lineitem")))
 
 
 @query("SELECT (SELECT count(*) FROM documents) AS releases_total, count(*) AS verdicts_total, count_if(toxic = 1 OR quality = 0) AS flagged_total FROM labels")

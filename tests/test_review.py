@@ -207,6 +207,16 @@ def test_documents_that_drift(spark):
     assert metadata.earliest(metadata.files(docs)).first()["earliest"] is None
 
 
+def test_a_left_join_dealt_to_tasks_is_the_same(spark):
+    from sieveline.operators.lookup import dealt, keyed_left, tasks_for
+
+    left = spark.createDataFrame([(1, "a", 1), (1, None, 2), (None, None, 3), (2, "b", 4), (1, "a", 5)], "k int, path string, n int")
+    right = spark.createDataFrame([(1, "a", "x"), (1, None, "y"), (None, None, "z"), (3, "b", "w")], "k int, path string, v string")
+    rows = [sorted(map(tuple, keyed_left(left, right, ["k", "path"], n).collect()), key=repr) for n in (None, 1, 9)]
+    assert rows[0] == rows[1] == rows[2] and [r[3] for r in sorted(rows[0], key=lambda r: r[2])] == ["x", "y", "z", None, "x"]
+    assert tasks_for(left, 2) == 3 and tasks_for(left.limit(0)) == 1 and dealt(left, 7, "k").rdd.getNumPartitions() == 7
+
+
 def test_tasks_grow_with_the_rows(spark, monkeypatch, tmp_path):
     """No task of the joins and aggregates takes more rows as the tables grow."""
     from sieveline.operators import lookup
