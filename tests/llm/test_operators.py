@@ -117,6 +117,45 @@ def test_line_dedup_leaves_no_repeated_run_over_50_words(spark):
         assert 17 <= len(got[96][0]) < 60 and set(got[96][0]) == {"same same same"}
 
 
+def test_line_dedup_compares_bytes(spark):
+    import random
+
+    rng = random.Random(6)
+    line = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(3, 30)))
+    shared = [line() for _ in range(9)]
+    docs = [(i, [line() for _ in range(8)] + (shared if i in (3, 40) else []) + [line()]) for i in range(60)]
+    table = spark.createDataFrame([(i, "\n".join(x)) for i, x in docs], "doc_id bigint, text string")
+    # digests of one byte are equal for most texts that are not, and nothing that occurs once may go
+    for size in (1, 16):
+        got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.dedup(table, digest_size=size).collect()}
+        for i, x in docs:
+            assert got[i] == x or i == 40 and [y for y in x if y not in shared] == [y for y in got[i] if y not in shared]
+    assert not set(got[40]) & set(shared)
+
+
+def test_line_dedup_runs_hang_on_one_chunk_wherever_they_stand():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(7)
+    line = lambda k: " ".join(f"w{rng.randrange(9999)}" for _ in range(k))
+    for words in (1, 3, 8, 9, 26, 60):
+        run = [line(words) for _ in range(-(-51 // words))]
+        found = set()
+        for _ in range(30):
+            before, after = ([line(rng.randint(0, 30)) for _ in range(rng.randint(0, 4))] for _ in range(2))
+            lines = before + run + after
+            last = line_dedup._ends(lines, line_dedup.LONG_LINE)
+            n = np.array([len(x.split()) for x in lines])
+            at = np.array([[len(before), len(before) + len(run) - 1]])
+            assert at[0].tolist() in line_dedup._extended(np.append(0, np.cumsum(n)), 50).tolist()
+            (x, y), = line_dedup._anchor(at, np.append(0, last[:-1] + 1), last, np.flatnonzero(n * line_dedup.WORDY > 50))
+            assert at[0][0] <= x <= y <= at[0][1] and (x == y and n[x] > 8 or y in last)
+            found.add((int(x) - len(before), int(y) - len(before)))
+        assert len(found) == 1
+
+
 def test_decontamination_tolerates_substitution(spark):
     item = TEXT
     docs = spark.createDataFrame([(1, "before it " + item.replace("kappa", "other") + " after"), (2, "nothing of the kind " * 9), (3, None), (4, ""), (5, "short thing here")], "doc_id bigint, text string")
