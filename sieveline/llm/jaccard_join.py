@@ -43,6 +43,8 @@ HOT_SHINGLES, HOT_IN_TASK = 1 << 20, 2
 BROADCAST_NODES = 2_000_000  # of 8 or 16 bytes each
 #: Groups of at most SMALL classes list their pairs; larger ones are split around pivots. Tasks that share a pivot with many members.
 SMALL, PIVOT_PARTS = 12, 16
+#: Longs of marks by which members of a large group are told apart as they meet; how many items before a shared one are looked at for another.
+WORDS, BEFORE = 8, 16
 
 
 def prefix_length(n: np.ndarray | int, percent: int = PERCENT):
@@ -247,26 +249,55 @@ def _differences(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     d = d.join(_few(least), "p").withColumn("linked", (F.col("excess") + F.col("least") <= 0) | (F.col("node") == F.col("lead")))
     any_partner = F.greatest(F.lit(1), F.col("size") - F.floor(down * F.col("n") / percent + F.lit(1e-9)))
     not_linked = F.greatest(any_partner, F.ceil((F.col("excess") + F.greatest(F.col("least"), 1 - F.col("least"))) / F.lit(2 * up) - F.lit(1e-9)))
-    first = lambda need: F.greatest(F.lit(0), F.col("size") - need + 1).cast("int")
-    return d.select("node", "p", "n", "size", "out", F.slice("d", F.lit(1), first(F.when(F.col("linked"), not_linked).otherwise(any_partner))).alias("d"), first(not_linked).alias("short"), "linked", "lead")
+    return d.select("node", "p", "n", "size", "out", "d", F.when(F.col("linked"), not_linked).otherwise(any_partner).alias("any"), not_linked.alias("both"), "linked", "lead")
+
+
+def _keys(whole: DataFrame) -> DataFrame:
+    """(p, key, node, n, size, own, out, left, pos, before, short, linked, c, cp, marks): the items by which members meet, and what is known of each member.
+
+    An item that a single member of p has is shared with none: it leaves the differences and counts as `own`. The `left` others
+    stand in one order for all members of p, those that the centre lacks (`out`) first and rare ones before frequent ones; before: up to BEFORE items that precede one.
+    marks: for each bit of WORDS longs, whether the number of differences that fall on it is odd; two members differ in at least as many items as their
+    marks differ in bits."""
+    items = cut(whole.select("p", "node", F.posexplode("d").alias("at", "key"), "out").select("p", "node", "key", (F.col("at") >= F.col("out")).alias("less")))
+    often = items.groupBy("p", "key").agg(F.count("*").alias("h")).where("h > 1")
+    items = cut(items.join(often, ["p", "key"]))
+    word, bit = F.pmod("key", F.lit(WORDS)), F.pmod(F.shiftright("key", 32), F.lit(64)).cast("int")
+    odd = [F.coalesce(F.expr(f"bit_xor(if(word = {w}, shiftleft(1L, bit), 0L))"), F.lit(0).cast("long")).alias(f"w{w}") for w in range(WORDS)]
+    marks = cut(items.withColumn("word", word).withColumn("bit", bit).groupBy("p", "node").agg(F.count("*").alias("left"), F.sum((~F.col("less")).cast("long")).alias("out"), *odd))
+    marks = marks.select("p", "node", "left", "out", F.array(*[f"w{w}" for w in range(WORDS)]).alias("marks"))
+    facts = cut(whole.drop("d", "out").join(marks, ["p", "node"]).withColumn("own", F.col("size") - F.col("left")))
+    order = Window.partitionBy("p", "node").orderBy("less", "h", "key")
+    placed = items.withColumn("pos", F.row_number().over(order) - 1).withColumn("before", F.collect_list("key").over(order.rowsBetween(-BEFORE, -1)))
+    first = lambda need: F.greatest(F.lit(0), F.col("left") - F.col(need) + 1)
+    placed = placed.select("p", "node", "key", "pos", "before").join(facts.withColumn("short", first("both")), ["p", "node"])
+    return cut(placed.where(F.col("pos") < first("any")).drop("any", "both", "lead"))
+
+
+def _bits_apart(a: str, b: str) -> Column:
+    """In how many bits two members' marks differ."""
+    return functools.reduce(operator.add, [F.bit_count(F.col(a)[w].bitwiseXOR(F.col(b)[w])) for w in range(WORDS)])
 
 
 def _apart(found: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of members of one pivot in different components that may share enough of their differences from it.
 
-    One of them, a, isn't linked to the lead. Pairs meet in the first item they share, which bounds how many can follow."""
+    One of them, a, isn't linked to the lead. Pairs meet in the first item they share, which bounds how many can follow, and only if their marks allow a link. Whatever
+    holds in an item holds in the first one they share too, so a pair may be left out where it shares one of the items shortly before."""
     at = cut(_named(_named(found, comp), comp, "lead", "cp"))
     mixed = cut(at.groupBy("p").agg(F.max(F.col("c") != F.col("cp")).alias("mixed")).where("mixed").select("p"))
-    keys = cut(at.join(_few(mixed), "p").select("p", "node", "n", "size", "out", "linked", "short", "c", "cp", F.posexplode("d").alias("pos", "key")))
-    a = keys.where("c <> cp").select("p", "key", *[F.col(x).alias(f"{x}_a") for x in ("node", "n", "size", "out", "short", "pos", "c")])
-    b = keys.where("pos < short").select("p", "key", *[F.col(x).alias(f"{x}_b") for x in ("node", "n", "size", "out", "pos", "c", "linked")], (F.col("c") == F.col("cp")).alias("in_b"))
+    keys = _keys(cut(at.join(_few(mixed), "p")))
+    facts = ("node", "n", "size", "own", "out", "left", "pos", "before", "c", "marks")
+    a = keys.where("c <> cp").select("p", "key", *[F.col(x).alias(f"{x}_a") for x in (*facts, "short")])
+    b = keys.where("pos < short").select("p", "key", *[F.col(x).alias(f"{x}_b") for x in (*facts, "linked")], (F.col("c") == F.col("cp")).alias("in_b"))
     up, down = 100 + percent, 100 - percent
-    had = F.least(F.col("size_a") - F.greatest("out_a", "pos_a"), F.col("size_b") - F.greatest("out_b", "pos_b"))
+    had = F.least(F.col("left_a") - F.greatest("out_a", "pos_a"), F.col("left_b") - F.greatest("out_b", "pos_b"))
     follow = had + F.greatest(F.lit(0), F.least(F.col("out_a") - F.col("pos_a"), F.col("out_b") - F.col("pos_b")))
     enough = 2 * up * follow >= up * (F.col("size_a") + F.col("size_b")) - down * (F.col("n_a") + F.col("n_b"))
+    close = up * (F.col("own_a") + F.col("own_b") + _bits_apart("marks_a", "marks_b")) <= down * (F.col("n_a") + F.col("n_b"))
     near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
     open_b = F.col("linked_b") | ((F.col("pos_a") < F.col("short_a")) & (F.col("in_b") | (F.col("node_a") < F.col("node_b"))))
-    met = a.join(b, ["p", "key"]).where((F.col("c_a") != F.col("c_b")) & open_b & near & enough)
+    met = a.join(b, ["p", "key"]).where((F.col("c_a") != F.col("c_b")) & open_b & near & enough & close & ~F.arrays_overlap("before_a", "before_b"))
     return cut(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
 
 

@@ -248,3 +248,22 @@ def test_filters_of_short_hashes_say_what_they_lose(spark):
     want = {tuple(r) for r in jaccard_join._met(pairs, docs, reps, order, 5, 75, 3).collect()}
     heads = jaccard_join._orders(docs, reps, order, 5, 75, 3).collect()
     assert want and all(len(h["o1"]) - len(set(h["o1"])) == h["l1"] and len(h["o2"]) - len(set(h["o2"])) == h["l2"] for h in heads)
+
+
+def test_jaccard_members_that_cannot_link_do_not_meet(spark):
+    """Texts made of the same passages share many differences from their centre; of their pairs only those that may link come out of the join."""
+    from sieveline.llm import jaccard_join
+    from sieveline.llm.common import cut
+
+    rng = random.Random(7)
+    passages = [[rng.getrandbits(62) for _ in range(8)] for _ in range(60)]
+    sets = {i: {x for p in rng.sample(passages, 25) for x in p} for i in range(80)}
+    sets |= {80 + i: {*list(sets[i])[3:], *(rng.getrandbits(62) for _ in range(3 + i))} for i in range(12)}  # copies of some of them
+    table = cut(spark.createDataFrame([(k, len(v), sorted(v)) for k, v in sets.items()], "node bigint, n bigint, items array<bigint>"))
+    found = cut(jaccard_join._differences(cut(table.select("node", F.lit(79).cast("bigint").alias("p"))), table, 75))
+    links = cut(found.where("linked and node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")))
+    comp = jaccard_join._components(links)
+    of = {r["node"]: r["c"] for r in comp.collect()}
+    got = {tuple(r) for r in jaccard_join._apart(found, comp, 75).select("a", "b").collect()}
+    linked = {(a, b) for a in sets for b in sets if a < b and of.get(a, a) != of.get(b, b) and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert len(linked) >= 10 and linked <= got and len(got) <= 2 * len(linked)
