@@ -19,6 +19,11 @@ of the filter. A very common gram is found in the broadcast filter; one that is
 The base score needs exact counts of all words: those of the `common` commonest are looked up in a broadcast table, the others
 meet the count table in a join on the word's hash, whose keys are rare by construction. Both are exact.
 
+`fit` and `score` are for a model that meets other texts. `score_all` is for texts that are scored by a model of their own (op3): what a window
+tells a block to count is what it will look up there, so both go in one shuffle. A block is that of the word before, so that a context's sums are made where
+its pairs are; contexts that are too common for one block (`wide`) are dealt by pair, and their sums added up. The block's filter is built, probed by each
+window's pairs and dropped; the codes go back to the window. Packed rows of (window, block) stand for pairs, words by their rank where they are common.
+
 Hashes have 64 bits.
 
 Defined results: null text is empty and scores its one end token; without training texts N = V = 0 and every token has
@@ -56,6 +61,7 @@ MARKS, STRONG, LOAD = 5, 4, 0.4
 WINDOW = 1_500_000  # tokens whose counts are summed before they leave a task
 SCORED = 400_000  # tokens of which each gram is looked up once
 PROBED = 1 << 17  # keys probed at a time, so that work arrays stay small
+SENT, SENT_PER_BLOCK = 1_000_000, 1_000_000  # tokens of a window of score_all, and of one of its blocks
 
 
 def sequence(t: Tokens, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -308,6 +314,15 @@ def _salted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), *b.columns[1:]], names=["key", "v", "n"])
 
 
+def probability(quantised: int, v: int, word: np.ndarray, pair: np.ndarray, context: np.ndarray, followers: np.ndarray) -> np.ndarray:
+    """p(w after v) from the codes of w, their pair, v's sum and v's number of followers; quantised: the sum of all words' quantised counts, v: their number."""
+    c = value(word, False)
+    pw = (c + 0.1) / (quantised + 0.1 * (v + 1))
+    total, d = value(context, True), value(followers, False)
+    both = np.minimum(value(pair, False), np.minimum(c, total))  # false hits of the filter
+    return np.where(total > 0, (both + d * pw) / np.maximum(total + d, 1), pw)
+
+
 class LanguageModel:
     """What scoring broadcasts: a few numbers, the common words' exact counts for the base score and the filters' commonest items."""
 
@@ -320,12 +335,7 @@ class LanguageModel:
         return self.grams.whole and self.contexts.whole
 
     def probability(self, word: np.ndarray, pair: np.ndarray, context: np.ndarray, followers: np.ndarray) -> np.ndarray:
-        """p(w after v) from the codes of w, their pair, v's sum and v's number of followers."""
-        c = value(word, False)
-        pw = (c + 0.1) / (self.quantised + 0.1 * (self.v + 1))
-        total, d = value(context, True), value(followers, False)
-        both = np.minimum(value(pair, False), np.minimum(c, total))  # false hits of the filter
-        return np.where(total > 0, (both + d * pw) / np.maximum(total + d, 1), pw)
+        return probability(self.quantised, self.v, word, pair, context, followers)
 
     def exact(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count, whether known) among the common words."""
@@ -339,8 +349,9 @@ class LanguageModel:
         return np.log10((count + 0.1) / (self.n + 0.1 * (self.v + 1)))
 
 
-def fit(docs: DataFrame, filter_mb: float = FILTER_MB, tokens_per_block: int = TOKENS_PER_BLOCK, common: int = COMMON) -> tuple[LanguageModel, DataFrame]:
-    """(model, exact word counts (key, n)) of the texts of docs (text)."""
+def _words(docs: DataFrame, common: int, wide: int = 2**62) -> tuple[DataFrame, int, int, int, np.ndarray, np.ndarray]:
+    """(exact word counts (key, n) of docs (text), their sum, number and quantised sum, keys in order and counts of the `common` commonest, of those
+    that are found more than `wide` times and of the end)."""
     counts = cut(_counts(docs, False).groupBy("key").agg(F.sum("n").alias("n")))
     octave = F.expr("shiftleft(1L, length(bin(n)) - 1)")
     half = octave + F.shiftright(octave, 1)
@@ -352,11 +363,15 @@ def fit(docs: DataFrame, filter_mb: float = FILTER_MB, tokens_per_block: int = T
     for r in steps:
         sofar += r["k"]
         least = r["least"] if sofar <= common else least
-    top = counts.where(F.col("n") >= least).toArrow()
+    top = counts.where((F.col("n") >= least) | (F.col("n") > wide) | (F.col("key") == F.lit(int(END.view(np.int64))))).toArrow()
     key, num = top.column("key").to_numpy().view(U), top.column("n").to_numpy()
     order = np.argsort(key)
-    key, num = key[order], num[order]
+    return counts, n, v, quantised, key[order], num[order]
+
 
+def fit(docs: DataFrame, filter_mb: float = FILTER_MB, tokens_per_block: int = TOKENS_PER_BLOCK, common: int = COMMON) -> tuple[LanguageModel, DataFrame]:
+    """(model, exact word counts (key, n)) of the texts of docs (text)."""
+    counts, n, v, quantised, key, num = _words(docs, common)
     blocks = 1 << max(4, int(n // tokens_per_block).bit_length())
     zero, one = F.lit(0).cast("long").alias("v"), F.lit(1).cast("long").alias("v")
     items = _counts(docs, True).unionByName(counts.select("key", zero, "n"))
@@ -563,8 +578,275 @@ def score(docs: DataFrame, model: LanguageModel, counts: DataFrame) -> DataFrame
     return out.select("doc_id", "n_tokens", plus("known", "k").cast("long").alias("n_known"), plus("base", "b").alias("base_score"), plus("score", "s").alias("score"))
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers as bytes, compressed; the first bytes of all numbers come before the second ones, so that small numbers take little."""
+    raw = np.array([len(x) for x in arrays], np.int64).tobytes() + b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() for x in arrays)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes, *types: type) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), np.uint8)
+    out, at = [], 8 * len(types)
+    for n, kind in zip(raw[:at].view(np.int64).tolist(), types, strict=True):
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(kind).ravel())
+        at += n * size
+    return out
+
+
+class Names:
+    """What score_all broadcasts: the model's numbers, the common words with their exact counts, which of them are wide contexts, and the number of blocks.
+    A common word's name is its rank, from 1; the start has one too. Name 0 stands for all others, whose hashes are listed."""
+
+    def __init__(self, n: int, v: int, quantised: int, key: np.ndarray, num: np.ndarray, blocks: int, wide: int):
+        self.blocks, self.v, self.quantised, self.norm = blocks, v, quantised, n + 0.1 * (v + 1)
+        if END not in key:  # no training texts
+            key, num = np.append(key, END), np.append(num, 0)
+        rank = np.argsort(-num, kind="stable")
+        self.key, self.num = np.append(key[rank], START), np.append(num[rank], 0)
+        self.wide = (self.num > wide) | (self.key == END) | (self.key == START)
+        self.order = np.argsort(self.key).astype(np.uint32)
+        self.sorted = self.key[self.order]
+
+    def of(self, word: np.ndarray) -> np.ndarray:
+        i = np.minimum(np.searchsorted(self.sorted, word), len(self.sorted) - 1)
+        return np.where(self.sorted[i] == word, self.order[i] + np.uint32(1), np.uint32(0))
+
+    def words(self, name: np.ndarray, others: np.ndarray) -> np.ndarray:
+        out = self.key[np.maximum(name, 1) - 1]
+        out[name == 0] = others
+        return out
+
+
+class Window:
+    """The distinct pairs of a window of texts (pv, pw: indexes of words; of each token ip), by block, and runs of one word before (heads).
+    name, word: those of the window's words and, as the last, of the start; at: index of each token; count: tokens of each row."""
+
+    def __init__(self, names: Names, name: np.ndarray, word: np.ndarray, at: np.ndarray, count: np.ndarray):
+        self.name, self.word, self.at = name, word, at
+        self.row = np.repeat(np.arange(len(count)), count)
+        first = np.cumsum(count, dtype=np.int64) - count
+        k = len(word)
+        v = np.empty(len(at), np.int64)
+        v[1:] = at[:-1]
+        v[first] = k - 1
+        pair, ip = np.unique(v * k + at, return_inverse=True)
+        pv, pw = pair // k, pair % k
+        self.wide = names.wide[np.maximum(name, 1) - 1] & (name > 0)
+        block = _block(word, names.blocks)[pv]
+        some = np.flatnonzero(self.wide[pv])
+        block[some] = _block(pair_key(word[pv[some]], word[pw[some]]), names.blocks)
+        order = np.argsort(block, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.pv, self.pw, self.ip, self.block = pv[order], pw[order], place[ip], block[order]
+        self.heads = np.flatnonzero(np.append(True, (np.diff(self.block) != 0) | (np.diff(self.pv) != 0)))
+
+
+def _windows(docs: DataFrame, names: Names) -> DataFrame:
+    """(wid, block, data, ids): for each window of docs (doc_id, text, learn), its own row (block -1), and what it tells and asks each block: words before, and
+    of each the words after with the number of times in learnt texts."""
+    held = docs.sparkSession.sparkContext.broadcast(names)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Names = held.value
+        window: list[tuple] = []  # (doc_ids, learn, tokens of each row, hashes)
+        wid = TaskContext.get().partitionId() << 33
+
+        def batch(block: list[int], data: list[bytes], ids: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([wid] * len(block), pa.int64()), pa.array(block, pa.int32()), pa.array(data, pa.binary()), ids], names=["wid", "block", "data", "ids"])
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            nonlocal wid
+            ids, learn, count = pa.concat_arrays([x[0] for x in window]), np.concatenate([x[1] for x in window]), np.concatenate([x[2] for x in window])
+            word, at = np.unique(np.concatenate([x[3] for x in window]), return_inverse=True)
+            window.clear()
+            name = m.of(word)
+            order = np.argsort(name - np.uint32(1), kind="stable")  # by rank, then the others
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            name, word, at = name[order], word[order], place[at]
+            x = Window(m, np.append(name, m.of(np.array([START]))), np.append(word, START), at, count)
+            yield batch([-1], [pack(name, word[name == 0], at, count.astype(np.uint32))], pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids))
+            n = np.bincount(x.ip, learn[x.row], len(x.pv)).astype(np.uint32)
+            cuts = np.append(np.flatnonzero(np.append(True, np.diff(x.block) != 0)), len(x.block))
+            runs = np.searchsorted(x.heads, cuts)
+            size = np.diff(np.append(x.heads, len(x.pv))).astype(np.uint32)
+            before, after = x.pv[x.heads], x.name[x.pw]
+            blocks, data = x.block[cuts[:-1]].tolist(), []
+            for lo, hi, a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), runs[:-1].tolist(), runs[1:].tolist(), strict=True):
+                v, w = x.name[before[a:b]], after[lo:hi]
+                data.append(pack(v, x.word[before[a:b][v == 0]], size[a:b], w, x.word[x.pw[lo:hi][w == 0]], n[lo:hi]))
+                if len(data) == 256 or hi == cuts[-1]:
+                    some, blocks = blocks[: len(data)], blocks[len(data) :]
+                    yield batch(some, data, pa.nulls(len(data), pa.list_(ids.type)))
+                    data = []
+            wid += 1
+
+        for b in batches:
+            data, offsets = buffers(b.column(1))
+            learn = b.column(2).to_numpy(zero_copy_only=False)
+            for lo, hi in slices(offsets):
+                t = Tokens(data, offsets[lo : hi + 1])
+                window.append((b.column(0).take(pa.array(np.arange(lo, hi))), learn[lo:hi], t.count + 1, sequence(t, t.hashes())[0]))
+                if sum(len(x[3]) for x in window) > SENT:
+                    yield from sent()
+        if window:
+            yield from sent()
+
+    return docs.select("doc_id", "text", "learn").mapInArrow(run, f"wid bigint, block int, data binary, ids array<{kind}>")
+
+
+def _dealt(rows: DataFrame, tasks: int) -> DataFrame:
+    """Rows of _windows by block; windows' own rows, which only pass, by the hash of their number (its low bits are few)."""
+    return rows.repartition(tasks, F.when(F.col("block") < 0, F.col("wid")).otherwise(F.col("block").cast("long"))).sortWithinPartitions("block")
+
+
+def _probed(rows: DataFrame, names: Names) -> DataFrame:
+    """The rows of _windows with a block's answers in place of its questions: codes of the pairs; and of each word before the codes of its count, sum and
+    followers (0 for wide ones) and its exact count. Rows of block -2 have the sum c and followers d of wide contexts v in a block. Rows must come by block."""
+    held = rows.sparkSession.sparkContext.broadcast(names)
+    schema = f"wid bigint, block int, data binary, ids {rows.schema['ids'].dataType.simpleString()}, v bigint, c bigint, d bigint"
+    cols = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Names = held.value
+        now, asked, ids_type = -1, [], pa.null()
+
+        def batch(n: int, **have: pa.Array) -> pa.RecordBatch:
+            types = {"block": pa.int32(), "data": pa.binary(), "ids": ids_type}
+            return pa.RecordBatch.from_arrays([have.get(k, pa.nulls(n, types.get(k, pa.int64()))) for k in cols], names=cols)
+
+        def answered() -> Iterator[pa.RecordBatch]:
+            vs, sizes, keys, ns = [], [], [], []
+            for _, data in asked:
+                v, v_others, size, w, w_others, n = unpack(data, np.uint32, U, np.uint32, np.uint32, U, np.uint32)
+                vs.append(m.words(v, v_others))
+                sizes.append(size)
+                keys.append(pair_key(np.repeat(vs[-1], size), m.words(w, w_others)))
+                ns.append(n)
+            wids = [x[0] for x in asked]
+            asked.clear()
+            pairs, runs = [len(x) for x in keys], [len(x) for x in vs]
+            key, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+            n = np.bincount(back, np.concatenate(ns), len(key)).astype(np.int64)
+            del keys, ns
+            v, v_back = np.unique(np.concatenate(vs), return_inverse=True)
+            owner = np.repeat(v_back, np.concatenate(sizes))[first]
+            seen, own = n > 0, owner[n > 0]
+            c = np.bincount(own, LEVELS[_level(n[seen])], len(v)).astype(np.int64)
+            d, total = np.bincount(own, minlength=len(v)), np.bincount(own, n[seen], len(v)).astype(np.int64)
+            name = m.of(v)
+            wide = m.wide[np.maximum(name, 1) - 1] & (name > 0)
+            at = np.flatnonzero(~wide & (d > 0))
+            context, followers = mix(v ^ CONTEXT), mix(v ^ FOLLOWERS)
+            fine = np.repeat([False, False, True, False], [int(seen.sum()), *[len(at)] * 3])
+            bits = _bits(np.concatenate([key[seen], v[at], context[at], followers[at]]), np.concatenate([n[seen], total[at], c[at], d[at]]), fine)
+            ask = lambda k, fine: _probe(k, fine, bits, np.zeros(len(k), np.int64), np.full(len(k), len(bits), U))
+            code = ask(key, False)[back]
+            of_v = [np.where(wide, np.uint16(0), ask(k, fine)) for k, fine in ((v, False), (context, True), (followers, False))]
+            total[wide] = 0
+            cuts, v_cuts = np.append(0, np.cumsum(pairs)), np.append(0, np.cumsum(runs))
+            data = []
+            for i in range(len(wids)):
+                of = v_back[v_cuts[i] : v_cuts[i + 1]]
+                data.append(pack(code[cuts[i] : cuts[i + 1]], *[x[of] for x in of_v], total[of]))
+            yield batch(len(wids), wid=pa.array(wids, pa.int64()), block=pa.array([now] * len(wids), pa.int32()), data=pa.array(data, pa.binary()))
+            at = np.flatnonzero(wide & (d > 0))
+            if len(at):
+                yield batch(len(at), block=pa.array([-2] * len(at), pa.int32()), v=pa.array(v[at].view(np.int64)), c=pa.array(c[at]), d=pa.array(d[at]))
+
+        for b in batches:
+            ids_type = b.column(3).type
+            for i, (wid, block) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if block < 0:
+                    yield batch(1, **{k: b.column(j).slice(i, 1) for j, k in enumerate(cols[:4])})
+                    continue
+                if block != now and asked:
+                    yield from answered()
+                now = block
+                asked.append((wid, b.column(2)[i].as_py()))
+        if asked:
+            yield from answered()
+
+    return rows.mapInArrow(run, schema)
+
+
+class Wide:
+    """The filter of the wide contexts' sums and followers and of their words' counts."""
+
+    def __init__(self, names: Names, v: np.ndarray, c: np.ndarray, d: np.ndarray):
+        at = np.flatnonzero(names.wide & (names.num > 0))
+        n = np.concatenate([names.num[at], c, d])
+        self.bits = _bits(np.concatenate([names.key[at], mix(v ^ CONTEXT), mix(v ^ FOLLOWERS)]), n, np.repeat([False, True, False], [len(at), len(v), len(v)]))
+
+    def codes(self, v: np.ndarray) -> list[np.ndarray]:
+        start, size = np.zeros(len(v), np.int64), np.full(len(v), len(self.bits), U)
+        return [_probe(k, fine, self.bits, start, size) for k, fine in ((v, False), (mix(v ^ CONTEXT), True), (mix(v ^ FOLLOWERS), False))]
+
+
+def _summed(rows: DataFrame, names: Names, wide: Wide, fields: dict[str, str]) -> DataFrame:
+    """The scores of each window's rows, from its own row and the blocks' answers after it, in the order of blocks."""
+    held = rows.sparkSession.sparkContext.broadcast((names, wide))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, w = held.value
+        own: tuple | None = None
+        got: list[bytes] = []
+
+        def scored() -> pa.RecordBatch:
+            name, others, at, count = unpack(own[0], np.uint32, U, np.uint32, np.uint32)
+            word = m.words(name, others)
+            x = Window(m, np.append(name, m.of(np.array([START]))), np.append(word, START), at, count)
+            code, *of_v, total = (np.concatenate(y) for y in zip(*[unpack(y, *[np.uint16] * 4, np.int64) for y in got], strict=True))
+            before, k = x.pv[x.heads], len(x.word)
+            narrow = ~x.wide[before]
+            exact = np.where(x.name > 0, m.num[np.maximum(x.name, 1) - 1], 0)
+            exact[before[narrow]] = total[narrow]
+            codes = [np.zeros(k, np.uint16) for _ in of_v]
+            some = np.flatnonzero(x.wide)
+            for y, of, of_wide in zip(codes, of_v, w.codes(x.word[some]), strict=True):
+                y[before[narrow]] = of[narrow]
+                y[some] = of_wide
+            p = probability(m.quantised, m.v, codes[0][x.pw], code, codes[1][x.pv], codes[2][x.pv])
+            add = lambda of_token: np.bincount(x.row, of_token, len(count))
+            base, known = np.log10((exact + 0.1) / m.norm), (exact > 0).astype(float)
+            cols = [own[1], pa.array(count.astype(np.int64)), pa.array(add(known[x.at]).astype(np.int64)), pa.array(add(base[x.at])), pa.array(add(np.log10(p)[x.ip]))]
+            return pa.RecordBatch.from_arrays(cols, names=list(fields))
+
+        for b in batches:
+            for i, block in enumerate(b.column(1).to_pylist()):
+                if block < 0:
+                    if own:
+                        yield scored()
+                    own = b.column(2)[i].as_py(), b.column(3)[i].values
+                    got.clear()
+                else:
+                    got.append(b.column(2)[i].as_py())
+        if own:
+            yield scored()
+
+    return rows.mapInArrow(run, ", ".join(f"{k} {t}" for k, t in fields.items()))
+
+
+def score_all(docs: DataFrame, common: int = COMMON, tokens_per_block: int = SENT_PER_BLOCK) -> tuple[DataFrame, int]:
+    """(doc_id, n_tokens, n_known, base_score and score of each row of docs (doc_id, text, learn) by a model of the rows that learn is true for; number of training tokens)."""
+    _, n, v, quantised, key, num = _words(docs.where("learn"), common, tokens_per_block)
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = 1 << max(4, int(max(n, chars // 8) // tokens_per_block).bit_length())
+    names = Names(n, v, quantised, key, num, blocks, tokens_per_block)
+    rows, tasks = _windows(docs, names), min(MAX_TASKS, blocks)
+    made = cut(_probed(_dealt(rows, tasks), names))
+    sums = made.where("block = -2").groupBy("v").agg(F.sum("c").alias("c"), F.sum("d").alias("d")).toArrow()
+    sums = [sums.column(k).to_numpy() for k in ("v", "c", "d")]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    fields = {"doc_id": kind, "n_tokens": "bigint", "n_known": "bigint", "base_score": "double", "score": "double"}
+    rows = made.where("block > -2").select("wid", "block", "data", "ids").repartition(tasks, "wid").sortWithinPartitions("wid", "block")
+    return _summed(rows, names, Wide(names, sums[0].view(U), *sums[1:]), fields), n
+
+
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model, counts = fit(docs.where(fold(F.col("doc_id"), 10) != 0))
-    out = score(docs, model, counts)
-    return out.select("doc_id", (fold(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold(F.col("doc_id"), 10) != 0).alias("learn"))
+    out, n = score_all(docs)
+    return out.select("doc_id", (fold(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -262,6 +262,52 @@ def test_lm_score_of_odd_tables(spark, docs):
         assert len({r["score"] for r in got if r["doc_id"] == 1}) == 1
 
 
+def test_lm_scores_of_a_table_by_its_own_model(spark, language, docs):
+    """score_all by exact counts, quantised, with one block for a context and with wide ones; the rows that meet between tasks are windows' packed ones, not pairs."""
+    import math
+
+    texts, toks, pairs, word, p = language
+    want = {i: sum(math.log10(p(*x)) for x in zip(["", *w], w)) for i, w in toks.items()}  # noqa: B905
+    n, v = sum(word.values()), len(word)
+    for common, size in ((1 << 19, 10**6), (100, 2000), (0, 500)):
+        out, tokens = lm_score.score_all(texts.withColumn("learn", F.lit(True)), common, size)
+        got = {r["doc_id"]: r for r in out.collect()}
+        assert got.keys() == want.keys() and tokens == n
+        d = sorted((got[i]["score"] - want[i]) / len(toks[i]) for i in want)
+        # besides the steps of a context's sum, a false hit may double a count in a short text
+        assert all(abs(got[i]["score"] - want[i]) <= 0.02 * len(toks[i]) + math.log10(2) for i in want) and abs(d[len(d) // 2]) < 0.001
+        for i, w in toks.items():
+            assert math.isclose(got[i]["base_score"], sum(math.log10((word[t] + 0.1) / (n + 0.1 * (v + 1))) for t in w), rel_tol=1e-9)
+            assert (got[i]["n_tokens"], got[i]["n_known"]) == (len(w), len(w))
+    for learn in (True, False, F.col("doc_id") == 1):
+        rows = docs.select("doc_id", "text", F.coalesce(F.lit(learn) if isinstance(learn, bool) else learn, F.lit(False)).alias("learn"))
+        got = lm_score.score_all(rows)[0].collect()
+        assert len(got) == len(ROWS) and all(r["score"] <= 0 and r["n_tokens"] >= 1 for r in got)
+        known = [lm_score.score(docs.select("doc_id", "text"), *lm_score.fit(rows.where("learn")))]
+        pick = lambda x: sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in x)
+        assert pick(got) == pick(known[0].collect())
+    assert lm_score.score_all(rows.limit(0))[0].collect() == []
+
+
+def test_lm_pairs_meet_in_packed_rows(spark):
+    """Few rows and bytes for each pair go between tasks: a row of a window for a block, with under six bytes a pair."""
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", F.lit(True).alias("learn")).coalesce(1)
+    _, n, v, quantised, key, num = lm_score._words(docs, lm_score.COMMON)
+    rows = lm_score._windows(docs, lm_score.Names(n, v, quantised, key, num, 16, 10**6)).collect()
+    asked = [r for r in rows if r["block"] >= 0]
+    pairs = sum(len(lm_score.unpack(bytes(r["data"]), np.uint32, lm_score.U, np.uint32, np.uint32, lm_score.U, np.uint32)[3]) for r in asked)
+    assert len(asked) <= 16 * (n // lm_score.SENT + 1) < pairs / 1000 and sum(len(r["data"]) for r in asked) < 6 * pairs
+
+
+def test_lm_windows_are_dealt_evenly(spark):
+    """Windows are numbered by partition in the high bits; with those cut off, 64 windows of 32 partitions came to two tasks."""
+    rows = spark.range(64).select((F.shiftleft(F.shiftright("id", 1), 33) + F.col("id") % 2).alias("wid"), F.lit(-1).alias("block"))
+    most = lm_score._dealt(rows, 32).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most <= 8
+
+
 def test_mixing_meets_targets_and_agrees(spark, docs):
     got = QUERIES["op6_mixing"](spark, DATA).toPandas()
     assert (got["taken"] <= 3 * got["size"]).all() and abs(got["taken"].sum() - got["size"].sum()) < 0.15 * got["size"].sum()
